@@ -18,6 +18,11 @@ NOT_WS = f"[^{BLANKS}]"
 CJK = r"[\x{4E00}-\x{9FFF}]"
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate `value` once and hand it to `use` (a lambda body would evaluate it per element)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squash(c) -> Column:
     """Collapse runs of blanks to one space and trim."""
     return F.trim(F.regexp_replace(c, WS + "+", " "))
