@@ -23,6 +23,15 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def explode_once(df, keys, array: Column, pos: str, item: str):
+    """posexplode that evaluates a costly array once.
+
+    A plain posexplode makes the optimizer add a size filter below it, which
+    evaluates the array expression a second time.
+    """
+    return df.select(*keys, F.posexplode_outer(array).alias(pos, item)).filter(F.col(pos).isNotNull())
+
+
 def squash(c) -> Column:
     """Collapse runs of blanks to one space and trim."""
     return F.trim(F.regexp_replace(c, WS + "+", " "))
@@ -86,6 +95,7 @@ def ordered_distinct(*arrays) -> Column:
 
 def language_of(c) -> Column:
     """zh when any CJK ideograph occurs, en when any latin letter, else neutral."""
+    c = F.col(c) if isinstance(c, str) else c
     return F.when(c.rlike(CJK), "zh").when(c.rlike("[A-Za-z]"), "en").otherwise("neutral")
 
 
