@@ -24,3 +24,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def fits(df: DataFrame, max_rows: int) -> bool:
     """True when the table has at most `max_rows` rows. Stops reading right after the bound."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes an intermediate table to the shared folder and reads it back.
+
+    Used where several branches read one costly table: it is computed once, and
+    a lost executor costs a re-read, not a recomputation.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -231,18 +231,20 @@ def policy_sections(df: DataFrame, keys: list[str], text: str, pack: dict, offse
     """One row per major section; section 0 is the preface before the first heading."""
     at = (F.lit(0) if offset is None else offset).alias("_o")
     d = explode_once(df, [*keys, at], spans.segments(F.col(text), pack["major"]), "section_no", "s")
-    heading = strip_heading(F.regexp_extract("s.text", "^" + pack["major"], 0))
+    return _section_rows(d, keys, pack["major"])
+
+
+def _section_rows(d: DataFrame, keys: list[str], major: str | Column) -> DataFrame:
+    heading = strip_heading(F.regexp_extract("s.text", "^" + major, 0) if isinstance(major, str) else major)
     return d.select(
         *keys, "section_no", (F.col("s.start") + F.col("_o")).alias("start"), F.col("s.text").alias("text"),
         F.when(F.col("section_no") > 0, heading).alias("heading"),
     ).filter("section_no > 0 or trim(text) <> ''")
 
 
-def zh_units(sections: DataFrame, keys: list[str]) -> DataFrame:
-    """Chunk units of Chinese policy sections."""
-    text, start, h = F.col("text"), F.col("start"), F.col("heading")
+def _zh_units(text: Column, start: Column, h: Column) -> Column:
     body = F.trim(F.regexp_replace(text, "^" + ZH_MAJOR, ""))
-    units = (
+    return (
         F.when(F.col("section_no") == 0, _if(text.rlike(CJK), _unit("document_intro", start, F.trim(text), "文档背景")))
         .when(h.startswith("四、") & F.contains(h, F.lit("违规行为")), _category_units(text, start, h, ZH))
         .when(h.startswith("五、") & F.contains(h, F.lit("违规行为相应处理")), _action_units(text, start, h, ZH))
@@ -250,33 +252,33 @@ def zh_units(sections: DataFrame, keys: list[str]) -> DataFrame:
         .when(body != "", _generic_units(text, start, h, ZH))
         .otherwise(F.array().cast(UNIT))
     )
-    return _explode_units(sections, keys, units, "zh")
 
 
-def en_units(sections: DataFrame, keys: list[str]) -> DataFrame:
-    """Chunk units of English policy sections."""
-    text, start, h = F.col("text"), F.col("start"), F.col("heading")
+def _en_units(text: Column, start: Column, h: Column) -> Column:
     low = F.lower(h)
     plain = F.array(_unit("english_section", start, F.trim(text), h))
     body = F.trim(F.regexp_replace(text, "^" + EN_MAJOR, ""))
-    units = (
+    return (
         F.when(F.col("section_no") == 0, F.array(_unit("english_section", start, F.trim(text), "English")))
         .when(F.contains(low, F.lit("disciplinary actions")), _action_units(text, start, h, EN))
         .when(low.endswith("violations"), let(_category_units(text, start, h, EN), lambda u: F.when(F.size(u) > 0, u).otherwise(plain)))
         .when(body != "", plain)
         .otherwise(F.array().cast(UNIT))
     )
-    return _explode_units(sections, keys, units, "en")
 
 
-def _explode_units(sections: DataFrame, keys: list[str], units: Column, language: str) -> DataFrame:
-    d = explode_once(sections, [*keys, "section_no", "heading"], units, "unit_no", "u")
-    return d.select(
-        *keys, "section_no", "unit_no", "heading", F.lit(language).alias("language"),
-        F.col("u.chunk_type").alias("chunk_type"), F.col("u.start").alias("start"), F.col("u.text").alias("raw_text"),
-        F.col("u.section").alias("section_title"), F.col("u.title").alias("group_title"), F.col("u.clause_no").alias("clause_no"),
-        F.col("u.level").alias("violation_level"), F.col("u.role").alias("chunk_role"),
+def _bodies(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Chinese body and English tail of every document as rows (lang, _o, body)."""
+    t = F.col(text)
+    row = lambda lang, off, body: F.struct(F.lit(lang).alias("lang"), off.alias("off"), body.alias("body"))
+    rows = let(
+        english_tail_start(t),
+        lambda at: F.when(at < 0, F.array(row("zh", F.lit(0), t))).otherwise(
+            F.array(row("zh", F.lit(0), F.substring(t, F.lit(1), at)), row("en", at, F.substring(t, at + 1, F.length(t))))
+        ),
     )
+    d = explode_once(df, keys, rows, "_i", "p")
+    return d.select(*keys, F.col("p.lang").alias("language"), F.col("p.off").alias("_o"), F.col("p.body").alias("body"))
 
 
 def english_tail_start(text: Column) -> Column:
@@ -294,20 +296,22 @@ def policy_chunks(df: DataFrame, keys: list[str], text: str = "text", name: str
     `df` holds whole document texts from the body start on. Long units are cut
     into parts. Only the final numbering needs the document's rows together.
     """
-    d = df.withColumn("_tail", english_tail_start(F.col(text)))
-    zh = F.when(F.col("_tail") >= 0, F.substring(F.col(text), F.lit(1), F.col("_tail"))).otherwise(F.col(text))
-    en = F.when(F.col("_tail") >= 0, F.substring(F.col(text), F.col("_tail") + 1, F.length(text)))
-    # One scan: each document yields its body and its tail as two rows.
-    parts = d.select(
-        *keys, name,
-        F.explode(F.array(F.struct(F.lit("zh").alias("lang"), F.lit(0).alias("off"), zh.alias("t")),
-                          F.struct(F.lit("en").alias("lang"), F.greatest(F.col("_tail"), F.lit(0)).alias("off"), en.alias("t")))).alias("p"),
-    ).filter("p.t is not null")
-    k = [*keys, name]
-    zh_rows = zh_units(policy_sections(parts.filter("p.lang = 'zh'").withColumn("_x", F.col("p.t")), k, "_x", ZH), k)
-    en_src = parts.filter("p.lang = 'en'").withColumn("_x", F.col("p.t"))
-    en_rows = en_units(policy_sections(en_src, k, "_x", EN, F.col("p.off")), k)
-    units = role_columns(zh_rows.unionByName(en_rows))
+    k = [*keys, name, "language"]
+    is_zh = F.col("language") == "zh"
+    bodies = _bodies(df, [*keys, name], text)
+    cuts = F.when(is_zh, spans.segments(F.col("body"), ZH_MAJOR)).otherwise(spans.segments(F.col("body"), EN_MAJOR))
+    heading = F.when(is_zh, F.regexp_extract("s.text", "^" + ZH_MAJOR, 0)).otherwise(F.regexp_extract("s.text", "^" + EN_MAJOR, 0))
+    sections = _section_rows(explode_once(bodies, [*k, "_o"], cuts, "section_no", "s"), k, heading)
+    at, h, t = F.col("start"), F.col("heading"), F.col("text")
+    cells = F.when(is_zh, _zh_units(t, at, h)).otherwise(_en_units(t, at, h))
+    d = explode_once(sections, [*k, "section_no", "heading"], cells, "unit_no", "u")
+    units = role_columns(
+        d.select(
+            *k, "section_no", "unit_no", "heading", F.col("u.chunk_type").alias("chunk_type"), F.col("u.start").alias("start"), F.col("u.text").alias("raw_text"),
+            F.col("u.section").alias("section_title"), F.col("u.title").alias("group_title"), F.col("u.clause_no").alias("clause_no"),
+            F.col("u.level").alias("violation_level"), F.col("u.role").alias("chunk_role"),
+        )
+    )
     cut = spans.cutter(size, None, spans.PART_STOPS)
     units = units.withColumn("_t", squash("raw_text")).filter("_t <> ''").withColumn("_w", cut("_t"))
     rows = units.select("*", F.posexplode("_w").alias("part_no", "w"))

@@ -9,31 +9,60 @@ from pyspark.sql import functions as F
 ROWS_PER_BUCKET = 200_000
 
 
-def number_within(
-    df: DataFrame, key: str | list[str], order: str, name: str, rows_per_bucket: int = ROWS_PER_BUCKET
-) -> DataFrame:
-    """Adds `name` = 1, 2, 3 ... per key in ascending `order` (a whole number, distinct per key).
+def _ranged(df: DataFrame, keys: list[str], order: str, rows_per_bucket: int) -> DataFrame:
+    """Adds _r, the number of the row's range inside its group (ranges ascend with the order column).
 
     A group is cut into equal ranges of the order column, small groups into one.
-    Rows are numbered inside a range; the counts of the earlier ranges, a table
-    of one row per range, give the offset. Range limits come from exact min, max
-    and count, so a recomputed task sees the same ranges.
+    The limits come from exact min, max and count, so a recomputed task sees
+    the same ranges.
     """
-    keys = [key] if isinstance(key, str) else list(key)
     o = F.col(order).cast("decimal(38,0)")
     limits = df.groupBy(*keys).agg(
         F.min(o).alias("_lo"), F.max(o).alias("_hi"), F.ceil(F.count("*") / rows_per_bucket).alias("_n")
     )
     step = F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.col("_n"))
     ranged = df.join(limits, keys).withColumn("_r", F.floor((o - F.col("_lo")) / step).cast("bigint"))
+    return ranged.drop("_lo", "_hi", "_n")
+
+
+def number_within(
+    df: DataFrame, key: str | list[str], order: str, name: str, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """Adds `name` = 1, 2, 3 ... per key in ascending `order` (a whole number, distinct per key).
+
+    Rows are numbered inside a range; the counts of the earlier ranges, a table
+    of one row per range, give the offset.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    ranged = _ranged(df, keys, order, rows_per_bucket)
     before = F.sum("_c").over(W.partitionBy(*keys).orderBy("_r").rowsBetween(W.unboundedPreceding, -1))
-    offsets = (
-        ranged.groupBy(*keys, "_r").agg(F.count("*").alias("_c")).select(*keys, "_r", F.coalesce(before, F.lit(0)).alias("_off"))
-    )
+    offsets = ranged.groupBy(*keys, "_r").agg(F.count("*").alias("_c")).select(*keys, "_r", F.coalesce(before, F.lit(0)).alias("_off"))
     rn = F.row_number().over(W.partitionBy(*keys, "_r").orderBy(order))
     return (
         ranged.withColumn("_rn", rn)
         .join(offsets, [*keys, "_r"])
         .withColumn(name, F.col("_rn") + F.col("_off"))
-        .drop("_lo", "_hi", "_n", "_r", "_rn", "_off")
+        .drop("_r", "_rn", "_off")
+    )
+
+
+def carry_forward(
+    df: DataFrame, key: str | list[str], order: str, values: dict[str, str], rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """For each name -> column adds the last non-null value of an earlier row of the same key.
+
+    Inside a range a window looks back; where it finds nothing, the last value
+    of the earlier ranges is taken from a table of one row per range.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    ranged = _ranged(df, keys, order, rows_per_bucket)
+    here = W.partitionBy(*keys, "_r").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    past = W.partitionBy(*keys).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    tails = ranged.groupBy(*keys, "_r").agg(
+        *[F.max_by(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"))), F.when(F.col(c).isNotNull(), F.col(order))).alias(n) for n, c in values.items()]
     )
+    tails = tails.select(*keys, "_r", *[F.last(F.col(n), ignorenulls=True).over(past).alias(f"_t_{n}") for n in values])
+    out = ranged.select("*", *[F.last(F.col(c), ignorenulls=True).over(here).alias(f"_h_{n}") for n, c in values.items()]).join(tails, [*keys, "_r"])
+    for n in values:
+        out = out.withColumn(n, F.coalesce(F.col(f"_h_{n}"), F.col(f"_t_{n}.v"))).drop(f"_h_{n}", f"_t_{n}")
+    return out.drop("_r")

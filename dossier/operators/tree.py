@@ -130,9 +130,21 @@ def tree_nodes(lines: DataFrame, key: str = "doc_id", base: Column | None = None
         F.when(kind == "action_mapping", level_code(title))
         .when(kind.isin("violation_level", "violation_group", "leaf_clause"), level_code(F.col("lvl.title")))
     )
+    in_agroup = F.col("agrp.pos").isNotNull()
+    parent_type = (
+        F.when((kind == "violation_level") | (kind == "action_group"), F.when(F.col("major.pos").isNotNull(), "major_section"))
+        .when(kind == "violation_group", "violation_level").when(kind == "leaf_clause", "violation_group")
+        .when(kind == "action_mapping", F.when(in_agroup, "action_group").otherwise("major_section"))
+    )
+    parent_title = (
+        F.when((kind == "violation_level") | (kind == "action_group"), F.col("major.title"))
+        .when(kind == "violation_group", F.col("lvl.title")).when(kind == "leaf_clause", F.col("grp.title"))
+        .when(kind == "action_mapping", F.coalesce("agrp.title", "major.title"))
+    )
     node = F.struct(
         kind.alias("node_type"), parent.alias("parent_pos"), level.alias("level"), label.alias("ordinal_label"), title.alias("title"),
         F.concat(base_path, F.array_compact(tail)).alias("heading_path"), code.alias("violation_level"),
+        parent_type.alias("parent_node_type"), parent_title.alias("parent_title"),
     )
     number = F.count(kind).over(_frame(key))
     d = d.withColumn("node_no", number).withColumn("node", F.when(kind.isNotNull(), node))
@@ -157,7 +169,7 @@ def tree_nodes(lines: DataFrame, key: str = "doc_id", base: Column | None = None
         .withColumn("node_id", node_id(F.col("node_no")))
         .withColumn("parent_id", F.when(F.col("parent_no").isNotNull(), node_id(F.col("parent_no"))))
         .withColumn("ordinal_value", ordinal_value(F.col("ordinal_label")))
-        .drop("parent_pos", "parent_no")
+        .withColumnRenamed("parent_pos", "parent_order").drop("parent_no")
     )
 
 
@@ -277,21 +289,23 @@ CHUNK_KINDS = {"violation_level": "section_definition", "leaf_clause": "leaf_cla
 
 def tree_chunks(nodes: DataFrame, key: str = "doc_id", size: int = 1200) -> DataFrame:
     """Chunks of the tree in reading order: definitions, listings, leaves and mappings, over-long ones sliced."""
-    parents = nodes.select(key, F.col("node_id").alias("parent_id"), F.col("node_type").alias("parent_node_type"), F.col("title").alias("parent_title"))
     kind = F.lit(None).cast("string")
     for node_type, chunk_type in CHUNK_KINDS.items():
         kind = F.when(F.col("node_type") == node_type, F.lit(chunk_type)).otherwise(kind)
-    single = (
-        nodes.filter(F.col("node_type").isin(*CHUNK_KINDS)).filter("text <> ''")
-        .join(parents, [key, "parent_id"], "left")
-        .select(key, "node_id", kind.alias("chunk_type"), "text", "heading_path", F.col("title").alias("section_title"), "violation_level",
-                "parent_node_type", "parent_title", "sort_order", F.lit(0).alias("part"))
-    )
-    listing = section_children(nodes, key).select(
-        key, "node_id", F.lit("section_children").alias("chunk_type"), "text", "heading_path", "section_title", "violation_level",
-        F.lit("major_section").alias("parent_node_type"), F.lit(None).cast("string").alias("parent_title"), "sort_order", F.lit(1).alias("part"),
+    # A level and its groups meet in one row, so its definition and its listing need no join.
+    is_group = F.col("node_type") == "violation_group"
+    slot = F.when(is_group, F.col("parent_order")).otherwise(F.col("sort_order"))
+    own = F.struct(kind.alias("chunk_type"), "text", "heading_path", F.col("title").alias("section_title"), "violation_level", "parent_node_type", "parent_title", "node_id", "node_type")
+    kid = F.struct("sort_order", F.trim(F.concat_ws(" ", "ordinal_label", "title")).alias("line"))
+    wanted = nodes.filter(F.col("node_type").isin(*CHUNK_KINDS, "violation_group")).filter(slot.isNotNull())
+    slots = wanted.groupBy(key, slot.alias("sort_order")).agg(
+        F.max(F.when(~is_group, own)).alias("own"), F.array_sort(F.collect_list(F.when(is_group, kid))).alias("kids")
+    ).filter(F.col("own").isNotNull())
+    listing = F.col("own").withField("chunk_type", F.lit("section_children")).withField(
+        "text", squash(F.array_join(F.concat(F.array(F.col("own.section_title")), F.transform("kids", lambda c: c["line"])), " "))
     )
-    every = single.unionByName(listing)
+    both = F.when(F.size("kids") > 0, F.array(F.col("own"), listing)).otherwise(F.array(F.col("own")))
+    every = slots.select(key, "sort_order", F.posexplode(both).alias("part", "c")).select(key, "sort_order", "part", "c.*").filter("text <> ''")
     n = F.length("text")
     slices = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / size).cast("int") - 1, F.lit(0))), lambda i: F.trim(F.substring(F.col("text"), i * size + 1, F.lit(size))))
     cut = every.withColumn("over", n > size).select("*", F.posexplode(F.filter(slices, lambda s: s != "")).alias("i", "piece"))

@@ -1 +1,202 @@
-"""Queries."""
+"""Queries over the ingest job."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dossier.operators import chunking, ingest, parsing
+from dossier.plans.chunking_queries import WINDOWS
+from dossier.plans.derived import LINES_CTE, policy_lines
+from dossier.plans.parsing_queries import ELEMENTS_CTE
+from dossier.plans.registry import query, table
+from dossier.sources.raw import FILE_TYPE
+from pyspark.sql import types as T
+
+
+def details(spark, sf_dir):
+    """Detail records: one policy document per customer, as HTML paragraphs."""
+    body = F.concat(F.lit("<p>"), F.array_join(policy_lines(False), "</p><p>"), F.lit("</p>"))
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("company-policy-"), "c_custkey").alias("doc_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("category_name"), body.alias("body")
+    )
+
+
+@query(
+    "e1_detail_chunks",
+    f"""WITH {LINES_CTE}, z AS (SELECT k, count(*) AS n FROM ords GROUP BY k)
+        SELECT 'company-policy-' || k AS doc_id, v.branch, CASE WHEN v.branch = 1 THEN 10 + n ELSE 9 + 2 * n END AS chunks,
+               'company-policy-' || k || '-chunk-' || printf('%04d', CASE WHEN v.branch = 1 THEN 1 ELSE 11 + n END) AS first_id,
+               CASE WHEN v.branch = 1 THEN 'policy_section-0001' ELSE 'section_definition-' || printf('%04d', 11 + n) END AS first_block FROM z, (VALUES (0), (1)) v(branch)""",
+)
+def e1_detail_chunks(spark, sf_dir):
+    c = ingest.detail_chunks(details(spark, sf_dir))
+    return c.groupBy("doc_id", "branch").agg(
+        F.count("*").alias("chunks"), F.min("chunk_id").alias("first_id"), F.min_by("block_id", "chunk_no").alias("first_block")
+    )
+
+
+@query(
+    "e1_page_chunks",
+    f"""WITH RECURSIVE {ELEMENTS_CTE}, tx AS (SELECT page_id AS doc_id, string_agg(text, ' ' ORDER BY pos) AS text FROM elements GROUP BY page_id),
+        {WINDOWS.replace('FROM documents', 'FROM tx')}
+        SELECT 'company-policy-' || doc_id AS doc_id, 'company-policy-' || doc_id || printf('-chunk-%04d', i) AS chunk_id, md5(piece) AS text_md5 FROM cut""",
+)
+def e1_page_chunks(spark, sf_dir):
+    d = table(spark, sf_dir, "pages").select(F.concat(F.lit("company-policy-"), "page_id").alias("doc_id"), F.col("url").alias("title"), F.lit("web").alias("category_name"), F.col("html").alias("body"))
+    return ingest.detail_chunks(d).select("doc_id", "chunk_id", F.md5("text").alias("text_md5"))
+
+
+@query(
+    "e2_heading_merge",
+    """SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment || ' > ' || c_name || ' > x' WHEN 1 THEN c_mktsegment || ' > ' || c_name || ' > x'
+              WHEN 2 THEN c_mktsegment || ' > ' || c_name || ' > other > x' ELSE c_name END AS heading_path FROM customer""",
+)
+def e2_heading_merge(spark, sf_dir):
+    r = F.col("c_custkey") % 4
+    none = F.array().cast("array<string>")
+    base = F.when(r == 3, none).otherwise(F.array("c_mktsegment", "c_name"))
+    path = F.when(r == 0, F.array(F.col("c_mktsegment"), F.col("c_name"), F.lit("x"))).when(r == 1, F.array(F.col("c_name"), F.lit("x"))).when(r == 2, F.array(F.lit("other"), F.lit("x"))).otherwise(none)
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array_join(ingest.merged_path(base, F.col("c_name"), path), " > ").alias("heading_path"))
+
+
+def files_of(spark, sf_dir):
+    """Up to three files per customer; every third is a PDF, every fifth cannot be fetched."""
+    k = F.col("c_custkey")
+    names = F.transform(F.sequence(F.lit(1).cast("bigint"), F.lit(3).cast("bigint")), lambda i: F.struct(i.alias("i"), F.when((k + i) % 3 == 0, "pdf").otherwise("txt").alias("x")))
+    item = lambda s: F.create_map(
+        F.lit("fileName"), F.concat(F.lit("f"), s["i"].cast("string"), F.lit("."), s["x"]),
+        F.lit("downloadUrl"), F.concat(F.lit("u/"), k.cast("string"), F.lit("/"), s["i"].cast("string")),
+    )
+    files = F.transform(F.filter(names, lambda s: s["i"] <= k % 4), item)
+    return table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.coalesce(files, F.array().cast(T.ArrayType(FILE_TYPE))).alias("files"))
+
+
+def contents_of(spark, sf_dir):
+    k = F.col("c_custkey")
+    d = table(spark, sf_dir, "customer").select(k, "c_name", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(3).cast("bigint"))).alias("i")).filter("(c_custkey + i) % 5 <> 0")
+    return d.select(F.concat(F.lit("u/"), "c_custkey", F.lit("/"), "i").alias("url"), F.repeat(F.concat("c_name", F.lit(". ")), F.lit(100)).alias("text"))
+
+
+_FILES = """
+    f AS (SELECT c_custkey AS k, c_name, i, (c_custkey + i) % 3 = 0 AS pdf, (c_custkey + i) % 5 = 0 AS gone FROM customer, (VALUES (1), (2), (3)) v(i) WHERE i <= c_custkey % 4)
+"""
+
+
+@query(
+    "e3_attachment_status",
+    f"""WITH {_FILES}, a AS (SELECT k, count(*) AS n, count(*) FILTER (NOT pdf AND NOT gone) AS ok, count(*) FILTER (pdf OR gone) AS warn FROM f GROUP BY k)
+        SELECT c_custkey AS doc_id, coalesce(n, 0) AS file_count, coalesce(ok, 0) AS parsed_count, coalesce(warn, 0) AS warning_count,
+               CASE WHEN n IS NULL THEN 'none' WHEN ok = n THEN 'success' WHEN ok > 0 THEN 'partial' ELSE 'failed' END AS status FROM customer LEFT JOIN a ON k = c_custkey""",
+)
+def e3_attachment_status(spark, sf_dir):
+    d = files_of(spark, sf_dir)
+    return ingest.attachment_status(d, ingest.parsed_attachments(d, contents_of(spark, sf_dir)))
+
+
+@query(
+    "e3_attachment_chunks",
+    f"""WITH {_FILES} SELECT k || '-attachment-' || i AS doc_id, k || '-attachment-' || i || printf('-chunk-%04d', n) AS chunk_id FROM f, (VALUES (1), (2)) v(n) WHERE NOT pdf AND NOT gone""",
+)
+def e3_attachment_chunks(spark, sf_dir):
+    d = files_of(spark, sf_dir)
+    return ingest.attachment_chunks(ingest.parsed_attachments(d, contents_of(spark, sf_dir))).select("doc_id", "chunk_id")
+
+
+@query(
+    "e4_metadata_merge",
+    "SELECT c_custkey AS doc_id, 'name=' || c_name || ',segment=chunk' || CASE WHEN c_custkey % 2 = 0 THEN ',type=clause' ELSE '' END AS metadata FROM customer",
+)
+def e4_metadata_merge(spark, sf_dir):
+    left = F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"), F.lit("empty"), F.lit(None).cast("string"))
+    right = F.create_map(F.lit("segment"), F.lit("chunk"), F.lit("type"), F.when(F.col("c_custkey") % 2 == 0, "clause"))
+    m = F.array_sort(F.transform(F.map_entries(ingest.merged_metadata(left, right)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array_join(m, ",").alias("metadata"))
+
+
+@query(
+    "e5_category_enrichment",
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE n_name END AS category_name, n_regionkey AS category_type
+       FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
+)
+def e5_category_enrichment(spark, sf_dir):
+    d = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_nationkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("category_name"), F.lit(None).cast("int").alias("category_type")
+    )
+    n = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "k")
+    return ingest.enrich_category(d, n, "k", {"category_name": "n_name", "category_type": "n_regionkey"}).drop("k")
+
+
+def page_outcomes(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    k = F.col("page_id")
+    body = F.when(k % 6 == 1, F.lit("<p> </p>")).otherwise(F.col("html"))
+    listing = p.select(
+        F.when(k % 6 != 0, k).alias("import_id"), F.col("url").alias("title"), k.alias("row_id"),
+        F.when(k % 6 == 2, F.concat(F.lit("ValueError: bad record "), k)).alias("error"),
+    )
+    d = p.filter((k % 6 != 0) & (k % 6 != 2)).select(k.alias("doc_id"), F.col("url").alias("title"), body.alias("body"))
+    parsed = parsing.html_elements(d, "body")
+    counts = ingest.body_chunks(parsed).groupBy(F.col("doc_id").alias("import_id")).agg(F.count("*").alias("chunk_count"))
+    return ingest.outcomes(listing, counts)
+
+
+@query(
+    "e6_outcomes",
+    f"""WITH RECURSIVE {ELEMENTS_CTE}, tx AS (SELECT page_id AS doc_id, string_agg(text, ' ' ORDER BY pos) AS text FROM elements WHERE page_id % 6 NOT IN (0, 1, 2) GROUP BY page_id),
+        {WINDOWS.replace('FROM documents', 'FROM tx')}, n AS (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id)
+        SELECT page_id AS row_id, CASE WHEN page_id % 6 <> 0 THEN page_id END AS import_id, coalesce(n, 0) AS chunk_count,
+          CASE WHEN page_id % 6 IN (0, 1) THEN 'skipped' WHEN page_id % 6 = 2 THEN 'error' WHEN n > 0 THEN 'imported' ELSE 'skipped' END AS status,
+          CASE WHEN page_id % 6 = 0 THEN 'missing importInformationId' WHEN page_id % 6 = 2 THEN 'ValueError: bad record ' || page_id WHEN n IS NULL THEN 'empty cleaned body' END AS reason
+        FROM pages LEFT JOIN n ON doc_id = page_id""",
+)
+def e6_outcomes(spark, sf_dir):
+    return page_outcomes(spark, sf_dir).select("row_id", "import_id", "chunk_count", "status", "reason")
+
+
+def document_outcomes(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("import_id"), F.col("doc_id").cast("string").alias("title"), "source", "text")
+    counts = chunking.window_chunks(d, ["import_id"]).groupBy("import_id").agg(F.count("*").alias("chunk_count"))
+    return ingest.outcomes(d.select("import_id", "title", "source", F.lit(None).cast("string").alias("error")), counts)
+
+
+_STATS = f"""
+    {WINDOWS}, n AS (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id),
+    per AS (SELECT d.source, count(*) AS documents_seen, count(n.n) AS documents_imported, count(*) - count(n.n) AS documents_skipped, CAST(coalesce(sum(n.n), 0) AS BIGINT) AS chunks_stored,
+              CAST(greatest(1, ceil(count(*) / 7.0)) AS BIGINT) AS pages_read FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id GROUP BY d.source)
+"""
+
+
+@query("e7_import_stats", f"WITH RECURSIVE {_STATS} SELECT * FROM per")
+def e7_import_stats(spark, sf_dir):
+    return ingest.import_stats(document_outcomes(spark, sf_dir), "source", 7)
+
+
+@query(
+    "e8_import_summary",
+    f"""WITH RECURSIVE {_STATS} SELECT source, count(*) AS category_count, CAST(sum(documents_seen) AS BIGINT) AS documents_seen, CAST(sum(documents_imported) AS BIGINT) AS documents_imported,
+        CAST(sum(documents_skipped) AS BIGINT) AS documents_skipped, CAST(sum(chunks_stored) AS BIGINT) AS chunks_stored, CAST(sum(pages_read) AS BIGINT) AS pages_read, source IS NULL AS is_total
+        FROM per GROUP BY ROLLUP (source)""",
+)
+def e8_import_summary(spark, sf_dir):
+    s = ingest.import_stats(document_outcomes(spark, sf_dir), "source", 7, total=True)
+    return s.withColumn("is_total", F.col("is_total") == 1)
+
+
+@query("e9_embedding_batches", f"WITH RECURSIVE {WINDOWS} SELECT doc_id, CAST(floor((i - 1) / 16) AS BIGINT) AS batch_no, count(*) AS batch_chunks FROM cut GROUP BY ALL")
+def e9_embedding_batches(spark, sf_dir):
+    c = chunking.window_chunks(table(spark, sf_dir, "documents"), ["doc_id"])
+    return ingest.batch_plan(c, ["doc_id"], "chunk_no")
+
+
+@query("e9_embedded_chunks", f"WITH RECURSIVE {WINDOWS} SELECT doc_id, printf('chunk-%04d', i) AS chunk_id, CAST(length(piece) AS DOUBLE) AS first_value FROM cut")
+def e9_embedded_chunks(spark, sf_dir):
+    c = chunking.window_chunks(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "chunk_id", "text")
+    e = ingest.embed_in_batches(c, "text", lambda texts: [[float(len(t)), 1.0] for t in texts])
+    return e.select("doc_id", "chunk_id", F.get("embedding", F.lit(0)).alias("first_value"))
+
+
+@query("e10_dry_run", f"WITH RECURSIVE {_STATS} SELECT CAST(sum(documents_imported) AS BIGINT) AS documents_imported, CAST(sum(chunks_stored) AS BIGINT) AS chunks_stored FROM per")
+def e10_dry_run(spark, sf_dir):
+    """The ingest counts without embedding or writing anything."""
+    d = document_outcomes(spark, sf_dir)
+    return d.agg(F.count_if(F.col("status") == "imported").alias("documents_imported"), F.sum("chunk_count").alias("chunks_stored"))

@@ -21,11 +21,11 @@ def squash_sql(e: str) -> str:
 ELEMENTS_CTE = rf"""
     shown AS (
       SELECT page_id, url, regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', '', 'g') AS h FROM pages),
-    cut AS (
+    split_pages AS (
       SELECT page_id, url, string_split(regexp_replace(h, '(?i)<(h[1-6]|p|li|blockquote)([\s/>])', chr(1) || '<\1\2', 'g'), chr(1)) AS parts FROM shown),
     pieces AS (
       SELECT page_id, url, len(parts) AS n, unnest(generate_series(2, len(parts))) AS i,
-             unnest(parts[2:]) AS piece FROM cut),
+             unnest(parts[2:]) AS piece FROM split_pages),
     ended AS (
       SELECT *, lower(regexp_extract(piece, '^<([a-zA-Z0-9]+)', 1)) AS tag,
              regexp_replace(piece, '^<[^>]*>', '') AS body FROM pieces),

@@ -20,9 +20,7 @@ FILE_NAME_KEYS = ("name", "fileName", "filename", "title")
 FILE_URL_KEYS = ("url", "fileUrl", "downloadUrl", "path", "filePath")
 FILE_TYPE_KEYS = ("contentType", "mimeType", "type")
 
-FILE_TYPE = T.StructType(
-    [T.StructField(n, T.StringType()) for n in dict.fromkeys(FILE_NAME_KEYS + FILE_URL_KEYS + FILE_TYPE_KEYS)]
-)
+FILE_TYPE = T.MapType(T.StringType(), T.StringType())  # a map keeps fileName and filename apart
 DETAIL_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType()) for n in DETAIL_FIELDS] + [T.StructField("fileList", T.ArrayType(FILE_TYPE))]
 )
