@@ -1 +1,130 @@
-"""Queries."""
+"""Queries that assemble answers from the final evidence."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dossier import rules
+from dossier.operators import answers as an
+from dossier.plans.evidence_queries import _PICKED, CAND, DEDUPED, candidates, final_evidence, specs
+from dossier.plans.registry import query, table
+from dossier.plans.understanding_queries import _list, any_sql
+
+T = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+
+
+@query(
+    "j1_definition_text",
+    f"""WITH {CAND}, d AS (SELECT *, nullif(regexp_extract({T}, coalesce(sec, '~') || '\\s*[：:]\\s*指[^。]*。'), '') AS said,
+            list_min(list_filter([strpos({T}, x) FOR x IN ['（一）' || sec, '（二）' || sec, '（三）' || sec, sec || '：', sec || ':']], lambda p: p > 0)) AS first_at FROM cand)
+        SELECT query_id, chunk_id, md5(coalesce(said, CASE WHEN first_at IS NOT NULL THEN trim(regexp_replace(substr({T}, first_at), '(?s)\\s[0-9]{{1,2}}\\.\\s*[^0-9\\s].*$', '')) END)) AS definition_md5 FROM d""",
+)
+def j1_definition_text(spark, sf_dir):
+    return candidates(spark, sf_dir).select("query_id", "chunk_id", F.md5(an.definition_text(F.col("text"), F.col("spec.target_section"))).alias("definition_md5"))
+
+
+@query(
+    "j2_section_listing",
+    f"""WITH {CAND}, l AS (SELECT *, coalesce(try_cast(nullif(regexp_extract(' ' || {T}, '[^0-9]([0-9]{{1,2}})\\.\\s*' || coalesce(regexp_escape(ltitle), '~~'), 1), '') AS INT), 999) AS ord FROM cand WHERE lists),
+        k AS (SELECT query_id, bool_or(kids) AS structured, any_value(sec) AS section FROM l GROUP BY query_id),
+        u AS (SELECT query_id, ltitle, arg_min(ord, rank) AS ord, min(rank) AS rank FROM l WHERE NOT kids GROUP BY query_id, ltitle),
+        o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord, rank) AS i FROM u)
+        SELECT k.query_id, section, structured, structured AS gap_warning, CASE WHEN structured THEN '1. 师德师风相关的违规行为|2. 违反保密义务行为|4. 弄虚作假行为' ELSE (SELECT string_agg(CASE WHEN ord = 999 THEN i ELSE ord END || '. ' || ltitle, '|' ORDER BY ord, rank) FROM o WHERE o.query_id = k.query_id) END AS items FROM k""",
+)
+def j2_section_listing(spark, sf_dir):
+    return an.section_listing(candidates(spark, sf_dir)).select("query_id", "section", "structured", "gap_warning", F.array_join("items", "|").alias("items"))
+
+
+@query(
+    "j3_clause_items",
+    f"""WITH {CAND}, x AS (SELECT query_id, chunk_id, regexp_extract_all({T}, '5\\.[0-9]+\\s*[^。]*。') AS r FROM cand)
+        SELECT query_id, chunk_id, md5(array_to_string(list_filter(r, lambda v, i: list_position(r, v) = i), '|')) AS items_md5 FROM x""",
+)
+def j3_clause_items(spark, sf_dir):
+    return candidates(spark, sf_dir).select("query_id", "chunk_id", F.md5(F.array_join(an.clause_items(F.col("text"), F.lit("5")), "|")).alias("items_md5"))
+
+
+@query(
+    "j4_tier_table",
+    """SELECT c_custkey, CAST(CASE WHEN c_custkey % 2 = 0 THEN 8 + least(c_custkey % 9 + 1, 6) * 2 + c_custkey % 3 WHEN c_custkey % 9 + 1 IN (1, 3) THEN 5 + c_custkey % 9 + 1 + c_custkey % 3 END AS BIGINT) AS days,
+         CAST(CASE WHEN c_custkey % 2 = 0 THEN 6 ELSE 2 END AS BIGINT) AS tiers FROM customer""",
+)
+def j4_tier_table(spark, sf_dir):
+    k = F.col("c_custkey")
+    n = lambda i, base, step: F.concat((F.lit(base + step * i) + k % 3).cast("string"), F.lit("天"))
+    whole = F.concat_ws(" ", F.col("c_name"), *[F.lit(x) for x in rules.YEAR_LABELS], *[n(i, 8, 2) for i in range(1, 7)])
+    pairs = F.concat_ws("，", F.col("c_name"), F.concat(F.lit("第一年 "), n(1, 5, 1)), F.concat(F.lit("第三年"), n(3, 5, 1)))
+    d = table(spark, sf_dir, "customer").select("c_custkey", an.tier_table(F.when(k % 2 == 0, whole).otherwise(pairs)).alias("t"))
+    return d.select("c_custkey", an.tier_days(F.col("t"), (k % 9 + 1).cast("int")).cast("bigint").alias("days"), F.size("t").cast("bigint").alias("tiers"))
+
+
+@query(
+    "j5_action_items",
+    """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '扣除工资|给予记过处分' ELSE '扣除' || c_mktsegment || '工资|给予警告处分|予以通报' END AS items FROM customer""",
+)
+def j5_action_items(spark, sf_dir):
+    even = F.col("c_custkey") % 2 == 0
+    expected = F.when(even, F.array(F.lit("扣除工资"), F.lit("记过处分"))).otherwise(F.array().cast("array<string>"))
+    text = F.concat(F.lit("连续旷工的，扣除"), "c_mktsegment", F.lit("工资，并警告处分；予以通报。"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(an.action_items(expected, text), "|").alias("items"))
+
+
+@query(
+    "j6_classification_label",
+    f"""WITH {CAND}, x AS (SELECT *, coalesce(list_filter(classes, lambda v: regexp_matches(v, '^[0-9]+\\.[0-9]+'))[1], nullif(replace(regexp_extract(text, '([0-9]+\\.\\s*[0-9]+\\s*旷工少于三天)', 1), '. ', '.'), '')) AS k,
+          list_filter({_list(rules.SECTIONS)}, lambda v: list_contains(classes, v))[1] AS c0 FROM cand),
+        y AS (SELECT *, coalesce(c0, nullif(regexp_extract(CASE WHEN strpos(text, k) > 0 THEN substr(text, 1, strpos(text, k) - 1) ELSE text END, '(?s)^.*([一二三]类违规行为)', 1), ''), nullif(regexp_extract(text, '([一二三]类违规行为)', 1), '')) AS c1 FROM x)
+        SELECT query_id, chunk_id, '属于' || c1 || CASE WHEN contains(text, '破坏学校管理秩序行为') OR list_contains(classes, '破坏学校管理秩序行为') THEN '中的破坏学校管理秩序行为' ELSE '' END || CASE WHEN k IS NOT NULL THEN '（' || k || '）' ELSE '' END AS absence,
+          CASE WHEN t IN (10, 12, 13, 14, 19) THEN '属于' || sec || '中的' || trim(regexp_replace(cl, '^[0-9]+\\.\\s*', '')) || '（' || sub || label || '）' END AS behavior FROM y""",
+)
+def j6_classification_label(spark, sf_dir):
+    named = ~F.col("spec.target_behavior").isin("absenteeism")
+    return candidates(spark, sf_dir).select(
+        "query_id", "chunk_id", an.absence_label(F.col("text"), F.col("spec.classification_terms")).alias("absence"), F.when(named, an.behavior_label()).alias("behavior")
+    )
+
+
+@query(
+    "j7_condition_sentence",
+    f"""WITH {CAND}, s AS (SELECT query_id, chunk_id, label, list_filter(string_split_regex(regexp_replace(text, '[\\s\\x{{A0}}\\x{{3000}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}]+', '', 'g'), '[。；;]'), lambda p: contains(p, label) AND {any_sql('p', rules.CONDITION_SIGNALS)})[1] AS p FROM cand)
+        SELECT query_id, chunk_id, md5(trim(coalesce(nullif(regexp_extract(p, '([0-9]+\\.[0-9]+.*)', 1), ''), p), '，。；; ')) AS condition_md5 FROM s""",
+)
+def j7_condition_sentence(spark, sf_dir):
+    return candidates(spark, sf_dir).select("query_id", "chunk_id", F.md5(an.condition_sentence(F.col("text"), F.col("spec.target_behavior_label"))).alias("condition_md5"))
+
+
+@query(
+    "j8_ambiguity_options",
+    f"WITH {CAND} SELECT query_id, '破坏学校管理秩序行为' AS title, '1. 二类违规行为 > 破坏学校管理秩序行为|2. 一类违规行为 > 破坏学校管理秩序行为|3. 三类违规行为 > 破坏学校管理秩序行为' AS options FROM spec WHERE t = 4",
+)
+def j8_ambiguity_options(spark, sf_dir):
+    return an.ambiguity_options(specs(spark, sf_dir)).select("query_id", "title", F.array_join("options", "|").alias("options"))
+
+
+_BRANCH = f"""
+    per AS (SELECT query_id, count(*) AS n, bool_or(is_p) AS has_p, bool_or(is_c) AS has_c,
+        bool_or(exact AND sec IS NOT NULL AND cl IS NULL AND ans = 'definition' AND (regexp_matches(text, coalesce(sec, '~') || '\\s*[：:]\\s*指[^。]*。') OR contains(text, '（一）' || sec) OR contains(text, '（二）' || sec) OR contains(text, '（三）' || sec) OR contains(text, sec || '：') OR contains(text, sec || ':'))) AS has_def,
+        bool_or(lists) AS has_list, bool_or({any_sql('text', ('带薪年假', '带薪年休假', '年休假天数'))} AND regexp_matches(text, '第一年 第二年 第三年')) AS has_tier,
+        string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) AS ids FROM final GROUP BY query_id),
+    ans AS (SELECT s.query_id, CASE WHEN t = 4 THEN 'ambiguity' WHEN per.n IS NULL THEN 'nothing' WHEN has_def THEN 'definition' WHEN has_list THEN 'listing' WHEN s.ans = 'clause_detail' THEN 'clause'
+        WHEN beh = 'absenteeism' AND has_p THEN 'absence' WHEN beh <> 'absenteeism' AND has_c THEN 'behavior' WHEN (cat = 'leave' OR {any_sql('q', ('年假', '年休假'))}) AND has_tier THEN 'tier' ELSE 'best_chunk' END AS branch, ids
+      FROM spec s LEFT JOIN per ON s.query_id = per.query_id)
+"""
+
+
+def answers(spark, sf_dir):
+    return an.answer_rows(specs(spark, sf_dir), final_evidence(spark, sf_dir))
+
+
+@query("j9_answer_branch", f"WITH {DEDUPED}, {_PICKED}, {_BRANCH} SELECT query_id, branch FROM ans")
+def j9_answer_branch(spark, sf_dir):
+    return answers(spark, sf_dir).select("query_id", "branch")
+
+
+@query(
+    "j10_answer_sources",
+    f"""WITH {DEDUPED}, {_PICKED}, {_BRANCH} SELECT query_id, CASE WHEN branch IN ('ambiguity', 'nothing') THEN '' ELSE ids END AS sources FROM ans WHERE branch NOT IN ('definition', 'clause', 'tier')""",
+)
+def j10_answer_sources(spark, sf_dir):
+    a = answers(spark, sf_dir).filter(~F.col("branch").isin("definition", "clause", "tier"))
+    return a.select("query_id", F.array_join(F.col("source_chunk_ids").cast("array<string>"), ",").alias("sources"))

@@ -1 +1,182 @@
-"""Queries."""
+"""Queries over regression cases, feedback and traces."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dossier import rules
+from dossier.operators import evaluation as e
+from dossier.plans.registry import query, table
+
+def _nothing():
+    return F.lit(None).cast("string")
+
+
+def responses(spark, sf_dir):
+    """A response per conversation turn with two results and two steps."""
+    k, t = F.col("conv_id").cast("string"), F.col("turn")
+    doc = F.concat(F.lit("doc-"), k)
+    result = lambda d, ch, u1, u2: F.struct(d.alias("doc_id"), F.struct(ch.alias("doc_id")).alias("chunk"), F.struct(u1.alias("url")).alias("citation"), u2.alias("url"))
+    results = F.array(
+        result(F.when(t % 2 == 0, doc).otherwise(""), doc, F.when(t % 3 == 0, F.concat(F.lit("u/"), k)), F.lit("u/second")),
+        result(_nothing(), F.concat(F.lit("chunk-"), t.cast("string")), F.lit(""), F.lit("u/second")),
+    )
+    none = F.array().cast("array<string>")
+    step = lambda key, kind, types: F.struct(F.lit(key).alias("key"), kind.alias("answer_type"), types.alias("evidence_types"))
+    steps = F.array(step("evidence_quality", _nothing(), F.array(F.lit("table_evidence"))), step("answer_and_observe", F.lit("definition"), F.array(F.lit("action_evidence"), F.lit("table_evidence"))))
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", F.col("text").alias("answer"), results.alias("results"), F.struct(F.when(t % 4 == 0, F.lit("table_lookup")).alias("answer_type")).alias("answer_plan"), steps.alias("steps"),
+        F.when(t % 5 == 0, F.array(F.lit("listing_evidence"))).otherwise(none).alias("evidence_types"),
+    )
+
+
+@query(
+    "k1_observed_sets",
+    """SELECT conv_id, turn, 'doc-' || conv_id || ',chunk-' || turn AS doc_ids, CASE WHEN turn % 3 = 0 THEN 'u/' || conv_id || ',' ELSE '' END || 'u/second' AS urls,
+         CASE WHEN turn % 4 = 0 THEN 'table_lookup' ELSE 'definition' END AS answer_type, CASE WHEN turn % 5 = 0 THEN 'listing_evidence,' ELSE '' END || 'action_evidence,table_evidence' AS evidence_types FROM conversations""",
+)
+def k1_observed_sets(spark, sf_dir):
+    d = e.observed(responses(spark, sf_dir))
+    j = lambda x, n: F.array_join(x, ",").alias(n)
+    return d.select("conv_id", "turn", j("observed_doc_ids", "doc_ids"), j("observed_urls", "urls"), F.col("observed_answer_type").alias("answer_type"), j("observed_evidence_types", "evidence_types"))
+
+
+def checked(spark, sf_dir):
+    k = F.col("conv_id").cast("string")
+    lit = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    d = e.observed(responses(spark, sf_dir)).withColumn("expected_doc_ids", F.array(F.concat(F.lit("doc-"), k), F.lit("chunk-3"))).withColumn("expected_keywords", lit("the", "la"))
+    d = d.withColumn("forbidden_keywords", lit("wh", "ç")).withColumn("expected_urls", lit("u/second")).withColumn("expected_evidence_types", lit("table_evidence"))
+    return e.check_cases(d.withColumn("expected_answer_type", F.when(F.col("turn") % 2 == 0, "table_lookup")).withColumn("expected_doc_ids", F.when(F.col("turn") == 3, F.col("expected_doc_ids")).otherwise(F.slice("expected_doc_ids", 1, 1))))
+
+
+_CHECK = """
+    x AS (SELECT conv_id, turn, role, array_to_string(list_filter(['the', 'la'], lambda w: NOT contains(text, w)), ',') AS missing_keywords, array_to_string(list_filter(['wh', 'ç'], lambda w: contains(text, w)), ',') AS forbidden_hits,
+            turn % 2 <> 0 OR turn % 4 = 0 AS answer_type_pass FROM conversations),
+    checked AS (SELECT *, missing_keywords = '' AND forbidden_hits = '' AND answer_type_pass AS passed FROM x)
+"""
+
+
+@query("k2_case_checks", f"WITH {_CHECK} SELECT conv_id, turn, missing_keywords, forbidden_hits, answer_type_pass, '' AS missing_doc_ids, passed FROM checked")
+def k2_case_checks(spark, sf_dir):
+    j = lambda x: F.array_join(x, ",").alias(x)
+    return checked(spark, sf_dir).select("conv_id", "turn", j("missing_keywords"), j("forbidden_hits"), "answer_type_pass", j("missing_doc_ids"), "passed")
+
+
+def labelled(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return table(spark, sf_dir, "labels").join(d, "doc_id").select("lang", (F.col("quality") == 1).alias("passed"))
+
+
+_LABELS = "l AS (SELECT lang, quality = 1 AS passed FROM labels JOIN documents USING (doc_id))"
+
+
+@query("k3_summary", f"WITH {_LABELS} SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, round(count(*) FILTER (passed) / count(*), 4) AS pass_rate FROM l")
+def k3_summary(spark, sf_dir):
+    return e.summary(labelled(spark, sf_dir))
+
+
+@query("k4_category_summary", f"WITH {_LABELS} SELECT lang, count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, lang IS NULL AS is_total, round(count(*) FILTER (passed) / count(*), 4) AS pass_rate FROM l GROUP BY ROLLUP (lang)")
+def k4_category_summary(spark, sf_dir):
+    return e.summary(labelled(spark, sf_dir), "lang")
+
+
+@query("k5_cases_by_tag", "SELECT conv_id, turn FROM conversations WHERE role = 'assistant' OR turn % 3 = 1")
+def k5_cases_by_tag(spark, sf_dir):
+    tags = F.array_compact(F.array(F.lit("all"), F.when((F.col("role") == "assistant") | (F.col("turn") % 3 == 1), F.lit("wanted"))))
+    return e.by_tag(table(spark, sf_dir, "conversations").withColumn("tags", tags), "wanted").select("conv_id", "turn")
+
+
+def feedback(spark, sf_dir, events=None):
+    """Feedback derived from the events; some types are unknown, some questions blank."""
+    ev = table(spark, sf_dir, "events") if events is None else events
+    k = F.col("event_id")
+    kind = F.when(F.col("event_type") == "error", "made_up").otherwise(F.get(F.array(*[F.lit(x) for x in rules.FEEDBACK_TYPES]), (k % 7).cast("int")))
+    cite = F.struct(F.col("event_type").alias("title"), F.concat(F.lit("u/"), k).alias("url"), F.lit("c").alias("category"), F.lit("d").alias("publish_date"), F.lit("body").alias("body"))
+    result = F.struct(F.concat(F.lit("c"), k).alias("chunk_id"), F.concat(F.lit("d"), "user_id").alias("doc_id"), F.lit("secret text").alias("text"), cite.alias("citation"))
+    return ev.select(
+        "event_id", F.when(k % 10 == 0, "  ").otherwise(F.concat(F.lit(" q "), "user_id")).alias("query"), kind.alias("feedback_type"), F.col("props").alias("answer"), F.lit("").alias("trace_id"),
+        F.when(k % 2 == 0, "note").otherwise("").alias("comment"), F.array(result).alias("results"),
+    )
+
+
+FEEDBACK_SQL = f"""SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '' ELSE 'q ' || user_id END AS query, ['{"', '".join(rules.FEEDBACK_TYPES)}'][event_id % 7 + 1] AS known,
+    event_type, props AS answer, CASE WHEN event_id % 2 = 0 THEN 'note' END AS comment, 'c' || event_id || '|d' || user_id || '|' || event_type || '|u/' || event_id || '|c|d' AS citations FROM events"""
+
+
+@query(
+    "k6_feedback_records",
+    f"""WITH f AS ({FEEDBACK_SQL}) SELECT event_id, query, CASE WHEN event_type = 'error' THEN 'made_up' ELSE known END AS feedback_type, comment, citations,
+        CASE WHEN query = '' THEN 'query is required' WHEN event_type = 'error' THEN 'unsupported feedback_type: made_up' END AS reject_reason FROM f""",
+)
+def k6_feedback_records(spark, sf_dir):
+    r = e.feedback_records(feedback(spark, sf_dir))
+    one = F.get("citations", F.lit(0))
+    flat = F.concat_ws("|", *[one[x] for x in ("chunk_id", "doc_id", "title", "url", "category", "publish_date")])
+    return r.select("event_id", "query", "feedback_type", "comment", flat.alias("citations"), "reject_reason")
+
+
+@query(
+    "k7_trace_ids",
+    "SELECT conv_id, turn, 'trace_' || substr(sha256(text || chr(0) || (turn + 1)), 1, 16) AS trace_id, CASE WHEN turn % 2 = 0 THEN md5(text) ELSE substr(sha256(lower(trim(role || ' ' || conv_id))), 1, 32) END AS observation_id FROM conversations",
+)
+def k7_trace_ids(spark, sf_dir):
+    seed = F.when(F.col("turn") % 2 == 0, F.upper(F.md5("text"))).otherwise(F.concat("role", F.lit(" "), "conv_id"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", e.trace_id(F.col("text"), F.col("turn") + 1).alias("trace_id"), e.seeded_id(seed).alias("observation_id"))
+
+
+@query(
+    "k8_sanitized_steps",
+    """SELECT conv_id, turn, CASE WHEN length(trim(text)) > 240 THEN substr(trim(text), 1, 240) || '...' ELSE nullif(trim(text), '') END AS summary, CAST(turn % 3 AS BIGINT) AS child_count, 'status=' || role || ',tool=t' AS details,
+         md5(CASE WHEN length(trim(text)) > 600 THEN substr(trim(text), 1, 600) || '...' ELSE trim(text) END) AS long_md5 FROM conversations""",
+)
+def k8_sanitized_steps(spark, sf_dir):
+    d = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.col("text").alias("summary"), "text", F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 1, F.col("turn") % 3).alias("children"),
+        F.create_map(F.lit("tool"), F.lit("t"), F.lit("status"), F.col("role"), F.lit("raw_query"), F.col("text")).alias("details"),
+    )
+    s = e.sanitize_steps(d)
+    flat = F.array_join(F.array_sort(F.transform(F.map_entries("details"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), ",")
+    return s.select("conv_id", "turn", "summary", F.col("child_count").cast("bigint").alias("child_count"), flat.alias("details"), F.md5(e.short_text(F.col("text"))).alias("long_md5"))
+
+
+def traces(spark, sf_dir):
+    """A trace per event: two steps, the second with up to two children."""
+    v, k = F.col("value"), F.col("event_id")
+    child = lambda i: F.struct(F.concat(F.lit("child"), i.cast("string")).alias("key"), F.when((k + i) % 4 == 0, "warn").otherwise("ok").alias("status"), (v / 4).alias("duration_ms"))
+    kids = F.transform(F.slice(F.array(F.lit(1), F.lit(2)), 1, (k % 3).cast("int")), child)
+    none = F.filter(kids, lambda x: F.lit(False))
+    step = lambda key, status, ms, ch: F.struct(F.lit(key).alias("key"), status.alias("status"), ms.alias("duration_ms"), ch.alias("children"))
+    return table(spark, sf_dir, "events").select(
+        k.alias("trace_id"), F.array(step("first", F.when(F.col("event_type") == "error", "warn").otherwise("ok"), v, none), step("second", F.lit("ok"), v * 2, kids)).alias("steps")
+    )
+
+
+_STEPS = """
+    st AS (SELECT event_id AS trace_id, '1' AS path, 'first' AS key, CASE WHEN event_type = 'error' THEN 'warn' ELSE 'ok' END AS status, value AS duration_ms, 0 AS child_count FROM events
+           UNION ALL SELECT event_id, '2', 'second', 'ok', value * 2, event_id % 3 FROM events
+           UNION ALL SELECT event_id, '2.' || i, 'child' || i, CASE WHEN (event_id + i) % 4 = 0 THEN 'warn' ELSE 'ok' END, value / 4, 0 FROM events, (VALUES (1), (2)) v(i) WHERE i <= event_id % 3)
+"""
+
+
+@query("k9_step_rows", f"WITH {_STEPS} SELECT trace_id, path, key, status, round(duration_ms, 4) AS duration_ms, CAST(child_count AS BIGINT) AS child_count FROM st")
+def k9_step_rows(spark, sf_dir):
+    return e.step_rows(traces(spark, sf_dir)).withColumn("duration_ms", F.round("duration_ms", 4)).withColumn("child_count", F.col("child_count").cast("bigint"))
+
+
+@query("k9_trace_rollup", f"WITH {_STEPS} SELECT trace_id, count(*) AS step_count, round(sum(CASE WHEN NOT contains(path, '.') THEN duration_ms END), 4) AS duration_ms, CASE WHEN bool_or(status = 'warn') THEN 'warn' ELSE 'ok' END AS status FROM st GROUP BY trace_id")
+def k9_trace_rollup(spark, sf_dir):
+    return e.trace_rollup(e.step_rows(traces(spark, sf_dir))).withColumn("duration_ms", F.round("duration_ms", 4))
+
+
+@query(
+    "k10_data_flow",
+    """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'raw_message=' || role || ',top_k=' || turn ELSE 'detail_keys=intent,other,node_key=' || role END AS inputs,
+         CASE WHEN turn % 2 = 0 THEN 'detail_keys=other,raw_query,top_k,node_key=' || role ELSE 'intent=' || role END AS outputs FROM conversations""",
+)
+def k10_data_flow(spark, sf_dir):
+    even = F.col("turn") % 2 == 0
+    details = F.when(even, F.create_map(F.lit("raw_query"), F.col("role"), F.lit("top_k"), F.col("turn").cast("string"), F.lit("other"), F.lit("x"))).otherwise(
+        F.create_map(F.lit("intent"), F.col("role"), F.lit("other"), F.lit("x"), F.lit("data_flow"), F.lit("y")))
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", e.data_flow(F.col("role"), details).alias("f"))
+    flat = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), ",")
+    return d.select("conv_id", "turn", flat("f.input").alias("inputs"), flat("f.output").alias("outputs"))

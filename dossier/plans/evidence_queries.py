@@ -56,6 +56,18 @@ def question_rows(keys):
     return d.withColumn("hints", u.hints(F.col("query")))
 
 
+_SPECS: dict[tuple[str, str], object] = {}
+
+
+def specs(spark, sf_dir):
+    """The specs of all questions: a table of their own, written once per application and read by every stage."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SPECS:
+        ids = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).alias("query_id")).distinct()
+        _SPECS[key] = materialize(question_rows(ids), "specs")
+    return _SPECS[key]
+
+
 def candidates(spark, sf_dir):
     k = F.col("doc_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(k / 8).alias("query_id"), (k % 8 + 1).cast("int").alias("rank"))
@@ -68,9 +80,7 @@ def candidates(spark, sf_dir):
         ((k % 100) / 100.0).alias("distance"), F.lit(False).alias("scope_applied"),
     )
     d = d.withColumn("meta_text", F.concat_ws(" ", "source", "section_title", "clause_title", "chunk_type"))
-    # The specs are a table of their own, written once per batch of questions.
-    asked = materialize(question_rows(docs.select("query_id").distinct()), "specs")
-    return d.join(asked, "query_id")
+    return d.join(specs(spark, sf_dir), "query_id")
 
 
 def _nullable(xs):
