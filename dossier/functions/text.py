@@ -13,8 +13,11 @@ BLANKS = (
     r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
-WS = f"[{BLANKS}]"
-NOT_WS = f"[^{BLANKS}]"
+# The same class for Java only: letters leave it after three range checks.
+WS = (
+    r"[\x09-\x0D\x1C-\x20[\x{85}-\x{3000}&&[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]]"
+)
 CJK = r"[\x{4E00}-\x{9FFF}]"
 
 

@@ -15,8 +15,7 @@ ZH_MAJOR = rf"(?<![（(])[{NUMERALS}]{{1,3}}、\s*[^\s，。；;：:]{{1,40}}"
 ZH_CATEGORY = rf"（[{NUMERALS}]{{1,3}}）\s*[一二三]类违规行为"
 ZH_GROUP = r"(?<![\d.])\d{1,2}\.\s*(?!\d)[^。；;\d]{2,80}?(?=[:：]|\s+\d+\.\d)"
 SUBCLAUSE = r"(?<!\d)\d{1,2}\.\d{1,2}"
-EN_TITLE = r"(?i)\b(?:[A-Z][A-Za-z&'.-]*(?:\s+[A-Z][A-Za-z&'.-]*){0,8}\s+)?Employee\s+Disciplinary\s+Rules\b"
-EN_TITLE_CORE = r"(?i)\bEmployee\s+Disciplinary\s+Rules\b"  # the part every title has; cheap to look for first
+EN_TITLE_CORE = r"(?i)\bEmployee\s+Disciplinary\s+Rules\b"
 EN_MAJOR = (
     r"(?i)(?<![A-Za-z0-9])(?:[IVX]+|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+)\.?\s+(?:Purpose|Scope of Application"
     r"|Code of Professional Conduct for Teachers|Violations|Applicable Disciplinary Actions against Violations"
@@ -281,12 +280,25 @@ def _bodies(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return d.select(*keys, F.col("p.lang").alias("language"), F.col("p.off").alias("_o"), F.col("p.body").alias("body"))
 
 
+EN_TITLE_LEAD = r"(?i)((?:\b[A-Z][A-Za-z&'.-]*\s+){0,9})$"
+
+
+def _title_start(text: Column) -> Column:
+    """Start of the first English title: the fixed words and up to nine words in front of them.
+
+    The fixed words are found first, so the costly lead pattern only sees the
+    few hundred characters in front of them.
+    """
+    before = F.get(F.split(text, EN_TITLE_CORE, 2), F.lit(0))
+    lead = F.regexp_extract(F.substring(before, -400, 400), EN_TITLE_LEAD, 1)
+    return F.length(before) - F.length(lead)
+
+
 def english_tail_start(text: Column) -> Column:
     """0-based start of the first English marker after the Chinese body, -1 when there is none."""
     at = lambda p: F.length(F.get(F.split(text, p, 2), F.lit(0)))
     n = F.length(text)
-    guards = ((EN_TITLE_CORE, EN_TITLE), (EN_MAJOR, EN_MAJOR), (EN_CATEGORY, EN_CATEGORY))
-    first = F.least(*[F.when(text.rlike(g), at(p)).otherwise(n) for g, p in guards])
+    first = F.least(_title_start(text), at(EN_MAJOR), at(EN_CATEGORY))
     return F.when(first < n, first).otherwise(F.lit(-1))
 
 
@@ -419,7 +431,7 @@ def _top_pieces(t: Column) -> Column:
     date = F.regexp_extract(prefix, DATETIME, 0)
     title_end = F.when(date != "", F.length(F.get(F.split(prefix, DATETIME, 2), F.lit(0)))).otherwise(summary)
     title = F.substring(t, F.lit(1), title_end)
-    en = F.when(title.rlike(EN_TITLE_CORE), F.length(F.get(F.split(title, EN_TITLE, 2), F.lit(0)))).otherwise(title_end)
+    en = F.when(title.rlike(EN_TITLE_CORE), _title_start(title)).otherwise(title_end)
     piece = lambda a, b, k: F.struct(a.cast("int").alias("at"), b.cast("int").alias("stop"), k.alias("kind"))
     own = F.concat(F.lit("title_"), language_of(title))
     return F.array(

@@ -146,8 +146,16 @@ def tree_nodes(lines: DataFrame, key: str = "doc_id", base: Column | None = None
         F.concat(base_path, F.array_compact(tail)).alias("heading_path"), code.alias("violation_level"),
         parent_type.alias("parent_node_type"), parent_title.alias("parent_title"),
     )
-    number = F.count(kind).over(_frame(key))
-    d = d.withColumn("node_no", number).withColumn("node", F.when(kind.isNotNull(), node))
+    d = d.withColumn("node_no", F.count(kind).over(_frame(key)))
+    # Number of the latest node of each kind; the parent is the latest node of its kind.
+    latest = lambda k: F.last(F.when(kind == k, c_no), ignorenulls=True).over(_frame(key))
+    c_no = F.col("node_no")
+    for k in ("major_section", "violation_level", "violation_group", "action_group"):
+        d = d.withColumn(f"_{k}", latest(k))
+    parent_no = F.when(parent.isNotNull(), F.when(kind.isin("violation_level", "action_group"), F.col("_major_section"))
+        .when(kind == "violation_group", F.col("_violation_level")).when(kind == "leaf_clause", F.col("_violation_group"))
+        .when(kind == "action_mapping", F.when(in_agroup, F.col("_action_group")).otherwise(F.col("_major_section"))))
+    d = d.withColumn("node", F.when(kind.isNotNull(), node.withField("parent_no", parent_no)))
     d = d.withColumn("owner", F.explode(F.array_distinct(F.array_compact(F.array(owner, also)))))
     mine = F.col("owner") == F.col("pos")
     nodes = d.groupBy(key, F.col("owner").alias("sort_order")).agg(
@@ -161,12 +169,9 @@ def tree_nodes(lines: DataFrame, key: str = "doc_id", base: Column | None = None
         squash(F.array_join(F.transform("ls", lambda x: x["text"]), " ")).alias("text"),
         F.array_distinct(F.transform("ls", lambda x: x["element_id"])).alias("element_ids"),
     )
-    by_pos = W.partitionBy(key)
-    lookup = F.map_from_entries(F.collect_list(F.struct("sort_order", "node_no")).over(by_pos))
     node_id = lambda n: F.concat(F.col(key).cast("string"), F.lit(":node-"), F.format_string("%04d", n))
     return (
-        ids.withColumn("parent_no", F.element_at(lookup, F.col("parent_pos")))
-        .withColumn("node_id", node_id(F.col("node_no")))
+        ids.withColumn("node_id", node_id(F.col("node_no")))
         .withColumn("parent_id", F.when(F.col("parent_no").isNotNull(), node_id(F.col("parent_no"))))
         .withColumn("ordinal_value", ordinal_value(F.col("ordinal_label")))
         .withColumnRenamed("parent_pos", "parent_order").drop("parent_no")

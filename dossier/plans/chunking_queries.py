@@ -8,11 +8,11 @@ from dossier.functions.text import language_of, squash
 from dossier.operators import chunking, parsing
 from dossier.plans.derived import LINES_CTE, policy_documents
 from dossier.plans.parsing_queries import ELEMENTS_CTE, page_elements, squash_sql
-from dossier.plans.registry import query, table
+from dossier.plans.registry import query, table, texts
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return texts(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
 
 def _cut_sql(size, overlap, stops, next_start):
@@ -179,7 +179,7 @@ def c9_action_clauses(spark, sf_dir):
          ('policy_clause_group', '2', '2. @职责：负责执行。', 'retrieval'), ('policy_section', NULL, '三、其他 没有条款。', 'coverage')) v(ct, no, t, role)""",
 )
 def c10_generic_clauses(spark, sf_dir):
-    d = table(spark, sf_dir, "customer").select(
+    d = texts(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("source_name"),
         F.concat(F.lit("二、职责 前言"), "c_mktsegment", F.lit("。 1. 主管职责 1.1 审批。 2. "), "c_mktsegment", F.lit("职责：负责执行。 三、其他 没有条款。")).alias("text"),
     )
@@ -213,7 +213,7 @@ def c12_front_matter(spark, sf_dir):
         F.lit("Mission, Educational Goal and Vision"), F.lit("mission text"),
         F.concat(seg, F.lit("员工纪律制度 引言")), F.lit("引言正文"), F.lit("Mission, Educational Goal and Vision again"), F.lit("一、总则"), F.lit("正文"),
     )
-    d = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array_join(lines, "\n").alias("text"))
+    d = texts(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array_join(lines, "\n").alias("text"))
     return chunking.front_matter(parsing.line_elements(d), ["doc_id"]).select("doc_id", F.col("run").cast("bigint").alias("run"), "kind", "text")
 
 
@@ -356,7 +356,7 @@ def c20_orphan_titles(spark, sf_dir):
     text = F.when(r == 2, F.concat("c_name", F.lit(" more"))).otherwise(F.concat("c_name", F.lit(" ：")))
     role = F.when(r == 3, "retrieval").otherwise("coverage")
     none = F.lit(None).cast("string")
-    return table(spark, sf_dir, "customer").select(
+    return texts(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("doc_id"),
         chunking.orphan_title(text, F.array(F.lit("base"), F.col("c_name")), role, F.lit("policy_section"), none).alias("orphan"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dossier.plans.registry import table
+from dossier.plans.registry import texts
 
 LEVELS = (("一", "甲"), ("二", "乙"), ("三", "丙"))
 
@@ -60,7 +60,7 @@ def policy_lines(with_english: bool = True):
 
 def policy_documents(spark, sf_dir, with_english: bool = True, sep: str = " "):
     """doc_id, source_name, text: one policy document per customer."""
-    return table(spark, sf_dir, "customer").select(
+    return texts(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("source_name"),
         F.array_join(policy_lines(with_english), sep).alias("text"),
     )

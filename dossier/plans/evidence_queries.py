@@ -14,7 +14,7 @@ from dossier.functions.session import materialize
 from dossier.operators import evidence as ev
 from dossier.operators import retrieval
 from dossier.operators import understanding as u
-from dossier.plans.registry import query, table
+from dossier.plans.registry import query, table, texts
 from dossier.plans.understanding_queries import (
     _CLAUSE, _EXPANDED, _INTENT, _SECTION, _TERMS_SQL, INTENT_ASPECT, OBJECT, QUESTIONS, ZH, _list, any_sql, by_question, case_sql, q, _BEHAVIOR,
 )
@@ -63,14 +63,14 @@ def specs(spark, sf_dir):
     """The specs of all questions: a table of their own, written once per application and read by every stage."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SPECS:
-        ids = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).alias("query_id")).distinct()
+        ids = texts(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).alias("query_id")).distinct()
         _SPECS[key] = materialize(question_rows(ids), "specs")
     return _SPECS[key]
 
 
 def candidates(spark, sf_dir):
     k = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(k / 8).alias("query_id"), (k % 8 + 1).cast("int").alias("rank"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text", F.floor(k / 8).alias("query_id"), (k % 8 + 1).cast("int").alias("rank"))
     f = F.get(_fragment_literal(), ((F.col("query_id") + F.col("rank") * 5) % N).cast("int"))
     d = docs.withColumn("f", f).withColumn("f_no", (F.col("query_id") + F.col("rank") * 5) % N)
     d = d.select(
@@ -200,7 +200,7 @@ def h9_rerank_order(spark, sf_dir):
 def h10_external_scores(spark, sf_dir):
     d = ev.rule_score(candidates(spark, sf_dir)).withColumnRenamed("rank", "rank_before")
     k = F.col("query_id") % 4
-    base = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).alias("query_id"), (F.col("doc_id") % 8).cast("int").alias("index"))
+    base = texts(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).alias("query_id"), (F.col("doc_id") % 8).cast("int").alias("index"))
     scores = base.filter((k != 0) & ~((k == 2) & (F.col("index") == 0))).withColumn("score", (F.col("index") + 1) / 10.0)
     off = base.filter((k == 3) & (F.col("index") == 0)).select("query_id", F.lit(99).alias("index"), F.lit(1.0).alias("score"))
     return retrieval.external_scores(d, scores.unionByName(off), "cross").select("query_id", "chunk_id", "reranker_source", "reranker_error", "reranker_score", "rerank_score")
@@ -418,7 +418,7 @@ def i15_citations(spark, sf_dir):
         k % 9 + 1, F.when(k % 3 == 0, F.col("url")).otherwise(""), F.when(k % 3 == 1, F.concat(F.lit("cn "), name)), none, F.array(F.lit("Base"), F.concat(F.lit("Page "), name)),
         F.concat(F.lit("page-"), name), F.when(k % 2 == 0, F.col("url")), F.when(k % 4 == 1, F.lit("company_policy_system")), name,
     )
-    d = table(spark, sf_dir, "pages").select("page_id", cite.alias("c"), F.when(k % 3 < 2, "web").alias("cat"), F.when(k % 3 == 0, "2024-05-01").alias("date"))
+    d = texts(spark, sf_dir, "pages").select("page_id", cite.alias("c"), F.when(k % 3 < 2, "web").alias("cat"), F.when(k % 3 == 0, "2024-05-01").alias("date"))
     return d.select("page_id", "c.citation_id", "c.title", "c.url", ev.source_line(F.col("c"), F.col("cat"), F.col("date")).alias("line"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dossier.functions.text import BLANKS
 from dossier.functions.vectors import unit
 from dossier.operators import features
-from dossier.plans.registry import query, table
+from dossier.plans.registry import query, table, texts
 
 FEATURES = (("articles", ("the", "of", "and")), ("romance", ("le", "la", "que")), ("endings", ("tion", "ment", "ing")))
 _COMPACT = f"lower(regexp_replace(text, '[{BLANKS}]+', '', 'g'))"
@@ -20,7 +20,7 @@ _F = {n: " + ".join(f"(length(t) - length(replace(t, '{x}', '')))" for x in xs)
 )
 def f1_term_features(spark, sf_dir):
     v = features.term_features(features.compact(F.col("text")), FEATURES)
-    return table(spark, sf_dir, "documents").select("doc_id", *[v[i].alias(n) for i, (n, _) in enumerate(FEATURES)])
+    return texts(spark, sf_dir, "documents").select("doc_id", *[v[i].alias(n) for i, (n, _) in enumerate(FEATURES)])
 
 
 _BUCKETS = f"""
@@ -33,13 +33,13 @@ _BUCKETS = f"""
 @query("f2_char_buckets", f"WITH {_BUCKETS} SELECT doc_id, CAST(b AS BIGINT) AS bucket, n, round(n * CAST(0.15 AS DOUBLE), 6) AS weight FROM b")
 def f2_char_buckets(spark, sf_dir):
     n = features.bucket_counts(features.compact(F.col("text")), "code_point")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(n).alias("bucket", "n")).filter("n > 0")
+    d = texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(n).alias("bucket", "n")).filter("n > 0")
     return d.select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), "n", F.round(F.col("n") * 0.15, 6).alias("weight"))
 
 
 @query("f2_blake_embedding")
 def f2_blake_embedding(spark, sf_dir):
-    d = features.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    d = features.embed(texts(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     return d.select("doc_id", F.array_join(F.transform("embedding", lambda x: F.format_number(x, 6)), ",").alias("embedding"))
 
 
@@ -69,6 +69,6 @@ def f4_input_type(spark, sf_dir):
        FROM documents, LATERAL (SELECT unnest(generate_series(1, least(128, length(text)))) AS i)""",
 )
 def f5_token_table(spark, sf_dir):
-    t = features.token_table(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    t = features.token_table(texts(spark, sf_dir, "documents"), ["doc_id"], "text")
     return t.select("doc_id", F.col("token_count").cast("bigint").alias("token_count"), F.col("token_index").cast("bigint").alias("token_index"), "token",
                     F.col("token_id").cast("bigint").alias("token_id"))

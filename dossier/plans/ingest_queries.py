@@ -8,7 +8,7 @@ from dossier.operators import chunking, ingest, parsing
 from dossier.plans.chunking_queries import WINDOWS
 from dossier.plans.derived import LINES_CTE, policy_lines
 from dossier.plans.parsing_queries import ELEMENTS_CTE
-from dossier.plans.registry import query, table
+from dossier.plans.registry import query, table, texts
 from dossier.sources.raw import FILE_TYPE
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 def details(spark, sf_dir):
     """Detail records: one policy document per customer, as HTML paragraphs."""
     body = F.concat(F.lit("<p>"), F.array_join(policy_lines(False), "</p><p>"), F.lit("</p>"))
-    return table(spark, sf_dir, "customer").select(
+    return texts(spark, sf_dir, "customer").select(
         F.concat(F.lit("company-policy-"), "c_custkey").alias("doc_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("category_name"), body.alias("body")
     )
 
@@ -42,7 +42,7 @@ def e1_detail_chunks(spark, sf_dir):
         SELECT 'company-policy-' || doc_id AS doc_id, 'company-policy-' || doc_id || printf('-chunk-%04d', i) AS chunk_id, md5(piece) AS text_md5 FROM cut""",
 )
 def e1_page_chunks(spark, sf_dir):
-    d = table(spark, sf_dir, "pages").select(F.concat(F.lit("company-policy-"), "page_id").alias("doc_id"), F.col("url").alias("title"), F.lit("web").alias("category_name"), F.col("html").alias("body"))
+    d = texts(spark, sf_dir, "pages").select(F.concat(F.lit("company-policy-"), "page_id").alias("doc_id"), F.col("url").alias("title"), F.lit("web").alias("category_name"), F.col("html").alias("body"))
     return ingest.detail_chunks(d).select("doc_id", "chunk_id", F.md5("text").alias("text_md5"))
 
 
@@ -56,7 +56,7 @@ def e2_heading_merge(spark, sf_dir):
     none = F.array().cast("array<string>")
     base = F.when(r == 3, none).otherwise(F.array("c_mktsegment", "c_name"))
     path = F.when(r == 0, F.array(F.col("c_mktsegment"), F.col("c_name"), F.lit("x"))).when(r == 1, F.array(F.col("c_name"), F.lit("x"))).when(r == 2, F.array(F.lit("other"), F.lit("x"))).otherwise(none)
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array_join(ingest.merged_path(base, F.col("c_name"), path), " > ").alias("heading_path"))
+    return texts(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array_join(ingest.merged_path(base, F.col("c_name"), path), " > ").alias("heading_path"))
 
 
 def files_of(spark, sf_dir):
@@ -68,12 +68,12 @@ def files_of(spark, sf_dir):
         F.lit("downloadUrl"), F.concat(F.lit("u/"), k.cast("string"), F.lit("/"), s["i"].cast("string")),
     )
     files = F.transform(F.filter(names, lambda s: s["i"] <= k % 4), item)
-    return table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.coalesce(files, F.array().cast(T.ArrayType(FILE_TYPE))).alias("files"))
+    return texts(spark, sf_dir, "customer").select(k.alias("doc_id"), F.coalesce(files, F.array().cast(T.ArrayType(FILE_TYPE))).alias("files"))
 
 
 def contents_of(spark, sf_dir):
     k = F.col("c_custkey")
-    d = table(spark, sf_dir, "customer").select(k, "c_name", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(3).cast("bigint"))).alias("i")).filter("(c_custkey + i) % 5 <> 0")
+    d = texts(spark, sf_dir, "customer").select(k, "c_name", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(3).cast("bigint"))).alias("i")).filter("(c_custkey + i) % 5 <> 0")
     return d.select(F.concat(F.lit("u/"), "c_custkey", F.lit("/"), "i").alias("url"), F.repeat(F.concat("c_name", F.lit(". ")), F.lit(100)).alias("text"))
 
 
@@ -110,7 +110,7 @@ def e4_metadata_merge(spark, sf_dir):
     left = F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"), F.lit("empty"), F.lit(None).cast("string"))
     right = F.create_map(F.lit("segment"), F.lit("chunk"), F.lit("type"), F.when(F.col("c_custkey") % 2 == 0, "clause"))
     m = F.array_sort(F.transform(F.map_entries(ingest.merged_metadata(left, right)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array_join(m, ",").alias("metadata"))
+    return texts(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array_join(m, ",").alias("metadata"))
 
 
 @query(
@@ -119,7 +119,7 @@ def e4_metadata_merge(spark, sf_dir):
        FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
 )
 def e5_category_enrichment(spark, sf_dir):
-    d = table(spark, sf_dir, "customer").select(
+    d = texts(spark, sf_dir, "customer").select(
         "c_custkey", F.col("c_nationkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("category_name"), F.lit(None).cast("int").alias("category_type")
     )
     n = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "k")
@@ -127,7 +127,7 @@ def e5_category_enrichment(spark, sf_dir):
 
 
 def page_outcomes(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
+    p = texts(spark, sf_dir, "pages")
     k = F.col("page_id")
     body = F.when(k % 6 == 1, F.lit("<p> </p>")).otherwise(F.col("html"))
     listing = p.select(
@@ -154,7 +154,7 @@ def e6_outcomes(spark, sf_dir):
 
 
 def document_outcomes(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("import_id"), F.col("doc_id").cast("string").alias("title"), "source", "text")
+    d = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("import_id"), F.col("doc_id").cast("string").alias("title"), "source", "text")
     counts = chunking.window_chunks(d, ["import_id"]).groupBy("import_id").agg(F.count("*").alias("chunk_count"))
     return ingest.outcomes(d.select("import_id", "title", "source", F.lit(None).cast("string").alias("error")), counts)
 
@@ -184,13 +184,13 @@ def e8_import_summary(spark, sf_dir):
 
 @query("e9_embedding_batches", f"WITH RECURSIVE {WINDOWS} SELECT doc_id, CAST(floor((i - 1) / 16) AS BIGINT) AS batch_no, count(*) AS batch_chunks FROM cut GROUP BY ALL")
 def e9_embedding_batches(spark, sf_dir):
-    c = chunking.window_chunks(table(spark, sf_dir, "documents"), ["doc_id"])
+    c = chunking.window_chunks(texts(spark, sf_dir, "documents"), ["doc_id"])
     return ingest.batch_plan(c, ["doc_id"], "chunk_no")
 
 
 @query("e9_embedded_chunks", f"WITH RECURSIVE {WINDOWS} SELECT doc_id, printf('chunk-%04d', i) AS chunk_id, CAST(length(piece) AS DOUBLE) AS first_value FROM cut")
 def e9_embedded_chunks(spark, sf_dir):
-    c = chunking.window_chunks(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "chunk_id", "text")
+    c = chunking.window_chunks(texts(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "chunk_id", "text")
     e = ingest.embed_in_batches(c, "text", lambda texts: [[float(len(t)), 1.0] for t in texts])
     return e.select("doc_id", "chunk_id", F.get("embedding", F.lit(0)).alias("first_value"))
 

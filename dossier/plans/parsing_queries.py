@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.text import BLANKS
 from dossier.operators import parsing
-from dossier.plans.registry import query, table
+from dossier.plans.registry import query, table, texts
 
 WSQ = f"[{BLANKS}]"
 
@@ -48,7 +48,7 @@ ELEMENTS_CTE = rf"""
 
 
 def page_elements(spark, sf_dir):
-    return parsing.html_elements(table(spark, sf_dir, "pages"))
+    return parsing.html_elements(texts(spark, sf_dir, "pages"))
 
 
 @query(
@@ -70,7 +70,7 @@ def b1_detect_kind(spark, sf_dir):
         F.array(*[F.lit(x) for x in ("", "Text/HTML; charset=utf-8", "", "application/octet-stream", "", "", "", "text/csv", "application/zip")]),
         (k + 1).cast("int"))
     content = F.encode(F.when(k == 6, F.concat(F.lit("%PDF-1.7"), "html")).otherwise(F.col("html")), "UTF-8")
-    return table(spark, sf_dir, "pages").select("page_id", parsing.detect_kind(name, mime, content).alias("kind"))
+    return texts(spark, sf_dir, "pages").select("page_id", parsing.detect_kind(name, mime, content).alias("kind"))
 
 
 @query(
@@ -162,7 +162,7 @@ _PLAIN_CTE = rf"""
 )
 def b5_plain_paragraphs(spark, sf_dir):
     doubled = F.concat("text", F.lit("\n\nSecond part. "), "text")
-    df = table(spark, sf_dir, "documents").select("doc_id", doubled.alias("html"))
+    df = texts(spark, sf_dir, "documents").select("doc_id", doubled.alias("html"))
     return parsing.explode_elements(parsing.html_elements(df), ["doc_id"]).select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), F.md5("text").alias("text_md5")
     )
@@ -176,7 +176,7 @@ def b5_plain_paragraphs(spark, sf_dir):
     """,
 )
 def b6_text_documents(spark, sf_dir):
-    d = parsing.text_elements(table(spark, sf_dir, "documents"))
+    d = parsing.text_elements(texts(spark, sf_dir, "documents"))
     return d.select(
         "doc_id", F.when(F.size("elements") > 0, "success").otherwise("failed").alias("status"),
         F.md5(parsing.document_text(F.col("elements"))).alias("text_md5"),
@@ -197,7 +197,7 @@ def b6_text_documents(spark, sf_dir):
 )
 def b7_unsupported_kinds(spark, sf_dir):
     suffix = F.element_at(F.array(*[F.lit(s) for s in (".pdf", ".docx", ".tif", ".exe")]), (F.col("page_id") % 4 + 1).cast("int"))
-    df = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("f"), suffix).alias("file_name"), F.lit("").alias("mime"), "html")
+    df = texts(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("f"), suffix).alias("file_name"), F.lit("").alias("mime"), "html")
     d = parsing.parse_sources(df, "file_name", "mime", "html")
     return parsing.parse_quality(d, ["page_id"], F.col("kind")).select("page_id", "parser_name", "status", "element_count", "warnings")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossier.operators import retrieval
-from dossier.plans.registry import query, table
+from dossier.plans.registry import query, table, texts
 
 
 def centroids(spark, sf_dir):
@@ -88,7 +88,7 @@ _KEYWORD = f"""
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return texts(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
 
 
 @query("h4_keyword_score", f"WITH {_KEYWORD} SELECT CAST(query_id AS INT) AS query_id, doc_id AS chunk_id, keyword_score FROM kw")
@@ -124,5 +124,5 @@ def h5_hybrid_top_k(spark, sf_dir):
 )
 def h6_lexical_overlap(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
-    d = table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % 40).join(b, "item_id")
+    d = texts(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % 40).join(b, "item_id")
     return d.select("doc_id", retrieval.lexical_overlap(F.col("text"), F.col("question")).cast("bigint").alias("overlap"))

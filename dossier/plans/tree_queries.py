@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dossier.operators import parsing, tree
 from dossier.plans.derived import LINES_CTE, policy_documents
-from dossier.plans.registry import query, table
+from dossier.plans.registry import query, table, texts
 
 
 def policy_line_rows(spark, sf_dir):
@@ -219,7 +219,7 @@ def d14_ordinals(spark, sf_dir):
     tens = F.when(n < 10, F.lit("")).when(n < 20, F.lit("十")).otherwise(F.concat(digit(F.floor(F.greatest(n, F.lit(10)) / 10)), F.lit("十")))
     ones = F.when(n % 10 == 0, F.lit("")).otherwise(digit(F.greatest(n % 10, F.lit(1))))
     label = F.concat(F.lit("（"), tens, ones, F.lit("）"))
-    return table(spark, sf_dir, "customer").select(
+    return texts(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("doc_id"), tree.ordinal_value(label).cast("bigint").alias("ordinal_value"),
         tree.ordinal_value(F.concat(F.lit("3."), (F.col("c_custkey") % 7 + 1).cast("string"))).cast("bigint").alias("last_part"),
     )
