@@ -8,16 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
     Only where the session names none (unit tests on one machine) a temporary
-    folder is used and set as the checkpoint folder.
+    folder of this application is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-dossier-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="spark-dossier-")
+        root = _LOCAL[app]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
