@@ -119,16 +119,19 @@ def metadata_scope() -> Column:
 def direct_evidence() -> Column:
     """The candidate itself carries what the question asks for; the test depends on the kind of question."""
     t, k, sub = c("text"), c("spec.target_clause"), c("spec.target_subclause")
-    marker = has_marker(t)
-    classed = class_signal(t) | has(t, k) | has(t, sub)
     behavior = c("spec.target_behavior")
     plain = has(t, k) | has(t, sub) | has_definition(t, c("spec.target_section")) | metadata_scope() | F.coalesce(c("scope_applied"), F.lit(False))
-    return (
-        F.when(~exact(), True).when(reference_only(), False).when(is_detail(), detail_evidence())
-        .when(behavior == "absenteeism", marker & (has_aspect(t) | class_signal(t)))
-        .when(behavior.isNotNull() & is_action(), marker & (has_aspect(t) | classed)).when(behavior.isNotNull(), marker | classed)
-        .when(is_action(), marker & has_aspect(t)).otherwise(plain)
-    )
+    signs = F.struct(has_marker(t).alias("marker"), has_aspect(t).alias("aspect"), class_signal(t).alias("signal"), (has(t, k) | has(t, sub)).alias("named"))
+
+    def by_signs(v: Column) -> Column:
+        classed = v["signal"] | v["named"]
+        return (
+            F.when(behavior == "absenteeism", v["marker"] & (v["aspect"] | v["signal"]))
+            .when(behavior.isNotNull() & is_action(), v["marker"] & (v["aspect"] | classed)).when(behavior.isNotNull(), v["marker"] | classed)
+            .when(is_action(), v["marker"] & v["aspect"]).otherwise(plain)
+        )
+
+    return F.when(~exact(), True).when(reference_only(), False).when(is_detail(), detail_evidence()).otherwise(let(signs, by_signs))
 
 
 def structured_children() -> Column:
@@ -159,8 +162,8 @@ def evidence_class() -> Column:
         F.when(~exact(), "semantic_candidate")
         .when(is_listing(), F.when(listing_evidence(), "listing_evidence").otherwise("irrelevant_or_insufficient_evidence"))
         .when(reference_only(), "cross_reference_evidence")
-        .when(c("spec.target_behavior").isNotNull() & direct_evidence(), "direct_behavior_evidence")
-        .when(direct_evidence(), "direct_section_evidence").otherwise("irrelevant_or_insufficient_evidence")
+        .when(direct_evidence(), F.when(c("spec.target_behavior").isNotNull(), "direct_behavior_evidence").otherwise("direct_section_evidence"))
+        .otherwise("irrelevant_or_insufficient_evidence")
     )
 
 

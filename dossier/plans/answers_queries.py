@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossier import rules
+from dossier.functions.session import materialize
 from dossier.operators import answers as an
 from dossier.plans.evidence_queries import _PICKED, CAND, DEDUPED, candidates, final_evidence, specs
 from dossier.plans.registry import query, table
@@ -113,7 +114,7 @@ _BRANCH = f"""
 
 
 def answers(spark, sf_dir):
-    return an.answer_rows(specs(spark, sf_dir), final_evidence(spark, sf_dir))
+    return an.answer_rows(specs(spark, sf_dir), materialize(final_evidence(spark, sf_dir), "evidence"))
 
 
 @query("j9_answer_branch", f"WITH {DEDUPED}, {_PICKED}, {_BRANCH} SELECT query_id, branch FROM ans")
