@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 _LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors a zip of this package, once per application, so that its functions load there."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(home):  # a package that runs from a zip has been shipped already
+        path = os.path.join(tempfile.mkdtemp(prefix="spark-ship-"), f"{os.path.basename(home)}.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(home):
+                for n in names:
+                    if n.endswith(".py"):
+                        z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(home)))
+        spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    Only where the session names none (unit tests on one machine) a temporary
-    folder of this application is used.
+    A session of several machines that names none is an error. On a single
+    machine (tests) a temporary folder of this application is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             _LOCAL[app] = tempfile.mkdtemp(prefix="spark-dossier-")
