@@ -24,11 +24,17 @@ MIN_SIMILARITY = 0.8
 MAX_BITS = 3
 #: Lines of one bucket whose pairs are listed; in larger buckets chunks of as many lines meet two by two.
 CHUNK = 256
+#: Lines of a large bucket that meet in one task.
+LARGE_CHUNK = 2_000
 #: Text that is hashed at a time in a worker, in bytes.
 PIECE = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 
 
+#: Bytes of words: letters, digits and all that is not ASCII.
+_LETTERS = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
+
+
 def normal(line: str) -> bytes:
     return b" ".join(line.lower().encode("utf-8", "surrogatepass").split())
 
@@ -51,7 +57,9 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def line_fingerprints(lines: list[bytes]) -> np.ndarray:
     """SimHash over the words of each line (single-spaced, not empty), for all lines at once.
 
-    A word's hash is a polynomial of its bytes, taken from prefix sums over the joined lines.
+    A word's hash is a polynomial of its bytes, taken from prefix sums over the joined lines. Signs that stand
+    alone (table bars, dashes) do not count: a line full of them would look like any other such line. A line of
+    nothing else has fingerprint 0.
     """
     raw = np.frombuffer(b" ".join(lines) + b" ", dtype=np.uint8)
     up, down = _powers(len(raw) + 1)
@@ -59,12 +67,19 @@ def line_fingerprints(lines: list[bytes]) -> np.ndarray:
     ends = np.flatnonzero(raw == 32)
     starts = np.concatenate(([0], ends[:-1] + 1))
     hashes = _mixed((sums[ends] - sums[starts]) * down[starts])
-    first = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(x) + 1 for x in lines])))[:-1])
-    n = np.diff(np.append(first, len(starts)))
+    letters = np.concatenate(([0], np.cumsum(_LETTERS[raw])))
+    counts = letters[ends] > letters[starts]
+    hashes, starts = hashes[counts], starts[counts]
+    edges = np.concatenate(([0], np.cumsum([len(x) + 1 for x in lines])))
+    first = np.searchsorted(starts, edges)
+    n = np.diff(first)
+    first = first[:-1]
     ones = np.zeros((len(lines), 64), dtype=np.int64)
     # Byte lanes hold up to 255 words; runs are cut there.
     cuts = np.concatenate([np.arange(a, a + k, 255) for a, k in zip(first.tolist(), n.tolist())])
-    owner = np.searchsorted(first, cuts, side="right") - 1
+    owner = np.repeat(np.arange(len(lines)), -(-n // 255))
+    if not len(cuts):
+        return np.zeros(len(lines), dtype="<i8")
     for k in range(8):
         lanes = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(0x0101010101010101), cuts)
         np.add.at(ones, (owner[:, None], np.arange(k, 64, 8)[None, :]), lanes.view(np.uint8).reshape(-1, 8))
@@ -139,15 +154,32 @@ def edit_similarity(a: str, b: str) -> float:
     return 1 - distance / longest
 
 
-def block_keys(fp, max_bits: int = MAX_BITS):
-    """Pairs of blocks as numbers: fingerprints within max_bits share at least one."""
+def similar(a: str, b: str, least: float) -> bool:
+    """edit_similarity(a, b) >= least, settled by cheap bounds where they suffice."""
+    longest = max(len(a), len(b))
+    allowed = (1 - least) * longest + 1e-9
+    if abs(len(a) - len(b)) > allowed:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    # Replacing each differing word costs at most its length.
+    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y) if v != w) <= allowed:
+        return True
+    return edit_similarity(a, b) >= least - 1e-12
+
+
+def _blocks(max_bits: int) -> list[tuple[int, int]]:
     n = max_bits + 2
     edges = [round(64 * k / n) for k in range(n + 1)]
-    block = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) for a, b in zip(edges, edges[1:])]
-    widths = [b - a for a, b in zip(edges, edges[1:])]
+    return list(zip(edges, edges[1:]))
+
+
+def block_keys(fp, max_bits: int = MAX_BITS):
+    """Pairs of blocks as numbers: fingerprints within max_bits share at least one."""
+    cuts = _blocks(max_bits)
+    block = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) for a, b in cuts]
     keys = []
-    for number, (i, j) in enumerate(itertools.combinations(range(n), 2)):
-        keys.append(F.shiftleft(block[i], widths[j]).bitwiseOR(block[j]).bitwiseOR(F.lit(number << 40).cast("long")))
+    for number, (i, j) in enumerate(itertools.combinations(range(len(cuts)), 2)):
+        keys.append(F.shiftleft(block[i], cuts[j][1] - cuts[j][0]).bitwiseOR(block[j]).bitwiseOR(F.lit(number << 40).cast("long")))
     return F.array(*keys)
 
 
@@ -176,34 +208,38 @@ def line_texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataF
 def _verified(min_similarity: float):
     def run(batches):
         for b in batches:
-            keep = [edit_similarity(x.as_py(), y.as_py()) >= min_similarity for x, y in zip(b.column(2), b.column(3))]
+            keep = [similar(x.as_py(), y.as_py(), min_similarity) for x, y in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _chunk_pair(min_similarity: float, max_bits: int):
-    """Links inside a pair of chunks; pairs that are connected already are not compared."""
+    """Links inside a pair of chunks of one bucket; pairs that are connected already are not compared.
+
+    Of the buckets that two lines share, only the first one compares them.
+    """
+    cuts = _blocks(max_bits)
+    pairs = list(itertools.combinations(range(len(cuts)), 2))
 
     def run(pdf):
         import pandas as pd
 
         a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        parent: dict[int, int] = {}
-
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                x = parent[x]
-            return x
-
-        links = []
-        fps, ids, words = b.fp.to_numpy(np.int64), b.lid.tolist(), b.words.tolist()
-        for fp, lid, w in zip(a.fp.tolist(), a.lid.tolist(), a.words.tolist()):
-            for j in np.flatnonzero(np.bitwise_count(fps ^ np.int64(fp)) <= max_bits):
-                x, y = root(lid), root(ids[j])
-                if x != y and edit_similarity(w, words[j]) >= min_similarity:
-                    parent[max(x, y)] = min(x, y)
-                    links.append((lid, ids[j]))
+        nodes = np.unique(np.concatenate([a.lid.to_numpy(np.int64), b.lid.to_numpy(np.int64)]))
+        group = np.arange(len(nodes))
+        left, right = np.searchsorted(nodes, a.lid), np.searchsorted(nodes, b.lid)
+        p, q = pairs[int(pdf.k.iloc[0]) >> 40]
+        fps, words, links = b.fp.to_numpy(np.int64), b.words.tolist(), []
+        for i, fp, w in zip(left, a.fp.to_numpy(np.int64), a.words.tolist()):
+            x = (fps ^ fp).view(np.uint64)
+            equal = np.stack([(x >> np.uint64(s)) & np.uint64((1 << (e - s)) - 1) == 0 for s, e in cuts])
+            nth = np.cumsum(equal, axis=0)
+            first = equal[p] & equal[q] & (nth[p] == 1) & (nth[q] == 2)
+            for j in np.flatnonzero(first & (np.bitwise_count(x) <= max_bits) & (group[right] != group[i])):
+                if group[right[j]] != group[i] and similar(w, words[j], min_similarity):
+                    group[group == group[right[j]]] = group[i]
+                    links.append((nodes[i], nodes[right[j]]))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
@@ -224,7 +260,7 @@ def fuzzy_links(docs: DataFrame, lines: DataFrame, key: str, text: str, max_bits
     both = left.join(words.select(F.col("lid").alias("lid2"), F.col("words").alias("w2")), "lid2").select("lid", "lid2", "w1", "w2")
     links = both.mapInArrow(_verified(min_similarity), "a long, b long")
     if some(big):
-        parts = F.ceil(F.col("n") / chunk).cast("int")
+        parts = F.ceil(F.col("n") / LARGE_CHUNK).cast("int")
         rows = big.join(words, "lid").select("k", "lid", "fp", "words", F.pmod(F.xxhash64("lid"), parts).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
         as_left = rows.filter("own <= other").select("k", F.col("own").alias("x"), F.col("other").alias("y"), F.lit(0).alias("side"), "lid", "fp", "words")
         as_right = rows.filter("other <= own").select("k", F.col("other").alias("x"), F.col("own").alias("y"), F.lit(1).alias("side"), "lid", "fp", "words")
