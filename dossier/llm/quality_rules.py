@@ -160,5 +160,8 @@ def good_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     cuts = materialize(cutoffs(d, labels, key, stratum), "cutoffs")
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    kept = judged(measures(own, names[text]), cuts, names[stratum]).filter("kept")
+    found = measures(own, names[text])
+    # Made into rows of their own, the measures are not computed anew wherever the filter uses them.
+    found = found.select(*names.values(), F.inline(F.array(F.struct(*[c for c in found.columns if c not in names.values()]))))
+    kept = judged(found, cuts, names[stratum]).filter("kept")
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
