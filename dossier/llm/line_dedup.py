@@ -23,7 +23,7 @@ MIN_WORDS = 5
 MIN_SIMILARITY = 0.8
 MAX_BITS = 3
 #: Lines of one bucket whose pairs are listed; in larger buckets chunks of as many lines meet two by two.
-CHUNK = 256
+CHUNK = 64
 #: Lines of a large bucket that meet in one task.
 LARGE_CHUNK = 2_000
 #: Text that is hashed at a time in a worker, in bytes.
@@ -183,6 +183,16 @@ def block_keys(fp, max_bits: int = MAX_BITS):
     return F.array(*keys)
 
 
+def first_key(x, max_bits: int = MAX_BITS):
+    """Number of the first key that two fingerprints share; x: their exclusive or."""
+    cuts = _blocks(max_bits)
+    equal = [F.shiftrightunsigned(x, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) == 0 for a, b in cuts]
+    number = F.lit(None).cast("int")
+    for n, (i, j) in reversed(list(enumerate(itertools.combinations(range(len(cuts)), 2)))):
+        number = F.when(equal[i] & equal[j], n).otherwise(number)
+    return number
+
+
 def line_texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """(lid, words) for wanted lines (lid, doc): normalised texts, read again from the documents that have them."""
     lists = materialize(wanted.groupBy("doc").agg(F.collect_set("lid").alias("lids")), "wanted")
@@ -251,8 +261,9 @@ def fuzzy_links(docs: DataFrame, lines: DataFrame, key: str, text: str, max_bits
     met = materialize(keyed.withColumn("n", F.count("*").over(W.partitionBy("k"))).filter("n > 1"), "met")
     small = met.filter(F.col("n") <= chunk)
     other = small.select("k", F.col("lid").alias("lid2"), F.col("fp").alias("fp2"))
-    near = (F.col("lid") < F.col("lid2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= max_bits)
-    pairs = materialize(small.join(other, "k").filter(near).select("lid", "lid2").distinct(), "pairs")
+    x = F.col("fp").bitwiseXOR(F.col("fp2"))
+    near = (F.col("lid") < F.col("lid2")) & (F.bit_count(x) <= max_bits) & (first_key(x, max_bits) == F.shiftright("k", 40))
+    pairs = materialize(small.join(other, "k").filter(near).select("lid", "lid2"), "pairs")
     big = met.filter(F.col("n") > chunk)
     wanted = pairs.select("lid").unionByName(pairs.select(F.col("lid2").alias("lid"))).unionByName(big.select("lid")).distinct()
     words = materialize(line_texts(docs, lines.select("lid", "doc").join(wanted, "lid"), key, text), "words")

@@ -280,17 +280,18 @@ def _bodies(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return d.select(*keys, F.col("p.lang").alias("language"), F.col("p.off").alias("_o"), F.col("p.body").alias("body"))
 
 
-EN_TITLE_LEAD = r"(?i)((?:\b[A-Z][A-Za-z&'.-]*\s+){0,9})$"
+# Up to nine words in front of the fixed ones, read backwards from them.
+EN_TITLE_LEAD = r"^((?:\s+[A-Za-z&'.-]*[A-Za-z]\b){0,9})"
 
 
 def _title_start(text: Column) -> Column:
     """Start of the first English title: the fixed words and up to nine words in front of them.
 
-    The fixed words are found first, so the costly lead pattern only sees the
-    few hundred characters in front of them.
+    The fixed words are found first; the words in front of them are matched on
+    the reversed text, which stops after nine words whatever their length.
     """
     before = F.get(F.split(text, EN_TITLE_CORE, 2), F.lit(0))
-    lead = F.regexp_extract(F.substring(before, -400, 400), EN_TITLE_LEAD, 1)
+    lead = F.regexp_extract(F.reverse(before), EN_TITLE_LEAD, 1)
     return F.length(before) - F.length(lead)
 
 

@@ -14,6 +14,8 @@ c = F.col
 def observed(df: DataFrame) -> DataFrame:
     """What a response shows: document ids, urls, answer type and evidence types, distinct and in order.
 
+    The step's answer type counts only where there is no plan; a plan without a type gives null.
+
     Expects `results` (array of struct doc_id, chunk.doc_id, citation.url, url), `answer_plan.answer_type`,
     `steps` (array of struct key, answer_type, evidence_types) and `evidence_types`.
     """
@@ -26,7 +28,7 @@ def observed(df: DataFrame) -> DataFrame:
     types = F.concat(F.coalesce("evidence_types", none), F.coalesce(step("answer_and_observe", "evidence_types"), none), F.coalesce(step("evidence_quality", "evidence_types"), none))
     return (
         df.withColumn("observed_doc_ids", distinct(docs)).withColumn("observed_urls", distinct(urls))
-        .withColumn("observed_answer_type", F.coalesce(given(c("answer_plan.answer_type")), given(step("answer_and_observe", "answer_type"))))
+        .withColumn("observed_answer_type", F.when(c("answer_plan").isNull(), given(step("answer_and_observe", "answer_type"))).otherwise(given(c("answer_plan.answer_type"))))
         .withColumn("observed_evidence_types", distinct(types))
     )
 

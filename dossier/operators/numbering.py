@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,19 +11,28 @@ from pyspark.sql import functions as F
 ROWS_PER_BUCKET = 200_000
 
 
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys where null equals null."""
+    right = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_same_{k}"]) for k in keys])
+    return left.join(right, on).drop(*[f"_same_{k}" for k in keys])
+
+
 def _ranged(df: DataFrame, keys: list[str], order: str, rows_per_bucket: int) -> DataFrame:
     """Adds _r, the number of the row's range inside its group (ranges ascend with the order column).
 
     A group is cut into equal ranges of the order column, small groups into one.
     The limits come from exact min, max and count, so a recomputed task sees
-    the same ranges.
+    the same ranges. Null keys are a group, a null order comes first; an order
+    that is no whole number fails.
     """
     o = F.col(order).cast("decimal(38,0)")
+    o = F.when(F.col(order).isNotNull() & o.isNull(), F.raise_error(F.lit(f"{order} is not a number"))).otherwise(o)
     limits = df.groupBy(*keys).agg(
         F.min(o).alias("_lo"), F.max(o).alias("_hi"), F.ceil(F.count("*") / rows_per_bucket).alias("_n")
     )
     step = F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.col("_n"))
-    ranged = df.join(limits, keys).withColumn("_r", F.floor((o - F.col("_lo")) / step).cast("bigint"))
+    ranged = _same(df, limits, keys).withColumn("_r", F.coalesce(F.floor((o - F.col("_lo")) / step).cast("bigint"), F.lit(0)))
     return ranged.drop("_lo", "_hi", "_n")
 
 
@@ -39,8 +50,7 @@ def number_within(
     offsets = ranged.groupBy(*keys, "_r").agg(F.count("*").alias("_c")).select(*keys, "_r", F.coalesce(before, F.lit(0)).alias("_off"))
     rn = F.row_number().over(W.partitionBy(*keys, "_r").orderBy(order))
     return (
-        ranged.withColumn("_rn", rn)
-        .join(offsets, [*keys, "_r"])
+        _same(ranged.withColumn("_rn", rn), offsets, [*keys, "_r"])
         .withColumn(name, F.col("_rn") + F.col("_off"))
         .drop("_r", "_rn", "_off")
     )
@@ -62,7 +72,7 @@ def carry_forward(
         *[F.max_by(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"))), F.when(F.col(c).isNotNull(), F.col(order))).alias(n) for n, c in values.items()]
     )
     tails = tails.select(*keys, "_r", *[F.last(F.col(n), ignorenulls=True).over(past).alias(f"_t_{n}") for n in values])
-    out = ranged.select("*", *[F.last(F.col(c), ignorenulls=True).over(here).alias(f"_h_{n}") for n, c in values.items()]).join(tails, [*keys, "_r"])
+    out = _same(ranged.select("*", *[F.last(F.col(c), ignorenulls=True).over(here).alias(f"_h_{n}") for n, c in values.items()]), tails, [*keys, "_r"])
     for n in values:
         out = out.withColumn(n, F.coalesce(F.col(f"_h_{n}"), F.col(f"_t_{n}.v"))).drop(f"_h_{n}", f"_t_{n}")
     return out.drop("_r")

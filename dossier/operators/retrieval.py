@@ -295,12 +295,13 @@ def lexical_overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(lexical_terms(a), lexical_terms(b)))
 
 
-def external_scores(candidates: DataFrame, scores: DataFrame, provider: str) -> DataFrame:
+def external_scores(candidates: DataFrame, scores: DataFrame, provider: str, position: str | None = None) -> DataFrame:
     """Joins reranker scores by (query_id, index), index from 0 in rank_before order.
 
     Scores of a request count only when there is exactly one for every
     candidate and none out of range; else the request falls back to rule
-    scores and says why.
+    scores and says why. Of a repeated index the last by `position` counts
+    (without that column the highest).
     """
     n = candidates.groupBy("query_id").agg(F.count("*").alias("expected"))
     seen = scores.join(n, "query_id").groupBy("query_id", "expected").agg(
@@ -311,7 +312,8 @@ def external_scores(candidates: DataFrame, scores: DataFrame, provider: str) ->
         F.col("good") != F.col("expected"), F.concat(F.lit("expected "), "expected", F.lit(" rerank results, got "), "good")
     )
     verdict = seen.select("query_id", error.alias("reranker_error"), F.lit(True).alias("_asked"))
-    last = scores.groupBy("query_id", "index").agg(F.max("score").alias("reranker_score"))
+    kept = F.max_by("score", position) if position else F.max("score")
+    last = scores.groupBy("query_id", "index").agg(kept.alias("reranker_score"))
     d = candidates.join(verdict, "query_id", "left").join(
         last.withColumn("rank_before", F.col("index") + 1).drop("index"), ["query_id", "rank_before"], "left"
     )

@@ -25,7 +25,7 @@ def responses(spark, sf_dir):
     step = lambda key, kind, types: F.struct(F.lit(key).alias("key"), kind.alias("answer_type"), types.alias("evidence_types"))
     steps = F.array(step("evidence_quality", _nothing(), F.array(F.lit("table_evidence"))), step("answer_and_observe", F.lit("definition"), F.array(F.lit("action_evidence"), F.lit("table_evidence"))))
     return table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", "role", F.col("text").alias("answer"), results.alias("results"), F.struct(F.when(t % 4 == 0, F.lit("table_lookup")).alias("answer_type")).alias("answer_plan"), steps.alias("steps"),
+        "conv_id", "turn", "role", F.col("text").alias("answer"), results.alias("results"), F.when(t % 4 != 1, F.struct(F.when(t % 4 == 0, F.lit("table_lookup")).alias("answer_type"))).alias("answer_plan"), steps.alias("steps"),
         F.when(t % 5 == 0, F.array(F.lit("listing_evidence"))).otherwise(none).alias("evidence_types"),
     )
 
@@ -33,7 +33,7 @@ def responses(spark, sf_dir):
 @query(
     "k1_observed_sets",
     """SELECT conv_id, turn, 'doc-' || conv_id || ',chunk-' || turn AS doc_ids, CASE WHEN turn % 3 = 0 THEN 'u/' || conv_id || ',' ELSE '' END || 'u/second' AS urls,
-         CASE WHEN turn % 4 = 0 THEN 'table_lookup' ELSE 'definition' END AS answer_type, CASE WHEN turn % 5 = 0 THEN 'listing_evidence,' ELSE '' END || 'action_evidence,table_evidence' AS evidence_types FROM conversations""",
+         CASE turn % 4 WHEN 0 THEN 'table_lookup' WHEN 1 THEN 'definition' END AS answer_type, CASE WHEN turn % 5 = 0 THEN 'listing_evidence,' ELSE '' END || 'action_evidence,table_evidence' AS evidence_types FROM conversations""",
 )
 def k1_observed_sets(spark, sf_dir):
     d = e.observed(responses(spark, sf_dir))

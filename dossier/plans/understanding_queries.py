@@ -133,13 +133,13 @@ def g6_work_year(spark, sf_dir):
     return questions(spark, sf_dir).select("conv_id", "turn", u.work_year(F.col("query")).alias("work_year"))
 
 
-@query("g7_numerals", "SELECT conv_id, turn, CAST(conv_id % 100 AS INT) AS number FROM conversations WHERE conv_id % 100 > 0")
+@query("g7_numerals", "SELECT conv_id, turn, CAST(conv_id % 100 AS INT) AS number FROM conversations")
 def g7_numerals(spark, sf_dir):
     k = F.col("conv_id") % 100
     digit = lambda i: F.get(F.array(*[F.lit(c) for c in "零一二三四五六七八九"]), i.cast("int"))
     tens = F.when(k < 10, F.lit("")).when(k < 20, F.lit("十")).otherwise(F.concat(digit(F.floor(k / 10)), F.lit("十")))
-    numeral = F.when(F.col("turn") % 2 == 0, F.concat(tens, F.when(k % 10 == 0, F.lit("")).otherwise(digit(k % 10)))).otherwise(k.cast("string"))
-    return table(spark, sf_dir, "conversations").filter(k > 0).select("conv_id", "turn", cn_number(numeral).alias("number"))
+    numeral = F.when(k == 0, digit(k)).when(F.col("turn") % 2 == 0, F.concat(tens, F.when(k % 10 == 0, F.lit("")).otherwise(digit(k % 10)))).otherwise(k.cast("string"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", cn_number(numeral).alias("number"))
 
 
 @query(

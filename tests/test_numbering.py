@@ -37,3 +37,11 @@ def test_missing_ordinals_over_several_blocks(spark):
     assert sorted(r.ordinal for r in tree.missing_ordinals(d, "p", "o", block=3).collect()) == [3, 4, 5, 6, 7, 8]
     r = {x.parent: x for x in tree.ordinal_continuity(d, "p", "o").collect()}
     assert (r["a"].missing_count, r["a"].duplicate_count, r["a"].status) == (6, 1, "incomplete") and r["b"].status == "complete"
+
+
+def test_null_keys_and_null_order_stay(spark):
+    from dossier.operators.numbering import number_within
+
+    rows = [("a", 5), ("a", None), (None, 2), (None, 1)]
+    got = number_within(spark.createDataFrame(rows, "k string, i long"), "k", "i", "n").collect()
+    assert sorted((r.k or "", r.i or 0, r.n) for r in got) == [("", 1, 1), ("", 2, 2), ("a", 0, 1), ("a", 5, 2)]

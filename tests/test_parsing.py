@@ -44,3 +44,13 @@ def test_offsets_point_into_joined_text(spark):
     got = elements(spark, "<p>ab</p><p>cde</p><p>f</p>")
     text = " ".join(t for _, t, *_ in got)
     assert all(text[s:e] == t for _, t, _, s, e in got)
+
+
+def test_english_title_has_nine_words_in_front_whatever_their_length(spark):
+    from pyspark.sql import functions as F
+
+    from dossier.operators.chunking import english_tail_start
+
+    words = ["L" + "o" * 70] * 8
+    text = "正文 " + " ".join(words) + " Employee Disciplinary Rules rest"
+    assert spark.createDataFrame([(text,)], "t string").select(english_tail_start(F.col("t"))).first()[0] == 3
