@@ -196,7 +196,7 @@ def spanning(values: np.ndarray, others: np.ndarray, max_bits: int):
         return x
 
     for k, v in zip(left, values):
-        for j in right[np.bitwise_count(others ^ v) <= max_bits]:
+        for j in right[np.bitwise_count((others ^ v).view(np.uint64)) <= max_bits]:
             a, b = root(k), root(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
