@@ -257,14 +257,17 @@ def _chunk_pair(min_similarity: float, max_bits: int):
 
 def fuzzy_links(docs: DataFrame, lines: DataFrame, key: str, text: str, max_bits: int = MAX_BITS, min_similarity: float = MIN_SIMILARITY, chunk: int = CHUNK) -> DataFrame:
     """(a, b) links between different normalised lines. lines: written table of (lid, fp, doc), one row per line."""
-    keyed = lines.select("lid", "fp", F.explode(block_keys(F.col("fp"), max_bits)).alias("k"))
-    met = materialize(keyed.withColumn("n", F.count("*").over(W.partitionBy("k"))).filter("n > 1"), "met")
-    small = met.filter(F.col("n") <= chunk)
-    other = small.select("k", F.col("lid").alias("lid2"), F.col("fp").alias("fp2"))
-    x = F.col("fp").bitwiseXOR(F.col("fp2"))
-    near = (F.col("lid") < F.col("lid2")) & (F.bit_count(x) <= max_bits) & (first_key(x, max_bits) == F.shiftright("k", 40))
-    pairs = materialize(small.join(other, "k").filter(near).select("lid", "lid2"), "pairs")
-    big = met.filter(F.col("n") > chunk)
+    keyed = lines.select("lid", "fp", F.explode(block_keys(F.col("fp"), max_bits)).alias("k")).filter("k is not null")
+    met = keyed.withColumn("n", F.count("*").over(W.partitionBy("k"))).filter("n > 1")
+    # Both sides and the large buckets come from one exchange by key; nothing is dealt out a second time.
+    left, right = met.filter(F.col("n") <= chunk).alias("l"), met.filter(F.col("n") <= chunk).alias("r")
+    x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
+    near = (F.col("l.lid") < F.col("r.lid")) & (F.bit_count(x) <= max_bits) & (first_key(x, max_bits) == F.shiftright("l.k", 40))
+    close = left.join(right, F.col("l.k") == F.col("r.k")).filter(near).select(F.col("l.lid").alias("lid"), F.col("r.lid").alias("lid2"), F.col("l.k").alias("k"), F.col("l.fp").alias("fp"), F.col("l.n").alias("n"))
+    large = met.filter(F.col("n") > chunk).select("lid", F.lit(None).cast("long").alias("lid2"), "k", "fp", "n")
+    both = materialize(close.unionByName(large), "met")
+    pairs = both.filter("lid2 is not null").select("lid", "lid2")
+    big = both.filter("lid2 is null").drop("lid2")
     wanted = pairs.select("lid").unionByName(pairs.select(F.col("lid2").alias("lid"))).unionByName(big.select("lid")).distinct()
     words = materialize(line_texts(docs, lines.select("lid", "doc").join(wanted, "lid"), key, text), "words")
     left = pairs.join(words.withColumnRenamed("words", "w1"), "lid")
