@@ -255,6 +255,35 @@ def _chunk_pair(min_similarity: float, max_bits: int):
     return run
 
 
+def _near_members(max_bits: int):
+    """Lines of a pair of chunks that have another line within max_bits there, by fingerprints alone."""
+
+    def run(pdf):
+        import pandas as pd
+
+        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        lids, fps = b.lid.to_numpy(np.int64), b.fp.to_numpy(np.int64)
+        in_a, in_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        for at in range(0, len(a), 256):
+            part = slice(at, at + 256)
+            x = (a.fp.to_numpy(np.int64)[part, None] ^ fps[None, :]).view(np.uint64)
+            near = (np.bitwise_count(x) <= max_bits) & (a.lid.to_numpy(np.int64)[part, None] != lids[None, :])
+            in_a[part], in_b = near.any(axis=1), in_b | near.any(axis=0)
+        return pd.concat([a[in_a], b[in_b]])[["k", "lid", "fp", "n"]].drop_duplicates("lid")
+
+    return run
+
+
+def _dealt(rows: DataFrame, *carried: str) -> DataFrame:
+    """Rows (k, lid, fp, n) of large buckets, once for every pair of chunks (k, x, y) and side that they are in."""
+    parts = F.ceil(F.col("n") / LARGE_CHUNK).cast("int")
+    own, cols = F.pmod(F.xxhash64("lid"), parts).cast("int").alias("own"), ["lid", "fp", "n", *carried]
+    rows = rows.select("k", *cols, own, F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    as_left = rows.filter("own <= other").select("k", F.col("own").alias("x"), F.col("other").alias("y"), F.lit(0).alias("side"), *cols)
+    as_right = rows.filter("other <= own").select("k", F.col("other").alias("x"), F.col("own").alias("y"), F.lit(1).alias("side"), *cols)
+    return as_left.unionByName(as_right)
+
+
 def fuzzy_links(docs: DataFrame, lines: DataFrame, key: str, text: str, max_bits: int = MAX_BITS, min_similarity: float = MIN_SIMILARITY, chunk: int = CHUNK) -> DataFrame:
     """(a, b) links between different normalised lines. lines: written table of (lid, fp, doc), one row per line."""
     keyed = lines.select("lid", "fp", F.explode(block_keys(F.col("fp"), max_bits)).alias("k")).filter("k is not null")
@@ -268,17 +297,18 @@ def fuzzy_links(docs: DataFrame, lines: DataFrame, key: str, text: str, max_bits
     both = materialize(close.unionByName(large), "met")
     pairs = both.filter("lid2 is not null").select("lid", "lid2")
     big = both.filter("lid2 is null").drop("lid2")
+    if some(big):
+        # Texts are fetched only for lines that have a near fingerprint in their bucket.
+        near = _dealt(big).groupBy("k", "x", "y").applyInPandas(_near_members(max_bits), "k long, lid long, fp long, n long")
+        big = materialize(near.dropDuplicates(["k", "lid"]), "near")
     wanted = pairs.select("lid").unionByName(pairs.select(F.col("lid2").alias("lid"))).unionByName(big.select("lid")).distinct()
     words = materialize(line_texts(docs, lines.select("lid", "doc").join(wanted, "lid"), key, text), "words")
     left = pairs.join(words.withColumnRenamed("words", "w1"), "lid")
     both = left.join(words.select(F.col("lid").alias("lid2"), F.col("words").alias("w2")), "lid2").select("lid", "lid2", "w1", "w2")
     links = both.mapInArrow(_verified(min_similarity), "a long, b long")
     if some(big):
-        parts = F.ceil(F.col("n") / LARGE_CHUNK).cast("int")
-        rows = big.join(words, "lid").select("k", "lid", "fp", "words", F.pmod(F.xxhash64("lid"), parts).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-        as_left = rows.filter("own <= other").select("k", F.col("own").alias("x"), F.col("other").alias("y"), F.lit(0).alias("side"), "lid", "fp", "words")
-        as_right = rows.filter("other <= own").select("k", F.col("other").alias("x"), F.col("own").alias("y"), F.lit(1).alias("side"), "lid", "fp", "words")
-        links = links.unionByName(as_left.unionByName(as_right).groupBy("k", "x", "y").applyInPandas(_chunk_pair(min_similarity, max_bits), "a long, b long"))
+        met_again = _dealt(big.join(words, "lid"), "words").groupBy("k", "x", "y")
+        links = links.unionByName(met_again.applyInPandas(_chunk_pair(min_similarity, max_bits), "a long, b long"))
     return links
 
 
