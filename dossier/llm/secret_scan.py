@@ -10,7 +10,9 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -20,8 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
-#: A compressed layer that unpacks to more than this is not opened, and counted in n_closed.
+#: Unpacked data is held up to this size; larger layers go through the scan in pieces of about PIECE characters.
 MAX_LAYER_BYTES = 64 << 20
+PIECE = 4 << 20
+#: Characters that two pieces share where a piece of MAX_LAYER_BYTES has no place to cut; counted in n_closed.
+OVERLAP = 1 << 20
+#: Packings inside each other of a layer that is too large to hold; more are left, and counted in n_closed.
+MAX_STREAMS = 64
 
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -31,6 +38,12 @@ URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPED = re.compile(r"(?:[^\s\\&]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});))+[^\s\\&]*")
 ESCAPE = re.compile(r"((?:\\u[0-9A-Fa-f]{4})+)|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines, as MIME and PEM write it.
+LINES64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE64 = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Places that no find and no encoded token spans.
+CUT = re.compile(r"(?<![:=\s])[\x20\t](?![:=\s])|\n\n|(?<![A-Za-z0-9+/_=:\s-])\n(?![:=\s])")
+_BARE = str.maketrans("-_", "+/", "\r\n\x20\t")
 OUT = "array<struct<kind:string,start:long,end:long>>"
 
 
@@ -48,16 +61,24 @@ def scan(text: str):
         yield "hex", m.start(), m.end()
 
 
+class _Same:
+    """A sequence that has the same item everywhere."""
+
+    def __init__(self, item):
+        self.item = item
+
+    def __getitem__(self, i):
+        return self.item
+
+
 def _decoded(raw: bytes, at: list[tuple[int, int]]):
-    """Characters of UTF-8 bytes with the source range of each; at: source range per byte."""
-    text = raw.decode("utf-8", "replace")
+    """Characters of UTF-8 bytes with the source range of each; at: source range per byte. Other bytes stay alone."""
+    text = raw.decode("utf-8", "surrogateescape")
     if len(text) == len(raw):
         return text, at
-    if "�" in text:
-        return None
     out, i = [], 0
     for c in text:
-        n = len(c.encode())
+        n = 1 if 0xDC80 <= ord(c) <= 0xDCFF else len(c.encode("utf-8"))
         out.append((at[i][0], at[i + n - 1][1]))
         i += n
     return text, out
@@ -70,8 +91,6 @@ def unquoted(token: str):
         at += [(i, i + 1) for i in range(last, m.start())]
         raw = bytes.fromhex(m[0].replace("%", ""))
         got = _decoded(raw, [(m.start() + 3 * i, m.start() + 3 * i + 3) for i in range(len(raw))])
-        if got is None:
-            return None
         text.append(got[0])
         at += got[1]
         last = m.end()
@@ -100,30 +119,115 @@ def unescaped(token: str):
     return "".join(text) + token[last:], at + [(i, i + 1) for i in range(last, len(token))]
 
 
-def _unpacked(raw: bytes) -> bytes | None:
-    """What compressed data holds; None if it isn't compressed. Raises OverflowError above MAX_LAYER_BYTES."""
+def _opener(raw: bytes):
+    """A fresh decompressor for data that starts so, or None."""
     if raw[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
-    elif raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-        d = zlib.decompressobj()
-    elif raw[:3] == b"BZh":
-        d = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        d = lzma.LZMADecompressor()
-    else:
-        return None
-    try:
-        out = d.decompress(raw, MAX_LAYER_BYTES)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
+        return zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _members(chunks):
+    """Unpacked bytes of compressed data, piece by piece, member after member; what follows the last one comes as it is.
+
+    Damaged or cut data gives what can be read before the damage.
+    """
+    chunks, d, rest = iter(chunks), None, b""
+    while True:
+        if d is None:
+            # Zeros may stand between members; six bytes tell what follows.
+            rest = rest.lstrip(b"\0")
+            while len(rest) < 6 and (more := next(chunks, None)) is not None:
+                rest = (rest + more).lstrip(b"\0")
+            if not rest:
+                return
+            if (d := _opener(rest)) is None:
+                yield rest
+                yield from chunks
+                return
+        try:
+            if isinstance(d, bz2.BZ2Decompressor | lzma.LZMADecompressor):
+                out = d.decompress(rest, 1 << 16)
+                wants = d.needs_input
+                rest = b""
+            else:
+                out = d.decompress(rest, 1 << 16)
+                rest = d.unconsumed_tail
+                wants = not rest and len(out) < 1 << 16
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            return
+        if out:
+            yield out
+        if d.eof:
+            rest, d = d.unused_data, None
+        elif wants:
+            if (more := next(chunks, None)) is None:
+                return
+            rest = more
+
+
+def _started(chunks):
+    """(first bytes, all chunks again)."""
+    chunks, head = iter(chunks), b""
+    while len(head) < 6 and (more := next(chunks, None)) is not None:
+        head += more
+    return head, itertools.chain([head], chunks)
+
+
+def _unpacked(raw: bytes):
+    """What compressed data holds, or an iterator over it if that is MAX_LAYER_BYTES and more; None if it isn't compressed."""
+    if _opener(raw) is None:
         return None
-    if len(out) >= MAX_LAYER_BYTES:
+    chunks, held, size = _members([raw]), [], 0
+    for c in chunks:
+        held.append(c)
+        size += len(c)
+        if size >= MAX_LAYER_BYTES:
+            return itertools.chain(held, chunks)
+    return b"".join(held) if held else None
+
+
+def _pieces(chunks):
+    """Text of a stream in pieces that are cut where nothing spans the cut. Raises OverflowError at its end if there was no such place."""
+    decoder, held, cut_anywhere = codecs.getincrementaldecoder("utf-8")("surrogateescape"), "", False
+    new, size = [], 0
+    for c in itertools.chain(chunks, [None]):
+        new.append(decoder.decode(c or b"", final=c is None))
+        size += len(new[-1])
+        if c is not None and size < PIECE:
+            continue
+        held += "".join(new)
+        new, size, at = [], 0, None
+        if c is None:
+            break
+        for m in CUT.finditer(held, max(0, len(held) - PIECE)):
+            # Both sides of a cut must be known.
+            at = m.start() + 1 if m.end() < len(held) else at
+        if at:
+            yield held[:at]
+            held = held[at:]
+        elif len(held) >= MAX_LAYER_BYTES:
+            cut_anywhere = True
+            yield held
+            held = held[-OVERLAP:]
+    if held:
+        yield held
+    if cut_anywhere:
         raise OverflowError
-    return out
 
 
 def unbased(token: str):
-    """Text behind a base64 token, or None; a compressed one is unpacked as often as it is compressed."""
-    bare = token.rstrip("=").translate(str.maketrans("-_", "+/"))
+    """Text behind a base64 token, over one line or several, or None; a compressed one is unpacked as often as it is compressed.
+
+    A layer too large to hold comes as an iterator over its texts.
+    """
+    pos = range(len(token)) if token.isascii() and not token.count("\n") else [i for i, c in enumerate(token) if c not in "\r\n\x20\t"]
+    bare = token.rstrip("=").translate(_BARE)
     if len(bare) % 4 == 1:
         return None
     try:
@@ -133,24 +237,52 @@ def unbased(token: str):
     seen, packed = set(), False
     while (inner := _unpacked(raw)) is not None:
         packed = True
+        if not isinstance(inner, bytes):
+            return _pieces(_opened(inner))
         if (h := hashlib.sha256(inner).digest()) in seen:
             return None
         seen.add(h)
         raw = inner
     n = len(token)
     if packed:
-        try:
-            text = raw.decode()
-        except UnicodeDecodeError:
-            return None
-        return text, [(0, n)] * len(text)
-    if not raw.isascii():
-        try:
-            raw.decode()
-        except UnicodeDecodeError:
-            return None
-    got = _decoded(raw, [(i * 8 // 6, min(n, ((i + 1) * 8 + 5) // 6)) for i in range(len(raw))])
-    return got if got and all(c.isprintable() or c in "\n\r\t" for c in got[0]) else None
+        return raw.decode("utf-8", "surrogateescape"), _Same((0, n))
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return None
+    # Characters of base64 that a byte comes from.
+    last = len(bare) - 1
+    return _decoded(raw, [(pos[i * 8 // 6], n if (e := ((i + 1) * 8 + 5) // 6 - 1) > last else pos[e] + 1) for i in range(len(raw))])
+
+
+def _opened(chunks):
+    """The bytes of a stream, unpacked as often as it is compressed."""
+    for _ in range(MAX_STREAMS):
+        head, chunks = _started(chunks)
+        if _opener(head) is None:
+            return chunks
+        chunks = _members(chunks)
+    raise OverflowError
+
+
+def over_lines(text: str):
+    """(start, end) of base64 that goes over line ends.
+
+    Lines of one width with a last one that is not wider belong together; so may all lines that follow each other.
+    The last line may be a word of the text after them, so each run is tried without it, too.
+    """
+    for m in LINES64.finditer(text):
+        lines = [x.span() for x in LINE64.finditer(text, m.start(), m.end())]
+        runs, at = {(0, len(lines))}, 0
+        while at < len(lines):
+            width, end = lines[at][1] - lines[at][0], at + 1
+            while end < len(lines) and lines[end][1] - lines[end][0] == width:
+                end += 1
+            runs.add((at, min(len(lines), end + 1) if end < len(lines) and lines[end][1] - lines[end][0] < width else end))
+            at = end
+        for a, b in sorted(runs | {(a, b - 1) for a, b in runs} | {(1, len(lines))}):
+            if b - a > 1 and sum(y - x for x, y in lines[a:b]) >= 16:
+                yield lines[a][0], m.end() if b == len(lines) else lines[b - 1][1]
 
 
 def tokens(text: str):
@@ -163,6 +295,9 @@ def tokens(text: str):
             yield *m.span(), unescaped
     for m in BASE64.finditer(text):
         yield *m.span(), unbased
+    if "\n" in text:
+        for a, b in over_lines(text):
+            yield a, b, unbased
 
 
 def findings(text: str):
@@ -172,19 +307,44 @@ def findings(text: str):
     work = [(text, None, frozenset())]
     while work:
         layer, outer, chain = work.pop()
+        if not isinstance(layer, str):
+            # A layer in pieces: the next one goes first, the others wait.
+            try:
+                inner = next(layer, None)
+            except OverflowError:
+                closed += 1
+                continue
+            if inner is None:
+                continue
+            work.append((layer, outer, chain))
+            digest = hashlib.blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            if digest in chain:
+                continue
+            more |= {(kind, *outer.item) for kind, _, _ in scan(inner)}
+            layer, chain = inner, chain | {digest}
         for a, b, decode in tokens(layer):
             try:
                 got = decode(layer[a:b])
             except OverflowError:
                 closed += 1
                 continue
-            if not got or got[0] == layer[a:b]:
+            if not got:
+                continue
+            if not isinstance(got, tuple):
+                layers += 1
+                work.append((got, _Same((outer[a][0], outer[b - 1][1]) if outer else (a, b)), chain))
+                continue
+            if got[0] == layer[a:b]:
                 continue
             inner, at = got
             digest = hashlib.blake2b(inner.encode("utf-8", "surrogatepass"), digest_size=16).digest()
             if digest in chain or not inner:
                 continue  # a layer that holds itself
-            place = [(outer[a + x][0], outer[a + y - 1][1]) for x, y in at] if outer else [(a + x, a + y) for x, y in at]
+            if isinstance(at, _Same):
+                x, y = at.item
+                place = _Same((outer[a + x][0], outer[a + y - 1][1]) if outer else (a + x, a + y))
+            else:
+                place = [(outer[a + x][0], outer[a + y - 1][1]) for x, y in at] if outer else [(a + x, a + y) for x, y in at]
             layers += 1
             more |= {(kind, place[s][0], place[e - 1][1]) for kind, s, e in scan(inner)}
             work.append((inner, place, chain | {digest}))
