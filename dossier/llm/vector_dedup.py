@@ -1,6 +1,6 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-Every vector is described by its PREFIX nearest of a set of reference vectors (pivots). Inverted lists hold the
+Every vector is described by its nearest of a set of reference vectors (pivots), by more of them the more there are. Inverted lists hold the
 vectors under each pair of described pivots, so vectors that share at least two pivots meet; the cosine in double
 precision decides. Pivots come from a bounded sample; every vector is indexed.
 """
@@ -8,6 +8,7 @@ precision decides. Pivots come from a bounded sample; every vector is indexed.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from dossier.llm.base import materialize, sized
 from dossier.llm.components import components
 
 MIN_COSINE = 0.9
+#: Nearest pivots that describe a vector when there are MIN_PIVOTS.
 PREFIX = 6
 #: One pivot for so many vectors, within these bounds (a sample of MAX_PIVOTS vectors at most goes to the driver).
 PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS = 128, 64, 4096
@@ -39,8 +41,14 @@ def _matrix(column) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def postings(classes: DataFrame, pivots: np.ndarray, prefix: int = PREFIX) -> DataFrame:
+def prefix_length(n_pivots: int) -> int:
+    """How many nearest pivots describe a vector: 2 more per 8 times as many pivots, which holds the recall near the cosine limit."""
+    return min(n_pivots, PREFIX + math.ceil(2 / 3 * math.log2(max(1.0, n_pivots / MIN_PIVOTS))))
+
+
+def postings(classes: DataFrame, pivots: np.ndarray, prefix: int | None = None) -> DataFrame:
     """(c, pivots) per class: numbers of its nearest pivots, ascending. Ties take the smaller number."""
+    prefix = prefix or prefix_length(len(pivots))
 
     def run(batches):
         for b in batches:
@@ -169,7 +177,7 @@ def _links(classes: DataFrame, n: int, min_cosine: float, chunk: int) -> DataFra
     wanted = min(MAX_PIVOTS, max(MIN_PIVOTS, n // PER_PIVOT))
     sample = classes.select("v").orderBy(F.xxhash64(F.lit(7), "v"), "v").limit(wanted).toArrow().column("v").combine_chunks()
     pivots = _matrix(sample)
-    prefix = min(PREFIX, len(pivots))
+    prefix = prefix_length(len(pivots))
     if prefix < 2:
         return classes.sparkSession.createDataFrame([], "a long, b long, n long")
     posted = materialize(postings(classes, pivots, prefix), "postings")
