@@ -1,9 +1,9 @@
 """Personal data, and the words that give it away. Column expressions only.
 
-Base kinds are patterns. Beyond them, words that stand near a found value are weighed by how much they tell about
-it: with document counts over the corpus, the pointwise mutual information of word and value, as a share of the
+Base kinds are patterns. Beyond them, all words of the documents with a found value are weighed by how much they
+tell about it: with document counts over the corpus, the pointwise mutual information of word and value, as a share of the
 value's own information content. 1 means that the word occurs with this value only. From REMOVE on a word is
-removed, from GENERALISE on it is replaced by a general one.
+removed, from GENERALISE on it is replaced by a general one, wherever it stands in the documents of the value.
 """
 
 from __future__ import annotations
@@ -19,11 +19,10 @@ KINDS = ("email", "ip", "card", "phone")
 FURTHER = ("removed", "generalised")
 ALL_KINDS = KINDS + FURTHER
 REMOVE, GENERALISE = 0.9, 0.6
-#: A word must stand near a value in so many documents to tell something about it.
+#: A word must stand in so many documents of a value to tell something about it.
 MIN_SUPPORT = 2
-#: Words on each side of a value that are weighed, within so many characters.
-NEAR_WORDS, NEAR_CHARS = 3, 80
-TERM = r"\p{L}{3,}"
+#: Letters and digits, with a letter among them.
+TERM = r"(?<![\p{L}\p{N}])\p{N}*+\p{L}[\p{L}\p{N}]*+"
 
 # Repeats are possessive where nothing follows that could need them back; matches are the same, and a long run
 # costs neither stack nor a second pass. The first class starts at the beginning of its run or where a match ended.
@@ -33,7 +32,7 @@ CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches; code points, end exclusive.
 
     The gaps between the matches (split) and the matches themselves give the places.
@@ -86,46 +85,42 @@ def _named(number: int, kind: str):
     return lambda x: F.struct(x.start.alias("start"), F.lit(number).alias("o"), x.end.alias("end"), F.lit(kind).alias("kind"), x.value.alias("value"))
 
 
-def nearby(text: Column, spans: Column) -> Column:
-    """array<struct<entity, term, start, end>>: the nearest words on both sides of each span. A word cut by the window is left out."""
-    size = F.length(text)
+def outside(text: Column, spans: Column) -> Column:
+    """The text with a space for each span, of overlapping ones for what the ones before leave."""
+    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
-    def words(first: Column, last: Column, cut_first: Column, cut_last: Column) -> Column:
-        piece = F.substring(text, first + 1, last - first)
-        return F.filter(located(piece, TERM), lambda x: ~(cut_first & (x.start == 0)) & ~(cut_last & (x.end == last - first)))
-
-    def of(s: Column) -> Column:
-        left = F.greatest(s.start - NEAR_CHARS, F.lit(0))
-        right = F.least(s.end + NEAR_CHARS, size)
-        before = words(left, s.start, left > 0, F.lit(False))
-        after = words(s.end, right, F.lit(False), right < size)
-        shift = lambda found, by: F.transform(found, lambda x: F.struct(F.lower(s.value).alias("entity"), F.lower(x.value).alias("term"), (x.start + by).alias("start"), (x.end + by).alias("end")))
-        last = let(before, lambda b: F.slice(b, F.greatest(F.size(b) - NEAR_WORDS + 1, F.lit(1)), F.lit(NEAR_WORDS)))
-        return F.concat(shift(last, left), shift(F.slice(after, 1, NEAR_WORDS), s.end))
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.substring(text, acc.pos + 1, F.greatest(x.start - acc.pos, F.lit(0)))
+        return F.struct(F.greatest(acc.pos, x.end).alias("pos"), F.concat(acc.out, gap, F.lit(" ")).alias("out"))
 
-    return F.flatten(F.transform(spans, of))
+    rest = F.aggregate(spans, start, step, lambda acc: F.concat(acc.out, F.substring(text, acc.pos + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(rest)
 
 
-def revealing(contexts: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """(entity, term, action) for words that tell enough about a value. contexts: (rid, entity, term), written.
+def revealing(valued: DataFrame, own: DataFrame) -> DataFrame:
+    """(entity, term, action) for words that tell enough about a value.
 
-    Counts are of documents, over all of docs. Words that stand near no value cannot be revealing and are not
-    counted: while the others are few enough to broadcast they are filtered out ahead of the count, else the
-    count is joined with them.
+    valued: written rows (rid, entities, forms) of the documents with values; own: written rows (t), the text
+    outside the values, of all documents. Counts are of documents on all sides. A value or a word in fewer than
+    MIN_SUPPORT documents cannot have that many together and is left out before words and values are paired.
     """
-    entities = contexts.groupBy("entity").agg(F.countDistinct("rid").alias("n_entity"))
-    together = contexts.groupBy("entity", "term").agg(F.countDistinct("rid").alias("n_both")).filter(F.col("n_both") >= MIN_SUPPORT)
+    entities = valued.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = materialize(entities.filter(F.col("n_entity") >= MIN_SUPPORT), "entities")
+    small = fits(entities, BROADCAST_KEYS)
+    kept = valued.select("forms", F.explode("entities").alias("entity")).join(F.broadcast(entities) if small else entities, "entity")
+    together = kept.select("entity", "n_entity", F.explode(F.array_distinct(F.transform("forms", F.lower))).alias("term"))
+    together = together.groupBy("entity", "term").agg(F.first("n_entity").alias("n_entity"), F.count("*").alias("n_both")).filter(F.col("n_both") >= MIN_SUPPORT)
     together = materialize(together, "together")
     terms = materialize(together.select("term").distinct(), "terms")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
+    words = own.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
     if fits(terms, BROADCAST_KEYS):
         words = words.join(F.broadcast(terms), "term", "left_semi")
     counts = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = F.lit(float(max(docs.count(), 1)))
-    d = together.join(counts, "term").join(entities, "entity")
+    total = F.lit(float(max(own.count(), 1)))
+    d = together.join(counts, "term")
     told = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
-    own = F.log2(total / F.col("n_entity"))
-    share = F.when(own > 0, told / own).otherwise(0.0)
+    own_bits = F.log2(total / F.col("n_entity"))
+    share = F.when(own_bits > 0, told / own_bits).otherwise(0.0)
     action = F.when(share >= REMOVE, FURTHER[0]).when(share >= GENERALISE, FURTHER[1])
     return d.select("entity", "term", action.alias("action")).filter("action is not null")
 
@@ -134,23 +129,32 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """(key, text_hash, base, further) per row of docs.
 
     base: array<struct<kind, start, end, value>> sorted by start and kind; further: array<struct<kind, start, end>>
-    of revealing words, kind removed or generalised, sorted. Places count code points, end exclusive. A null text
+    of revealing words, kind removed or generalised, in no order. Places count code points, end exclusive. A null text
     is empty. Null and repeated keys and repeated rows are looked through like others, and each row counts as a
     document; an empty table gives no rows; other columns are not read.
     """
     own = docs.select(F.col(f"`{key}`").alias("doc"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     found = own.select("doc", F.xxhash64("t").alias("text_hash"), "t", base_spans(F.col("t")).alias("base"))
-    near = F.when(F.size("base") > 0, nearby(F.col("t"), F.col("base"))).otherwise(F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>"))
-    found = materialize(found.select("doc", "text_hash", "base", near.alias("near")).withColumn("rid", F.monotonically_increasing_id()), "found")
-    contexts = materialize(found.select("rid", F.inline("near")), "contexts")
-    told = materialize(revealing(contexts, own, "t"), "revealing")
-    told = F.broadcast(told) if fits(told, BROADCAST_KEYS) else told
-    spans = contexts.join(told, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("action").alias("kind"))  # removed goes before generalised
-    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("further"))
+    found = materialize(found.withColumn("rid", F.monotonically_increasing_id()), "found")
+    rest = found.select("rid", "base", outside(F.col("t"), F.col("base")).alias("t"))
+    forms = F.array_distinct(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)))
+    entities = F.array_distinct(F.transform("base", lambda x: F.lower(x.value)))
+    valued = materialize(rest.filter(F.size("base") > 0).select("rid", entities.alias("entities"), forms.alias("forms")), "valued")
+    told = materialize(revealing(valued, rest.select("t")), "revealing")
+    few = fits(told, BROADCAST_KEYS)
+    named = told.select("entity").distinct()
+    pairs = valued.select("rid", "forms", F.explode("entities").alias("entity")).join(F.broadcast(named) if few else named, "entity", "left_semi")
+    pairs = pairs.select("rid", "entity", F.explode("forms").alias("form")).withColumn("term", F.lower("form"))
+    marked = pairs.join(F.broadcast(told) if few else told, ["entity", "term"]).groupBy("rid", "form").agg(F.max("action").alias("kind"))  # removed goes before generalised
+    marked = materialize(marked.groupBy("rid").agg(F.collect_list(F.struct("form", "kind")).alias("marks")), "marked")
+    whole = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("marks", lambda m: m.form), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    d = found.join(marked, "rid", "left").withColumn("hits", F.when(F.col("marks").isNotNull(), located(F.col("t"), whole)))
+    free = F.filter("hits", lambda x: ~F.exists("base", lambda b: (b.start < x.end) & (x.start < b.end)))
+    kinds = F.map_from_entries(F.transform("marks", lambda m: F.struct(m.form, m.kind)))
+    further = F.transform(free, lambda x: F.struct(F.element_at(kinds, x.value).alias("kind"), x.start.cast("long").alias("start"), x.end.cast("long").alias("end")))
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     base = F.transform("base", lambda x: F.struct(x.kind.alias("kind"), x.start.cast("long").alias("start"), x.end.cast("long").alias("end"), x.value.alias("value")))
-    d = found.select("rid", "doc", "text_hash", base.alias("base")).join(spans, "rid", "left")
-    return d.select(F.col("doc").alias(key), "text_hash", "base", F.coalesce("further", empty).alias("further"))
+    return d.select(F.col("doc").alias(key), "text_hash", base.alias("base"), F.coalesce(further, empty).alias("further"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
