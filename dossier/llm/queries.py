@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.session import shared_dir
-from dossier.llm import line_dedup, mixing, packing, pii, quality_rules, secret_scan, simhash_dedup, token_counts, vector_dedup, warc_archive
+from dossier.llm import exact_dedup, line_dedup, merkle_manifest, mixing, packing, phrases, pii, quality_rules, secret_scan, simhash_dedup, token_counts, vector_dedup, warc_archive
 from dossier.llm.base import table
 
 
@@ -73,11 +73,72 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(dropped, F.lit("")).alias("dropped"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = merkle_manifest.manifest(merkle_manifest.document_leaves(table(spark, sf_dir, "documents")))
+    return m.withColumnRenamed("id", "doc_id")
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+# Archive: the whole result follows from payload lengths, digests and the smallest page of each digest.
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+grams AS (SELECT lang, w[i : i + m - 1] AS g FROM starts, range(1, 5) AS t(m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, g, count(*) AS n FROM grams GROUP BY lang, g HAVING count(*) >= 30),
+cuts AS (SELECT lang, g, n AS a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1),
+cut_scores AS (
+  SELECT c.lang, c.g, c.a, c.k, x.n AS l, y.n AS r, (2000000::HUGEINT * c.a) // (x.n::HUGEINT + y.n) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : c.k] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.k + 1 :]
+),
+best AS (SELECT * FROM cut_scores QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, n, g[i : i + m - 1] AS g FROM (SELECT lang, n, g, m, unnest(range(1, len(g) - m + 2)) AS i FROM f, range(2, 4) AS t(m) WHERE len(g) > m)
+),
+longest AS (SELECT lang, g, max(n) AS longer FROM inner_ GROUP BY lang, g),
+kept AS (
+  SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM best b LEFT JOIN longest o ON o.lang = b.lang AND o.g = b.g
+  WHERE o.longer IS NULL OR 100 * o.longer::HUGEINT < 80 * b.a::HUGEINT
+)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n, score::BIGINT AS score
+FROM kept k JOIN totals t ON t.lang = k.lang
+QUALIFY rank <= 2000
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ 	-]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_secret_scan, op3_length_packing, op4_warc_archive, op5_vector_dedup, op6_simhash_dedup,
-        op7_pii_sanitise, op8_token_counts, op9_quality_rules, op10_line_dedup,
+        op7_pii_sanitise, op8_token_counts, op9_quality_rules, op10_line_dedup, op11_merkle_manifest, op12_phrase_collocations,
+        op13_exact_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_warc_archive": OP4_SQL, "op12_phrase_collocations": OP12_SQL, "op13_exact_dedup": OP13_SQL}
