@@ -42,14 +42,13 @@ def hot_hashes(norm: DataFrame) -> tuple[DataFrame, int]:
     return counts.filter((F.col("n") > rows) | (F.col("b") > size)).select("h", pieces.alias("pieces")), whole.b
 
 
-def sorted_ranges(rows: DataFrame, size: int) -> DataFrame:
-    """rows (norm, h, piece and others) in ranges of the content order, in about RANGE_BYTES each when the session's number of partitions is too few."""
-    keys = [F.substring("norm", 1, HEAD_CHARS).alias("head"), "h", "piece"]
-    rows = rows.withColumn("head", keys[0])
+def sorted_ranges(rows: DataFrame, size: int, *keys: str) -> DataFrame:
+    """rows (norm, h and others) with head, in ranges of head and keys, of about RANGE_BYTES each when the session's number of partitions is too few."""
+    rows = rows.withColumn("head", F.substring("norm", 1, HEAD_CHARS))
     n = -(-size // RANGE_BYTES)
     if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        return rows.repartitionByRange(n, "head", "h", "piece")
-    return rows.repartitionByRange("head", "h", "piece")
+        return rows.repartitionByRange(n, "head", *keys)
+    return rows.repartitionByRange("head", *keys)
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -69,11 +68,12 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", carry
         rows = rows.join(F.broadcast(hot), "h", "left").withColumn("hot", F.col("pieces").isNotNull())
         rows = rows.withColumn("piece", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), "pieces")).otherwise(F.lit(0).cast("long")))
     else:
-        rows = rows.withColumns({"hot": F.lit(False), "piece": F.lit(0).cast("long")})
+        rows = rows.withColumn("hot", F.lit(False))
     # The window's groups lie within the ranges, so it needs no exchange; it tells neighbours apart by their whole texts.
-    same = W.partitionBy("head", "h", "piece", "norm").orderBy(F.col("id").asc_nulls_last())
+    keys = ("h", "piece") if some_hot else ("h",)
+    same = W.partitionBy("head", *keys, "norm").orderBy(F.col("id").asc_nulls_last())
     every = same.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    found = sorted_ranges(rows, size).select("id", "row", "h", "hot", "norm", F.row_number().over(same).alias("place"), F.min("id").over(every).alias("low"), F.count("*").over(every).alias("n"))
+    found = sorted_ranges(rows, size, *keys).select("id", "row", "h", "hot", "norm", F.row_number().over(same).alias("place"), F.min("id").over(every).alias("low"), F.count("*").over(every).alias("n"))
     found = found.select("id", "row", "h", "hot", "place", "low", "n", F.sha2("norm", 256).alias("text_sha256"), F.when(F.col("hot") & (F.col("place") == 1), F.col("norm")).alias("norm"))
     if not some_hot:
         return _settled(found.drop("hot", "h", "norm"), carry)

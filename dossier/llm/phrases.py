@@ -8,8 +8,6 @@ gets more than its share. At the end of a route a multikey three-way quicksort c
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -27,7 +25,9 @@ COVER_PERCENT = 80
 SCORE_SCALE = 2_000_000
 #: Flags for frequent words: 8 MB whatever the input. Words that share a flag only cost a longer route.
 FLAGS = 1 << 26
-SLICE_BYTES = 12 << 20
+#: Bytes of text that a task takes up at a time, for counts and for suffixes, which take about 40 times their text.
+COUNT_BYTES = 8 << 20
+SUFFIX_BYTES = 4 << 20
 ROUTE_SUFFIXES = 1_000_000
 #: A prefix is routed by one more word if it has over ROUTE_SUFFIXES places and over this share of all.
 HOT_SHARE = 4096
@@ -39,10 +39,10 @@ def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(of(lang, UNKNOWN).alias("lang"), of(text, "").alias("text"))
 
 
-def _read(batches, seed: int):
+def _read(batches, seed: int, size: int):
     """Words of each slice of (lang, text) batches, keyed."""
     for batch in batches:
-        for part in slices(batch, 1, SLICE_BYTES):
+        for part in slices(batch, 1, size):
             langs = part.column(0).dictionary_encode()
             words = Words(part.column(1).cast(pa.string()))
             words.langs = langs.dictionary.to_pylist()
@@ -57,8 +57,10 @@ def _signed(keys: np.ndarray) -> np.ndarray:
 def word_counts(texts: DataFrame, seed: int) -> DataFrame:
     """(lang, word, key, n) of texts (lang, text)."""
 
+    size = COUNT_BYTES
+
     def counted(batches):
-        for w in _read(batches, seed):
+        for w in _read(batches, seed, size):
             if len(w.key):
                 langs = pa.array(w.langs, pa.string()).take(pa.array(w.of_lang))
                 yield pa.RecordBatch.from_arrays([langs, w.names.take(pa.array(w.of_word)), pa.array(_signed(w.key)), pa.array(w.count.astype(np.int64))], names=["lang", "word", "key", "n"])
@@ -77,7 +79,7 @@ def _flags(keys: DataFrame) -> np.ndarray:
 
 
 def _flagged(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    s = keys & np.uint64(FLAGS - 1)
+    s = keys & np.uint64(64 * len(flags) - 1)
     return (flags[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -96,10 +98,10 @@ def hot_prefixes(texts: DataFrame, seed: int, hot: list[np.ndarray], over: int)
 
     Both the prefix and the rest of such a prefix are themselves hot, so only few are counted.
     """
-    d = len(hot) + 1
+    d, size = len(hot) + 1, SUFFIX_BYTES
 
     def counted(batches):
-        for w in _read(batches, seed):
+        for w in _read(batches, seed, size):
             s, n = packed(w.suffixes(_within(w.key[:, None], hot[0])))
             s, n = s[s[:, d - 1] > 0], n[s[:, d - 1] > 0]
             full = np.append(np.uint64(0), w.key)[s[:, :d]]
@@ -112,33 +114,31 @@ def hot_prefixes(texts: DataFrame, seed: int, hot: list[np.ndarray], over: int)
     return np.array([[*r.g, r.n] for r in found], dtype=np.int64).reshape(-1, d + 1)
 
 
-def _mixed(a: np.ndarray) -> np.ndarray:
-    """One number per row of keys."""
-    out = np.zeros(len(a), dtype=np.uint64)
-    for k in range(a.shape[1]):
-        out = (out ^ a[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
+def _lead(suffix: np.ndarray, hot: list[np.ndarray]) -> np.ndarray:
+    """One number per suffix from its leading word, and from each next one while what leads is hot."""
+    mix = lambda x, key: ((x ^ key) * np.uint64(0x9E3779B97F4A7C15)) ^ (x >> np.uint64(29))
+    out = mix(np.uint64(1), suffix[:, 0])
+    is_hot = np.ones(len(suffix), dtype=bool)
+    for d, h in enumerate(hot, 1):
+        is_hot &= _within(suffix[:, :d], h)
+        out[is_hot] = mix(out[is_hot], suffix[is_hot, d])
+    return out ^ (out >> np.uint64(32))
 
 
 def routed(texts: DataFrame, seed: int, flags, hot: list[np.ndarray], routes: int) -> DataFrame:
     """(route, body): packed suffixes with their counts, those of one slice and route in one row."""
 
+    size = SUFFIX_BYTES
+
     def cut(batches):
         pack = zstandard.ZstdCompressor(level=1)
-        for w in _read(batches, seed):
+        for w in _read(batches, seed, size):
             s, n = packed(w.suffixes(_flagged(flags.value, w.key)))
             more = s[:, 1] > 0
             full, n = np.append(np.uint64(0), w.key)[s[more]], n[more]
             if not len(full):
                 continue
-            lead = full.copy()
-            lead[:, 1:] = 0
-            is_hot = np.ones(len(full), dtype=bool)
-            for d, h in enumerate(hot, 1):
-                is_hot &= _within(full[:, :d], h)
-                lead[is_hot, d] = full[is_hot, d]
-            route = (_mixed(lead) % np.uint64(routes)).astype(np.int64)
+            route = (_lead(full, hot) % np.uint64(routes)).astype(np.int64)
             order = np.argsort(route, kind="stable")
             route, full, n = route[order], full[order], n[order]
             heads = np.flatnonzero(np.append(True, route[1:] != route[:-1]))
@@ -155,13 +155,15 @@ def counted_routes(rows: DataFrame, hot: list[np.ndarray], least: int) -> DataFr
 
     def count(t: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        suffix, weight = [], []
-        for body in chain.from_iterable(c.to_pylist() for c in t["body"].chunks):
+        bodies = [b.as_py() for b in t["body"]]
+        sizes = [zstandard.frame_content_size(b) // width for b in bodies]
+        suffix, weight, at = np.empty((sum(sizes), DEPTH), np.uint64), np.empty(sum(sizes), np.int64), 0
+        for body, m in zip(bodies, sizes):
             raw = unpack.decompress(body)
-            m = len(raw) // width
-            suffix.append(np.frombuffer(raw, dtype=np.uint64, count=DEPTH * m).reshape(DEPTH, m).T)
-            weight.append(np.frombuffer(raw, dtype=np.uint32, offset=8 * DEPTH * m).astype(np.int64))
-        g, n = frequent(np.concatenate(suffix), np.concatenate(weight), least) if suffix else (np.zeros((0, DEPTH), np.uint64), np.zeros(0, np.int64))
+            suffix[at : at + m] = np.frombuffer(raw, dtype=np.uint64, count=DEPTH * m).reshape(DEPTH, m).T
+            weight[at : at + m] = np.frombuffer(raw, dtype=np.uint32, offset=8 * DEPTH * m)
+            at += m
+        g, n = frequent(suffix, weight, least)
         size = (g != 0).sum(axis=1)
         keep = size > 1
         for d, h in enumerate(hot[1:], 2):

@@ -44,8 +44,8 @@ class Words:
         begins[edge] = letter[edge]
         first = np.flatnonzero(begins)
         self.row = np.searchsorted(offsets, first, side="right") - 1
-        self.piece = np.cumsum(kind == 2, dtype=np.int64)[first] + self.row
-        inner = np.cumsum(letter, dtype=np.int64)
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[first] + self.row
+        inner = np.cumsum(letter, dtype=np.int32)
         lengths = np.append(inner[first] - 1, inner[-1] if len(inner) else 0)
         flat = pa.StringArray.from_buffers(len(first), pa.py_buffer(lengths.astype(np.int32)), pa.py_buffer(_LOWER[body[letter]]))
         coded = flat.dictionary_encode()
