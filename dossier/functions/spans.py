@@ -74,13 +74,17 @@ def cut_text(text: str, size: int, overlap: int | None, stops: str) -> list[dict
     return out
 
 
-def cutter(size: int, overlap: int | None, stops: str):
-    """An Arrow function text -> pieces."""
+def check_sizes(size: int, overlap: int | None) -> None:
     if size <= 0:
         raise ValueError("size must be positive")
     if overlap is not None and not 0 <= overlap < size:
         raise ValueError("overlap must be non-negative and smaller than size")
 
+
+def cutter(size: int, overlap: int | None, stops: str):
+    """An Arrow function text -> pieces."""
+    check_sizes(size, overlap)
+
     @F.pandas_udf(PIECE)
     def cut(texts: pd.Series) -> pd.Series:
         return pd.Series([cut_text(t or "", size, overlap, stops) for t in texts])
@@ -109,6 +113,26 @@ def coverage(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFra
     return pd.DataFrame(rows, columns=["source", "covered", "uncovered", "ranges", "first_ranges"])
 
 
+RANGES = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
+
+
+@F.pandas_udf(RANGES)
+def elements_under(element_starts: pd.Series, element_ends: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Numbers (from 1) of the first and last element that overlap each span; first > last where none does.
+
+    The elements of a row are sorted and disjoint, so one sweep over both ends finds the elements of all its spans.
+    A span with its ends exchanged counts as the span between them.
+    """
+    out = []
+    for es, ee, ss, se in zip(element_starts, element_ends, starts, ends):
+        a, b = np.asarray(ss, np.int64), np.asarray(se, np.int64)
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        first = np.searchsorted(np.asarray(ee, np.int64), low, side="right") + 1
+        last = np.searchsorted(np.asarray(es, np.int64), high, side="left")
+        out.append([{"first": int(f), "last": int(t)} for f, t in zip(first, last)])
+    return pd.Series(out)
+
+
 def overlap_join(
     left: DataFrame, right: DataFrame, keys: list[str], width: int, how_left: tuple[str, str] = ("start", "end"),
     how_right: tuple[str, str] = ("r_start", "r_end"),

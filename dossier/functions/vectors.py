@@ -16,10 +16,3 @@ def unit(v: Column, digits: int = 8) -> Column:
     """L2-normalized and rounded; a zero vector stays as it is."""
     doubles = F.transform(v, lambda x: x.cast("double"))
     return let(doubles, lambda d: let(norm(d), lambda n: F.when(n == 0, d).otherwise(F.transform(d, lambda x: F.round(x / n, digits)))))
-
-
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine; 1.0 when either vector is zero."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    n = norm(a) * norm(b)
-    return F.when(n == 0, 1.0).otherwise(1.0 - dot / n)

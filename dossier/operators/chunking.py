@@ -1,9 +1,16 @@
-"""Texts to chunks: fixed windows, bounded parts, policy sections and coverage reports."""
+"""Texts to chunks: fixed windows, bounded parts, policy sections and coverage reports.
+
+Chunks of a document come from one row and stay in its order: rows are only ever exploded, and the pass that cuts
+long units counts along. So numbering needs no shuffle.
+"""
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.functions import spans
@@ -30,7 +37,14 @@ RETRIEVAL_TYPES = (
     "policy_clause_group", "english_category_overview", "english_clause_group", "english_action_clause",
 )
 
-UNIT = "array<struct<chunk_type:string,start:int,text:string,section:string,title:string,clause_no:string,level:string,role:string>>"
+# What becomes a chunk, or several if it is long. path, semantic, language, split and end are null where they follow from the rest.
+UNIT = (
+    "array<struct<chunk_type:string,start:int,text:string,section:string,title:string,clause_no:string,level:string,role:string,"
+    "path:array<string>,semantic:string,language:string,split:int,end:int>>"
+)
+# A stretch of one document that is chunked in one way: `head` has the whole text and the element spans and gives no
+# chunk; `zh` and `en` are cut by sections, `window` by size; `front` and `tree` bring their units.
+PART = f"array<struct<kind:string,off:int,body:string,units:{UNIT},starts:array<int>,ends:array<int>>>"
 
 
 def window_chunks(df: DataFrame, keys: list[str], text: str = "text", size: int = 1200, overlap: int = 150) -> DataFrame:
@@ -97,6 +111,7 @@ def _unit(chunk_type, start, text, section, title=None, clause_no=None, level=No
     return F.struct(
         s(chunk_type).alias("chunk_type"), start.cast("int").alias("start"), text.alias("text"), s(section).alias("section"),
         s(title).alias("title"), s(clause_no).alias("clause_no"), s(level).alias("level"), s(role).alias("role"),
+        F.lit(None).cast("array<string>").alias("path"), s(None).alias("semantic"), s(None).alias("language"), F.lit(None).cast("int").alias("split"), F.lit(None).cast("int").alias("end"),
     )
 
 
@@ -266,18 +281,15 @@ def _en_units(text: Column, start: Column, h: Column) -> Column:
     )
 
 
-def _bodies(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Chinese body and English tail of every document as rows (lang, _o, body)."""
-    t = F.col(text)
-    row = lambda lang, off, body: F.struct(F.lit(lang).alias("lang"), off.alias("off"), body.alias("body"))
-    rows = let(
-        english_tail_start(t),
-        lambda at: F.when(at < 0, F.array(row("zh", F.lit(0), t))).otherwise(
-            F.array(row("zh", F.lit(0), F.substring(t, F.lit(1), at)), row("en", at, F.substring(t, at + 1, F.length(t))))
-        ),
-    )
-    d = explode_once(df, keys, rows, "_i", "p")
-    return d.select(*keys, F.col("p.lang").alias("language"), F.col("p.off").alias("_o"), F.col("p.body").alias("body"))
+def _part(kind: str, off: Column, body: Column) -> Column:
+    none = lambda t: F.lit(None).cast(t)
+    return F.struct(F.lit(kind).alias("kind"), off.cast("int").alias("off"), body.alias("body"), none(UNIT).alias("units"), none("array<int>").alias("starts"), none("array<int>").alias("ends"))
+
+
+def text_parts(t: Column) -> Column:
+    """Chinese body and English tail of a text that begins with its body."""
+    both = lambda at: F.array(_part("zh", F.lit(0), F.substring(t, F.lit(1), at)), _part("en", at, F.substring(t, at + 1, F.length(t))))
+    return let(english_tail_start(t), lambda at: F.when(at < 0, F.array(_part("zh", F.lit(0), t))).otherwise(both(at)))
 
 
 # Up to nine words in front of the fixed ones, read backwards from them.
@@ -304,48 +316,133 @@ def english_tail_start(text: Column) -> Column:
 
 
 def policy_chunks(df: DataFrame, keys: list[str], text: str = "text", name: str = "source_name", size: int = 1200) -> DataFrame:
-    """Structured chunks of policy documents: Chinese body, English tail, numbered per document.
+    """Structured chunks of policy documents: Chinese body, English tail, numbered per row of df.
 
-    `df` holds whole document texts from the body start on. Long units are cut
-    into parts. Only the final numbering needs the document's rows together.
+    `df` holds whole document texts from the body start on. Long units are cut into parts.
     """
-    k = [*keys, name, "language"]
-    is_zh = F.col("language") == "zh"
-    bodies = _bodies(df, [*keys, name], text)
-    cuts = F.when(is_zh, spans.segments(F.col("body"), ZH_MAJOR)).otherwise(spans.segments(F.col("body"), EN_MAJOR))
-    heading = F.when(is_zh, F.regexp_extract("s.text", "^" + ZH_MAJOR, 0)).otherwise(F.regexp_extract("s.text", "^" + EN_MAJOR, 0))
-    sections = _section_rows(explode_once(bodies, [*k, "_o"], cuts, "section_no", "s"), k, heading)
+    return part_chunks(df.select(*keys, name, text_parts(F.col(text)).alias("_parts")), keys, "_parts", name, size).drop("kind", "first_element", "last_element", "semantic_type")
+
+
+def part_chunks(df: DataFrame, keys: list[str], parts: str, name: str, size: int = 1200, overlap: int = 150) -> DataFrame:
+    """Chunks of documents given as parts (see PART), numbered from 1 in the order of the parts.
+
+    If neither `zh` nor `en` gives a chunk, the text of `head` is cut into windows instead. first_element and
+    last_element number the elements under each chunk (null: no head, or none there).
+    """
+    d = df.withColumn("_row", F.monotonically_increasing_id())
+    k = [*dict.fromkeys([*keys, name]), "_row"]
+    d = explode_once(d, k, F.col(parts), "_i", "p").select(*k, F.col("p.kind").alias("kind"), F.col("p.off").alias("_o"), F.col("p.body").alias("body"), "p.units", "p.starts", "p.ends")
+    is_zh, is_en = F.col("kind") == "zh", F.col("kind") == "en"
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("body").alias("text")))
+    cuts = F.when(is_zh, spans.segments(F.col("body"), ZH_MAJOR)).when(is_en, spans.segments(F.col("body"), EN_MAJOR)).otherwise(whole)
+    heading = F.when(is_zh, F.regexp_extract("s.text", "^" + ZH_MAJOR, 0)).when(is_en, F.regexp_extract("s.text", "^" + EN_MAJOR, 0))
+    k += ["kind", "units", "starts", "ends"]
+    sections = _section_rows(explode_once(d, [*k, "_o"], cuts, "section_no", "s"), k, heading)
     at, h, t = F.col("start"), F.col("heading"), F.col("text")
-    cells = F.when(is_zh, _zh_units(t, at, h)).otherwise(_en_units(t, at, h))
-    d = explode_once(sections, [*k, "section_no", "heading"], cells, "unit_no", "u")
-    units = role_columns(
-        d.select(
-            *k, "section_no", "unit_no", "heading", F.col("u.chunk_type").alias("chunk_type"), F.col("u.start").alias("start"), F.col("u.text").alias("raw_text"),
-            F.col("u.section").alias("section_title"), F.col("u.title").alias("group_title"), F.col("u.clause_no").alias("clause_no"),
-            F.col("u.level").alias("violation_level"), F.col("u.role").alias("chunk_role"),
-        )
+    window = F.array(_unit("fixed_window", at, t, None))
+    cells = F.when(is_zh, _zh_units(t, at, h)).when(is_en, _en_units(t, at, h)).when(F.col("kind").isin("head", "window"), window).otherwise(F.col("units"))
+    d = explode_once(sections, [*k, "heading"], cells, "unit_no", "u")
+    language = F.coalesce(F.col("u.language"), F.when(is_zh | is_en, F.col("kind")))
+    units = d.select(
+        *k, "heading", F.col("u.chunk_type").alias("chunk_type"), F.col("u.start").alias("start"), F.col("u.end").alias("end"), F.col("u.text").alias("raw_text"),
+        F.col("u.section").alias("section_title"), F.col("u.title").alias("group_title"), F.col("u.clause_no").alias("clause_no"), F.col("u.level").alias("violation_level"),
+        F.col("u.role").alias("chunk_role"), F.col("u.path").alias("_path"), F.col("u.semantic").alias("semantic_type"), language.alias("language"), F.col("u.split").alias("_split"),
     )
-    cut = spans.cutter(size, None, spans.PART_STOPS)
-    units = units.withColumn("_t", squash("raw_text")).filter("_t <> ''").withColumn("_w", cut("_t"))
-    rows = units.select("*", F.posexplode("_w").alias("part_no", "w"))
-    over = F.length("_t") > size
-    order = W.partitionBy(*keys).orderBy(F.col("language").desc(), "section_no", "unit_no", "part_no")
+    units = role_columns(units.drop("units")).withColumn("_t", squash("raw_text")).filter("_t <> ''")
+    rows = _cut_and_numbered(units, size, overlap)
     title = F.when(F.col("chunk_type").isin("action_clause", "english_action_clause"), _action_title()).otherwise(F.col("group_title"))
-    path = F.array_compact(F.array(F.col(name), F.coalesce("section_title", "heading"), title))
+    own = F.array_compact(F.array(F.coalesce("section_title", "heading"), title))
+    path = F.when(F.col("kind").isin("head", "window"), F.array(F.col(name))).otherwise(F.concat(F.array_compact(F.array(F.col(name))), F.coalesce("_path", own)))
+    grouped = F.col("chunk_type").isin("clause_group", "policy_clause_group", "english_clause_group")
     return rows.select(
-        *keys,
-        F.row_number().over(order).alias("chunk_no"),
-        F.format_string("chunk-%04d", F.row_number().over(order)).alias("chunk_id"),
-        F.col("w.text").alias("text"), path.alias("heading_path"), "chunk_type", "language", "section_title", "group_title",
-        "clause_no",
-        F.when(F.col("chunk_type").isin("clause_group", "policy_clause_group", "english_clause_group"), clause_range(F.col("_t"), F.col("clause_no"))).alias("clause_range"),
-        "violation_level", "chunk_role", "retrieval_priority", "index_scope",
-        F.when(over, F.col("part_no") + 1).alias("split_index"),
-        F.when(over, F.col("start") + F.col("w.start")).otherwise(F.col("start")).alias("start"),
-        F.when(over, F.col("start") + F.col("w.end")).otherwise(F.col("start") + F.length("raw_text")).alias("end"),
+        *keys, F.col("chunk_no").cast("int").alias("chunk_no"), F.format_string("chunk-%04d", F.col("chunk_no")).alias("chunk_id"),
+        F.col("piece").alias("text"), path.alias("heading_path"), "chunk_type", "language", "section_title", "group_title", "clause_no",
+        F.when(grouped, clause_range(F.col("_t"), F.col("clause_no"))).alias("clause_range"), "violation_level", "chunk_role", "retrieval_priority", "index_scope",
+        F.coalesce(F.col("_split"), F.col("part_no")).alias("split_index"), "start", "end", "kind", "semantic_type", "first_element", "last_element",
     )
 
 
+class _Document:
+    """What the numbering pass knows about the document whose rows go by."""
+
+    def __init__(self, row: int):
+        self.row, self.number, self.structured = row, 0, False
+        self.head: pa.RecordBatch | None = None
+        self.starts = self.ends = None
+
+    def elements(self, start: int, end: int) -> tuple[int | None, int | None]:
+        if self.starts is None:
+            return None, None
+        first, last = int(np.searchsorted(self.ends, start, side="right")) + 1, int(np.searchsorted(self.starts, end, side="left"))
+        return (first, last) if first <= last else (None, None)
+
+
+_CUT_COLUMNS = (("piece", pa.string()), ("part_no", pa.int32()), ("chunk_no", pa.int64()), ("first_element", pa.int32()), ("last_element", pa.int32()))
+
+
+def _cut_and_numbered(units: DataFrame, size: int, overlap: int) -> DataFrame:
+    """Cuts the units of each document and counts its pieces; the rows of a document (_row) follow each other."""
+    spans.check_sizes(size, overlap)
+    fields = [f.simpleString().replace(":", " ", 1) for f in units.drop("_row", "starts", "ends").schema]
+    schema = ", ".join([*(f"`{f.split(' ', 1)[0]}` {f.split(' ', 1)[1]}" for f in fields), "piece string, part_no int, chunk_no long, first_element int, last_element int"])
+
+    def run(batches):
+        doc = None
+
+        def finished(source: pa.RecordBatch, taken: list) -> pa.RecordBatch:
+            at, start, end, *more = zip(*taken)
+            out = source.drop_columns(["_row", "starts", "ends"]).take(pa.array(at, pa.int64()))
+            for name, values in (("start", start), ("end", end)):
+                out = out.set_column(out.schema.get_field_index(name), name, pa.array(values, pa.int32()))
+            arrays = [pa.array(v, t) for v, (_, t) in zip(more, _CUT_COLUMNS)]
+            return pa.RecordBatch.from_arrays([*out.columns, *arrays], names=[*out.schema.names, *[n for n, _ in _CUT_COLUMNS]])
+
+        def taken_from(doc: _Document, i: int, kind: str, text: str, start: int, end: int | None, raw_size: int):
+            window = kind in ("window", "head")
+            pieces = spans.cut_text(text, size, overlap, spans.WINDOW_STOPS) if window else spans.cut_text(text, size, None, spans.PART_STOPS)
+            over = len(text) > size
+            for n, p in enumerate(pieces, 1):
+                whole = not over and not window
+                a, b = (start, start + raw_size if end is None else end) if whole else (start + p["start"], start + p["end"])
+                doc.number += 1
+                yield (i, a, b, p["text"], n if over and not window else None, doc.number, *doc.elements(a, b))
+
+        def fallback(doc: _Document):
+            """The windows of a document whose sections gave nothing."""
+            if doc is not None and doc.head is not None and not doc.structured:
+                doc.structured = True
+                one = list(taken_from(doc, 0, "head", doc.head["_t"][0].as_py(), 0, None, 0))
+                if one:
+                    yield finished(doc.head, one)
+
+        for batch in batches:
+            taken: list = []
+            columns = [batch[c].to_pylist() for c in ("_row", "kind", "_t", "start", "end")]
+            raw_sizes = [len(x) for x in batch["raw_text"].to_pylist()]
+            for i, (row, kind, text, start, end) in enumerate(zip(*columns)):
+                if doc is None or row != doc.row or (kind == "tree" and not doc.structured):
+                    waiting = list(fallback(doc))
+                    if waiting:
+                        if taken:
+                            yield finished(batch, taken)
+                            taken = []
+                        yield from waiting
+                    if doc is None or row != doc.row:
+                        doc = _Document(row)
+                if kind == "head":
+                    doc.head = batch.slice(i, 1)
+                    doc.starts, doc.ends = (np.asarray(batch[c][i].as_py(), np.int64) for c in ("starts", "ends"))
+                    continue
+                before = doc.number
+                taken.extend(taken_from(doc, i, kind, text, start, end, raw_sizes[i]))
+                doc.structured |= doc.number > before
+            if taken:
+                yield finished(batch, taken)
+        yield from fallback(doc)
+
+    return units.mapInArrow(run, schema)
+
+
 def _action_title() -> Column:
     zh_name = F.lit(None).cast("string")
     for title, code in LEVELS.items():
@@ -355,96 +452,164 @@ def _action_title() -> Column:
     return F.when(F.col("violation_level").isNull(), F.col("clause_no")).otherwise(F.concat_ws(" ", "clause_no", named))
 
 
-def is_mission_zh(t: Column) -> Column:
-    return t.rlike(CJK) & F.contains(t, F.lit("使命")) & F.contains(t, F.lit("愿景")) & ~F.contains(t, F.lit("摘要"))
+_ZH_BODY = re.compile(f"{ZH_MAJOR}|{ZH_CATEGORY}", re.ASCII)
+_TITLE, _EN_MAJOR, _EN_CATEGORY, _DATETIME, _LEAD = (re.compile(p, re.ASCII) for p in (EN_TITLE_CORE, EN_MAJOR, EN_CATEGORY, DATETIME, EN_TITLE_LEAD))
+_HAN = re.compile("[\u4e00-\u9fff]")
+# Headings of the front matter and the path each kind goes under.
+MISSION_EN = "Mission, Educational Goal and Vision"
+FRONT_PATHS = {"summary": ["摘要"], "mission_zh": ["使命、培养目标和愿景"], "mission_en": [MISSION_EN], "policy_intro": ["引言"], "document_intro": ["文档背景"], "document_metadata": ["文档时间"]}
 
 
-def is_mission_en(t: Column) -> Column:
-    return F.contains(t, F.lit("Mission, Educational Goal and Vision"))
+def _is_mission_zh(t: str) -> bool:
+    return bool(_HAN.search(t)) and "使命" in t and "愿景" in t and "摘要" not in t
 
 
-def is_intro(t: Column) -> Column:
-    return t.rlike(CJK) & F.contains(t, F.lit("员工纪律制度")) & (F.contains(t, F.lit("引 言")) | F.contains(t, F.lit("引言")))
+def _is_mission_en(t: str) -> bool:
+    return MISSION_EN in t
 
 
-def front_matter(df: DataFrame, keys: list[str], elements: str = "elements") -> DataFrame:
-    """Types the elements ahead of the policy body and groups their runs.
+def _is_intro(t: str) -> bool:
+    return bool(_HAN.search(t)) and "员工纪律制度" in t and ("引 言" in t or "引言" in t)
 
-    A fold over the few front elements of one document: a mission or intro
-    heading opens a run that only its stop markers end.
-    """
-    es = F.col(elements)
-    starts = F.filter(es, lambda e: e["text"].rlike(ZH_MAJOR) | e["text"].rlike(ZH_CATEGORY))
-    stop = F.coalesce(F.get(starts, F.lit(0))["pos"], F.size(es) + 1)
-    front = F.filter(es, lambda e: e["pos"] < stop)
-    kind_of = lambda t: (
-        F.when(F.contains(t, F.lit("[摘要]")) | t.rlike(EN_TITLE_CORE), "top")
-        .when(~t.rlike(CJK) & t.startswith("We are a group of people"), "summary")
-        .when(is_mission_zh(t), "mission_zh").when(is_mission_en(t), "mission_en").when(is_intro(t), "policy_intro")
-        .otherwise("document_intro")
-    )
-    empty = F.array().cast("array<struct<kind:string,run:int,text:string,start:int,end:int>>")
 
-    def step(acc: Column, e: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
+def title_start(text: str) -> int | None:
+    """Start of the first English title: the fixed words and up to nine words in front of them."""
+    m = _TITLE.search(text)
+    return m.start() - len(_LEAD.match(text[: m.start()][::-1])[1]) if m else None
+
+
+def marker_start(text: str) -> int | None:
+    """Start of the first English marker of a text."""
+    found = [m.start() for m in (_EN_MAJOR.search(text), _EN_CATEGORY.search(text)) if m]
+    title = title_start(text)
+    return min(found + [title] if title is not None else found, default=None)
+
+
+def policy_bounds(elements: list[dict]) -> tuple[int | None, int | None]:
+    """Offsets of the Chinese body and of the English tail in the document text; None where there is none."""
+    body = next((i for i, e in enumerate(elements) if _ZH_BODY.search(e["text"])), None)
+    for e in elements[0 if body is None else body + 1 :]:
+        at = marker_start(e["text"])
+        if at is not None:
+            return None if body is None else elements[body]["start"], e["start"] + at
+    return None if body is None else elements[body]["start"], None
+
+
+def front_runs(elements: list[dict]) -> list[dict]:
+    """Runs ahead of the policy body as kind, run, piece and span: a mission or intro heading opens a run that only its stop markers end."""
+    kinds = (("mission_zh", _is_mission_zh, (_is_mission_en, _is_intro)), ("mission_en", _is_mission_en, (_is_intro,)), ("policy_intro", _is_intro, (_is_mission_zh, _is_mission_en)))
+    out, run, stops = [], 0, ()
+    for e in elements:
         t = e["text"]
-        goes_on = (
-            F.when(last["kind"] == "mission_zh", ~is_mission_en(t) & ~is_intro(t))
-            .when(last["kind"] == "mission_en", ~is_intro(t))
-            .when(last["kind"] == "policy_intro", ~is_mission_zh(t) & ~is_mission_en(t))
-            .otherwise(F.lit(False))
-        )
-        goes_on = F.coalesce(goes_on, F.lit(False))
-        return F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    F.when(goes_on, last["kind"]).otherwise(kind_of(t)).alias("kind"),
-                    F.when(goes_on, last["run"]).otherwise(F.coalesce(last["run"], F.lit(0)) + 1).alias("run"),
-                    t.alias("text"), e["start"].alias("start"), e["end"].alias("end"),
-                )
-            ),
+        if stops and not any(stop(t) for stop in stops):
+            out[-1]["end"] = e["end"]
+            continue
+        run, stops = run + 1, ()
+        if "[摘要]" in t or _TITLE.search(t):
+            out += [{"run": run, "piece_no": n, "kind": k, "start": e["start"] + a, "end": e["start"] + b} for n, (k, a, b) in enumerate(_top_pieces(t)) if t[a:b].strip()]
+            continue
+        if not _HAN.search(t) and t.startswith("We are a group of people"):
+            kind = "summary"
+        else:
+            kind, stops = next(((k, ends) for k, holds, ends in kinds if holds(t)), ("document_intro", ()))
+        out.append({"run": run, "piece_no": 0, "kind": kind, "start": e["start"], "end": e["end"]})
+    return out
+
+
+def _top_pieces(t: str) -> list[tuple[str, int, int]]:
+    """A title element to title, time stamp and summary pieces."""
+    summary = t.find("[摘要]") if "[摘要]" in t else len(t)
+    date = _DATETIME.search(t[:summary])
+    title_end = date.start() if date else summary
+    english = title_start(t[:title_end])
+    titles = [("title", 0, title_end)] if english is None else [("title_zh", 0, english), ("title_en", english, title_end)]
+    return titles + ([("document_metadata", date.start(), date.end())] if date else []) + ([("summary", summary, len(t))] if summary < len(t) else [])
+
+
+def _language(t: str) -> str:
+    """As `language_of`, on a plain string."""
+    return "zh" if _HAN.search(t) else "en" if re.search("[A-Za-z]", t) else "neutral"
+
+
+def front_units(elements: list[dict], text: str, stop: int) -> list[dict]:
+    """Units of the front matter that ends at offset `stop` of the document text."""
+    out = []
+    for r in front_runs([e for e in elements if e["start"] < stop and e["end"] <= stop]):
+        body = text[r["start"] : r["end"]]
+        kind = r["kind"].split("_")[0] if r["kind"].startswith(("title", "mission")) else r["kind"]
+        language = r["kind"][-2:] if r["kind"] in ("title_zh", "title_en", "mission_zh", "mission_en") else {"policy_intro": "zh", "document_metadata": "neutral"}.get(r["kind"]) or _language(body)
+        chunk_type = {"title": "document_intro", "mission": "mission_section"}.get(kind, kind)
+        if r["kind"] == "summary":
+            language = "zh" if body.startswith("[摘要]") else "en"
+        out.append(
+            {"chunk_type": chunk_type, "start": r["start"], "end": r["end"], "text": body, "role": "coverage", "language": language,
+             "path": FRONT_PATHS.get(r["kind"], []), "semantic": "document_title" if kind == "title" else None}
         )
+    return out
 
-    d = df.select(*keys, F.explode(F.aggregate(front, empty, step)).alias("f"))
-    pieces = F.when(F.col("f.kind") == "top", _top_pieces(F.col("f.text"))).otherwise(
-        F.array(F.struct(F.lit(0).alias("at"), F.length("f.text").alias("stop"), F.lit(None).cast("string").alias("kind")))
-    )
-    d = d.select(*keys, "f", F.posexplode(pieces).alias("piece_no", "p"))
-    rows = d.select(
-        *keys, F.col("f.run").alias("run"), "piece_no",
-        F.coalesce("p.kind", "f.kind").alias("kind"),
-        (F.col("f.start") + F.col("p.at")).alias("start"), (F.col("f.start") + F.col("p.stop")).alias("end"),
-        F.substring(F.col("f.text"), F.col("p.at") + 1, F.col("p.stop") - F.col("p.at")).alias("text"),
-    ).filter(F.trim("text") != "")
-    # Elements of one run become one chunk.
-    return rows.groupBy(*keys, "run", "piece_no", "kind").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), " ").alias("text"),
-    )
 
+def front_matter(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """Typed runs ahead of the policy body, one row per run and piece. parsed: rows with `front` (see FRONT)."""
+    return parsed.select(*keys, F.inline("front"))
 
-def _top_pieces(t: Column) -> Column:
-    """A title element to title (zh, en), time stamp and summary pieces."""
-    n = F.length(t)
-    summary = F.when(F.contains(t, F.lit("[摘要]")), F.length(F.substring_index(t, "[摘要]", 1))).otherwise(n)
-    prefix = F.substring(t, F.lit(1), summary)
-    date = F.regexp_extract(prefix, DATETIME, 0)
-    title_end = F.when(date != "", F.length(F.get(F.split(prefix, DATETIME, 2), F.lit(0)))).otherwise(summary)
-    title = F.substring(t, F.lit(1), title_end)
-    en = F.when(title.rlike(EN_TITLE_CORE), _title_start(title)).otherwise(title_end)
-    piece = lambda a, b, k: F.struct(a.cast("int").alias("at"), b.cast("int").alias("stop"), k.alias("kind"))
-    own = F.concat(F.lit("title_"), language_of(title))
-    return F.array(
-        piece(F.lit(0), en, F.when(title.rlike(EN_TITLE_CORE), F.lit("title_zh")).otherwise(own)),
-        piece(en, title_end, F.lit("title_en")),
-        piece(title_end, title_end + F.length(date), F.lit("document_metadata")),
-        piece(summary, n, F.lit("summary")),
-    )
+
+def _front(elements: list[dict]) -> list[dict]:
+    """Runs of the front matter with their texts."""
+    text = " ".join(e["text"] for e in elements)
+    body, tail = policy_bounds(elements)
+    # Without a Chinese body the front ends with the element before the one that opens the English tail.
+    stop = body if body is not None else next((e["start"] for e in elements if tail is not None and e["start"] <= tail < e["end"]), len(text) + 1 if tail is None else tail)
+    front = [e for e in elements if e["end"] <= stop]
+    return [r | {"text": text[r["start"] : r["end"]]} for r in front_runs(front)]
+
+
+#: For the parsers of `parsing`: derived from the elements of a row in the same pass.
+FRONT = {"front": ("array<struct<run:int,piece_no:int,kind:string,start:int,end:int,text:string>>", _front)}
 
 
-def provenance(chunks: DataFrame, elements: DataFrame, keys: list[str], chunk_key: str, width: int = 4096) -> DataFrame:
-    """Elements under each chunk's span: ordered ids, count and element range."""
+def document_parts(elements: list[dict], tree_units: list[dict] = ()) -> tuple[list[dict], str]:
+    """The parts of a parsed document (see PART) and its text: front matter, body and tail, or windows; then the units of its tree."""
+    text = " ".join(e["text"] for e in elements)
+    if not text:
+        return [], text
+    part = lambda kind, off=0, body="-", units=None: {"kind": kind, "off": off, "body": body, "units": units}
+    body, tail = policy_bounds(elements)
+    parts = [part("head", 0, text) | {"starts": [e["start"] for e in elements], "ends": [e["end"] for e in elements]}]
+    if body is None and tail is None:
+        parts.append(part("window", 0, text))
+    else:
+        stop = body if body is not None else next(e["start"] for e in elements if e["start"] <= tail < e["end"])
+        front = front_units(elements, text, stop) if stop else []
+        if front:
+            parts.append(part("front", units=front))
+        for kind, a, b in (("zh", body, tail), ("en", tail, None)):
+            if a is not None:
+                raw = text[a:b]
+                parts.append(part(kind, a + len(raw) - len(raw.lstrip()), raw.strip()))
+    if tree_units:
+        parts.append(part("tree", units=list(tree_units)))
+    return parts, text
+
+
+def _element_ids(first: Column, last: Column) -> Column:
+    return F.when(first <= last, F.transform(F.sequence(first, last), lambda i: F.format_string("element-%04d", i))).otherwise(F.array().cast("array<string>"))
+
+
+def provenance(df: DataFrame, keys: list[str], chunks: str, elements: str = "elements") -> DataFrame:
+    """One row per chunk with its fields, its ordered element_ids and the range of their numbers (null: none).
+
+    `chunks` is an array of structs with start and end, `elements` the element array of the same row, so a chunk
+    meets its elements where the document was parsed.
+    """
+    e, c = F.col(elements), F.col(chunks)
+    under = spans.elements_under(e["start"], e["end"], c["start"], c["end"])
+    d = df.select(*keys, c.alias("_c"), under.alias("_r")).select(*keys, F.inline(F.arrays_zip("_c", "_r")))
+    some = F.col("_r.first") <= F.col("_r.last")
+    return d.select(*keys, "_c.*", _element_ids(F.col("_r.first"), F.col("_r.last")).alias("element_ids"), F.when(some, F.col("_r.first")).alias("range_start"), F.when(some, F.col("_r.last")).alias("range_end"))
+
+
+def provenance_of_rows(chunks: DataFrame, elements: DataFrame, keys: list[str], chunk_key: str, width: int = 4096) -> DataFrame:
+    """`provenance` for chunks and elements that come as rows, as of texts that do not fit a row; chunks without elements go."""
     e = elements.select(*keys, "element_id", "pos", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     pairs = spans.overlap_join(chunks.select(*keys, chunk_key, "start", "end"), e, keys, width)
     return pairs.groupBy(*keys, chunk_key).agg(
@@ -467,14 +632,31 @@ def char_coverage(df: DataFrame, keys: list[str], text: str, chunk_spans: str) -
     )
 
 
-def element_coverage(elements: DataFrame, chunks_of: DataFrame, keys: list[str]) -> DataFrame:
-    """Covered and uncovered elements per document; `chunks_of` lists (keys, element_id) of the chunks."""
-    seen = chunks_of.select(*keys, "element_id").distinct().withColumn("_c", F.lit(True))
-    n, covered = F.count("*"), F.count("_c")
-    return elements.join(seen, [*keys, "element_id"], "left").groupBy(*keys).agg(
-        F.when(n == covered, "complete").otherwise("partial").alias("element_coverage_status"),
-        n.alias("source_element_count"), covered.alias("covered_element_count"), (n - covered).alias("uncovered_element_count"),
-        (covered / n).alias("element_coverage_ratio"),
+def element_coverage(df: DataFrame, keys: list[str], chunks: str, elements: str = "elements") -> DataFrame:
+    """Covered and uncovered elements of each row, and the first 20 uncovered ones. Columns as in `provenance`.
+
+    A row without elements counts as complete.
+    """
+    e, c = F.col(elements), F.col(chunks)
+    under = F.filter(spans.elements_under(e["start"], e["end"], c["start"], c["end"]), lambda r: r["first"] <= r["last"])
+    # Ranges in order; each adds what reaches beyond the ones before it.
+    open_ = F.array().cast("array<struct<first:int,last:int>>")
+    step = lambda a, r: F.struct(
+        F.greatest(a["to"], r["last"]).alias("to"),
+        F.when(r["first"] > a["to"] + 1, F.concat(a["gaps"], F.array(F.struct((a["to"] + 1).alias("first"), (r["first"] - 1).alias("last"))))).otherwise(a["gaps"]).alias("gaps"),
+    )
+    start = F.struct(F.lit(0).alias("to"), open_.alias("gaps"))
+    n = F.size(elements)
+    end = lambda a: F.when(a["to"] < n, F.concat(a["gaps"], F.array(F.struct((a["to"] + 1).alias("first"), n.alias("last"))))).otherwise(a["gaps"])
+    d = df.select(*keys, e.alias("_e"), F.aggregate(F.array_sort(under), start, step, end).alias("_gaps"))
+    bare = F.aggregate("_gaps", F.lit(0), lambda a, g: a + g["last"] - g["first"] + 1).cast("long")
+    d = d.select(*keys, "_e", "_gaps", F.size("_e").cast("long").alias("n"), bare.alias("u"))
+    first = F.slice(F.flatten(F.transform("_gaps", lambda g: F.sequence(g["first"], F.least(g["last"], g["first"] + 19)))), 1, 20)
+    shown = F.transform(first, lambda i: F.struct(F.format_string("element-%04d", i).alias("element_id"), i.alias("index"), F.substring(F.get("_e", i - 1)["text"], 1, 120).alias("preview")))
+    return d.select(
+        *keys, F.when(F.col("u") == 0, "complete").otherwise("partial").alias("element_coverage_status"), F.col("n").alias("source_element_count"),
+        (F.col("n") - F.col("u")).alias("covered_element_count"), F.col("u").alias("uncovered_element_count"),
+        F.when(F.col("n") > 0, (F.col("n") - F.col("u")) / F.col("n")).otherwise(1.0).alias("element_coverage_ratio"), shown.alias("uncovered_elements"),
     )
 
 

@@ -6,14 +6,13 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.functions.session import materialize
 from dossier.functions.text import first_present
 from dossier.operators import chunking, parsing, tree
-from dossier.sources.raw import FILE_NAME_KEYS, FILE_TYPE_KEYS, FILE_URL_KEYS
+from dossier.sources.raw import FILE_NAME_KEYS, FILE_TYPE, FILE_TYPE_KEYS, FILE_URL_KEYS
 
 
 def merged_path(base: Column, title: Column, path: Column) -> Column:
@@ -39,44 +38,107 @@ def enrich_category(details: DataFrame, categories: DataFrame, key: str, fields:
     return d
 
 
-def body_chunks(details: DataFrame, size: int = 1200, overlap: int = 150) -> DataFrame:
-    """Chunks of the parsed bodies: policy sections where the text has policy marks, else fixed windows.
-
-    `details` has doc_id, title, elements.
-    """
-    text = parsing.document_text(F.col("elements"))
-    d = details.select("doc_id", "title", text.alias("text")).filter("text <> ''").withColumn("marked", chunking.has_policy_structure(F.col("text")))
-    cols = ["doc_id", "chunk_no", "chunk_type", "text", "heading_path"]
-    policy = chunking.policy_chunks(d.filter("marked"), ["doc_id"], "text", "title", size).select(*cols)
-    plain = chunking.window_chunks(d.filter("not marked"), ["doc_id", "title"], "text", size, overlap).select(
-        "doc_id", "chunk_no", F.lit("fixed_window").alias("chunk_type"), "text", F.array("title").alias("heading_path")
+PARSED = f"struct<parts:{chunking.PART},element_count:int,table_count:int,strategy:string,node_count:int,issue_count:int,structure_warnings:int>"
+
+
+def parsed_detail(size: int):
+    """For the parsers of `parsing`: everything the ingest needs of a body, from its elements, in the parsing pass."""
+
+    def make(elements: list[dict]) -> dict:
+        nodes = tree.section_nodes(elements)
+        issues = tree.node_issues(nodes)
+        units = [
+            {"chunk_type": c["chunk_type"], "start": c["start"], "end": c["end"], "text": c["text"], "section": c["section_title"], "level": c["violation_level"], "path": c["tail"], "split": c["split_index"]}
+            for c in tree.node_chunks(nodes, size)
+        ]
+        parts, text = chunking.document_parts(elements, units)
+        structured = any(p["kind"] in ("zh", "en") for p in parts)
+        return {
+            "parts": parts, "element_count": len(elements), "table_count": sum(e["kind"] == "table" for e in elements),
+            "strategy": "none" if not text else "policy_clause_group" if structured else "fixed_window_fallback",
+            "node_count": len(nodes), "issue_count": len(issues), "structure_warnings": sum(severity == "warning" for _, severity in issues),
+        }
+
+    return {"_d": (PARSED, make)}
+
+
+def _strings(values: dict[str, Column]) -> Column:
+    """A map of the values that are not null, as strings."""
+    every = F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*[v.cast("string") for v in values.values()]))
+    return F.map_filter(every, lambda k, v: v.isNotNull())
+
+
+def _quality() -> Column:
+    """Parse, chunking and structure quality of a parsed body (column _d)."""
+    d = lambda c: F.col(f"_d.{c}")
+    text = d("strategy") != "none"
+    marked = d("strategy") == "policy_clause_group"
+    found = d("element_count") > 0
+    structure = F.when(d("node_count") == 0, "failed").when(d("issue_count") > 0, "partial").otherwise("success")
+    return _strings(
+        {
+            "parser_name": F.lit("html_builtin"), "parse_status": F.when(found, "success").otherwise("failed"), "parse_element_count": d("element_count"),
+            "parse_table_count": d("table_count"), "parse_warning_count": F.when(found, 0).otherwise(1), "parse_warnings": F.when(~found, parsing.EMPTY_HTML),
+            "chunking_status": F.when(text, "success"), "chunking_strategy": F.when(text, d("strategy")), "chunking_fallback_reason": F.when(text & ~marked, "no_policy_structure_detected"),
+            "chunking_boundary_confidence": F.when(text, F.when(marked, "high").otherwise("low")), "structure_status": F.when(text, structure),
+            "structure_node_count": F.when(text, d("node_count")), "structure_issue_count": F.when(text, d("issue_count")), "structure_warning_count": F.when(text, d("structure_warnings")),
+        }
     )
-    return policy.unionByName(plain)
 
 
-def detail_chunks(details: DataFrame, size: int = 1200, overlap: int = 150) -> DataFrame:
-    """All chunks of a detail batch: tree chunks first, numbered after the body chunks, then the body.
+TREE, BODY, ATTACHMENT = 0, 1, 2
+
+
+def detail_chunks(details: DataFrame, size: int = 1200, overlap: int = 150, contents: DataFrame | None = None, parse_attachments: bool = False) -> DataFrame:
+    """All chunks of detail records with their ids, paths, provenance and metadata.
 
-    `details` has doc_id, title, category_name, body (HTML).
+    `details` has doc_id, title, category_name, body (HTML), and where present `metadata` (map of strings) and `files`.
+    A body is parsed once, and its front matter, sections or windows, then the chunks of its section tree, are made and
+    numbered where it was parsed. branch: 0 tree, 1 body, 2 attachment. With `parse_attachments`, files are looked up
+    in `contents` (url, text) and cut into windows under ids of their own; each chunk carries the state of the files.
+    A record whose body has no text gives no body chunks.
     """
-    parsed = parsing.html_elements(details.select("doc_id", "title", "category_name", "body"), "body")
-    # Four branches read the elements, so they are written once instead of parsed four times.
-    parsed = materialize(parsed, "elements")
-    body = body_chunks(parsed, size, overlap)
-    lines = parsing.explode_elements(parsed, ["doc_id"]).select("doc_id", "pos", "text", "element_id", "start", "end")
-    base = parsed.select("doc_id", "title", F.array_compact(F.array("category_name", "title")).alias("base"))
-    own = tree.tree_chunks(tree.tree_nodes(lines), "doc_id", size).select(
-        "doc_id", "chunk_no", "chunk_type", "text", "heading_path", F.lit(0).alias("branch")
+    own = lambda c, default: F.col(c) if c in details.columns else default
+    file_type = T.ArrayType(FILE_TYPE)
+    d = details.select(
+        "doc_id", "title", "category_name", "body", own("metadata", F.create_map().cast("map<string,string>")).alias("metadata"),
+        F.coalesce(own("files", F.array().cast(file_type)), F.array().cast(file_type)).alias("files"),
     )
-    every = own.unionByName(body.withColumn("branch", F.lit(1)))
-    body_count = F.count_if(F.col("branch") == 1).over(W.partitionBy("doc_id"))
-    every = every.withColumn("chunk_no", F.when(F.col("branch") == 0, F.col("chunk_no") + body_count).otherwise(F.col("chunk_no"))).join(base, "doc_id")
-    return every.select(
-        "doc_id", "branch", "chunk_no",
-        F.concat("doc_id", F.format_string("-chunk-%04d", F.col("chunk_no").cast("int"))).alias("chunk_id"),
-        F.concat("chunk_type", F.format_string("-%04d", F.col("chunk_no").cast("int"))).alias("block_id"),
-        "chunk_type", "text", merged_path(F.col("base"), F.col("title"), F.col("heading_path")).alias("heading_path"),
+    fetched = parsed_attachments(d, contents) if parse_attachments and contents is not None else None
+    if fetched is not None:
+        # Two branches read the fetched files.
+        fetched = materialize(fetched, "attachments")
+    state = attachment_states(d, fetched, parse_attachments)
+    path = F.array_compact(F.array("category_name", "title"))
+    named = {"title": F.col("title"), "policy_category_type_name": F.col("category_name"), "file_count": F.size("files")}
+    base = merged_metadata(merged_metadata(F.col("metadata"), _strings(named)), _strings({"attachment_parse_status": F.col("_s.status"), "attachment_parsed_count": F.col("_s.parsed_count"), "attachment_parse_warning_count": F.col("_s.warning_count")}))
+    d = state.select("doc_id", "title", F.when(F.size(path) > 0, path).otherwise(F.array("title")).alias("base"), base.alias("base_metadata"), "body")
+    parsed = parsing.html_elements(d, "body", out=None, derive=parsed_detail(size))
+    parsed = parsed.select("doc_id", "title", "base", merged_metadata(F.col("base_metadata"), _quality()).alias("base_metadata"), F.col("_d.parts").alias("_parts"))
+    c = chunking.part_chunks(parsed, ["doc_id", "title", "base", "base_metadata"], "_parts", "title", size, overlap)
+    chunk = {k: F.col(k) for k in ("chunk_type", "chunk_role", "language", "section_title", "group_title", "clause_no", "clause_range", "violation_level", "retrieval_priority", "index_scope", "semantic_type", "split_index")}
+    number = F.format_string("-%04d", "chunk_no")
+    from_tree = F.col("kind") == "tree"
+    tree_path = F.concat("base", F.slice("heading_path", 2, F.greatest(F.size("heading_path") - 1, F.lit(1))))
+    rows = c.select(
+        "doc_id", F.lit(None).cast("string").alias("parent_doc_id"), F.when(from_tree, TREE).otherwise(BODY).alias("branch"), "chunk_no",
+        F.concat("doc_id", F.lit("-chunk"), number).alias("chunk_id"), F.concat("chunk_type", number).alias("block_id"), "chunk_type", "text",
+        F.when(from_tree, tree_path).otherwise(merged_path(F.col("base"), F.col("title"), F.col("heading_path"))).alias("heading_path"), "start", "end",
+        F.when(F.col("first_element").isNotNull(), chunking._element_ids(F.col("first_element"), F.col("last_element"))).otherwise(F.array().cast("array<string>")).alias("element_ids"),
+        F.col("first_element").alias("range_start"), F.col("last_element").alias("range_end"), merged_metadata(F.col("base_metadata"), _strings(chunk)).alias("metadata"),
     )
+    if fetched is None:
+        return rows
+    files = attachment_chunks(fetched, size, overlap)
+    parents = state.select(F.col("doc_id").alias("parent_doc_id"), "title", F.when(F.size(path) > 0, path).otherwise(F.array("title")).alias("base"), base.alias("base_metadata"))
+    named = {"source": F.lit("company_policy_attachment"), "source_url": F.col("url"), "parent_doc_id": F.col("parent_doc_id"), "attachment_index": F.col("attachment_index"), "attachment_name": F.col("name"), "title": F.col("title"), "chunk_type": F.lit("attachment_fixed_window")}
+    none = lambda t: F.lit(None).cast(t)
+    files = files.join(parents, "parent_doc_id").select(
+        "doc_id", "parent_doc_id", F.lit(ATTACHMENT).alias("branch"), F.col("chunk_no").cast("int").alias("chunk_no"), "chunk_id", "block_id",
+        F.lit("attachment_fixed_window").alias("chunk_type"), "text", F.concat("base", F.array("name")).alias("heading_path"), "start", "end",
+        F.array().cast("array<string>").alias("element_ids"), none("int").alias("range_start"), none("int").alias("range_end"), merged_metadata(F.col("base_metadata"), _strings(named)).alias("metadata"),
+    )
+    return rows.unionByName(files)
 
 
 def attachment_rows(details: DataFrame) -> DataFrame:
@@ -101,39 +163,44 @@ def parsed_attachments(details: DataFrame, contents: DataFrame) -> DataFrame:
     ).drop("elements")
 
 
-def attachment_status(details: DataFrame, parsed: DataFrame | None, parse: bool = True) -> DataFrame:
-    """Per document: how many files, how many parsed, warnings, and the overall status.
+def attachment_states(details: DataFrame, parsed: DataFrame | None, parse: bool = True) -> DataFrame:
+    """details with a struct _s (file_count, parsed_count, warning_count, status) of their files.
 
     `parsed` is None when no contents can be fetched; `parse` is False when attachments are not wanted.
     """
-    d = details.select("doc_id", F.size("files").alias("file_count"))
+    n = F.size("files").cast("long")
+    state = lambda done, warned, status: F.struct(n.alias("file_count"), done.cast("long").alias("parsed_count"), warned.cast("long").alias("warning_count"), status.alias("status"))
     if not parse or parsed is None:
         off = "not_fetched" if not parse else "fetcher_not_configured"
-        return d.select(
-            "doc_id", F.col("file_count").cast("bigint").alias("file_count"), F.lit(0).cast("bigint").alias("parsed_count"),
-            F.when((F.col("file_count") > 0) & F.lit(parse), F.col("file_count")).otherwise(0).cast("bigint").alias("warning_count"),
-            F.when(F.col("file_count") > 0, off).otherwise("none").alias("status"),
-        )
-    done = parsed.groupBy("doc_id").agg(F.count_if(F.col("text") != "").alias("parsed_count"), F.sum("warnings").alias("warning_count"))
-    d = d.join(done, "doc_id", "left").na.fill(0, ["parsed_count", "warning_count"])
-    status = (
-        F.when(F.col("file_count") == 0, "none").when(F.col("parsed_count") == F.col("file_count"), "success")
-        .when(F.col("parsed_count") > 0, "partial").otherwise("failed")
-    )
-    return d.select("doc_id", F.col("file_count").cast("bigint").alias("file_count"), "parsed_count", "warning_count", status.alias("status"))
+        return details.withColumn("_s", state(F.lit(0), F.when((n > 0) & F.lit(parse), n).otherwise(0), F.when(n > 0, off).otherwise("none")))
+    done = parsed.groupBy("doc_id").agg(F.count_if(F.col("text") != "").alias("_done"), F.sum("warnings").alias("_warned"))
+    d = details.join(done, "doc_id", "left")
+    ok, warned = F.coalesce("_done", F.lit(0)), F.coalesce("_warned", F.lit(0))
+    status = F.when(n == 0, "none").when(ok == n, "success").when(ok > 0, "partial").otherwise("failed")
+    return d.withColumn("_s", state(ok, warned, status)).drop("_done", "_warned")
+
+
+def attachment_status(details: DataFrame, parsed: DataFrame | None, parse: bool = True) -> DataFrame:
+    """Per document: how many files, how many parsed, warnings, and the overall status (see `attachment_states`)."""
+    return attachment_states(details.select("doc_id", "files"), parsed, parse).select("doc_id", "_s.*")
 
 
 def attachment_chunks(parsed: DataFrame, size: int = 1200, overlap: int = 150) -> DataFrame:
     """Fixed windows of every parsed file, with ids that name the parent document and the file."""
-    w = chunking.window_chunks(parsed.filter("text <> ''"), ["doc_id", "attachment_index", "name"], "text", size, overlap)
+    w = chunking.window_chunks(parsed.filter("text <> ''"), ["doc_id", "attachment_index", "name", "url"], "text", size, overlap)
     own = F.concat("doc_id", F.lit("-attachment-"), "attachment_index")
     number = F.format_string("-chunk-%04d", "chunk_no")
     return w.select(
         own.alias("doc_id"), F.col("doc_id").alias("parent_doc_id"), "attachment_index", F.concat(own, number).alias("chunk_id"),
-        F.concat(F.lit("attachment-"), "attachment_index", number).alias("block_id"), "name", "text",
+        F.concat(F.lit("attachment-"), "attachment_index", number).alias("block_id"), "name", "url", "text", "chunk_no", "start", "end",
     )
 
 
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    """(doc_id, chunk_count) over all branches; attachment chunks count for their parent."""
+    return chunks.groupBy(F.coalesce("parent_doc_id", "doc_id").alias("doc_id")).agg(F.count("*").alias("chunk_count"))
+
+
 def outcomes(listing: DataFrame, counts: DataFrame, strict: bool = False) -> DataFrame:
     """One row per listed document: imported, skipped with its reason, or error.
 

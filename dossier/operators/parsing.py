@@ -176,14 +176,25 @@ def _finish(candidates: pd.Series) -> list:
     return out
 
 
-def _with_elements(df: DataFrame, source: str, candidates: Column, out: str) -> DataFrame:
-    """Replaces the source column by the finished element array, in Arrow batches."""
+def _with_elements(df: DataFrame, source: str, candidates: Column, out: str | None, derive: dict | None = None) -> DataFrame:
+    """Replaces the source column by the finished element array, in Arrow batches.
+
+    derive: further columns that functions make from the elements of a row in the same pass, name -> (type as DDL, function).
+    Without `out` only these are kept.
+    """
     keys = [c for c in df.columns if c != source]
-    schema = T.StructType([df.schema[c] for c in keys] + [T.StructField(out, T.ArrayType(ELEMENT))])
+    derive = derive or {}
+    own = [T.StructField(out, T.ArrayType(ELEMENT))] if out else []
+    made = [T.StructType.fromDDL(f"`{n}` {t}")[0] for n, (t, _) in derive.items()]
+    schema = T.StructType([df.schema[c] for c in keys] + own + made)
 
     def batches(frames):
         for frame in frames:
-            frame[out] = _finish(frame.pop("_candidates"))
+            elements = _finish(frame.pop("_candidates"))
+            if out:
+                frame[out] = elements
+            for name, (_, make) in derive.items():
+                frame[name] = pd.Series([make(e) for e in elements], index=frame.index, dtype=object)
             yield frame
 
     return df.select(*keys, candidates.alias("_candidates")).mapInPandas(batches, schema)
@@ -200,9 +211,9 @@ def _one(text: Column) -> Column:
     return F.array(_candidate(F.lit("plain"), F.lit(""), F.lit(""), F.coalesce(text, F.lit(""))))
 
 
-def html_elements(df: DataFrame, html: str = "html", out: str = "elements") -> DataFrame:
+def html_elements(df: DataFrame, html: str = "html", out: str | None = "elements", derive: dict | None = None) -> DataFrame:
     """Replaces an HTML column by its element array; plain paragraphs when the page has no blocks."""
-    return _with_elements(df, html, _html_candidates(F.col(html)), out)
+    return _with_elements(df, html, _html_candidates(F.col(html)), out, derive)
 
 
 def plain_elements(df: DataFrame, text: str = "text", out: str = "elements") -> DataFrame:
@@ -223,10 +234,10 @@ def text_elements(df: DataFrame, text: str = "text", out: str = "elements") -> D
     return df.withColumn(out, F.filter(one, lambda e: e["text"] != "")).drop(text)
 
 
-def line_elements(df: DataFrame, text: str = "text", out: str = "elements") -> DataFrame:
+def line_elements(df: DataFrame, text: str = "text", out: str | None = "elements", derive: dict | None = None) -> DataFrame:
     """Replaces text by one paragraph element per non-blank line."""
     lines = F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")
-    return _with_elements(df, text, F.transform(lines, lambda t: _candidate(F.lit("plain"), F.lit(""), F.lit(""), t)), out)
+    return _with_elements(df, text, F.transform(lines, lambda t: _candidate(F.lit("plain"), F.lit(""), F.lit(""), t)), out, derive)
 
 
 def explode_elements(df: DataFrame, keys: list[str], elements: str = "elements") -> DataFrame:

@@ -1,28 +1,30 @@
-"""Candidate search: dense, keyword and hybrid, for a batch of requests over a corpus.
+"""Candidate search: dense, keyword and hybrid, for a table of requests over a corpus.
 
-Requests (a handful to some thousands) are shipped to the workers in checked
-blocks. Every task scores its part of the corpus against a block and emits only
-its own best rows per request, so no pair table is ever built: what is shuffled
-is at most k rows per request and task. More requests than one block holds are
-scored block by block with the same result.
+Requests and corpus are both cut into blocks, and each pair of blocks meets in one grouped Arrow task. A task scores
+its corpus block against its requests and gives only its own best rows per request, so no table of pairs is built or
+shuffled: at most k rows per request and corpus block go on, and are limited once more where they are made. The plan
+is the same for ten requests and for millions; no request passes through the driver.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from dossier.functions.session import fits
 from dossier.functions.text import ordered_distinct
 
 BLOCK_REQUESTS = 2_000
+#: Corpus rows of a block: many vectors, fewer texts.
+BLOCK_VECTORS = 32_768
+BLOCK_TEXTS = 8_192
+#: Distances that a task holds at a time.
+CELLS = 4_000_000
 MANY_TERMS = 300  # from here on one automaton pass beats one search per term
 
 # Keyword weights for text, heading and metadata hits.
@@ -31,66 +33,76 @@ SECONDARY = (2.0, 2.0, 1.5)
 QUERY_ON_TEXT = 1.0
 
 
-def _blocks(requests: DataFrame, key: str, block: int = BLOCK_REQUESTS):
-    """Yields the requests in pandas blocks, each fetched under a checked size."""
-    n = 1
-    if not fits(requests, block):
-        n = -(-requests.count() // (block // 2))
-    for i in range(n):
-        part = requests if n == 1 else requests.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)
-        if n > 1 and not fits(part, 2 * block):
-            raise ValueError("request keys are not distinct enough to be cut into blocks")
-        pdf = part.toPandas()
-        if len(pdf):
-            yield pdf
+def _met(requests: DataFrame, corpus: DataFrame, rows: int, block_rows: int, corpus_id: str, fn, schema: str) -> DataFrame:
+    """fn(requests, corpus) for each pair of a request block and a corpus block (Arrow tables).
+
+    The number of blocks follows the number of requests and of corpus rows, so a block has a bounded number of rows.
+    Small corpora still give every core a block.
+    """
+    across = max(1, -(-requests.count() // BLOCK_REQUESTS))
+    down = max(-(-rows // block_rows), corpus.sparkSession.sparkContext.defaultParallelism)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = requests.withColumn("_rb", F.pmod(F.xxhash64("query_id"), F.lit(across)).cast("int")).withColumn("_cb", every(down))
+    given = corpus.withColumn("_cb", F.pmod(F.xxhash64(corpus_id), F.lit(down)).cast("int")).withColumn("_rb", every(across))
+    return asked.groupBy("_rb", "_cb").cogroup(given.groupBy("_rb", "_cb")).applyInArrow(fn, schema)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of equal length as rows; none may be null."""
+    flat = pc.list_flatten(column).to_numpy().astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _request_chunks(q: np.ndarray, n: int):
+    """Ranges of requests whose distances to n rows are held together."""
+    step = max(1, CELLS // max(n, 1))
+    return [(a, min(a + step, len(q))) for a in range(0, len(q), step)]
+
+
+def _distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Cosine distance of each request and row, rounded to 12 digits; 1 where either vector is zero."""
+    n = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(n == 0, 1.0, 1.0 - (q @ c.T) / n).round(12)
 
 
-def _keep_best(frames: list[pd.DataFrame], k: int, by: list[str], ascending: list[bool]) -> pd.DataFrame:
-    d = pd.concat(frames, ignore_index=True).sort_values(["query_id", *by], ascending=[True, *ascending], kind="mergesort")
-    return d.groupby("query_id", sort=False).head(k)
+def _first(request: np.ndarray, k: int, *order: np.ndarray) -> np.ndarray:
+    """Places of the first k entries of each request in the given order."""
+    by = np.lexsort((*reversed(order), request))
+    r = request[by]
+    heads = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.zeros(0, np.int64)
+    rank = np.arange(len(r)) - np.repeat(heads, np.diff(np.append(heads, len(r))))
+    return by[rank < k]
+
+
+def _nearest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(request, row) of the k smallest distances per request, ties by row."""
+    limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.inf
+    r, j = np.nonzero(d <= limit)
+    at = _first(r, k, d[r, j], j)
+    return r[at], j[at]
 
 
 def dense_top_k(
     requests: DataFrame, corpus: DataFrame, k: int, corpus_id: str, corpus_vec: str, query_id: str = "query_id", query_vec: str = "query_vec"
 ) -> DataFrame:
-    """Exact k nearest corpus rows per request by cosine distance, ties by id; zero vectors are at distance 1."""
-    id_type = corpus.schema[corpus_id].dataType
-    schema = T.StructType(
-        [T.StructField("query_id", requests.schema[query_id].dataType), T.StructField("chunk_id", id_type), T.StructField("distance", T.DoubleType())]
-    )
-    spark = corpus.sparkSession
-    found = []
-    for pdf in _blocks(requests.select(query_id, query_vec), query_id):
-        q = np.stack([np.asarray(v, np.float64) for v in pdf[query_vec]])
-        shared = spark.sparkContext.broadcast((pdf[query_id].to_numpy(), q, np.linalg.norm(q, axis=1)))
-
-        def search(frames, shared=shared):
-            ids, q, qn = shared.value
-            best, held = [], 0
-            for frame in frames:
-                if frame.empty:
-                    continue
-                c = np.stack([np.asarray(v, np.float64) for v in frame[corpus_vec]])
-                n = np.outer(np.linalg.norm(c, axis=1), qn)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    d = np.where(n == 0, 1.0, 1.0 - (c @ q.T) / n).round(12)
-                cid = frame[corpus_id].to_numpy()
-                for j in range(len(ids)):
-                    col = d[:, j]
-                    limit = np.partition(col, k - 1)[k - 1] if len(col) > k else np.inf
-                    at = np.flatnonzero(col <= limit)
-                    best.append(pd.DataFrame({"query_id": ids[j], "chunk_id": cid[at], "distance": col[at]}))
-                    held += len(at)
-                if held > 50 * k * len(ids) + 100_000:
-                    best = [_keep_best(best, k, ["distance", "chunk_id"], [True, True])]
-                    held = len(best[0])
-            if best:
-                yield _keep_best(best, k, ["distance", "chunk_id"], [True, True])
-
-        found.append(corpus.select(corpus_id, corpus_vec).mapInPandas(search, schema))
-    if not found:
-        return spark.createDataFrame([], schema)
-    every = reduce(DataFrame.unionByName, found)
+    """Exact k nearest corpus rows per request by cosine distance, ties by id; zero vectors are at distance 1, null ones at none."""
+    asked = requests.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec")).filter("query_vec is not null")
+    rows = corpus.select(F.col(corpus_id).alias("chunk_id"), F.col(corpus_vec).alias("vec")).filter("vec is not null")
+    types = [df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (rows, "chunk_id"))]
+
+    def search(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("chunk_id")
+        q, c = _matrix(asked["query_vec"]), _matrix(rows["vec"])
+        found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
+        for a, b in _request_chunks(q, len(c)) if len(c) else ():
+            d = _distances(q[a:b], c)
+            r, j = _nearest(d, k)
+            found.append((r + a, j, d[r, j]))
+        r, j, d = map(np.concatenate, zip(*found))
+        return pa.table({"query_id": asked["query_id"].take(pa.array(r)), "chunk_id": rows["chunk_id"].take(pa.array(j)), "distance": d})
+
+    every = _met(asked, rows, rows.count(), BLOCK_VECTORS, "chunk_id", search, f"query_id {types[0]}, chunk_id {types[1]}, distance double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "chunk_id"))
     return every.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -121,7 +133,6 @@ class _Matcher:
     """
 
     def __init__(self, terms: list[str], escape: bool):
-        self.n = len(terms)
         self.plain = [(i, t.lower()) for i, t in enumerate(terms) if escape or not re.search("[%_]", t)]
         # A pattern is its pieces between %, which must follow each other; _ is any one character.
         self.patterns = [
@@ -143,16 +154,13 @@ class _Matcher:
             except ImportError:
                 self.automaton = None
 
-    def hits(self, text: str) -> np.ndarray:
-        out = np.zeros(self.n, bool)
+    def found(self, text: str) -> list[int]:
+        """Numbers of the terms in a text, ascending."""
         low = text.lower()
         if self.automaton is not None:
-            for ids in {id(v): v for _, v in self.automaton.iter(low)}.values():
-                out[ids] = True
+            out = [i for ids in {id(v): v for _, v in self.automaton.iter(low)}.values() for i in ids]
         else:
-            for i, t in self.plain:
-                if t in low:
-                    out[i] = True
+            out = [i for i, t in self.plain if t in low]
         for i, pieces in self.patterns:
             at = 0
             for piece in pieces:
@@ -161,8 +169,49 @@ class _Matcher:
                     break
                 at = m.end()
             else:
-                out[i] = True
-        return out
+                out.append(i)
+        return sorted(out)
+
+
+class _TermIndex:
+    """Sparse index from terms to the requests that ask for them, by kind of term."""
+
+    def __init__(self, asked: pa.Table, escape: bool):
+        kinds = [asked[c].to_pylist() for c in ("primary_terms", "secondary_terms", "query_terms")]
+        self.n_requests = asked.num_rows
+        self.terms = list(dict.fromkeys(t for lists in kinds for ts in lists for t in ts or () if t is not None))
+        number = {t: i for i, t in enumerate(self.terms)}
+        self.asking = []
+        for lists in kinds:
+            pairs = sorted({(number[t], j) for j, ts in enumerate(lists) for t in ts or () if t is not None})
+            term, request = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+            self.asking.append((np.searchsorted(term, np.arange(len(self.terms) + 1)), request))
+        self.matcher = _Matcher(self.terms, escape)
+
+    def _pairs(self, kind: int, row: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Distinct row * n_requests + request of hits (row, term) of one kind."""
+        begin, request = self.asking[kind]
+        size = begin[term + 1] - begin[term]
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return np.unique(np.repeat(row, size) * self.n_requests + request[np.repeat(begin[term], size) + within])
+
+    def scores(self, fields: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(request, row, score) of every row that has any term of a request. fields: texts, headings, metadata."""
+        parts = []
+        for f, values in enumerate(fields):
+            hits = [self.matcher.found(v) if v else [] for v in values] if self.terms else []
+            row = np.repeat(np.arange(len(hits)), [len(h) for h in hits]).astype(np.int64)
+            term = np.array([i for h in hits for i in h], np.int64)
+            for kind, weight in enumerate((PRIMARY[f], SECONDARY[f], QUERY_ON_TEXT if f == 0 else 0.0)):
+                pairs = self._pairs(kind, row, term)
+                parts.append((pairs, np.full(len(pairs), weight)))
+        pairs, weights = (np.concatenate(x) for x in zip(*parts))
+        keys, at = np.unique(pairs, return_inverse=True)
+        n = max(self.n_requests, 1)
+        return keys % n, keys // n, np.bincount(at, weights, len(keys)) if len(keys) else np.zeros(0)
+
+
+TERMS = ("primary_terms", "secondary_terms", "query_terms")
 
 
 def keyword_hits(
@@ -170,113 +219,81 @@ def keyword_hits(
 ) -> DataFrame:
     """Keyword score of every corpus row that has any term of a request, (query_id, chunk_id, keyword_score).
 
-    With `best` a task drops rows that score below its own best-th row of the
-    request; rows that tie with it stay, because their order is settled later.
+    With `best` only the best rows of each request come, by score and then by id, with their rank; then no more
+    than `best` rows per request and corpus block are shuffled.
     """
-    schema = T.StructType(
-        [T.StructField("query_id", requests.schema["query_id"].dataType), T.StructField("chunk_id", corpus.schema[chunk_id].dataType),
-         T.StructField("keyword_score", T.DoubleType())]
-    )
-    spark = corpus.sparkSession
-    found = []
-    for pdf in _blocks(requests.select("query_id", "primary_terms", "secondary_terms", "query_terms"), "query_id"):
-        groups = [[list(r[c]) for c in ("primary_terms", "secondary_terms", "query_terms")] for _, r in pdf.iterrows()]
-        terms = list(dict.fromkeys(t for g in groups for ts in g for t in ts))
-        index = {t: i for i, t in enumerate(terms)}
-        member = np.zeros((3, len(terms), len(groups)), np.float32)
-        for j, g in enumerate(groups):
-            for n, ts in enumerate(g):
-                for t in ts:
-                    member[n, index[t], j] = 1
-        shared = spark.sparkContext.broadcast((pdf["query_id"].to_numpy(), terms, member))
-
-        def score(frames, shared=shared):
-            ids, terms, member = shared.value
-            match = _Matcher(terms, escape)
-            kept: list[pd.DataFrame] = []
-            for frame in frames:
-                if frame.empty:
-                    continue
-                fields = [np.stack([match.hits(v or "") for v in frame[c]]).astype(np.float32) for c in (text, heading, metadata)]
-                total = np.zeros((len(frame), len(ids)))
-                touched = np.zeros((len(frame), len(ids)), bool)
-                for f, p, s in zip(fields, PRIMARY, SECONDARY):
-                    first, second, third = (f @ member[0] > 0), (f @ member[1] > 0), (f @ member[2] > 0)
-                    total += p * first + s * second
-                    touched |= first | second | third
-                    if f is fields[0]:
-                        total += QUERY_ON_TEXT * third
-                row, col = np.nonzero(touched)
-                out = pd.DataFrame({"query_id": ids[col], "chunk_id": frame[chunk_id].to_numpy()[row], "keyword_score": total[row, col]})
-                if best is None:
-                    yield out
-                    continue
-                kept.append(out)
-                if sum(map(len, kept)) > 500_000:
-                    kept = [_above_best(pd.concat(kept, ignore_index=True), best)]
-            if kept:
-                yield _above_best(pd.concat(kept, ignore_index=True), best)
-
-        found.append(corpus.select(chunk_id, text, heading, metadata).mapInPandas(score, schema))
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
-
-
-def _above_best(d: pd.DataFrame, best: int) -> pd.DataFrame:
-    rank = d.groupby("query_id")["keyword_score"].rank(method="min", ascending=False)
-    return d[rank <= best]
-
-
-def pair_distances(pairs: DataFrame, requests: DataFrame, vectors: DataFrame, vec_id: str, vec: str) -> DataFrame:
-    """Adds the cosine distance of each (query_id, chunk_id) pair; pairs without a vector go."""
-    v = vectors.select(F.col(vec_id).alias("chunk_id"), F.col(vec).alias("_v"))
-    spark = pairs.sparkSession
-    joined = pairs.join(v, "chunk_id")
-    keys = [c for c in joined.columns if c != "_v"]
-    schema = T.StructType([joined.schema[c] for c in keys] + [T.StructField("distance", T.DoubleType())])
-    out = []
-    for pdf in _blocks(requests.select("query_id", "query_vec"), "query_id"):
-        q = np.stack([np.asarray(x, np.float64) for x in pdf["query_vec"]])
-        shared = spark.sparkContext.broadcast((pd.Series(range(len(pdf)), index=pdf["query_id"].to_numpy()), q, np.linalg.norm(q, axis=1)))
-
-        def measure(frames, shared=shared):
-            where, q, qn = shared.value
-            for frame in frames:
-                frame = frame[frame["query_id"].isin(where.index)]
-                if frame.empty:
-                    continue
-                at = where.loc[frame["query_id"]].to_numpy()
-                c = np.stack([np.asarray(x, np.float64) for x in frame["_v"]])
-                n = np.linalg.norm(c, axis=1) * qn[at]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    d = np.where(n == 0, 1.0, 1.0 - np.einsum("ij,ij->i", c, q[at]) / n).round(12)
-                yield frame.drop(columns="_v").assign(distance=d)
-
-        out.append(joined.mapInPandas(measure, schema))
-    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], schema)
+    asked = requests.select("query_id", *TERMS)
+    rows = corpus.select(F.col(chunk_id).alias("chunk_id"), *[F.col(c).alias(n) for c, n in ((text, "text"), (heading, "heading"), (metadata, "metadata"))])
+    types = [df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (rows, "chunk_id"))]
+
+    def score(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("chunk_id")
+        r, j, s = _TermIndex(asked, escape).scores([rows[c].to_pylist() for c in ("text", "heading", "metadata")])
+        if best is not None:
+            at = _first(r, best, -s, j)
+            r, j, s = r[at], j[at], s[at]
+        return pa.table({"query_id": asked["query_id"].take(pa.array(r)), "chunk_id": rows["chunk_id"].take(pa.array(j)), "keyword_score": s})
+
+    hits = _met(asked, rows, corpus.count(), BLOCK_TEXTS, "chunk_id", score, f"query_id {types[0]}, chunk_id {types[1]}, keyword_score double")
+    if best is None:
+        return hits
+    order = W.partitionBy("query_id").orderBy(F.col("keyword_score").desc(), "chunk_id")
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
+
+
+def _paired(rows: pa.Table) -> pa.Table:
+    """Chunk rows and vector rows of one block, put together by id, in order of id; what has no partner goes."""
+    n = pa.array(np.arange(rows.num_rows))
+    side = rows.select(["chunk_id"]).append_column("at", n)
+    is_vector = pc.is_valid(rows["vec"])
+    both = side.filter(pc.invert(is_vector)).join(side.filter(is_vector).rename_columns(["chunk_id", "vector_at"]), "chunk_id", join_type="inner").sort_by("chunk_id")
+    return rows.drop_columns(["vec"]).take(both["at"]).append_column("vec", rows["vec"].take(both["vector_at"]))
 
 
 def hybrid_top_k(
-    requests: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int, chunk_id: str, text: str, heading: str, metadata: str, vec_id: str, vec: str
+    requests: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int, chunk_id: str, text: str, heading: str, metadata: str, vec_id: str, vec: str, escape: bool = False
 ) -> DataFrame:
     """Best k chunks per request from 2k dense and 4k keyword candidates.
 
-    A chunk found both ways counts once with its keyword score. Order: keyword
-    score down, distance up, id. A request without terms has dense candidates only.
+    A chunk found both ways counts once with its keyword score. Order: keyword score down, distance up, id. A request
+    without terms has dense candidates only; one without a vector has none. Chunks without a vector, and vectors
+    without a chunk, are left out. Texts and vectors are read and shuffled once, in one exchange; keyword scores and
+    distances are computed together, so a task knows its own best candidates of both kinds.
     """
-    live = vectors.join(chunks.select(F.col(chunk_id).alias(vec_id)), vec_id, "left_semi")
-    dense = dense_top_k(requests, live, 2 * k, vec_id, vec).select("query_id", "chunk_id", F.lit(0.0).alias("keyword_score"), "distance")
-    hits = keyword_hits(requests, chunks, chunk_id, text, heading, metadata)
-    scored = pair_distances(hits, requests, vectors, vec_id, vec)
-    best = W.partitionBy("query_id").orderBy(F.col("keyword_score").desc(), "distance", "chunk_id")
-    keyword = scored.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= 4 * k).drop("rn")
-    merged = dense.unionByName(keyword.select("query_id", "chunk_id", "keyword_score", "distance")).groupBy("query_id", "chunk_id").agg(
-        F.max("keyword_score").alias("keyword_score"), F.min("distance").alias("distance")
-    )
-    return merged.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-
-
-def candidate_limit(k: Column) -> Column:
-    return F.greatest(k, F.least(F.lit(24), k * 4))
+    asked = requests.select("query_id", "query_vec", *TERMS).filter("query_vec is not null")
+    names = ((text, "text"), (heading, "heading"), (metadata, "metadata"))
+    vec_type = vectors.schema[vec].dataType
+    texts = chunks.select(F.col(chunk_id).alias("chunk_id"), *[F.col(c).alias(n) for c, n in names], F.lit(None).cast(vec_type).alias("vec"))
+    found = vectors.filter(F.col(vec).isNotNull()).select(F.col(vec_id).alias("chunk_id"), *[F.lit(None).cast(chunks.schema[c].dataType).alias(n) for c, n in names], F.col(vec).alias("vec"))
+    rows = texts.unionByName(found)
+    types = [df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (rows, "chunk_id"))]
+
+    def search(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = _paired(rows)
+        q, c = _matrix(asked["query_vec"]), _matrix(rows["vec"])
+        kr, kj, ks = _TermIndex(asked, escape).scores([rows[n].to_pylist() for n in ("text", "heading", "metadata")])
+        by = np.argsort(kr, kind="stable")
+        kr, kj, ks = kr[by], kj[by], ks[by]
+        out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2 + (np.zeros(0, bool),)]
+        for a, b in _request_chunks(q, len(c)) if len(c) else ():
+            d = _distances(q[a:b], c)
+            r, j = _nearest(d, 2 * k)
+            out.append((r + a, j, np.zeros(len(r)), d[r, j], np.zeros(len(r), bool)))
+            lo, hi = np.searchsorted(kr, [a, b])
+            r, j, s = kr[lo:hi] - a, kj[lo:hi], ks[lo:hi]
+            at = _first(r, 4 * k, -s, d[r, j], j)
+            r, j, s = r[at], j[at], s[at]
+            out.append((r + a, j, s, d[r, j], np.ones(len(r), bool)))
+        r, j, s, d, by_term = map(np.concatenate, zip(*out))
+        return pa.table({"query_id": asked["query_id"].take(pa.array(r)), "chunk_id": rows["chunk_id"].take(pa.array(j)), "keyword_score": s, "distance": d, "by_term": by_term})
+
+    schema = f"query_id {types[0]}, chunk_id {types[1]}, keyword_score double, distance double, by_term boolean"
+    every = _met(asked, rows, chunks.count(), BLOCK_TEXTS, "chunk_id", search, schema)
+    order = (F.col("keyword_score").desc(), F.col("distance"), F.col("chunk_id"))
+    place = F.row_number().over(W.partitionBy("query_id", "by_term").orderBy(*order))
+    few = every.withColumn("rn", place).filter(F.col("rn") <= 4 * k).filter(F.col("by_term") | (F.col("rn") <= 2 * k))
+    merged = few.groupBy("query_id", "chunk_id").agg(F.max("keyword_score").alias("keyword_score"), F.min("distance").alias("distance"))
+    return merged.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
 
 
 def metadata_text(values: Column) -> Column:

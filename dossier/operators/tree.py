@@ -1,14 +1,14 @@
-"""Section tree of policy documents, built from typed lines with windows per document.
+"""Section tree of policy documents.
 
-All windows share one partitioning and order, so Spark shuffles and sorts the
-lines once. A partition holds the lines of one document, which came from one
-input row; nothing larger is ever gathered.
+A document stays in its row: one fold over its element array, in the Arrow pass that parses the text, keeps the open
+section of every kind and gives typed lines or finished nodes. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.functions.text import cn_number, contains_any, squash, strip_heading
@@ -24,13 +24,6 @@ LEVEL_CODES = {"一类违规行为": "category_1", "二类违规行为": "catego
 ACTION_WORDS = ("处理", "处分", "处罚")
 
 
-def level_code(title: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for name, code in LEVEL_CODES.items():
-        out = F.when(title == name, F.lit(code)).otherwise(out)
-    return out
-
-
 def is_action_section(title: Column) -> Column:
     return contains_any(title, ACTION_WORDS)
 
@@ -41,140 +34,143 @@ def ordinal_value(label: Column) -> Column:
     return F.coalesce(cn_number(bare), F.regexp_extract(label, r"(\d+)\.?$", 1).try_cast("int"))
 
 
-def _frame(key: str) -> W:
-    return W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+_PATTERNS = {name: re.compile(p, re.ASCII) for name, p in (("major", MAJOR), ("level", LEVEL), ("group", GROUP), ("leaf", LEAF), ("mapping", MAPPING))}
+_SECTION = "struct<pos:int,label:string,no:int,title:string,acts:boolean>"
+LINE = f"array<struct<pos:int,text:string,element_id:string,node_type:string,major:{_SECTION},lvl:{_SECTION},grp:{_SECTION},agrp:{_SECTION}>>"
+NODE = (
+    "array<struct<sort_order:int,node_no:int,node_type:string,parent_order:int,parent_no:int,level:int,ordinal_label:string,title:string,tail:array<string>,"
+    "violation_level:string,parent_node_type:string,parent_title:string,text:string,start:int,end:int,element_ids:array<string>>>"
+)
+
+
+def _bare(title: str) -> str:
+    """As `strip_heading`, on a plain string."""
+    return " ".join(title.split()).strip(" ：:")
+
+
+class _Open:
+    """The open section of every kind while the lines of one document go by. A section closes the deeper ones."""
+
+    def __init__(self):
+        self.major = self.lvl = self.grp = self.agrp = None
+
+    def take(self, pos: int, text: str) -> tuple[str | None, re.Match | None]:
+        """Type of the line (None for running text) with its match, after opening what it opens."""
+        section = lambda m, label, no, title: {"pos": pos, "label": label, "no": no, "title": _bare(m[title]), "acts": None}
+        if m := _PATTERNS["major"].match(text):
+            self.major = section(m, m[1], None, 2)
+            self.major["acts"] = any(w in self.major["title"] for w in ACTION_WORDS)
+            self.lvl = self.grp = self.agrp = None
+            return "major_section", m
+        acts = self.acts
+        if acts and (m := _PATTERNS["mapping"].match(text)):
+            return "action_mapping", m
+        if not acts and (m := _PATTERNS["level"].match(text)):
+            self.lvl, self.grp, self.agrp = section(m, m[1], None, 3), None, None
+            return "violation_level", m
+        if m := _PATTERNS["group"].match(text):
+            opened = section(m, None, int(m[1]), 2)
+            if acts:
+                self.agrp = opened
+                return "action_group", m
+            if self.lvl:
+                self.grp = opened
+                return "violation_group", m
+        if not acts and self.grp and (m := _PATTERNS["leaf"].match(text)):
+            return "leaf_clause", m
+        return None, None
+
+    @property
+    def acts(self) -> bool:
+        return bool(self.major and self.major["acts"])
+
+
+def _element_id(e: dict) -> str:
+    return f"element-{e['pos']:04d}"
+
+
+def line_sections(elements: list[dict]) -> list[dict]:
+    """Every element of a document with its type and the open section of every kind."""
+    now, out = _Open(), []
+    for e in elements:
+        kind, _ = now.take(e["pos"], e["text"])
+        out.append({"pos": e["pos"], "text": e["text"], "element_id": _element_id(e), "node_type": kind, "major": now.major, "lvl": now.lvl, "grp": now.grp, "agrp": now.agrp})
+    return out
 
 
-def typed_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds node_type (null for running text) and the open section of every kind.
+def section_nodes(elements: list[dict]) -> list[dict]:
+    """The nodes of a document in order, with the text and elements that belong to them.
 
-    `lines` has key, pos, text, element_id, start, end.
+    Running text belongs to the nearest open node; leaves and mappings also extend their parent.
     """
-    w = _frame(key)
-    t = F.col("text")
-    last = lambda cond, value: F.last(F.when(cond, value), ignorenulls=True).over(w)
-    d = lines.withColumn("is_major", t.rlike(MAJOR))
-    title = strip_heading(F.regexp_extract(t, MAJOR, 2))
-    d = d.withColumn(
-        "major", last(F.col("is_major"), F.struct("pos", F.regexp_extract(t, MAJOR, 1).alias("label"), title.alias("title"), is_action_section(title).alias("acts")))
-    )
-    acts = F.coalesce(F.col("major.acts"), F.lit(False))
-    free = ~F.col("is_major")
-    d = d.withColumn("is_mapping", free & acts & t.rlike(MAPPING)).withColumn("is_level", free & ~acts & t.rlike(LEVEL))
-    d = d.withColumn("lvl", last(F.col("is_level"), F.struct("pos", strip_heading(F.regexp_extract(t, LEVEL, 3)).alias("title"))))
-    # A deeper section is open only when it started after every shallower one.
-    since = lambda deeper, *shallower: F.when(
-        F.col(f"{deeper}.pos") > F.greatest(F.lit(0), *[F.coalesce(F.col(f"{s}.pos"), F.lit(0)) for s in shallower]), F.col(deeper)
-    )
-    d = d.withColumn("lvl", since("lvl", "major"))
-    shape = free & ~F.col("is_mapping") & ~F.col("is_level") & t.rlike(GROUP)
-    d = d.withColumn("is_agroup", shape & acts).withColumn("is_group", shape & ~acts & F.col("lvl").isNotNull())
-    group = F.struct("pos", F.regexp_extract(t, GROUP, 1).cast("int").alias("no"), strip_heading(F.regexp_extract(t, GROUP, 2)).alias("title"))
-    d = d.withColumn("grp", last(F.col("is_group"), group)).withColumn("agrp", last(F.col("is_agroup"), group))
-    d = d.withColumn("grp", since("grp", "major", "lvl")).withColumn("agrp", since("agrp", "major", "lvl"))
-    leaf = free & ~acts & ~F.col("is_level") & F.col("grp").isNotNull() & t.rlike(LEAF)
-    kind = (
-        F.when(F.col("is_major"), "major_section").when(F.col("is_mapping"), "action_mapping").when(F.col("is_level"), "violation_level")
-        .when(leaf, "leaf_clause").when(F.col("is_agroup"), "action_group").when(F.col("is_group"), "violation_group")
-    )
-    return d.withColumn("node_type", kind).drop("is_major", "is_mapping", "is_level", "is_agroup", "is_group")
-
-
-def tree_nodes(lines: DataFrame, key: str = "doc_id", base: Column | None = None) -> DataFrame:
-    """One row per section node with parent, level, path, text, span and elements."""
-    d = typed_lines(lines, key)
-    kind = F.col("node_type")
-    acts = F.coalesce(F.col("major.acts"), F.lit(False))
-    parent = (
-        F.when(kind == "violation_level", F.col("major.pos"))
-        .when(kind == "violation_group", F.col("lvl.pos"))
-        .when(kind == "leaf_clause", F.col("grp.pos"))
-        .when(kind == "action_group", F.col("major.pos"))
-        .when(kind == "action_mapping", F.coalesce("agrp.pos", "major.pos"))
-    )
-    # Running text belongs to the nearest open node; leaves and mappings also extend their parent.
-    owner = F.when(kind.isNotNull(), F.col("pos")).otherwise(
-        F.coalesce(F.when(~acts, F.coalesce("grp.pos", "lvl.pos")), "agrp.pos", "major.pos")
-    )
-    also = F.when(kind.isin("leaf_clause", "action_mapping"), parent)
+    now, nodes = _Open(), {}
+    for e in elements:
+        kind, m = now.take(e["pos"], e["text"])
+        if kind is None:
+            owner = (None if now.acts else now.grp or now.lvl) or now.agrp or now.major
+            owners = [owner["pos"]] if owner else []
+        else:
+            node = _node(kind, m, now)
+            node |= {"sort_order": e["pos"], "node_no": len(nodes) + 1, "parent_no": nodes[node["parent_order"]]["node_no"] if node["parent_order"] else None, "lines": []}
+            nodes[e["pos"]] = node
+            owners = [e["pos"]] + ([node["parent_order"]] if kind in ("leaf_clause", "action_mapping") else [])
+        for pos in owners:
+            nodes[pos]["lines"].append(e)
+    for node in nodes.values():
+        lines = node.pop("lines")
+        node["text"] = " ".join(" ".join(x["text"] for x in lines).split())
+        node["start"], node["end"] = min(x["start"] for x in lines), max(x["end"] for x in lines)
+        node["element_ids"] = [_element_id(x) for x in lines]
+    return list(nodes.values())
+
+
+def _node(kind: str, m: re.Match, now: _Open) -> dict:
+    """Label, title, level, parent and path of a node that was just met."""
+    major, lvl, grp, agrp = now.major, now.lvl, now.grp, now.agrp
+    named = lambda s: f"{s['no']}. {s['title']}" if s else None
+    major_name = major["label"] + major["title"] if major else None
+    if kind == "major_section":
+        parent, level, label, title, tail, code = None, 1, major["label"], major["title"], [major_name], None
+    elif kind == "violation_level":
+        parent, level, label, title, tail = major, 2, lvl["label"], lvl["title"], [lvl["title"]]
+    elif kind == "violation_group":
+        parent, level, label, title, tail = lvl, 3, f"{grp['no']}.", grp["title"], [lvl["title"], named(grp)]
+    elif kind == "action_group":
+        parent, level, label, title, tail, code = major, 2, f"{agrp['no']}.", agrp["title"], [major_name, named(agrp)], None
+    elif kind == "leaf_clause":
+        parent, level, label, title = grp, 4, m[1], _bare(m[2])
+        tail = [lvl["title"], named(grp), f"{label} {title}"]
+    else:
+        parent, level, label, title = agrp or major, 3 if agrp else 2, m[1], _bare(m[2])
+        tail, code = [major_name, named(agrp), f"{label} {title}"], LEVEL_CODES.get(title)
+    if kind in ("violation_level", "violation_group", "leaf_clause"):
+        code = LEVEL_CODES.get(lvl["title"])
+    parent_kind = {"violation_group": "violation_level", "leaf_clause": "violation_group"}.get(kind, "action_group" if kind == "action_mapping" and agrp else "major_section")
+    return {
+        "node_type": kind, "parent_order": parent["pos"] if parent else None, "level": level, "ordinal_label": label, "title": title, "tail": [t for t in tail if t is not None],
+        "violation_level": code, "parent_node_type": parent_kind if parent else None, "parent_title": parent["title"] if parent else None,
+    }
+
+
+#: What the parsers of `parsing` can derive from the elements of a row in the same pass.
+TYPED_LINES = {"lines": (LINE, line_sections)}
+TREE = {"nodes": (NODE, section_nodes)}
+
+
+def typed_lines(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row per line with node_type (null for running text) and the open section of every kind. parsed: rows with `lines` (see TYPED_LINES)."""
+    return parsed.select(key, F.inline("lines"))
+
+
+def tree_nodes(parsed: DataFrame, key: str = "doc_id", base: Column | None = None) -> DataFrame:
+    """One row per section node with parent, level, path, text, span and elements. parsed: rows with `nodes` (see TREE)."""
     base_path = F.array().cast("array<string>") if base is None else base
-    t = F.col("text")
-    label = (
-        F.when(kind == "major_section", F.col("major.label"))
-        .when(kind == "violation_level", F.regexp_extract(t, LEVEL, 1))
-        .when(kind.isin("violation_group", "action_group"), F.concat(F.regexp_extract(t, GROUP, 1).cast("int").cast("string"), F.lit(".")))
-        .when(kind.isin("leaf_clause", "action_mapping"), F.regexp_extract(t, LEAF, 1))
-    )
-    title = (
-        F.when(kind == "major_section", F.col("major.title")).when(kind == "violation_level", F.col("lvl.title"))
-        .when(kind == "violation_group", F.col("grp.title")).when(kind == "action_group", F.col("agrp.title"))
-        .when(kind == "leaf_clause", strip_heading(F.regexp_extract(t, LEAF, 2)))
-        .when(kind == "action_mapping", strip_heading(F.regexp_extract(t, MAPPING, 2)))
-    )
-    named = lambda s: F.when(F.col(f"{s}.pos").isNotNull(), F.concat(F.col(f"{s}.no").cast("string"), F.lit(". "), F.col(f"{s}.title")))
-    major_name = F.concat(F.col("major.label"), F.col("major.title"))
-    own = F.concat_ws(" ", label, title)
-    tail = (
-        F.when(kind == "major_section", F.array(major_name))
-        .when(kind == "violation_level", F.array(F.col("lvl.title")))
-        .when(kind == "violation_group", F.array(F.col("lvl.title"), named("grp")))
-        .when(kind == "leaf_clause", F.array(F.col("lvl.title"), named("grp"), own))
-        .when(kind == "action_group", F.array(major_name, named("agrp")))
-        .when(kind == "action_mapping", F.array(major_name, named("agrp"), own))
-    )
-    level = (
-        F.when(kind == "major_section", 1).when(kind == "violation_level", 2).when(kind == "violation_group", 3).when(kind == "leaf_clause", 4)
-        .when(kind == "action_group", 2).when(kind == "action_mapping", F.when(F.col("agrp.pos").isNotNull(), 3).otherwise(2))
-    )
-    code = (
-        F.when(kind == "action_mapping", level_code(title))
-        .when(kind.isin("violation_level", "violation_group", "leaf_clause"), level_code(F.col("lvl.title")))
-    )
-    in_agroup = F.col("agrp.pos").isNotNull()
-    parent_type = (
-        F.when((kind == "violation_level") | (kind == "action_group"), F.when(F.col("major.pos").isNotNull(), "major_section"))
-        .when(kind == "violation_group", "violation_level").when(kind == "leaf_clause", "violation_group")
-        .when(kind == "action_mapping", F.when(in_agroup, "action_group").otherwise("major_section"))
-    )
-    parent_title = (
-        F.when((kind == "violation_level") | (kind == "action_group"), F.col("major.title"))
-        .when(kind == "violation_group", F.col("lvl.title")).when(kind == "leaf_clause", F.col("grp.title"))
-        .when(kind == "action_mapping", F.coalesce("agrp.title", "major.title"))
-    )
-    node = F.struct(
-        kind.alias("node_type"), parent.alias("parent_pos"), level.alias("level"), label.alias("ordinal_label"), title.alias("title"),
-        F.concat(base_path, F.array_compact(tail)).alias("heading_path"), code.alias("violation_level"),
-        parent_type.alias("parent_node_type"), parent_title.alias("parent_title"),
-    )
-    d = d.withColumn("node_no", F.count(kind).over(_frame(key)))
-    # Number of the latest node of each kind; the parent is the latest node of its kind.
-    latest = lambda k: F.last(F.when(kind == k, c_no), ignorenulls=True).over(_frame(key))
-    c_no = F.col("node_no")
-    for k in ("major_section", "violation_level", "violation_group", "action_group"):
-        d = d.withColumn(f"_{k}", latest(k))
-    parent_no = F.when(parent.isNotNull(), F.when(kind.isin("violation_level", "action_group"), F.col("_major_section"))
-        .when(kind == "violation_group", F.col("_violation_level")).when(kind == "leaf_clause", F.col("_violation_group"))
-        .when(kind == "action_mapping", F.when(in_agroup, F.col("_action_group")).otherwise(F.col("_major_section"))))
-    d = d.withColumn("node", F.when(kind.isNotNull(), node.withField("parent_no", parent_no)))
-    d = d.withColumn("owner", F.explode(F.array_distinct(F.array_compact(F.array(owner, also)))))
-    mine = F.col("owner") == F.col("pos")
-    nodes = d.groupBy(key, F.col("owner").alias("sort_order")).agg(
-        F.max(F.when(mine, F.col("node"))).alias("node"),
-        F.max(F.when(mine, F.col("node_no"))).alias("node_no"),
-        F.array_sort(F.collect_list(F.struct("pos", "text", "element_id"))).alias("ls"),
-        F.min("start").alias("start"), F.max("end").alias("end"),
-    )
-    ids = nodes.select(
-        key, "sort_order", "node_no", "node.*", "start", "end",
-        squash(F.array_join(F.transform("ls", lambda x: x["text"]), " ")).alias("text"),
-        F.array_distinct(F.transform("ls", lambda x: x["element_id"])).alias("element_ids"),
-    )
-    node_id = lambda n: F.concat(F.col(key).cast("string"), F.lit(":node-"), F.format_string("%04d", n))
-    return (
-        ids.withColumn("node_id", node_id(F.col("node_no")))
-        .withColumn("parent_id", F.when(F.col("parent_no").isNotNull(), node_id(F.col("parent_no"))))
-        .withColumn("ordinal_value", ordinal_value(F.col("ordinal_label")))
-        .withColumnRenamed("parent_pos", "parent_order").drop("parent_no")
+    n = parsed.select(key, base_path.alias("_base"), F.inline("nodes"))
+    node_id = lambda c: F.concat(F.col(key).cast("string"), F.lit(":node-"), F.format_string("%04d", c))
+    return n.select(
+        key, "sort_order", "node_no", "node_type", "parent_order", "level", "ordinal_label", "title", F.concat("_base", "tail").alias("heading_path"), "violation_level",
+        "parent_node_type", "parent_title", "start", "end", "text", "element_ids", node_id(F.col("node_no")).alias("node_id"),
+        F.when(F.col("parent_no").isNotNull(), node_id(F.col("parent_no"))).alias("parent_id"), ordinal_value(F.col("ordinal_label")).alias("ordinal_value"),
     )
 
 
@@ -290,32 +286,64 @@ def section_children(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 CHUNK_KINDS = {"violation_level": "section_definition", "leaf_clause": "leaf_clause", "action_mapping": "action_mapping"}
+CHUNK = (
+    "array<struct<node_no:int,chunk_type:string,text:string,tail:array<string>,section_title:string,violation_level:string,parent_node_type:string,parent_title:string,"
+    "split_index:int,start:int,end:int>>"
+)
 
 
-def tree_chunks(nodes: DataFrame, key: str = "doc_id", size: int = 1200) -> DataFrame:
+def node_chunks(nodes: list[dict], size: int = 1200) -> list[dict]:
     """Chunks of the tree in reading order: definitions, listings, leaves and mappings, over-long ones sliced."""
-    kind = F.lit(None).cast("string")
-    for node_type, chunk_type in CHUNK_KINDS.items():
-        kind = F.when(F.col("node_type") == node_type, F.lit(chunk_type)).otherwise(kind)
-    # A level and its groups meet in one row, so its definition and its listing need no join.
-    is_group = F.col("node_type") == "violation_group"
-    slot = F.when(is_group, F.col("parent_order")).otherwise(F.col("sort_order"))
-    own = F.struct(kind.alias("chunk_type"), "text", "heading_path", F.col("title").alias("section_title"), "violation_level", "parent_node_type", "parent_title", "node_id", "node_type")
-    kid = F.struct("sort_order", F.trim(F.concat_ws(" ", "ordinal_label", "title")).alias("line"))
-    wanted = nodes.filter(F.col("node_type").isin(*CHUNK_KINDS, "violation_group")).filter(slot.isNotNull())
-    slots = wanted.groupBy(key, slot.alias("sort_order")).agg(
-        F.max(F.when(~is_group, own)).alias("own"), F.array_sort(F.collect_list(F.when(is_group, kid))).alias("kids")
-    ).filter(F.col("own").isNotNull())
-    listing = F.col("own").withField("chunk_type", F.lit("section_children")).withField(
-        "text", squash(F.array_join(F.concat(F.array(F.col("own.section_title")), F.transform("kids", lambda c: c["line"])), " "))
-    )
-    both = F.when(F.size("kids") > 0, F.array(F.col("own"), listing)).otherwise(F.array(F.col("own")))
-    every = slots.select(key, "sort_order", F.posexplode(both).alias("part", "c")).select(key, "sort_order", "part", "c.*").filter("text <> ''")
-    n = F.length("text")
-    slices = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / size).cast("int") - 1, F.lit(0))), lambda i: F.trim(F.substring(F.col("text"), i * size + 1, F.lit(size))))
-    cut = every.withColumn("over", n > size).select("*", F.posexplode(F.filter(slices, lambda s: s != "")).alias("i", "piece"))
-    rn = F.row_number().over(W.partitionBy(key).orderBy("sort_order", "part", "i"))
-    return cut.select(
-        key, "node_id", "chunk_type", F.col("piece").alias("text"), "heading_path", "section_title", "violation_level", "parent_node_type", "parent_title",
-        F.when(F.col("over"), F.col("i") + 1).alias("split_index"), rn.alias("chunk_no"), F.format_string("structure-chunk-%04d", rn).alias("chunk_id"),
+    groups: dict[int, list[dict]] = {}
+    for n in nodes:
+        if n["node_type"] == "violation_group":
+            groups.setdefault(n["parent_order"], []).append(n)
+    out = []
+    for n in nodes:
+        kind = CHUNK_KINDS.get(n["node_type"])
+        if kind is None:
+            continue
+        texts = [(kind, n["text"])]
+        kids = groups.get(n["sort_order"]) if n["node_type"] == "violation_level" else None
+        if kids:
+            texts.append(("section_children", " ".join(" ".join([n["title"], *[f"{k['ordinal_label']} {k['title']}".strip() for k in kids]]).split())))
+        for kind, text in texts:
+            slices = [p for p in (text[i : i + size].strip(" ") for i in range(0, len(text), size)) if p]
+            own = {"tail": n["tail"], "section_title": n["title"], **{c: n[c] for c in ("node_no", "violation_level", "parent_node_type", "parent_title", "start", "end")}}
+            out += [own | {"chunk_type": kind, "text": p, "split_index": i if len(text) > size else None} for i, p in enumerate(slices, 1)]
+    return out
+
+
+def node_issues(nodes: list[dict]) -> list[tuple[str, str]]:
+    """(code, severity) per repeated group number, per level with missing ones, and per leaf under a group of another number."""
+    by_place = {n["sort_order"]: n for n in nodes}
+    number = lambda n: int(n["ordinal_label"].rstrip("."))
+    siblings: dict[int, list[int]] = {}
+    for n in nodes:
+        if n["node_type"] == "violation_group":
+            siblings.setdefault(n["parent_order"], []).append(number(n))
+    out = []
+    for values in siblings.values():
+        out += [("duplicate_ordinal", "error")] * sum(values.count(v) > 1 for v in set(values))
+        if max(values) - min(values) + 1 > len(set(values)):
+            out.append(("missing_ordinal", "warning"))
+    leaves = [n for n in nodes if n["node_type"] == "leaf_clause"]
+    out += [("subclause_parent_prefix_mismatch", "warning") for n in leaves if n["ordinal_label"].split(".")[0] != str(number(by_place[n["parent_order"]]))]
+    return out
+
+
+def chunks_of(size: int = 1200) -> dict:
+    """For the parsers of `parsing`: the chunks of the tree as `tree_chunks`."""
+    return {"tree_chunks": (CHUNK, lambda elements: node_chunks(section_nodes(elements), size))}
+
+
+def tree_chunks(parsed: DataFrame, key: str = "doc_id", base: Column | None = None) -> DataFrame:
+    """Numbered chunks of the tree, one per row. parsed: rows with `tree_chunks` (see chunks_of)."""
+    base_path = F.array().cast("array<string>") if base is None else base
+    c = parsed.select(key, base_path.alias("_base"), F.posexplode("tree_chunks").alias("_i", "c"))
+    no = F.col("_i") + 1
+    return c.select(
+        key, F.concat(F.col(key).cast("string"), F.lit(":node-"), F.format_string("%04d", "c.node_no")).alias("node_id"), "c.chunk_type", "c.text",
+        F.concat("_base", "c.tail").alias("heading_path"), "c.section_title", "c.violation_level", "c.parent_node_type", "c.parent_title", "c.split_index",
+        no.alias("chunk_no"), F.format_string("structure-chunk-%04d", no).alias("chunk_id"),
     )

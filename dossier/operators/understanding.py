@@ -333,24 +333,27 @@ def with_context(df: DataFrame, conversation: str = "conv_id", turn: str = "turn
     sense with the context keeps it, any other turn clears it. So the context
     is what the last turn that was no such follow-up has set.
     """
-    q = F.col(query)
-    d = df.withColumn("_look", section_lookup(q)).withColumn("_clause", _asked_clause(q)).withColumn("_beh", behavior(q)).withColumn("_who", audience(q, glossary(q)["target_object"]))
-    allowed = F.col("_who").isin("employee", "unknown") & F.col("_clause.selected").isNull() & ~F.coalesce(F.col("_clause.ambiguous"), F.lit(False))
-    own = F.coalesce(F.col("_clause.selected.section"), F.when(allowed, F.col("_beh.section")), F.col("_look.section"))
-    leave = contains_any(q, rules.LEAVE_WORDS + ("休假管理办法",)) & (glossary(q)["target_object"] == "年休假") & contains_any(q, ("年假", "年休假"))
-    asks_year = work_year(q, 20).isNotNull() & ~contains_any(q, rules.FOLLOW_UP_BLOCKERS)
-    unclear = F.coalesce(F.col("_clause.ambiguous"), F.lit(False))
-    d = d.withColumn("_own", own).withColumn("_leave", F.coalesce(leave, F.lit(False)))
-    keeps_leave = asks_year & ~F.col("_leave")
-    keeps_section = unclear & F.col("_own").isNull() & ~F.col("_leave")
-    d = (
-        d.withColumn("_set_leave", F.when(~keeps_leave, F.col("_leave")))
-        .withColumn("_set_section", F.when(~keeps_section, F.struct(F.when(~F.col("_leave"), F.col("_own")).alias("s"))))
-        .withColumn("own_section", F.col("_own")).withColumn("own_leave", F.col("_leave"))
-        .withColumn("asks_year", asks_year).withColumn("is_unclear", unclear)
-        .withColumn("option_title", F.get("_clause.options", F.lit(0))["title"])
-    )
-    d = carry_forward(d, conversation, turn, {"_prev_leave": "_set_leave", "_prev_section": "_set_section"})
+
+    def prepare(df: DataFrame) -> DataFrame:
+        q = F.col(query)
+        d = df.withColumn("_look", section_lookup(q)).withColumn("_clause", _asked_clause(q)).withColumn("_beh", behavior(q)).withColumn("_who", audience(q, glossary(q)["target_object"]))
+        allowed = F.col("_who").isin("employee", "unknown") & F.col("_clause.selected").isNull() & ~F.coalesce(F.col("_clause.ambiguous"), F.lit(False))
+        own = F.coalesce(F.col("_clause.selected.section"), F.when(allowed, F.col("_beh.section")), F.col("_look.section"))
+        leave = contains_any(q, rules.LEAVE_WORDS + ("休假管理办法",)) & (glossary(q)["target_object"] == "年休假") & contains_any(q, ("年假", "年休假"))
+        asks_year = work_year(q, 20).isNotNull() & ~contains_any(q, rules.FOLLOW_UP_BLOCKERS)
+        unclear = F.coalesce(F.col("_clause.ambiguous"), F.lit(False))
+        d = d.withColumn("_own", own).withColumn("_leave", F.coalesce(leave, F.lit(False)))
+        keeps_leave = asks_year & ~F.col("_leave")
+        keeps_section = unclear & F.col("_own").isNull() & ~F.col("_leave")
+        return (
+            d.withColumn("_set_leave", F.when(~keeps_leave, F.col("_leave")))
+            .withColumn("_set_section", F.when(~keeps_section, F.struct(F.when(~F.col("_leave"), F.col("_own")).alias("s"))))
+            .withColumn("own_section", F.col("_own")).withColumn("own_leave", F.col("_leave"))
+            .withColumn("asks_year", asks_year).withColumn("is_unclear", unclear)
+            .withColumn("option_title", F.get("_clause.options", F.lit(0))["title"])
+        )
+
+    d = carry_forward(df, conversation, turn, {"_prev_leave": "_set_leave", "_prev_section": "_set_section"}, prepare=prepare)
     return (
         d.withColumn("context_leave", F.coalesce("_prev_leave", F.lit(False)))
         .withColumn("context_section", F.col("_prev_section.s"))

@@ -214,7 +214,7 @@ def c12_front_matter(spark, sf_dir):
         F.concat(seg, F.lit("员工纪律制度 引言")), F.lit("引言正文"), F.lit("Mission, Educational Goal and Vision again"), F.lit("一、总则"), F.lit("正文"),
     )
     d = texts(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array_join(lines, "\n").alias("text"))
-    return chunking.front_matter(parsing.line_elements(d), ["doc_id"]).select("doc_id", F.col("run").cast("bigint").alias("run"), "kind", "text")
+    return chunking.front_matter(parsing.line_elements(d, out=None, derive=chunking.FRONT), ["doc_id"]).select("doc_id", F.col("run").cast("bigint").alias("run"), "kind", "text")
 
 
 @query(
@@ -256,11 +256,10 @@ _PAGE_SLICES = """
 
 
 def _page_slices(spark, sf_dir):
-    t = parsing.document_text(F.col("elements"))
-    d = page_elements(spark, sf_dir).select("page_id", F.length(t).alias("n")).filter("n > 0")
-    return d.select("page_id", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / 400).cast("int") - 1)).alias("chunk_no")).select(
-        "page_id", "chunk_no", (F.col("chunk_no") * 400).alias("start"), F.least("n", F.col("chunk_no") * 400 + 400).alias("end")
-    )
+    """Pages with their elements and slices of 400 characters of their text."""
+    n = F.length(parsing.document_text(F.col("elements")))
+    slices = F.transform(F.sequence(F.lit(0), F.ceil(n / 400).cast("int") - 1), lambda i: F.struct(i.alias("chunk_no"), (i * 400).alias("start"), F.least(n, i * 400 + 400).alias("end")))
+    return page_elements(spark, sf_dir).filter(F.size("elements") > 0).select("page_id", "elements", slices.alias("slices"))
 
 
 @query(
@@ -270,8 +269,7 @@ def _page_slices(spark, sf_dir):
         FROM ch JOIN sp ON ch.page_id = sp.page_id AND sp.st < ch.ce AND sp.st + sp.len > ch.cs GROUP BY ch.page_id, ch.n""",
 )
 def c15_element_provenance(spark, sf_dir):
-    e = parsing.explode_elements(page_elements(spark, sf_dir), ["page_id"])
-    p = chunking.provenance(_page_slices(spark, sf_dir), e, ["page_id"], "chunk_no")
+    p = chunking.provenance(_page_slices(spark, sf_dir), ["page_id"], "slices").filter(F.size("element_ids") > 0)
     return p.select(
         "page_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.array_join("element_ids", ",").alias("element_ids"),
         F.col("range_start").cast("bigint").alias("range_start"), F.col("range_end").cast("bigint").alias("range_end"),
@@ -325,15 +323,16 @@ def c17_uncovered_ranges(spark, sf_dir):
     f"""WITH {ELEMENTS_CTE}, {_SPANS}, {_PAGE_SLICES},
         seen AS (SELECT DISTINCT sp.page_id, sp.pos FROM ch JOIN sp ON ch.page_id = sp.page_id AND sp.st < ch.ce AND sp.st + sp.len > ch.cs WHERE ch.n % 2 = 0)
         SELECT e.page_id, CASE WHEN count(*) = count(s.pos) THEN 'complete' ELSE 'partial' END AS element_coverage_status, count(*) AS source_element_count, count(s.pos) AS covered_element_count,
-               count(*) - count(s.pos) AS uncovered_element_count, round(count(s.pos) / count(*), 6) AS element_coverage_ratio
+               count(*) - count(s.pos) AS uncovered_element_count, round(count(s.pos) / count(*), 6) AS element_coverage_ratio,
+               coalesce(array_to_string((list(e.pos || ':' || md5(substr(e.text, 1, 120)) ORDER BY e.pos) FILTER (s.pos IS NULL))[1:20], ','), '') AS uncovered_elements
         FROM elements e LEFT JOIN seen s ON e.page_id = s.page_id AND e.pos = s.pos GROUP BY e.page_id""",
 )
 def c18_element_coverage(spark, sf_dir):
-    e = parsing.explode_elements(page_elements(spark, sf_dir), ["page_id"])
     # Every second slice was dropped from the index.
-    p = chunking.provenance(_page_slices(spark, sf_dir).filter("chunk_no % 2 = 0"), e, ["page_id"], "chunk_no")
-    seen = p.select("page_id", F.explode("element_ids").alias("element_id"))
-    return chunking.element_coverage(e.select("page_id", "element_id"), seen, ["page_id"]).withColumn("element_coverage_ratio", F.round("element_coverage_ratio", 6))
+    kept = _page_slices(spark, sf_dir).withColumn("slices", F.filter("slices", lambda c: c["chunk_no"] % 2 == 0))
+    d = chunking.element_coverage(kept, ["page_id"], "slices")
+    shown = F.array_join(F.transform("uncovered_elements", lambda x: F.concat_ws(":", x["index"].cast("string"), F.md5(x["preview"]))), ",")
+    return d.withColumn("element_coverage_ratio", F.round("element_coverage_ratio", 6)).withColumn("uncovered_elements", shown)
 
 
 @query(

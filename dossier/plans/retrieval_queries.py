@@ -96,6 +96,16 @@ def h4_keyword_score(spark, sf_dir):
     return retrieval.keyword_hits(requests(spark, sf_dir), _docs(spark, sf_dir), "doc_id", "text", "source", "lang")
 
 
+@query(
+    "h4_keyword_top_k",
+    f"""WITH {_KEYWORD} SELECT CAST(query_id AS INT) AS query_id, doc_id AS chunk_id, keyword_score, rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY keyword_score DESC, doc_id) AS rank FROM kw) WHERE rank <= 20""",
+)
+def h4_keyword_top_k(spark, sf_dir):
+    out = retrieval.keyword_hits(requests(spark, sf_dir), _docs(spark, sf_dir), "doc_id", "text", "source", "lang", best=20)
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query(
     "h5_hybrid_top_k",
     f"""WITH {_CENTROIDS}, {_KEYWORD},

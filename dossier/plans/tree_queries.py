@@ -9,13 +9,17 @@ from dossier.plans.derived import LINES_CTE, policy_documents
 from dossier.plans.registry import query, table, texts
 
 
-def policy_line_rows(spark, sf_dir):
-    d = parsing.line_elements(policy_documents(spark, sf_dir, with_english=False, sep="\n"))
-    return parsing.explode_elements(d, ["doc_id", "source_name"]).select("doc_id", "source_name", "pos", "text", "element_id", "start", "end")
+def _parsed(spark, sf_dir, derive):
+    """Policy documents, one element per line, with what `derive` names."""
+    return parsing.line_elements(policy_documents(spark, sf_dir, with_english=False, sep="\n"), out=None, derive=derive)
+
+
+def lines_of(spark, sf_dir):
+    return tree.typed_lines(_parsed(spark, sf_dir, tree.TYPED_LINES))
 
 
 def nodes_of(spark, sf_dir):
-    return tree.tree_nodes(policy_line_rows(spark, sf_dir), base=F.array(F.lit("制度")))
+    return tree.tree_nodes(_parsed(spark, sf_dir, tree.TREE), base=F.array(F.lit("制度")))
 
 
 # Node lines of the derived documents with position, type and parents.
@@ -38,7 +42,7 @@ NODE_ID = "k || ':node-' || printf('%04d', {})"
 
 @query("d1_line_types", f"WITH {NODES_CTE} SELECT k AS doc_id, pos, coalesce(node_type, 'text') AS node_type FROM pos")
 def d1_line_types(spark, sf_dir):
-    return tree.typed_lines(policy_line_rows(spark, sf_dir)).select(
+    return lines_of(spark, sf_dir).select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), F.coalesce("node_type", F.lit("text")).alias("node_type")
     )
 
@@ -54,7 +58,7 @@ def d1_line_types(spark, sf_dir):
 )
 def d2_open_sections(spark, sf_dir):
     at = lambda s, n: F.col(f"{s}.pos").cast("bigint").alias(n)
-    return tree.typed_lines(policy_line_rows(spark, sf_dir)).select(
+    return lines_of(spark, sf_dir).select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), at("major", "major_pos"), at("lvl", "level_pos"), at("grp", "group_pos"), at("agrp", "action_group_pos")
     )
 
@@ -180,7 +184,7 @@ def d10_structure_status(spark, sf_dir):
         FROM docs, lev""",
 )
 def d11_section_definition(spark, sf_dir):
-    c = tree.tree_chunks(nodes_of(spark, sf_dir)).filter("chunk_type = 'section_definition'")
+    c = tree.tree_chunks(_parsed(spark, sf_dir, tree.chunks_of()), base=F.array(F.lit("制度"))).filter("chunk_type = 'section_definition'")
     return c.select("doc_id", "section_title", "text", "violation_level")
 
 
@@ -208,7 +212,7 @@ def d12_section_children(spark, sf_dir):
         UNION ALL SELECT k, 'action_mapping', v.t, 'action_group', '处理方式', v.lv FROM docs, (VALUES ('1.1一类违规行为：解除劳动合同。', 'category_1'), ('1.2二类违规行为：予以记过处分。', 'category_2'), ('1.3三类违规行为：予以警告。', 'category_3')) v(t, lv)""",
 )
 def d13_leaf_and_mapping(spark, sf_dir):
-    c = tree.tree_chunks(nodes_of(spark, sf_dir)).filter(F.col("chunk_type").isin("leaf_clause", "action_mapping"))
+    c = tree.tree_chunks(_parsed(spark, sf_dir, tree.chunks_of()), base=F.array(F.lit("制度"))).filter(F.col("chunk_type").isin("leaf_clause", "action_mapping"))
     return c.select("doc_id", "chunk_type", "text", "parent_node_type", "parent_title", "violation_level")
 
 

@@ -2,7 +2,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.operators.numbering import carry_forward, number_within
-from dossier.operators import tree
+from dossier.operators import numbering, tree
 from dossier.sources import raw
 
 
@@ -13,14 +13,14 @@ def skewed(spark):
 
 def test_numbers_equal_row_number_with_many_ranges(spark):
     d = skewed(spark)
-    got = number_within(d, "k", "o", "n", rows_per_bucket=20)
+    got = number_within(d, "k", "o", "n", ranges=20)
     want = d.withColumn("w", F.row_number().over(W.partitionBy("k").orderBy("o")))
     assert got.join(want, ["k", "o"]).filter("n <> w").count() == 0 and got.count() == d.count()
 
 
 def test_carry_forward_equals_window(spark):
     d = skewed(spark).withColumn("v", F.when(F.col("o") % 5 == 0, F.col("o")))
-    got = carry_forward(d, "k", "o", {"c": "v"}, rows_per_bucket=15)
+    got = carry_forward(d, "k", "o", {"c": "v"}, ranges=15)
     w = W.partitionBy("k").orderBy("o").rowsBetween(W.unboundedPreceding, -1)
     want = d.withColumn("w", F.last("v", ignorenulls=True).over(w))
     assert got.join(want, ["k", "o"]).filter("not (c <=> w)").count() == 0
@@ -45,3 +45,38 @@ def test_null_keys_and_null_order_stay(spark):
     rows = [("a", 5), ("a", None), (None, 2), (None, 1)]
     got = number_within(spark.createDataFrame(rows, "k string, i long"), "k", "i", "n").collect()
     assert sorted((r.k or "", r.i or 0, r.n) for r in got) == [("", 1, 1), ("", 2, 2), ("a", 0, 1), ("a", 5, 2)]
+
+
+def range_sizes(d, ranges=16):
+    return [r["count"] for r in numbering.ranged(d, ["k"], "o", ranges).groupBy("k", "_r").count().collect()]
+
+
+def test_far_and_constant_orders_are_spread(spark):
+    n, mean = 8000, 8000 / 16
+    far = spark.range(n).select(F.lit(1).alias("k"), F.when(F.col("id") == 5, 10**15).otherwise(F.col("id")).alias("o"))
+    same = spark.range(n).select(F.lit(1).alias("k"), F.lit(7).cast("long").alias("o"), "id")
+    for d in (far.repartition(4), same.repartition(4)):
+        sizes = range_sizes(d)
+        assert sum(sizes) == n and max(sizes) <= 2 * mean
+        got = number_within(d, "k", "o", "n", ranges=16)
+        assert sorted(r.n for r in got.select("n").collect()) == list(range(1, n + 1))
+    assert number_within(far, "k", "o", "n").filter("o = 1000000000000000").first().n == n
+
+
+def test_ties_get_the_same_numbers_however_rows_are_dealt(spark):
+    d = spark.range(500).select((F.col("id") % 3).alias("k"), (F.col("id") % 2).alias("o"), "id")
+    one, other = ({(r.id, r.n) for r in number_within(d.repartition(p), "k", "o", "n", ranges=r_).collect()} for p, r_ in ((2, 5), (7, 11)))
+    assert one == other
+
+
+def test_preparing_columns_are_computed_once_per_row(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(x):
+        calls.add(1)
+        return x if x % 3 == 0 else None
+
+    d = spark.range(300).select(F.lit("a").alias("k"), F.col("id").alias("o"))
+    got = carry_forward(d, "k", "o", {"c": "v"}, prepare=lambda x: x.withColumn("v", seen("o")))
+    assert [r.c for r in got.orderBy("o").collect()][:5] == [None, 0, 0, 0, 3] and calls.value == 300
