@@ -47,6 +47,10 @@ def _met(requests: DataFrame, corpus: DataFrame, rows: int, block_rows: int, cor
     return asked.groupBy("_rb", "_cb").cogroup(given.groupBy("_rb", "_cb")).applyInArrow(fn, schema)
 
 
+def _with_vectors(asked: pa.Table) -> pa.Table:
+    return asked.filter(pc.is_valid(asked["query_vec"]))
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Vectors of equal length as rows; none may be null."""
     flat = pc.list_flatten(column).to_numpy().astype(np.float64)
@@ -87,12 +91,12 @@ def dense_top_k(
     requests: DataFrame, corpus: DataFrame, k: int, corpus_id: str, corpus_vec: str, query_id: str = "query_id", query_vec: str = "query_vec"
 ) -> DataFrame:
     """Exact k nearest corpus rows per request by cosine distance, ties by id; zero vectors are at distance 1, null ones at none."""
-    asked = requests.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec")).filter("query_vec is not null")
+    asked = requests.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec"))
     rows = corpus.select(F.col(corpus_id).alias("chunk_id"), F.col(corpus_vec).alias("vec")).filter("vec is not null")
     types = [df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (rows, "chunk_id"))]
 
     def search(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("chunk_id")
+        asked, rows = _with_vectors(asked), rows.sort_by("chunk_id")
         q, c = _matrix(asked["query_vec"]), _matrix(rows["vec"])
         found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
         for a, b in _request_chunks(q, len(c)) if len(c) else ():
@@ -260,7 +264,7 @@ def hybrid_top_k(
     without a chunk, are left out. Texts and vectors are read and shuffled once, in one exchange; keyword scores and
     distances are computed together, so a task knows its own best candidates of both kinds.
     """
-    asked = requests.select("query_id", "query_vec", *TERMS).filter("query_vec is not null")
+    asked = requests.select("query_id", "query_vec", *TERMS)
     names = ((text, "text"), (heading, "heading"), (metadata, "metadata"))
     vec_type = vectors.schema[vec].dataType
     texts = chunks.select(F.col(chunk_id).alias("chunk_id"), *[F.col(c).alias(n) for c, n in names], F.lit(None).cast(vec_type).alias("vec"))
@@ -269,7 +273,7 @@ def hybrid_top_k(
     types = [df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (rows, "chunk_id"))]
 
     def search(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        rows = _paired(rows)
+        asked, rows = _with_vectors(asked), _paired(rows)
         q, c = _matrix(asked["query_vec"]), _matrix(rows["vec"])
         kr, kj, ks = _TermIndex(asked, escape).scores([rows[n].to_pylist() for n in ("text", "heading", "metadata")])
         by = np.argsort(kr, kind="stable")

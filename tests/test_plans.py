@@ -29,7 +29,7 @@ def shape(df):
     """A plan without numbers and without where it came from."""
     import re
 
-    return re.sub(r"\d+", "", re.sub(r"\[plan_id=\d+\]|Location.*?\]|Scan ExistingRDD", "", plan(df)))
+    return re.sub(r"\d+", "", re.sub(r"@[0-9a-f]+|\[plan_id=\d+\]|Location.*?\]|Scan ExistingRDD", "", plan(df)))
 
 
 def test_hybrid_search_reads_vectors_once_and_shuffles_no_pairs(spark):
