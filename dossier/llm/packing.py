@@ -1,11 +1,13 @@
 """Packing by optimal length buckets.
 
-A dynamic program over the histogram of all lengths picks the bucket boundaries with the least padding. Inside a
+A dynamic program over the exact histogram of all lengths picks the bucket boundaries with the least padding. Inside a
 bucket every sequence is padded to the boundary, and a batch takes as many as the token budget holds.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,39 +17,41 @@ from dossier.llm.base import materialize, word_count
 
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
-#: Boundaries are multiples of this, and above 64 of them 1/64 of the power of two below the length.
-STEP = 8
 SHARD_ROWS = 100_000
 SEED = 29
 
 
-def boundary(length: Column) -> Column:
-    """The smallest allowed boundary that holds a length: at most 64 per doubling, so their number is bounded."""
-    step = F.greatest(F.lit(float(STEP)), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double")))) / 64)
-    return (F.ceil(length / step) * step).cast("long")
-
-
 def best_boundaries(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     """Boundaries among `sizes` (ascending) for at most `buckets` buckets with the least total padded length.
 
-    cost[k][j] is the least padded length of sizes[:j] in k buckets; sequences of a bucket count as its largest
-    size. What padding there is under the allowed sizes is the same for any choice. Ties take fewer buckets,
-    then longer last buckets.
+    best[j] is the least padded length of sizes[:j] in k buckets; sequences of a bucket count as its largest size.
+    The first place of the best cut never moves back as j grows, so each layer is filled by halves, in
+    n log n steps. Ties take fewer buckets, then longer last buckets.
     """
     n = len(sizes)
     if not n:
         return []
+    sizes = np.asarray(sizes, dtype=np.int64)
     upto = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-    best = np.full(n + 1, np.inf)
+    never = np.int64(1) << np.int64(62)
+    best = np.full(n + 1, never)
     best[0] = 0
     cuts = []
-    k_best, least = 0, np.inf
+    k_best, least = 0, never
     for k in range(min(buckets, n)):
-        step, cut = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
-        for j in range(1, n + 1):
-            total = best[:j] + (upto[j] - upto[:j]) * float(sizes[j - 1])
-            cut[j] = total.argmin()
-            step[j] = total[cut[j]]
+        step, cut = np.full(n + 1, never), np.zeros(n + 1, dtype=np.int64)
+        # (first j, last j, first cut, last cut); sizes[:i] may be empty only in the first layer.
+        work = [(k + 1, n, k, n - 1)]
+        while work:
+            low, high, a, b = work.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            i = np.arange(a, min(b, j - 1) + 1)
+            total = best[i] + (upto[j] - upto[i]) * sizes[j - 1]
+            at = int(total.argmin())
+            cut[j], step[j] = i[at], total[at]
+            work += [(low, j - 1, a, cut[j]), (j + 1, high, cut[j], b)]
         best = step
         cuts.append(cut)
         if best[n] < least:
@@ -71,17 +75,16 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: in
     """
     n = word_count(F.col(text).cast("string")) if length is None else length.cast("long")
     rows = materialize(docs.select(F.col(key).alias("doc"), n.alias("n_tokens"), F.xxhash64(F.lit(SEED), F.col(key), F.col(text)).alias("h")), "lengths")
-    rows = rows.withColumn("edge", F.when(F.col("n_tokens") > 0, boundary(F.col("n_tokens"))))
-    # At most 64 rows per doubling of the length.
-    hist = sorted((r.edge, r["count"]) for r in rows.filter("edge is not null").groupBy("edge").count().collect())
+    # One row per distinct length: their sum is at most the tokens of the corpus, so they are few (some 10,000 for texts up to that length).
+    hist = sorted((r.n_tokens, r["count"]) for r in rows.filter("n_tokens > 0").groupBy("n_tokens").count().collect())
     edges = best_boundaries(np.array([e for e, _ in hist], dtype=np.int64), np.array([c for _, c in hist], dtype=np.int64), buckets)
     bucket = F.lit(None).cast("long")
     for e in reversed(edges):
-        bucket = F.when(F.col("edge") <= e, F.lit(e).cast("long")).otherwise(bucket)
-    rows = rows.withColumn("bucket", bucket).drop("edge")
+        bucket = F.when(F.col("n_tokens") <= e, F.lit(e).cast("long")).otherwise(bucket)
+    rows = rows.withColumn("bucket", F.when(F.col("n_tokens") > 0, bucket))
     sizes = {e: 0 for e in edges}
     for e, c in hist:
-        sizes[next(x for x in edges if e <= x)] += c
+        sizes[edges[bisect.bisect_left(edges, e)]] += c
     # A bucket is cut into shards by ranges of the hash; the counts of the earlier shards give a row its place.
     shards = F.lit(1)
     for e, c in sizes.items():
