@@ -125,6 +125,26 @@ def test_boundaries_are_optimal():
         assert cost(packing.best_boundaries(sizes, counts, 3)) == best
 
 
+def test_boundaries_of_many_lengths_are_as_those_of_the_plain_program():
+    r = np.random.default_rng(3)
+    sizes, counts = np.unique(r.lognormal(5, 1.2, 4000).astype(np.int64) + 1, return_counts=True)
+    upto = np.concatenate(([0], np.cumsum(counts)))
+    best = np.array([0.0] + [np.inf] * len(sizes))
+    for _ in range(6):
+        best = np.array([best[0] if j == 0 else (best[:j] + (upto[j] - upto[:j]) * sizes[j - 1]).min() for j in range(len(sizes) + 1)])
+    edges = packing.best_boundaries(sizes, counts, 6)
+    assert sum(c * edges[np.searchsorted(edges, s)] for s, c in zip(sizes, counts)) == best[-1]
+
+
+def test_padding_is_the_least_over_true_lengths(spark):
+    lengths = [9] * 50 + [10, 11, 300, 301, 302, 17] * 3
+    d = spark.createDataFrame([(i, " ".join(["w"] * n)) for i, n in enumerate(lengths)], "doc_id long, text string")
+    got = packing.packed(d, buckets=3).agg(F.sum("padding")).first()[0]
+    sizes = sorted(set(lengths))
+    cost = lambda edges: sum(min(e for e in edges if e >= n) - n for n in lengths)
+    assert got == min(cost((*c, sizes[-1])) for c in itertools.combinations(sizes[:-1], 2))
+
+
 def test_packing_fills_batches(docs, empty):
     got = packing.packed(docs, buckets=3, budget=400).collect()
     assert len(got) == docs.count()
@@ -157,10 +177,28 @@ def test_archive_round_trip(spark, tmp_path):
         head, _, body = bytes(r.record).partition(b"\r\n\r\n")
         length = int(next(x for x in head.split(b"\r\n") if x.startswith(b"Content-Length: "))[16:])
         assert body[length:] == b"\r\n\r\n" and head.startswith(b"WARC/1.1\r\n") and b"\nX: 1" not in head
+    heads = [bytes(r.record).partition(b"\r\n\r\n")[0].decode().split("\r\n") for r in archive.collect()]
+    field = lambda head, name: next((x.split(": ", 1)[1] for x in head if x.startswith(f"{name}: ")), None)
+    ids = {field(h, "WARC-Record-ID"): h for h in heads}
+    assert len(ids) == len(rows) and all(field(h, "WARC-Date") for h in heads)
+    assert all(field(ids[field(h, "WARC-Refers-To")], "WARC-Type") == "response" for h in heads if field(h, "WARC-Refers-To"))
+    assert sorted(r.url or "" for r in warc_archive.parsed(archive).collect()) == sorted(u or "" for _, u, _, _ in rows)
     warc_archive.write_archive(pages.limit(0), str(tmp_path / "none"))
     assert warc_archive.read_archive(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_damaged_and_missing_payloads_fail(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "a", "x" * 200), (2, "b", "y" * 200)], "page_id long, url string, html string")
+    for name, change in (("damaged", "concat(payload, payload)"), ("missing", "payload")):
+        path = str(tmp_path / name)
+        warc_archive.write_archive(pages, path)
+        stored = materialize(spark.read.parquet(f"{path}/payloads"), "stored")
+        stored = stored.withColumn("payload", F.expr(change)) if name == "damaged" else stored.limit(1)
+        stored.write.mode("overwrite").parquet(f"{path}/payloads")
+        with pytest.raises(Exception, match="does not have its digest" if name == "damaged" else "no payload"):
+            warc_archive.read_archive(spark, path).collect()
+
+
 @pytest.mark.parametrize("chunk", [4, 512])
 def test_vectors_against_all_pairs(spark, chunk):
     r = np.random.default_rng(2)
@@ -270,6 +308,33 @@ def test_cutoffs_guard_good_documents(spark, docs, empty):
     assert quality_rules.quality(empty, labels).count() == 0 and quality_rules.quality(docs, labels.limit(0)).filter("kept").count() > 30
 
 
+def test_joint_limit_is_kept_over_many_label_sets(spark):
+    """200 label sets, each a stratum of its own: the chosen settings break the limit in no more of them than the risk allows."""
+    n, strata = 400, 200
+    d = spark.range(n * strata).select(F.col("id").alias("doc_id"), F.floor(F.col("id") / n).cast("string").alias("lang"))
+    u = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1000)).cast("long")
+    bad = u(1) < 300
+    measured = d.select(
+        "doc_id", "lang", F.lit(1000).cast("long").alias("n_words"), (F.lit(5000) + u(2)).alias("word_chars"), F.when(bad & (u(3) < 700), 150 + u(4)).otherwise(F.when(u(3) < 60, u(5)).otherwise(u(4) % 5)).alias("n_symbols"),
+        F.lit(0).cast("long").alias("n_dup_lines"), F.lit(0).cast("long").alias("n_repeat_words"), u(6).alias("n_upper"), F.when(u(7) < 20, u(8)).otherwise(0).cast("long").alias("n_marks"), (F.lit(400) + u(9) % 100).alias("n_distinct"), F.lit(10).cast("long").alias("n_lines"), bad.alias("bad"),
+    )
+    measured = materialize(measured, "measured")
+    # Half of the good rows have labels; the others show what the settings do to rows that were not looked at.
+    labels = measured.filter(F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0).select("doc_id", F.when(F.col("bad"), 0).otherwise(1).alias("quality"))
+    cuts = materialize(quality_rules.cutoffs(measured, labels, risk=0.1 * strata), "cuts")
+    assert cuts.count() > 150
+    fresh = measured.join(labels, "doc_id", "left_anti").unionByName(measured.join(labels, "doc_id", "left_semi")).filter("not bad")
+    # The rate over all rows stands for the true one of every stratum: rows of all strata are drawn alike.
+    over = F.lit(False)
+    for r, score in quality_rules.rule_scores().items():
+        over = over | (score > F.col(f"cut.{r}"))
+    some = cuts.withColumnRenamed("stratum", "s")
+    sample = fresh.filter(F.pmod(F.col("doc_id"), F.lit(40)) == 0).drop("lang")
+    rates = sample.hint("broadcast").crossJoin(some).groupBy("s").agg(F.avg(over.cast("double")).alias("rate")).collect()
+    broken = sum(r.rate > 0.05 + 0.012 for r in rates)
+    assert broken <= 0.1 * strata
+
+
 def test_repeated_words_are_counted_once(spark):
     text = " ".join("abcdefghij") + " x " + " ".join("abcdefghij") + " y\nline one\nline one"
     r = quality_rules.measures(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
@@ -325,7 +390,7 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, path).count() == d.count()
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op12_phrase_collocations"}))  # op12 gives phrases
 def test_queries_give_every_row(spark, name):
     sf = "/root/testdata/sf0.001"
     table = {"op4_warc_archive": "pages", "op5_vector_dedup": "embeddings"}.get(name, "documents")
