@@ -145,7 +145,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum
     """
     rules = rule_scores()
     marked = labels.filter(F.col(quality).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(quality).alias("_q"))
-    scored = measured.filter(~base_failed()).select(F.col(key).alias("_k"), F.col(stratum).alias("stratum"), *[s.alias(r) for r, s in rules.items()])
+    # Made into rows of their own, the measures are not computed anew wherever the filter uses them.
+    row = F.struct(F.col(key).alias("_k"), F.col(stratum).alias("stratum"), base_failed().alias("_failed"), *[s.alias(r) for r, s in rules.items()])
+    scored = measured.select(F.inline(F.array(row))).filter("not _failed").drop("_failed")
     scored = materialize(scored.join(marked, "_k", "left").drop("_k"), "scores")
     path = materialize(_path(scored, list(rules)).withColumnRenamed("stratum", "_s"), "path")
     held_out = scored.filter("_q is not null").join(path, F.col("stratum").eqNullSafe(F.col("_s")))
