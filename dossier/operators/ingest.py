@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from dossier.functions.session import materialize
 from dossier.functions.text import first_present
 from dossier.operators import chunking, parsing, tree
+from dossier.operators.numbering import number_within
 from dossier.sources.raw import FILE_NAME_KEYS, FILE_TYPE, FILE_TYPE_KEYS, FILE_URL_KEYS
 
 
@@ -236,27 +237,43 @@ def import_stats(docs: DataFrame, category: str, page_size: int, total: bool = F
     return per.rollup(category).agg(F.count("*").alias("category_count"), *[F.sum(n).alias(n) for n in names], F.grouping(category).alias("is_total"))
 
 
-def embed_in_batches(chunks: DataFrame, text: str, embed: Callable[[list[str]], list[list[float]]], batch_size: int = 16, out: str = "embedding") -> DataFrame:
-    """Calls an embedding function on lists of at most `batch_size` texts, inside the tasks."""
+def numbered_batches(chunks: DataFrame, order: list[str], batch_size: int = 16) -> DataFrame:
+    """Adds position (from 1, over all chunks in the given order) and batch_no (from 0); a batch has batch_size chunks, the last one the rest."""
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
-    schema = T.StructType([*chunks.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+    d = chunks.withColumn("_all", F.lit(0)).withColumn("_order", F.struct(*order))
+    d = number_within(d, "_all", "_order", "position")
+    return d.withColumn("batch_no", F.floor((F.col("position") - 1) / batch_size)).drop("_all", "_order")
+
+
+def embed_in_batches(batched: DataFrame, text: str, embed: Callable[[list[str]], list[list[float]]], out: str = "embedding") -> DataFrame:
+    """Calls an embedding function once per batch of `numbered_batches`, in the order of the positions, inside the tasks.
+
+    Ranges of batches are dealt to the tasks, so a batch is never split; a task that is run again makes the same calls.
+    """
+    schema = T.StructType([*batched.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def embedded(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        frame = pd.concat(parts, ignore_index=True)
+        got = embed(frame[text].tolist())
+        if len(got) != len(frame):
+            raise ValueError("chunks and embeddings must have the same length")
+        return frame.assign(**{out: pd.Series(list(got), dtype=object)})
 
     def run(frames):
+        held: list[pd.DataFrame] = []
         for frame in frames:
-            texts = frame[text].tolist()
-            vectors: list = []
-            for i in range(0, len(texts), batch_size):
-                got = embed(texts[i : i + batch_size])
-                if len(got) != len(texts[i : i + batch_size]):
-                    raise ValueError("chunks and embeddings must have the same length")
-                vectors.extend(got)
-            yield frame.assign(**{out: pd.Series(vectors, index=frame.index, dtype=object)})
-
-    return chunks.mapInPandas(run, schema)
-
-
-def batch_plan(chunks: DataFrame, keys: list[str], number: str, batch_size: int = 16) -> DataFrame:
-    """Batch number of every chunk and how many chunks its batch holds, in chunk order."""
-    b = F.floor((F.col(number) - 1) / batch_size).alias("batch_no")
-    return chunks.select(*keys, b).groupBy(*keys, "batch_no").agg(F.count("*").alias("batch_chunks"))
+            for number, part in frame.groupby("batch_no", sort=False):
+                if held and held[0]["batch_no"].iat[0] != number:
+                    yield embedded(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield embedded(held)
+
+    return batched.repartitionByRange("batch_no").sortWithinPartitions("position").mapInPandas(run, schema)
+
+
+def batch_plan(batched: DataFrame) -> DataFrame:
+    """Per batch the number of its chunks and its first and last position."""
+    return batched.groupBy("batch_no").agg(F.count("*").alias("batch_chunks"), F.min("position").alias("first_position"), F.max("position").alias("last_position"))

@@ -283,17 +283,29 @@ def e8_import_summary(spark, sf_dir):
     return s.withColumn("is_total", F.col("is_total") == 1)
 
 
-@query("e9_embedding_batches", f"WITH RECURSIVE {WINDOWS} SELECT doc_id, CAST(floor((i - 1) / 16) AS BIGINT) AS batch_no, count(*) AS batch_chunks FROM cut GROUP BY ALL")
-def e9_embedding_batches(spark, sf_dir):
+_NUMBERED = f"{WINDOWS}, numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS position FROM cut)"
+
+
+def _batched(spark, sf_dir):
     c = chunking.window_chunks(texts(spark, sf_dir, "documents"), ["doc_id"])
-    return ingest.batch_plan(c, ["doc_id"], "chunk_no")
+    return ingest.numbered_batches(c.select("doc_id", "chunk_no", "chunk_id", "text"), ["doc_id", "chunk_no"])
+
+
+@query("e9_embedding_batches", f"WITH RECURSIVE {_NUMBERED} SELECT CAST(floor((position - 1) / 16) AS BIGINT) AS batch_no, count(*) AS batch_chunks, min(position) AS first_position, max(position) AS last_position FROM numbered GROUP BY 1")
+def e9_embedding_batches(spark, sf_dir):
+    return ingest.batch_plan(_batched(spark, sf_dir))
 
 
-@query("e9_embedded_chunks", f"WITH RECURSIVE {WINDOWS} SELECT doc_id, printf('chunk-%04d', i) AS chunk_id, CAST(length(piece) AS DOUBLE) AS first_value FROM cut")
+@query(
+    "e9_embedded_chunks",
+    f"""WITH RECURSIVE {_NUMBERED} SELECT doc_id, printf('chunk-%04d', i) AS chunk_id, CAST(length(piece) AS DOUBLE) AS first_value,
+        CAST(count(*) OVER (PARTITION BY floor((position - 1) / 16)) AS DOUBLE) AS call_size, CAST((position - 1) % 16 AS DOUBLE) AS place_in_call FROM numbered""",
+)
 def e9_embedded_chunks(spark, sf_dir):
-    c = chunking.window_chunks(texts(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "chunk_id", "text")
-    e = ingest.embed_in_batches(c, "text", lambda texts: [[float(len(t)), 1.0] for t in texts])
-    return e.select("doc_id", "chunk_id", F.get("embedding", F.lit(0)).alias("first_value"))
+    """Each vector says how long its text is, how many texts its call had and where it stood in the call."""
+    e = ingest.embed_in_batches(_batched(spark, sf_dir), "text", lambda texts: [[float(len(t)), float(len(texts)), float(i)] for i, t in enumerate(texts)])
+    value = lambda i, name: F.get("embedding", F.lit(i)).alias(name)
+    return e.select("doc_id", "chunk_id", value(0, "first_value"), value(1, "call_size"), value(2, "place_in_call"))
 
 
 @query("e10_dry_run", f"WITH RECURSIVE {_STATS} SELECT CAST(sum(documents_imported) AS BIGINT) AS documents_imported, CAST(sum(chunks_stored) AS BIGINT) AS chunks_stored FROM per")

@@ -31,43 +31,23 @@ def l1_feedback_stream(spark, sf_dir):
     f"SELECT conv_id, CAST(turn AS BIGINT) AS turn, is_follow_up, next_topic, next_section FROM ({FOLLOW_UP_SQL})",
 )
 def l2_context_stream(spark, sf_dir):
-    """Every turn number is one file, so state carries over the micro-batches."""
+    """Turns arrive in shuffled order over several micro-batches."""
     root = shared_dir(spark, "context-stream")
     d = u.with_context(questions(spark, sf_dir)).select("conv_id", F.col("turn").cast("bigint").alias("turn"), "own_leave", "own_section", "asks_year", "is_unclear")
-    d = d.persist()
-    for part in (d.filter("turn < 3"), d.filter("turn >= 3 and turn < 6"), d.filter("turn >= 6")):
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    schema = d.schema
-    d.unpersist()
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    out = jobs.conversation_context(stream)
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        w = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
-        w.start().awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    d.repartition(6, F.xxhash64("conv_id", "turn")).write.parquet(f"{root}/in")
+    stream = jobs.stateful_session(spark).readStream.schema(d.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    w = jobs.conversation_context(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+    w.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(jobs.CONTEXT_OUT).parquet(f"{root}/out")
 
 
 @query("l3_upsert_stream", UPSERT_SQL)
 def l3_upsert_stream(spark, sf_dir):
     root = shared_dir(spark, "upsert-stream")
-    table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.lit(1).alias("created_at")).write.parquet(f"{root}/base")
+    base = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.lit(1).alias("created_at"), F.lit(0).alias("seq"))
+    jobs.create_table(base, f"{root}/table", "doc_id")
     updates = labelled_updates(spark, sf_dir)
-    for seq in (1, 2):
-        updates.filter(F.col("seq") == seq).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    newest = [f"{root}/base"]
-
-    def write(snapshot, epoch):
-        path = f"{root}/snapshot-{epoch}"
-        snapshot.write.mode("overwrite").parquet(path)
-        newest[0] = path
-
-    stream = spark.readStream.schema(updates.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    jobs.continuous_upsert(stream, lambda: spark.read.parquet(newest[0]), write, "doc_id", "seq", f"{root}/state").awaitTermination()
-    return spark.read.parquet(newest[0]).select("doc_id", "lang", F.md5("text").alias("text_md5"), "created_at")
+    updates.repartition(4, F.xxhash64("doc_id", "seq")).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(updates.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    jobs.continuous_upsert(stream, f"{root}/table", "doc_id", "seq", f"{root}/state").awaitTermination()
+    return jobs.read_table(spark, f"{root}/table").select("doc_id", "lang", F.md5("text").alias("text_md5"), "created_at")

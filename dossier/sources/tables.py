@@ -19,24 +19,28 @@ def last_updates(updates: DataFrame, key: str, seq: str) -> DataFrame:
 def upsert(base: DataFrame, updates: DataFrame, key: str, seq: str, keep: tuple[str, ...] = ("created_at",)) -> DataFrame:
     """Insert or replace by key.
 
-    The last update of a key wins inside the batch, `keep` columns of a known
-    row stay as they were. One full outer join on the key, so both sides are
-    shuffled once and no key can collect more than one row per side.
+    The last update of a key wins inside the batch, `keep` columns of a known row stay as they were. Where base itself
+    has the column `seq`, an update older than the row it meets changes nothing. One full outer join on the key, so
+    both sides are shuffled once and no key can collect more than one row per side.
     """
-    new = last_updates(updates, key, seq)
+    versioned = seq in base.columns
+    new = last_updates(updates.withColumn("_seq", F.col(seq)), key, seq)
     b = base.withColumn("_b", F.lit(True)).alias("b")
     u = new.withColumn("_u", F.lit(True)).alias("u")
+    wins = F.col("u._u") & (F.coalesce(F.col("u._seq") >= F.col(f"b.{seq}"), F.lit(True)) if versioned else F.lit(True))
     out = [F.coalesce(F.col(f"b.{key}"), F.col(f"u.{key}")).alias(key)]
     for c in base.columns:
         if c == key:
             continue
         old = F.col(f"b.{c}")
-        if c not in new.columns:
+        if versioned and c == seq:
+            out.append(F.greatest(old, F.col("u._seq")).alias(c))
+        elif c not in new.columns:
             out.append(old.alias(c))
         elif c in keep:
             out.append(F.when(F.col("b._b"), old).otherwise(F.col(f"u.{c}")).alias(c))
         else:
-            out.append(F.when(F.col("u._u"), F.col(f"u.{c}")).otherwise(old).alias(c))
+            out.append(F.when(wins, F.col(f"u.{c}")).otherwise(old).alias(c))
     return b.join(u, F.col(f"b.{key}") == F.col(f"u.{key}"), "full_outer").select(*out)
 
 
