@@ -33,24 +33,88 @@ def observed(df: DataFrame) -> DataFrame:
     )
 
 
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+
+
+def _is_object(v: Column) -> Column:
+    return _kind(v).startswith("OBJECT")
+
+
+def _at(v: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, f"$.{path}", kind)
+
+
+def _items(v: Column, path: str) -> Column:
+    """Objects of a list; anything else in it, or in its place, is left out."""
+    return F.filter(F.coalesce(_at(v, path, "array<variant>"), F.array().cast("array<variant>")), _is_object)
+
+
+def _given(v: Column) -> Column:
+    """A value as text; null where it is missing, empty, zero or false."""
+    kind, text = _kind(v), F.try_variant_get(v, "$", "string")
+    number = F.try_variant_get(v, "$", "double")
+    return (
+        F.when(kind.startswith("STRING"), F.nullif(text, F.lit(""))).when(kind == "BOOLEAN", F.when(text == "true", "True"))
+        .when(kind.isin("VOID", "OBJECT<>", "ARRAY<>"), None).when(number.isNotNull(), F.when(number != 0, text)).otherwise(text)
+    )
+
+
+def _first_object(a: Column, b: Column) -> Column:
+    return F.when(_is_object(a), a).otherwise(b)
+
+
+def observed_json(df: DataFrame, response: str = "response") -> DataFrame:
+    """The columns of `observed` and `answer`, from the response as raw JSON text.
+
+    Results without a document id fall back to their chunk's, without a citation address to their own. The answer type
+    comes from the plan, or from the plan in the details of the step `answer_and_observe` where the response has none;
+    evidence types come from the response, that step, and the classifications of the step `evidence_quality`. Text that
+    is no JSON object shows nothing; fields of another type than expected are taken as missing.
+    """
+    v = F.try_parse_json(F.coalesce(F.col(response), F.lit("{}")))
+    d = df.withColumn("_v", F.when(_is_object(v), v).otherwise(F.parse_json(F.lit("{}"))))
+    root = c("_v")
+
+    def details(key: str) -> Column:
+        mine = F.filter(_items(root, "steps"), lambda s: (_at(s, "key", "string") == key) & _is_object(_at(s, "details")))
+        return _at(F.get(mine, F.lit(0)), "details")
+
+    d = d.withColumns({"_said": details("answer_and_observe"), "_seen": details("evidence_quality")})
+    results = _items(root, "results")
+    docs = F.transform(results, lambda r: F.coalesce(_given(_at(r, "doc_id")), _given(_at(r, "chunk.doc_id"))))
+    urls = F.transform(results, lambda r: F.coalesce(_given(_at(r, "citation.url")), _given(_at(r, "url"))))
+    judged = F.transform(_items(_at(c("_seen"), "target_evidence_filter"), "evidence_classifications"), lambda i: _first_object(_at(i, "general_evidence_assessment"), i))
+    assessed = F.concat(_items(root, "answer_evidence_assessments"), _items(c("_said"), "answer_evidence_assessments"), judged)
+    types = F.transform(assessed, lambda a: _given(_at(a, "evidence_type")))
+    plan = _first_object(_at(root, "answer_plan"), _at(c("_said"), "answer_plan"))
+    distinct = lambda a: F.array_distinct(F.array_compact(a))
+    return d.withColumns(
+        {"observed_doc_ids": distinct(docs), "observed_urls": distinct(urls), "observed_answer_type": F.when(_is_object(plan), _given(_at(plan, "answer_type"))), "observed_evidence_types": distinct(types),
+         "answer": F.coalesce(_given(_at(root, "answer")), F.lit(""))}
+    ).drop("_v", "_said", "_seen")
+
+
 def check_cases(df: DataFrame) -> DataFrame:
-    """Missing and forbidden items of every case and whether it passes; a case passes when all six checks do.
+    """Missing and forbidden items of every case, one verdict per check, and whether all six hold.
 
-    Expects expected_* / forbidden_keywords arrays, expected_answer_type, answer and the observed_* columns.
+    Expects expected_* / forbidden_keywords arrays, expected_answer_type, answer and the observed_* columns. Items come
+    in the order of the case, repeated ones as often as it names them.
     """
     answer = F.coalesce("answer", F.lit(""))
-    d = (
-        df.withColumn("missing_doc_ids", F.array_except("expected_doc_ids", "observed_doc_ids"))
-        .withColumn("missing_keywords", F.filter("expected_keywords", lambda k: ~F.contains(answer, k)))
-        .withColumn("forbidden_hits", F.filter("forbidden_keywords", lambda k: F.contains(answer, k)))
-        .withColumn("missing_urls", F.array_except("expected_urls", "observed_urls"))
-        .withColumn("missing_evidence_types", F.array_except("expected_evidence_types", "observed_evidence_types"))
-        .withColumn("answer_type_pass", c("expected_answer_type").isNull() | F.coalesce(c("observed_answer_type") == c("expected_answer_type"), F.lit(False)))
+    unseen = lambda kind: F.filter(f"expected_{kind}", lambda x: ~F.array_contains(f"observed_{kind}", x))
+    d = df.withColumns(
+        {
+            "missing_doc_ids": unseen("doc_ids"), "missing_keywords": F.filter("expected_keywords", lambda k: ~F.contains(answer, k)),
+            "forbidden_hits": F.filter("forbidden_keywords", lambda k: F.contains(answer, k)), "missing_urls": unseen("urls"), "missing_evidence_types": unseen("evidence_types"),
+            "answer_type_pass": c("expected_answer_type").isNull() | F.coalesce(c("observed_answer_type") == c("expected_answer_type"), F.lit(False)),
+        }
     )
-    empty = [F.size(x) == 0 for x in ("missing_doc_ids", "missing_keywords", "forbidden_hits", "missing_urls", "missing_evidence_types")]
+    lists = {"doc_ids_pass": "missing_doc_ids", "keywords_pass": "missing_keywords", "forbidden_pass": "forbidden_hits", "urls_pass": "missing_urls", "evidence_types_pass": "missing_evidence_types"}
+    d = d.withColumns({name: F.size(x) == 0 for name, x in lists.items()})
     passed = c("answer_type_pass")
-    for e in empty:
-        passed = passed & e
+    for name in lists:
+        passed = passed & c(name)
     return d.withColumn("passed", passed)
 
 
@@ -109,6 +173,21 @@ def sanitize_steps(df: DataFrame) -> DataFrame:
     return df.withColumn("summary", short_text(c("summary"), SUMMARY_LIMIT)).withColumn("child_count", F.size("children")).withColumn("details", safe).drop("children")
 
 
+def sanitize_results(df: DataFrame, results: str = "results") -> DataFrame:
+    """Results without body text: ids, distance, path and five fields of the citation; anything else goes."""
+    names = ("chunk_id", "doc_id", "block_id", "distance", "heading_path")
+    cite = ("title", "source", "url", "category", "publish_date")
+    safe = lambda r: F.struct(*[r[n].alias(n) for n in names], F.struct(*[r["citation"][n].alias(n) for n in cite]).alias("citation"))
+    return df.withColumn(results, F.transform(results, safe))
+
+
+def local_trace_id(df: DataFrame, name: str = "local_trace_id") -> DataFrame:
+    """The trace's own id: trace_id or request_id of the payload, else of the first step that has one in its details, else the question."""
+    given = lambda x: F.nullif(x, F.lit(""))
+    of_step = F.transform("steps", lambda s: F.coalesce(given(F.try_element_at(s["details"], F.lit("trace_id"))), given(F.try_element_at(s["details"], F.lit("request_id")))))
+    return df.withColumn(name, F.coalesce(given(c("trace_id")), given(c("request_id")), F.get(F.array_compact(of_step), F.lit(0)), given(c("query"))))
+
+
 def step_rows(df: DataFrame, trace: str = "trace_id") -> DataFrame:
     """Two-level step trees to rows: path, key, status, duration, child count."""
     d = df.select(trace, F.posexplode("steps").alias("i", "s"))

@@ -41,6 +41,65 @@ def k1_observed_sets(spark, sf_dir):
     return d.select("conv_id", "turn", j("observed_doc_ids", "doc_ids"), j("observed_urls", "urls"), F.col("observed_answer_type").alias("answer_type"), j("observed_evidence_types", "evidence_types"))
 
 
+def raw_responses(spark, sf_dir):
+    """A response per conversation turn as JSON text; some plans, steps, results and assessments are missing, broken or of another type."""
+    k, t = F.col("conv_id").cast("string"), F.col("turn")
+    join = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    doc = F.when(t % 2 == 0, join('"doc_id":"doc-', k, '",')).otherwise('"doc_id":"",')
+    url = F.when(t % 3 == 0, join('{"url":"u/', k, '"}')).otherwise('"no object"')
+    results = join('[{', doc, '"chunk":{"doc_id":"doc-', k, '"},"citation":', url, ',"url":"u/second"},7,{"doc_id":', t.cast("string"), ',"url":"u/second"}]')
+    plan = F.when(t % 4 == 0, '{"answer_type":"table_lookup"}').when(t % 4 == 1, "null").when(t % 4 == 2, '{"answer_type":""}').otherwise('"none"')
+    said = '{"key":"answer_and_observe","details":{"answer_plan":{"answer_type":"definition"},"answer_evidence_assessments":[{"evidence_type":"action_evidence"},"x",{"evidence_type":null}]}}'
+    seen = '{"key":"evidence_quality","details":{"target_evidence_filter":{"evidence_classifications":[{"evidence_type":"outer","general_evidence_assessment":{"evidence_type":"table_evidence"}},{"evidence_type":"action_evidence"}]}}}'
+    steps = F.when(t % 5 == 4, '"broken"').otherwise(join('["x",{"key":"answer_and_observe","details":[]},', said, ",", seen, "]"))
+    direct = F.when(t % 5 == 0, '[{"evidence_type":"listing_evidence"}]').otherwise("{}")
+    whole = join('{"answer":', F.to_json(F.array("text")), ',"results":', results, ',"answer_plan":', plan, ',"steps":', steps, ',"answer_evidence_assessments":', direct, "}")
+    whole = F.regexp_replace(whole, r'^\{"answer":\[(?s)(.*?)\],"results"', '{"answer":$1,"results"')
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(t == 7, F.lit("no json")).otherwise(whole).alias("response"))
+
+
+_OBSERVED = """
+    o AS (SELECT conv_id, turn, text, turn <> 7 AS ok, turn <> 7 AND turn % 5 <> 4 AS stepped FROM conversations),
+    obs AS (SELECT conv_id, turn, CASE WHEN ok THEN text ELSE '' END AS answer,
+      CASE WHEN ok THEN CASE WHEN turn = 0 THEN ['doc-' || conv_id] ELSE ['doc-' || conv_id, CAST(turn AS VARCHAR)] END ELSE []::VARCHAR[] END AS docs,
+      CASE WHEN ok THEN CASE WHEN turn % 3 = 0 THEN ['u/' || conv_id, 'u/second'] ELSE ['u/second'] END ELSE []::VARCHAR[] END AS urls,
+      CASE WHEN ok AND turn % 4 = 0 THEN 'table_lookup' WHEN turn % 4 IN (1, 3) AND stepped THEN 'definition' END AS answer_type,
+      CASE WHEN ok THEN list_concat(CASE WHEN turn % 5 = 0 THEN ['listing_evidence'] ELSE []::VARCHAR[] END, CASE WHEN stepped THEN ['action_evidence', 'table_evidence'] ELSE []::VARCHAR[] END) ELSE []::VARCHAR[] END AS types FROM o)
+"""
+
+
+@query(
+    "k1_observed_json",
+    f"WITH {_OBSERVED} SELECT conv_id, turn, md5(answer) AS answer_md5, array_to_string(docs, ',') AS doc_ids, array_to_string(urls, ',') AS urls, answer_type, array_to_string(types, ',') AS evidence_types FROM obs",
+)
+def k1_observed_json(spark, sf_dir):
+    d = e.observed_json(raw_responses(spark, sf_dir))
+    j = lambda x, n: F.array_join(x, ",").alias(n)
+    return d.select("conv_id", "turn", F.md5("answer").alias("answer_md5"), j("observed_doc_ids", "doc_ids"), j("observed_urls", "urls"), F.col("observed_answer_type").alias("answer_type"), j("observed_evidence_types", "evidence_types"))
+
+
+@query(
+    "k2_failing_checks",
+    f"""WITH {_OBSERVED}, x AS (SELECT *, ['doc-' || conv_id, '3', '3'] AS e_docs, CASE WHEN turn % 2 = 0 THEN ['u/' || conv_id] ELSE ['u/second'] END AS e_urls, ['action_evidence', 'listing_evidence'] AS e_types FROM obs),
+        m AS (SELECT *, list_filter(e_docs, lambda v: NOT list_contains(docs, v)) AS m_docs, list_filter(e_urls, lambda v: NOT list_contains(urls, v)) AS m_urls, list_filter(e_types, lambda v: NOT list_contains(types, v)) AS m_types,
+               list_filter(['a', 'q'], lambda w: NOT contains(answer, w)) AS m_words, list_filter(['wh'], lambda w: contains(answer, w)) AS hits, coalesce(answer_type = 'table_lookup', false) OR turn = 2 AS type_ok FROM x)
+        SELECT conv_id, turn, array_to_string(m_docs, ',') AS missing_doc_ids, array_to_string(m_urls, ',') AS missing_urls, array_to_string(m_types, ',') AS missing_evidence_types,
+               len(m_docs) = 0 AS doc_ids_pass, len(m_words) = 0 AS keywords_pass, len(hits) = 0 AS forbidden_pass, len(m_urls) = 0 AS urls_pass, len(m_types) = 0 AS evidence_types_pass, type_ok AS answer_type_pass,
+               len(m_docs) + len(m_words) + len(hits) + len(m_urls) + len(m_types) = 0 AND type_ok AS passed FROM m""",
+)
+def k2_failing_checks(spark, sf_dir):
+    """Cases that fail by each of the six checks; an item that a case names twice is missing twice."""
+    k, lit = F.col("conv_id").cast("string"), lambda *xs: F.array(*[F.lit(x) for x in xs])
+    d = e.observed_json(raw_responses(spark, sf_dir)).withColumns(
+        {"expected_doc_ids": F.array(F.concat(F.lit("doc-"), k), F.lit("3"), F.lit("3")), "expected_urls": F.when(F.col("turn") % 2 == 0, F.array(F.concat(F.lit("u/"), k))).otherwise(lit("u/second")),
+         "expected_evidence_types": lit("action_evidence", "listing_evidence"), "expected_keywords": lit("a", "q"), "forbidden_keywords": lit("wh"),
+         "expected_answer_type": F.when(F.col("turn") != 2, "table_lookup")}
+    )
+    j = lambda x: F.array_join(x, ",").alias(x)
+    passes = [f"{c}_pass" for c in ("doc_ids", "keywords", "forbidden", "urls", "evidence_types", "answer_type")]
+    return e.check_cases(d).select("conv_id", "turn", j("missing_doc_ids"), j("missing_urls"), j("missing_evidence_types"), *passes, "passed")
+
+
 def checked(spark, sf_dir):
     k = F.col("conv_id").cast("string")
     lit = lambda *xs: F.array(*[F.lit(x) for x in xs])
@@ -139,6 +198,24 @@ def k8_sanitized_steps(spark, sf_dir):
     return s.select("conv_id", "turn", "summary", F.col("child_count").cast("bigint").alias("child_count"), flat.alias("details"), F.md5(e.short_text(F.col("text"))).alias("long_md5"))
 
 
+@query(
+    "k8_sanitized_results",
+    """SELECT conv_id, turn, '[{"chunk_id":"c' || turn || '","doc_id":"d' || conv_id || '","distance":0.5,"heading_path":["' || role || '"],"citation":{"title":"' || role || '","url":"u"}}]' AS results,
+         CASE turn % 4 WHEN 0 THEN 't' || conv_id WHEN 1 THEN 'r' || conv_id WHEN 2 THEN 's' || conv_id ELSE nullif(text, '') END AS local_trace_id FROM conversations""",
+)
+def k8_sanitized_results(spark, sf_dir):
+    k, t = F.col("conv_id").cast("string"), F.col("turn")
+    none = F.lit(None).cast("string")
+    cite = F.struct(F.col("role").alias("title"), none.alias("source"), F.lit("u").alias("url"), none.alias("category"), none.alias("publish_date"), F.lit("secret").alias("note"))
+    result = F.struct(F.concat(F.lit("c"), t).alias("chunk_id"), F.concat(F.lit("d"), k).alias("doc_id"), none.alias("block_id"), F.lit(0.5).alias("distance"), F.array("role").alias("heading_path"), cite.alias("citation"), F.col("text").alias("text"))
+    step = lambda m: F.struct(m.alias("details"))
+    steps = F.array(step(F.create_map(F.lit("x"), F.lit("y"))), step(F.when(t % 4 == 2, F.create_map(F.lit("trace_id"), F.lit(""), F.lit("request_id"), F.concat(F.lit("s"), k))).otherwise(F.create_map(F.lit("x"), F.lit("y")))))
+    d = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.array(result).alias("results"), F.when(t % 4 == 0, F.concat(F.lit("t"), k)).otherwise("").alias("trace_id"), F.when(t % 4 == 1, F.concat(F.lit("r"), k)).alias("request_id"), steps.alias("steps"), F.col("text").alias("query"),
+    )
+    return e.local_trace_id(e.sanitize_results(d)).select("conv_id", "turn", F.to_json("results").alias("results"), "local_trace_id")
+
+
 def traces(spark, sf_dir):
     """A trace per event: two steps, the second with up to two children."""
     v, k = F.col("value"), F.col("event_id")
