@@ -416,15 +416,17 @@ PLANS = {
 }
 
 
-def plan_answers(assessed: DataFrame) -> DataFrame:
-    """One answer plan per question from its assessed evidence.
+def plan_answers(questions: DataFrame, assessed: DataFrame) -> DataFrame:
+    """One answer plan per question, also for questions without evidence.
 
-    Expects query_id, rank, chunk_id, aspect, missing (array), has_rule, evidence_type, usable.
+    questions: query_id, aspect, missing (array), has_rule. assessed: query_id, rank, chunk_id, evidence_type, usable.
     """
-    q = assessed.groupBy("query_id").agg(
-        F.first("aspect").alias("aspect"), F.first("missing").alias("missing"), F.max("has_rule").alias("has_rule"), F.collect_set("evidence_type").alias("types"),
-        F.array_sort(F.collect_list(F.when(c("usable"), F.struct("rank", "chunk_id")))).alias("cited"),
+    found = assessed.groupBy("query_id").agg(
+        F.collect_set("evidence_type").alias("types"), F.array_sort(F.collect_list(F.when(c("usable"), F.struct("rank", "chunk_id")))).alias("cited"),
     )
+    none = lambda name: F.coalesce(name, F.array().cast(found.schema[name].dataType))
+    q = questions.select("query_id", "aspect", F.coalesce("missing", F.array().cast("array<string>")).alias("missing"), F.coalesce("has_rule", F.lit(False)).alias("has_rule"))
+    q = q.join(found, "query_id", "left").withColumns({"types": none("types"), "cited": none("cited")})
     got = lambda t: F.array_contains("types", t)
     refuse = strings(("cannot_answer", "citations"))
     conditional = F.size("missing") > 0
@@ -450,24 +452,31 @@ def leaked_markers(text: Column) -> Column:
     return hits(text, F.concat("spec.exclude_sections", "spec.exclude_clauses"))
 
 
-def scope_guard(df: DataFrame) -> DataFrame:
-    """Excluded markers that still show in the evidence of a question."""
-    each = df.select("query_id", F.explode_outer(leaked_markers(c("text"))).alias("m"))
-    found = each.groupBy("query_id").agg(F.array_sort(F.collect_set("m")).alias("leaked"))
+def scope_guard(questions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Excluded markers that still show in the evidence of a question; one row per question. questions: query_id."""
+    each = evidence.select("query_id", F.explode(leaked_markers(c("text"))).alias("m"))
+    found = questions.select("query_id").join(each.groupBy("query_id").agg(F.array_sort(F.collect_set("m")).alias("leaked")), "query_id", "left")
+    found = found.withColumn("leaked", F.coalesce("leaked", F.array().cast("array<string>")))
     return found.withColumn("status", F.when(F.size("leaked") == 0, "ok").otherwise("warn"))
 
 
-def quality_checks(df: DataFrame, score: str = "rerank_score") -> DataFrame:
-    """Six named checks per question, one row each."""
-    q = df.groupBy("query_id").agg(
+def quality_checks(questions: DataFrame, evidence: DataFrame, score: str = "rerank_score") -> DataFrame:
+    """Six named checks per question, one row each. questions: query_id.
+
+    A question without evidence has no relevant score and no context to assemble; there is nothing to check of sources,
+    dates and scope then.
+    """
+    q = evidence.groupBy("query_id").agg(
         F.max(score).alias("top"), F.bool_and(F.coalesce(c("source") != "", F.lit(False))).alias("sourced"), F.bool_or(c("effective_date").isNotNull()).alias("dated"),
         F.count("*").alias("n"), F.bool_or(F.size(leaked_markers(c("text"))) > 0).alias("leaks"),
     )
+    q = questions.select("query_id").join(q, "query_id", "left")
+    some = c("n").isNotNull()
     ok = lambda cond: F.when(cond, "ok").otherwise("warn")
     rows = F.array(*[
         F.struct(F.lit(n).alias("name"), v.alias("status"))
-        for n, v in (("relevance_threshold", ok(c("top") >= 0.5)), ("source_metadata", ok(c("sourced"))), ("freshness_conflict", ok(c("dated"))),
-                     ("context_assembly", ok(c("n") > 0)), ("scope_guard", ok(~c("leaks"))), ("citation_merge", F.lit("ok")))
+        for n, v in (("relevance_threshold", ok(c("top") >= 0.5)), ("source_metadata", ok(~some | c("sourced"))), ("freshness_conflict", ok(~some | c("dated"))),
+                     ("context_assembly", ok(some)), ("scope_guard", ok(~some | ~c("leaks"))), ("citation_merge", F.lit("ok")))
     ])
     return q.select("query_id", F.explode(rows).alias("r")).select("query_id", "r.name", "r.status")
 

@@ -102,13 +102,18 @@ def j8_ambiguity_options(spark, sf_dir):
     return an.ambiguity_options(specs(spark, sf_dir)).select("query_id", "title", F.array_join("options", "|").alias("options"))
 
 
+# Detail evidence of a clause question, as in the target filter.
+_DETAIL = "detail AND coalesce(chunk_type, '') <> 'section_children' AND (sec IS NULL OR contains(h, sec)) AND coalesce(contains(h, cl), false)"
 _BRANCH = f"""
     per AS (SELECT query_id, count(*) AS n, bool_or(is_p) AS has_p, bool_or(is_c) AS has_c,
         bool_or(exact AND sec IS NOT NULL AND cl IS NULL AND ans = 'definition' AND (regexp_matches(text, coalesce(sec, '~') || '\\s*[：:]\\s*指[^。]*。') OR contains(text, '（一）' || sec) OR contains(text, '（二）' || sec) OR contains(text, '（三）' || sec) OR contains(text, sec || '：') OR contains(text, sec || ':'))) AS has_def,
         bool_or(lists) AS has_list, bool_or({any_sql('text', ('带薪年假', '带薪年休假', '年休假天数'))} AND regexp_matches(text, '第一年 第二年 第三年')) AS has_tier,
+        arg_min(chunk_id, rank) FILTER (WHERE exact AND sec IS NOT NULL AND cl IS NULL AND ans = 'definition' AND (regexp_matches(text, coalesce(sec, '~') || '\\s*[：:]\\s*指[^。]*。') OR contains(text, '（一）' || sec) OR contains(text, '（二）' || sec) OR contains(text, '（三）' || sec) OR contains(text, sec || '：') OR contains(text, sec || ':'))) AS def_id,
+        arg_min(chunk_id, rank) FILTER (WHERE {any_sql('text', ('带薪年假', '带薪年休假', '年休假天数'))} AND regexp_matches(text, '第一年 第二年 第三年')) AS tier_id,
+        coalesce(arg_min(chunk_id, rank) FILTER (WHERE {_DETAIL}), arg_min(chunk_id, rank)) AS clause_id,
         string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) AS ids FROM final GROUP BY query_id),
     ans AS (SELECT s.query_id, CASE WHEN t = 4 THEN 'ambiguity' WHEN per.n IS NULL THEN 'nothing' WHEN has_def THEN 'definition' WHEN has_list THEN 'listing' WHEN s.ans = 'clause_detail' THEN 'clause'
-        WHEN beh = 'absenteeism' AND has_p THEN 'absence' WHEN beh <> 'absenteeism' AND has_c THEN 'behavior' WHEN (cat = 'leave' OR {any_sql('q', ('年假', '年休假'))}) AND has_tier THEN 'tier' ELSE 'best_chunk' END AS branch, ids
+        WHEN beh = 'absenteeism' AND has_p THEN 'absence' WHEN beh <> 'absenteeism' AND has_c THEN 'behavior' WHEN (cat = 'leave' OR {any_sql('q', ('年假', '年休假'))}) AND has_tier THEN 'tier' ELSE 'best_chunk' END AS branch, ids, def_id, tier_id, clause_id
       FROM spec s LEFT JOIN per ON s.query_id = per.query_id)
 """
 
@@ -124,8 +129,8 @@ def j9_answer_branch(spark, sf_dir):
 
 @query(
     "j10_answer_sources",
-    f"""WITH {DEDUPED}, {_PICKED}, {_BRANCH} SELECT query_id, CASE WHEN branch IN ('ambiguity', 'nothing') THEN '' ELSE ids END AS sources FROM ans WHERE branch NOT IN ('definition', 'clause', 'tier')""",
+    f"""WITH {DEDUPED}, {_PICKED}, {_BRANCH} SELECT query_id, branch, CASE branch WHEN 'ambiguity' THEN '' WHEN 'nothing' THEN '' WHEN 'definition' THEN CAST(def_id AS VARCHAR) WHEN 'clause' THEN CAST(clause_id AS VARCHAR)
+          WHEN 'tier' THEN CAST(tier_id AS VARCHAR) ELSE ids END AS sources FROM ans""",
 )
 def j10_answer_sources(spark, sf_dir):
-    a = answers(spark, sf_dir).filter(~F.col("branch").isin("definition", "clause", "tier"))
-    return a.select("query_id", F.array_join(F.col("source_chunk_ids").cast("array<string>"), ",").alias("sources"))
+    return answers(spark, sf_dir).select("query_id", "branch", F.array_join(F.col("source_chunk_ids").cast("array<string>"), ",").alias("sources"))

@@ -56,16 +56,10 @@ def question_rows(keys):
     return d.withColumn("hints", u.hints(F.col("query")))
 
 
-_SPECS: dict[tuple[str, str], object] = {}
-
-
 def specs(spark, sf_dir):
-    """The specs of all questions: a table of their own, written once per application and read by every stage."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SPECS:
-        ids = texts(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).alias("query_id")).distinct()
-        _SPECS[key] = materialize(question_rows(ids), "specs")
-    return _SPECS[key]
+    """The specs of all questions: a table of their own, written once per query and read by its stages."""
+    ids = texts(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).alias("query_id")).distinct()
+    return materialize(question_rows(ids), "specs")
 
 
 def candidates(spark, sf_dir):
@@ -343,8 +337,7 @@ ASSESSED = f"""
 def assessed_rows(d):
     a = ev.assess(ev.haystack(), F.col("intent.asked_aspect"), ev.intent_terms())
     return d.withColumn("a", a).select(
-        "query_id", "rank", "chunk_id", F.col("intent.asked_aspect").alias("aspect"), F.col("intent.missing_conditions").alias("missing"), F.col("spec.rule_id").isNotNull().alias("has_rule"),
-        "a.evidence_type", F.col("a.usable_as_final").alias("usable"), "a.matched_terms", "a.missing_terms",
+        "query_id", "rank", "chunk_id", "a.evidence_type", F.col("a.usable_as_final").alias("usable"), "a.matched_terms", "a.missing_terms",
     )
 
 
@@ -355,11 +348,11 @@ def i11_assess_evidence(spark, sf_dir):
     )
 
 
-_PLAN = f"""
-    pl AS (SELECT query_id, any_value(iasp) AS iasp, any_value(missing) AS missing, bool_or(thr IS NOT NULL) AS ruled, list(DISTINCT etype) AS types,
-             string_agg(CASE WHEN etype NOT IN ('insufficient_evidence', 'cross_reference_evidence') THEN CAST(chunk_id AS VARCHAR) END, ',' ORDER BY rank) AS cited FROM assessed GROUP BY query_id),
-    plan AS (SELECT *, CASE iasp WHEN 'disciplinary_action' THEN 'action_evidence' WHEN 'classification' THEN 'classification_evidence' WHEN 'section_listing' THEN 'listing_evidence' WHEN 'table_lookup' THEN 'table_evidence'
-             WHEN 'definition' THEN 'definition_evidence' WHEN 'process' THEN 'process_evidence' END AS need FROM pl)
+_PLAN = """
+    found AS (SELECT query_id, list(DISTINCT etype) AS types, string_agg(CASE WHEN etype NOT IN ('insufficient_evidence', 'cross_reference_evidence') THEN CAST(chunk_id AS VARCHAR) END, ',' ORDER BY rank) AS cited FROM assessed GROUP BY query_id),
+    plan AS (SELECT s.query_id, iasp, missing, thr IS NOT NULL AS ruled, coalesce(types, []::VARCHAR[]) AS types, cited,
+             CASE iasp WHEN 'disciplinary_action' THEN 'action_evidence' WHEN 'classification' THEN 'classification_evidence' WHEN 'section_listing' THEN 'listing_evidence' WHEN 'table_lookup' THEN 'table_evidence'
+             WHEN 'definition' THEN 'definition_evidence' WHEN 'process' THEN 'process_evidence' END AS need FROM spec s LEFT JOIN found f ON f.query_id = s.query_id)
 """
 _PLAN_TYPE = """CASE WHEN need IS NULL THEN 'grounded_summary' WHEN NOT list_contains(types, need) THEN 'insufficient_evidence'
     WHEN iasp = 'disciplinary_action' THEN CASE WHEN len(missing) > 0 THEN 'conditional_disciplinary_action' ELSE 'disciplinary_action' END ELSE iasp END"""
@@ -367,7 +360,7 @@ _PLAN_TYPE = """CASE WHEN need IS NULL THEN 'grounded_summary' WHEN NOT list_con
 
 @query(
     "i12_plan_answer",
-    f"""WITH {CAND}, {ASSESSED.format(src='cand')}, {_PLAN} SELECT query_id, {_PLAN_TYPE} AS answer_type, coalesce(cited, '') AS required_citations, CASE WHEN need IS NOT NULL AND NOT list_contains(types, need) THEN need END AS lacking,
+    f"""WITH {DEDUPED}, {_PICKED}, {ASSESSED.format(src='final')}, {_PLAN} SELECT query_id, {_PLAN_TYPE} AS answer_type, coalesce(cited, '') AS required_citations, CASE WHEN need IS NOT NULL AND NOT list_contains(types, need) THEN need END AS lacking,
         CASE WHEN need IS NULL THEN 'summary,citations,uncertainty' WHEN NOT list_contains(types, need) THEN 'cannot_answer,citations'
           WHEN iasp = 'disciplinary_action' THEN 'fact' || CASE WHEN len(missing) > 0 THEN ',conditions' ELSE '' END || CASE WHEN ruled THEN ',rule_match' ELSE '' END ||
             CASE WHEN ruled OR list_contains(types, 'classification_evidence') THEN ',classification' ELSE '' END || ',action,citations,uncertainty'
@@ -375,7 +368,8 @@ _PLAN_TYPE = """CASE WHEN need IS NULL THEN 'grounded_summary' WHEN NOT list_con
           WHEN iasp = 'definition' THEN 'definition,scope,citations' ELSE 'steps,owner,materials,citations,uncertainty' END AS sections FROM plan""",
 )
 def i12_plan_answer(spark, sf_dir):
-    p = ev.plan_answers(assessed_rows(candidates(spark, sf_dir)))
+    asked = specs(spark, sf_dir).select("query_id", F.col("intent.asked_aspect").alias("aspect"), F.col("intent.missing_conditions").alias("missing"), F.col("spec.rule_id").isNotNull().alias("has_rule"))
+    p = ev.plan_answers(asked, assessed_rows(final_evidence(spark, sf_dir)))
     return p.select("query_id", "answer_type", F.array_join(F.col("required_citations").cast("array<string>"), ",").alias("required_citations"), "lacking", F.array_join("sections", ",").alias("sections"))
 
 
@@ -384,23 +378,26 @@ _LEAK = "len(list_filter(list_concat(exs, exc), lambda x: contains(text, x))) >
 
 @query(
     "i13_quality_checks",
-    f"""WITH {CAND}, {_SCORE}, g AS (SELECT query_id, max(score) AS top, bool_and(source IS NOT NULL) AS sourced, bool_or(chunk_id % 5 = 0) AS dated, bool_or({_LEAK}) AS leaks FROM scored GROUP BY query_id)
-        SELECT query_id, v.name, CASE v.name WHEN 'relevance_threshold' THEN CASE WHEN top >= 0.5 THEN 'ok' ELSE 'warn' END WHEN 'source_metadata' THEN CASE WHEN sourced THEN 'ok' ELSE 'warn' END
-          WHEN 'freshness_conflict' THEN CASE WHEN dated THEN 'ok' ELSE 'warn' END WHEN 'scope_guard' THEN CASE WHEN leaks THEN 'warn' ELSE 'ok' END ELSE 'ok' END AS status
-        FROM g, (VALUES ('relevance_threshold'), ('source_metadata'), ('freshness_conflict'), ('context_assembly'), ('scope_guard'), ('citation_merge')) v(name)""",
+    f"""WITH {DEDUPED}, {_PICKED}, {_SCORE},
+        g AS (SELECT f.query_id, max(s.score) AS top, bool_and(f.source IS NOT NULL) AS sourced, bool_or(f.chunk_id % 5 = 0) AS dated, bool_or({_LEAK.replace('exs', 'f.exs').replace('exc', 'f.exc').replace('(text', '(f.text')}) AS leaks
+              FROM final f JOIN scored s ON s.query_id = f.query_id AND s.chunk_id = f.chunk_id GROUP BY f.query_id)
+        SELECT i.query_id, v.name, CASE v.name WHEN 'relevance_threshold' THEN CASE WHEN top >= 0.5 THEN 'ok' ELSE 'warn' END WHEN 'source_metadata' THEN CASE WHEN top IS NULL OR sourced THEN 'ok' ELSE 'warn' END
+          WHEN 'freshness_conflict' THEN CASE WHEN top IS NULL OR dated THEN 'ok' ELSE 'warn' END WHEN 'scope_guard' THEN CASE WHEN leaks THEN 'warn' ELSE 'ok' END
+          WHEN 'context_assembly' THEN CASE WHEN top IS NULL THEN 'warn' ELSE 'ok' END ELSE 'ok' END AS status
+        FROM ids i LEFT JOIN g ON g.query_id = i.query_id, (VALUES ('relevance_threshold'), ('source_metadata'), ('freshness_conflict'), ('context_assembly'), ('scope_guard'), ('citation_merge')) v(name)""",
 )
 def i13_quality_checks(spark, sf_dir):
-    d = ev.rule_score(candidates(spark, sf_dir)).withColumn("effective_date", F.when(F.col("chunk_id") % 5 == 0, F.lit("2024-01-01")))
-    return ev.quality_checks(d.withColumnRenamed("deterministic_score", "rerank_score"))
+    d = ev.rule_score(final_evidence(spark, sf_dir)).withColumn("effective_date", F.when(F.col("chunk_id") % 5 == 0, F.lit("2024-01-01")))
+    return ev.quality_checks(specs(spark, sf_dir), d.withColumnRenamed("deterministic_score", "rerank_score"))
 
 
 @query(
     "i14_scope_guard",
-    f"""WITH {CAND}, m AS (SELECT query_id, unnest(list_filter(list_concat(exs, exc), lambda x: contains(text, x))) AS m FROM cand), g AS (SELECT query_id, string_agg(DISTINCT m, ',' ORDER BY m) AS leaked FROM m GROUP BY query_id)
+    f"""WITH {DEDUPED}, {_PICKED}, m AS (SELECT query_id, unnest(list_filter(list_concat(exs, exc), lambda x: contains(text, x))) AS m FROM final), g AS (SELECT query_id, string_agg(DISTINCT m, ',' ORDER BY m) AS leaked FROM m GROUP BY query_id)
         SELECT i.query_id, coalesce(leaked, '') AS leaked, CASE WHEN leaked IS NULL THEN 'ok' ELSE 'warn' END AS status FROM ids i LEFT JOIN g ON i.query_id = g.query_id""",
 )
 def i14_scope_guard(spark, sf_dir):
-    return ev.scope_guard(candidates(spark, sf_dir)).select("query_id", F.array_join("leaked", ",").alias("leaked"), "status")
+    return ev.scope_guard(specs(spark, sf_dir), final_evidence(spark, sf_dir)).select("query_id", F.array_join("leaked", ",").alias("leaked"), "status")
 
 
 @query(
