@@ -37,7 +37,19 @@ def f2_char_buckets(spark, sf_dir):
     return d.select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), "n", F.round(F.col("n") * 0.15, 6).alias("weight"))
 
 
-@query("f2_blake_embedding")
+# Bucket of every letter, sign and space below U+0600, by the rule of the operator, as rows; the tables have no other characters.
+_BLAKE = ", ".join(f"({code}, {features._blake_bucket(code)})" for code in range(0x20, 0x600))
+_TERMS = ", ".join(f"(SELECT {' + '.join(f'length(t) - length(replace(t, {chr(39)}{w.lower()}{chr(39)}, {chr(39)}{chr(39)}))' for w in terms)})" for _, terms in features.TERM_FEATURES)
+
+
+@query(
+    "f2_blake_embedding",
+    f"""WITH blake(code, b) AS (VALUES {_BLAKE}), d AS (SELECT doc_id, {_COMPACT} AS t FROM documents), ch AS (SELECT doc_id, unicode(unnest(string_split(t, ''))) AS code FROM d WHERE t <> ''),
+        n AS (SELECT doc_id, b, count(*) AS n FROM ch JOIN blake USING (code) GROUP BY ALL),
+        v AS (SELECT d.doc_id, list_concat(any_value([CAST(x AS DOUBLE) FOR x IN [{_TERMS}]]), [{', '.join(f'coalesce(max(n) FILTER (b = {i}), 0) * CAST(0.15 AS DOUBLE)' for i in range(features.BUCKETS))}]) AS v FROM d LEFT JOIN n USING (doc_id) GROUP BY d.doc_id),
+        z AS (SELECT doc_id, v, sqrt(list_sum([x * x FOR x IN v])) AS z FROM v)
+        SELECT doc_id, array_to_string([printf('%.6f', CASE WHEN z = 0 THEN x ELSE round(x / z, 8) END) FOR x IN v], ',') AS embedding FROM z""",
+)
 def f2_blake_embedding(spark, sf_dir):
     d = features.embed(texts(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     return d.select("doc_id", F.array_join(F.transform("embedding", lambda x: F.format_number(x, 6)), ",").alias("embedding"))
