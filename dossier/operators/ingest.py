@@ -102,7 +102,7 @@ def detail_chunks(details: DataFrame, size: int = 1200, overlap: int = 150, cont
     own = lambda c, default: F.col(c) if c in details.columns else default
     file_type = T.ArrayType(FILE_TYPE)
     d = details.select(
-        "doc_id", "title", "category_name", "body", own("metadata", F.create_map().cast("map<string,string>")).alias("metadata"),
+        "doc_id", "title", "category_name", "body", F.coalesce(own("metadata", F.create_map().cast("map<string,string>")), F.create_map().cast("map<string,string>")).alias("metadata"),
         F.coalesce(own("files", F.array().cast(file_type)), F.array().cast(file_type)).alias("files"),
     )
     fetched = parsed_attachments(d, contents) if parse_attachments and contents is not None else None
