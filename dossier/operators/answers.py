@@ -48,28 +48,43 @@ def listing_detail(text: Column, title: Column, limit: int = 140) -> Column:
     return F.when(F.length(rest) > limit, short).otherwise(rest)
 
 
+def listing_label(df: DataFrame, text: Column, title: Column) -> Column:
+    """Number a listing item is shown with: the stored one, else that of its title, else of any numbered 行为 title; null without."""
+    stored = [F.nullif(F.trim(c(n).cast("string")), F.lit("")) for n in ("ordinal_label", "clause_no") if n in df.columns]
+    loose = F.get(F.regexp_extract_all(squash(text), F.lit(r"(?<!\d)(\d{1,2})\.\s*[^。；;：:]{2,60}?行为"), F.lit(1)), F.lit(0))
+    label = F.coalesce(*stored, listing_ordinal(text, title).cast("string"), loose)
+    return F.when(label.endswith("."), label).otherwise(F.concat(label, F.lit(".")))
+
+
 def section_listing(df: DataFrame, rank: str = "rank") -> DataFrame:
     """Items of a listing question in source order.
 
     Structured children win; else the distinct titles of the listing evidence,
     each from its first chunk, by their number in the text (999 when unknown).
+    `details` has the same items with the number stored for them (columns
+    ordinal_label, clause_no, when df has them) and what follows the title.
     """
     d = df.filter(ev.listing_evidence()).withColumn("_kids", ev.structured_children()).withColumn("_title", ev.listing_title())
     ordinal = F.coalesce(listing_ordinal(c("text"), c("_title")), F.lit(999))
-    entry = F.struct(ordinal.alias("ordinal"), c(rank).alias("rank"), c("_title").alias("title"))
+    item = F.struct(
+        c("_title").alias("title"), c(rank).alias("rank"), ordinal.alias("ordinal"), listing_label(d, c("text"), c("_title")).alias("label"), listing_detail(c("text"), c("_title")).alias("detail"),
+    )
     q = d.groupBy("query_id").agg(
         F.min_by(F.when(c("_kids"), F.struct("items", "continuity")), F.when(c("_kids"), c(rank))).alias("kids"),
-        F.array_sort(F.collect_list(F.when(~c("_kids") & c("_title").isNotNull(), F.struct(c("_title").alias("title"), c(rank).alias("rank"), ordinal.alias("ordinal"))))).alias("found"),
+        F.array_sort(F.collect_list(F.when(~c("_kids") & c("_title").isNotNull(), item))).alias("found"),
         F.first("spec.target_section").alias("section"),
     )
     # In title order the first of equal titles has the lowest rank.
     firsts = F.filter("found", lambda f, i: (i == 0) | (f["title"] != F.get("found", i - 1)["title"]))
-    ordered = F.array_sort(F.transform(firsts, lambda f: F.struct(f["ordinal"].alias("ordinal"), f["rank"].alias("rank"), f["title"].alias("title"))))
+    ordered = F.array_sort(F.transform(firsts, lambda f: F.struct(f["ordinal"].alias("ordinal"), f["rank"].alias("rank"), f["title"].alias("title"), f["label"].alias("label"), f["detail"].alias("detail"))))
     lines = F.transform(ordered, lambda f, i: F.concat(F.when(f["ordinal"] == 999, i + 1).otherwise(f["ordinal"]).cast("string"), F.lit(". "), f["title"]))
+    full = F.transform(ordered, lambda f, i: F.concat(
+        F.coalesce(f["label"], F.concat((i + 1).cast("string"), F.lit("."))), F.lit(" "), f["title"], F.when(f["detail"] != "", F.concat(F.lit("："), f["detail"])).otherwise("")))
     structured = c("kids").isNotNull()
     return q.select(
         "query_id", "section", F.when(structured, c("kids.items")).otherwise(lines).alias("items"), structured.alias("structured"),
         (structured & (F.coalesce("kids.continuity", F.lit("unknown")) != "complete")).alias("gap_warning"),
+        F.when(structured, c("kids.items")).otherwise(full).alias("details"),
     )
 
 
@@ -91,7 +106,8 @@ def tier_table(text: Column) -> Column:
 
 
 def tier_days(table: Column, year: Column) -> Column:
-    return F.try_element_at(table, F.least(year, F.lit(6)))
+    """Days of the asked year, from the sixth on the last tier; null when no year is asked."""
+    return F.when(year.isNotNull(), F.try_element_at(table, F.least(year, F.lit(6))))
 
 
 def tier_text(table: Column) -> Column:
@@ -176,7 +192,7 @@ def answer_rows(questions: DataFrame, final: DataFrame, rank: str = "rank") -> D
         best(cited, is_pen).alias("penalty"), best(cited, is_cls).alias("classification"), best(F.struct("_tier", "chunk_id"), tier).alias("tier"), best(cited, F.lit(True)).alias("top"),
         F.transform(F.array_sort(F.collect_list(F.struct(rank, "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"),
     )
-    listing = section_listing(final, rank).select("query_id", c("items").alias("list_items"), "section", "structured", "gap_warning")
+    listing = section_listing(final, rank).select("query_id", c("details").alias("list_items"), "section", "structured", "gap_warning")
     a = questions.join(q, "query_id", "left").join(listing, "query_id", "left").join(ambiguity_options(questions), "query_id", "left")
     behavior = c("spec.target_behavior")
     detail = (c("spec.answer_aspect") == "clause_detail") & c("top").isNotNull()

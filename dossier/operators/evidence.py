@@ -326,7 +326,9 @@ def evidence_key() -> Column:
     """What two candidates of a question must share to say the same thing."""
     t, b = c("text"), c("spec.target_behavior")
     doc = c("doc_id").cast("string")
-    own = F.coalesce(c("block_id"), c("chunk_id").cast("string"))
+    block, chunk = F.nullif(c("block_id"), F.lit("")), c("chunk_id").cast("string")
+    own = F.coalesce(block, chunk)
+    place = F.coalesce(block, F.when(F.size("heading") > 0, F.array_join("heading", "\u0002")), chunk)
     named = has(t, c("spec.target_behavior_label")) | has(t, c("spec.target_clause")) | has(t, c("spec.target_subclause"))
     section = F.coalesce("section_title", "spec.target_section", F.lit(""))
     join = lambda *xs: F.concat_ws("\u0001", doc, *xs)
@@ -336,7 +338,7 @@ def evidence_key() -> Column:
         .when(b.isNotNull() & has_aspect(t) & has(t, c("spec.target_section")), join(b, F.lit("violation_level_penalty")))
         .when(b.isNotNull() & named, join(b, F.lit("behavior_classification"))).when(b.isNotNull(), join(b, F.lit("behavior_support"), own))
         .when(c("spec.target_clause").isNotNull(), join(section, F.coalesce("clause_title", "spec.target_clause")))
-        .when(is_listing() & c("spec.target_section").isNotNull(), join(section, F.coalesce(listing_title(), own)))
+        .when(is_listing() & c("spec.target_section").isNotNull(), join(section, F.coalesce(listing_title(), place)))
         .when(c("spec.target_section").isNotNull(), join(section))
         .when(F.size("section_path") > 0, join(F.array_join("section_path", "\u0002"))).otherwise(join(own))
     )

@@ -347,6 +347,60 @@ def external_scores(candidates: DataFrame, scores: DataFrame, provider: str, pos
     )
 
 
+def _with_scores(d: DataFrame, error, score, source) -> DataFrame:
+    """Adds source, error, external and combined score; columns of the request go by the names given here."""
+    return (
+        d.withColumn("reranker_source", source).withColumn("reranker_error", error).withColumn("reranker_score", score)
+        .withColumn("rerank_score", F.round(F.col("deterministic_score") + F.coalesce("reranker_score", F.lit(0.0)), 4))
+    )
+
+
+def listed_scores(candidates: DataFrame, lists: DataFrame, provider: str) -> DataFrame:
+    """Joins plain score lists (query_id, scores), one row per request, in rank_before order.
+
+    A list counts only with one score for every candidate; any other length (null: a request that failed) leaves
+    the rule scores and is recorded. A request without a row was not sent out.
+    """
+    n = candidates.groupBy("query_id").agg(F.count("*").alias("_n"))
+    own = lists.select("query_id", F.col("scores").cast("array<double>").alias("_scores"), F.lit(True).alias("_asked"))
+    d = candidates.join(n.join(own, "query_id", "left"), "query_id")
+    asked, got = F.col("_asked").isNotNull(), F.size("_scores")
+    failed, invalid = asked & F.col("_scores").isNull(), asked & (got != F.col("_n"))
+    source = F.when(~asked, "deterministic_fallback").when(failed, f"{provider}_failed_fallback").when(invalid, f"{provider}_invalid_fallback").otherwise(provider)
+    error = F.when(failed, "no scores").when(invalid, F.concat(F.lit("expected "), "_n", F.lit(" scores, got "), got))
+    score = F.when(asked & error.isNull(), F.get("_scores", F.col("rank_before") - 1))
+    return _with_scores(d, error, score, source).drop("_n", "_scores", "_asked")
+
+
+RESPONSE = "struct<scores:array<double>,results:array<struct<index:int,score:double>>>"
+
+
+def response_scores(candidates: DataFrame, responses: DataFrame, provider: str) -> DataFrame:
+    """Joins raw response bodies (query_id, body), one row per request; body is JSON.
+
+    A `scores` list goes before `results` rows of index and score, index from 0 in rank_before order; of a repeated
+    index the last row counts. An index out of range, an index or a score too few, or neither field leaves the rule
+    scores and is recorded. All checks stay inside the row of the request.
+    """
+    n = candidates.groupBy("query_id").agg(F.count("*").cast("int").alias("_n"))
+    body = responses.select("query_id", F.from_json("body", RESPONSE).alias("_body"))
+    d = n.join(body.withColumn("_asked", F.lit(True)), "query_id", "left")
+    listed, rows, expected = F.col("_body.scores"), F.col("_body.results"), F.col("_n")
+    off = F.get(F.filter(rows, lambda x: (x["index"] < 0) | (x["index"] >= expected)), F.lit(0))["index"]
+    seen = F.size(F.array_distinct(F.transform(rows, lambda x: x["index"])))
+    few = lambda what, got: F.concat(F.lit("expected "), expected, F.lit(f" rerank {what}, got "), got)
+    by_list = F.when(F.size(listed) != expected, few("scores", F.size(listed)))
+    by_rows = F.when(off.isNotNull(), F.concat(F.lit("rerank result index out of range: "), off)).when(seen != expected, few("results", seen))
+    error = F.when(listed.isNotNull(), by_list).when(rows.isNotNull(), by_rows).otherwise("rerank response must contain scores or results")
+    last = lambda i: F.try_element_at(F.filter(rows, lambda x: x["index"] == i), F.lit(-1))["score"]
+    d = d.withColumn("_error", F.when(F.col("_asked"), error))
+    good = F.col("_asked") & F.col("_error").isNull()
+    d = d.withColumn("_scores", F.when(good, F.coalesce(listed, F.transform(F.sequence(F.lit(0), expected - 1), last))))
+    d = candidates.join(d.select("query_id", "_asked", "_error", "_scores"), "query_id")
+    source = F.when(F.col("_asked").isNull(), "deterministic_fallback").when(F.col("_error").isNull(), provider).otherwise(f"{provider}_failed_fallback")
+    return _with_scores(d, F.col("_error"), F.get("_scores", F.col("rank_before") - 1), source).drop("_asked", "_error", "_scores")
+
+
 def reorder(df: DataFrame, score: str = "rerank_score") -> DataFrame:
     """rank_after per request: score down, earlier rank first."""
     return df.withColumn("rank_after", F.row_number().over(W.partitionBy("query_id").orderBy(F.col(score).desc(), "rank_before")))

@@ -451,6 +451,65 @@ def lookup_spec(df: DataFrame, query: str = "query", context_clause: str | None
     return d.withColumn("spec", spec).drop("_asp", "_s", "_c", "_b", "_r", "_g", "_sub", "_cl")
 
 
+def resolved(df: DataFrame, query: str = "query") -> DataFrame:
+    """Adds `resolved`: what a turn asks after its lookup, the topic it inherits and self-judgements are weighed.
+
+    Needs `spec`, `intent` and `is_follow_up` (lookup_spec, understand, follow_up). The lookup names the intent, an
+    inherited leave topic sets aspect, audience and schema, and a self-judgement takes all targets away.
+    """
+    q = F.col(query)
+    df = df.withColumn("_h", hints(q)).withColumn("_bare", is_bare_assertion(q)).withColumn("_leave", F.coalesce("is_follow_up", F.lit(False)))
+    bare, leave, none = F.col("_bare"), F.col("_leave"), strings(())
+    pick = lambda judged, inherited, own: F.when(bare, judged).when(leave, inherited).otherwise(own)
+    null = F.lit(None).cast("string")
+    exact = F.lit("policy_definition_lookup")
+    for aspect, name in rules.ASPECT_INTENTS:
+        exact = F.when(F.col("spec.answer_aspect") == aspect, name).otherwise(exact)
+    looked = F.when(F.col("spec.retrieval_intent") == "ambiguous_policy_lookup", "policy_ambiguity_resolution").when(F.col("spec.retrieval_intent") == "exact_policy_lookup", exact)
+    who = F.when(leave, "employee").otherwise(F.col("_h.audience"))
+    known = F.col("_h.audience") != "unknown"
+    flags = F.filter(F.col("_h.flags"), lambda f: (f != "missing_audience") | ~(leave | known))
+    aspect = pick(null, F.lit("annual_leave_days"), F.col("spec.answer_aspect"))
+    schema = F.struct(
+        pick(null, F.lit(rules.ANNUAL_LEAVE), F.col("intent.target_object")).alias("target_object"),
+        pick(F.lit("unsupported_assertion"), F.lit("benefit_rule"), F.col("intent.target_object_type")).alias("target_object_type"),
+        pick(null, F.lit("annual_leave_days"), F.col("intent.asked_aspect")).alias("asked_aspect"),
+        pick(F.lit(None).cast("int"), work_year(q, 20), F.col("intent.work_year")).alias("work_year"),
+        pick(F.col("_h.audience"), F.lit("employee"), F.col("intent.audience")).alias("audience"),
+        pick(none, strings(rules.INHERITED_EXPANSIONS), F.col("intent.expansions")).alias("expansions"),
+        pick(none, strings(("table_evidence",)), F.col("intent.evidence_types")).alias("evidence_types"),
+        pick(strings(rules.ASSERTION_CONDITIONS), none, F.col("intent.missing_conditions")).alias("missing_conditions"),
+        F.when(bare | leave, 0.9).otherwise(F.col("intent.confidence")).alias("confidence"),
+        pick(F.lit(rules.ASSERTION_NOTE), F.lit(rules.INHERITED_NOTE), null).alias("note"),
+    )
+    out = F.struct(
+        F.when(bare, "unsupported_policy_assertion").otherwise(F.coalesce(looked, F.col("_h.intent"))).alias("intent"),
+        F.when(leave, "leave").otherwise(F.col("_h.category")).alias("category"), who.alias("audience"), F.col("_h.times").alias("times"),
+        F.when(bare, F.concat(flags, strings(("needs_specific_behavior",)))).otherwise(flags).alias("flags"),
+        F.when(leave, F.concat(F.col("_h.terms"), strings((rules.ANNUAL_LEAVE,)))).otherwise(F.col("_h.terms")).alias("terms"),
+        F.when(bare, "unsupported_policy_assertion").otherwise(F.col("spec.retrieval_intent")).alias("retrieval_intent"),
+        aspect.alias("answer_aspect"), pick(null, F.lit("annual_leave_days"), F.col("spec.asked_aspect")).alias("asked_aspect"),
+        F.when(bare, none).otherwise(F.col("spec.target_terms")).alias("target_terms"),
+        F.when(bare, none).otherwise(F.col("spec.expected_evidence")).alias("expected_evidence"),
+        F.when(leave, rules.INHERITED_REASON).alias("inherited_because"), schema.alias("schema"),
+    )
+    return df.withColumn("resolved", out).drop("_h", "_bare", "_leave")
+
+
+def next_context(df: DataFrame) -> DataFrame:
+    """Adds `next_context`, what a resolved turn leaves to the next one; null when it leaves nothing."""
+    r = F.col("resolved")
+    leave = (r["category"] == "leave") & F.coalesce(r["schema"]["target_object"] == rules.ANNUAL_LEAVE, F.lit(False))
+    null = F.lit(None).cast("string")
+    row = lambda category, target, section, clause, aspect: F.struct(
+        category.alias("category"), target.alias("target_object"), section.alias("target_section"), clause.alias("target_clause"), aspect.alias("answer_aspect"),
+        r["retrieval_intent"].alias("retrieval_intent"),
+    )
+    topic = row(F.lit("leave"), F.lit(rules.ANNUAL_LEAVE), null, null, F.lit("annual_leave_days"))
+    place = row(null, null, F.col("spec.target_section"), F.col("spec.target_clause"), F.coalesce(r["answer_aspect"], r["asked_aspect"]))
+    return df.withColumn("next_context", F.when(leave, topic).when(F.col("spec.target_section").isNotNull(), place))
+
+
 def rewrite(q: Column, retrieval_intent: Column, category: Column, who: Column, spec_terms: Column) -> Column:
     """Stand-alone and expanded question: scope words in front where absent, then new expansions in order."""
     exact = retrieval_intent == "exact_policy_lookup"

@@ -200,6 +200,53 @@ def h10_external_scores(spark, sf_dir):
     return retrieval.external_scores(d, scores.unionByName(off), "cross").select("query_id", "chunk_id", "reranker_source", "reranker_error", "reranker_score", "rerank_score")
 
 
+@query(
+    "h10_list_scores",
+    f"""WITH {CAND}, {_SCORE}, n AS (SELECT query_id, count(*) AS c FROM base GROUP BY query_id),
+        x AS (SELECT s.query_id, chunk_id, rank, score, c, CAST(s.query_id % 4 AS INT) AS k FROM scored s JOIN n ON s.query_id = n.query_id)
+        SELECT query_id, chunk_id, CASE k WHEN 0 THEN 'deterministic_fallback' WHEN 1 THEN 'cross' WHEN 2 THEN 'cross_invalid_fallback' ELSE 'cross_failed_fallback' END AS reranker_source,
+          CASE k WHEN 2 THEN 'expected ' || c || ' scores, got ' || (c + 1) WHEN 3 THEN 'no scores' END AS reranker_error, CASE WHEN k = 1 THEN rank / 10.0::DOUBLE END AS reranker_score,
+          round(score + CASE WHEN k = 1 THEN rank / 10.0::DOUBLE ELSE 0 END, 4) AS rerank_score FROM x""",
+)
+def h10_list_scores(spark, sf_dir):
+    d = ev.rule_score(candidates(spark, sf_dir)).withColumnRenamed("rank", "rank_before")
+    k, n = F.col("query_id") % 4, F.count("*")
+    lists = texts(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 8).alias("query_id")).agg(n.cast("int").alias("n")).filter(k != 0)
+    scores = F.transform(F.sequence(F.lit(1), F.col("n") + F.when(k == 2, 1).otherwise(0)), lambda i: i / 10.0)
+    return retrieval.listed_scores(d, lists.select("query_id", F.when(k != 3, scores).alias("scores")), "cross").select(
+        "query_id", "chunk_id", "reranker_source", "reranker_error", "reranker_score", "rerank_score"
+    )
+
+
+@query(
+    "h10_response_scores",
+    f"""WITH {CAND}, {_SCORE}, n AS (SELECT query_id, count(*) AS c FROM base GROUP BY query_id),
+        x AS (SELECT s.query_id, chunk_id, rank, score, c, CAST(s.query_id % 8 AS INT) AS k FROM scored s JOIN n ON s.query_id = n.query_id),
+        y AS (SELECT *, CASE WHEN k = 1 THEN rank / 10.0::DOUBLE WHEN k = 4 AND rank = 1 THEN 0.75::DOUBLE WHEN k = 4 THEN rank / 20.0::DOUBLE END AS ext FROM x)
+        SELECT query_id, chunk_id, CASE k WHEN 0 THEN 'deterministic_fallback' WHEN 1 THEN 'cross' WHEN 4 THEN 'cross' ELSE 'cross_failed_fallback' END AS reranker_source,
+          CASE k WHEN 2 THEN 'expected ' || c || ' rerank scores, got ' || (c + 1) WHEN 3 THEN 'rerank result index out of range: -1' WHEN 5 THEN 'expected ' || c || ' rerank results, got ' || (c - 1)
+            WHEN 6 THEN 'rerank response must contain scores or results' WHEN 7 THEN 'rerank response must contain scores or results' END AS reranker_error,
+          ext AS reranker_score, round(score + coalesce(ext, 0), 4) AS rerank_score FROM y""",
+)
+def h10_response_scores(spark, sf_dir):
+    d = ev.rule_score(candidates(spark, sf_dir)).withColumnRenamed("rank", "rank_before")
+    k = F.col("query_id") % 8
+    n = texts(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 8).alias("query_id")).agg(F.count("*").cast("int").alias("n")).filter(k != 0)
+    # Bodies as a reranker gives them: lists, rows with a repeated first index, rows out of range, too few, none, no JSON.
+    plain = F.transform(F.sequence(F.lit(1), F.col("n") + F.when(k == 2, 1).otherwise(0)), lambda i: i / 10.0)
+    row = lambda i, v: F.struct(i.alias("index"), v.alias("score"))
+    rows = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: row(i, (i + 1) / 20.0))
+    again = F.concat(rows, F.array(row(F.lit(0), F.lit(0.75))))
+    off = F.concat(rows, F.array(row(F.lit(-1), F.lit(0.5)), row(F.lit(99), F.lit(0.5))))
+    body = (
+        F.when(k.isin(1, 2), F.to_json(F.struct(plain.alias("scores")))).when(k == 3, F.to_json(F.struct(off.alias("results")))).when(k == 4, F.to_json(F.struct(again.alias("results"))))
+        .when(k == 5, F.to_json(F.struct(F.slice(rows, 2, 1000).alias("results")))).when(k == 6, F.lit('{"model": "none"}')).otherwise("<html>")
+    )
+    return retrieval.response_scores(d, n.select("query_id", body.alias("body")), "cross").select(
+        "query_id", "chunk_id", "reranker_source", "reranker_error", "reranker_score", "rerank_score"
+    )
+
+
 def _scope_sql(starts, ends):
     """Scope between the leftmost start marker and the leftmost end marker behind it, as nested selects over `src`."""
     left = lambda txt, lst: f"list_min(list_filter([strpos({txt}, x) FOR x IN {lst}], lambda p: p > 0))"

@@ -330,6 +330,84 @@ _CLAUSE = "CASE t " + " ".join(f"WHEN {t} THEN '{next(b['clause'] for b in rules
 _INTENT = "CASE WHEN t = 4 THEN 'ambiguous_policy_lookup' WHEN t IN (3, 5, 6, 7, 8, 9, 10, 12, 13, 14, 16, 17, 19) THEN 'exact_policy_lookup' ELSE 'semantic_policy_lookup' END"
 
 
+# Specs with the clause that the context gives: question 4 becomes exact where its context has a section.
+_RESOLVED = f"""{ASKED}, {_CONTEXT},
+    rs AS (SELECT *, t IN (1, 2) AND context_leave AS follow, t = 15 AS bare, t = 4 AND context_section IS NOT NULL AS cleared,
+             CASE WHEN t IN (4, 17) THEN 'clause_detail' ELSE {case_sql('q', rules.RESOLVER_ASPECTS)} END AS ans,
+             CASE WHEN t IN (4, 17) THEN 'clause_detail' WHEN t IN (6, 7, 8, 9, 10, 11, 12, 14, 19) THEN 'disciplinary_action' END AS asked,
+             CASE WHEN {any_sql('q', rules.AUDIENCE_STUDENT)} THEN 'student_or_stage_specific' WHEN {any_sql('q', rules.AUDIENCE_EMPLOYEE)} THEN 'employee' ELSE 'unknown' END AS who FROM ctx),
+    rv AS (SELECT *, CASE WHEN bare THEN 'unsupported_policy_assertion' WHEN cleared THEN 'exact_policy_lookup' ELSE {_INTENT} END AS ri FROM rs)
+"""
+
+
+def resolved_turns(spark, sf_dir):
+    """Every turn with its spec (clauses from the context included), intent and resolved meaning."""
+    d = u.lookup_spec(follow_ups(spark, sf_dir), context_clause="context_clause")
+    return u.next_context(u.resolved(u.understand(d)))
+
+
+@query(
+    "g18_resolved_intent",
+    f"""WITH {_RESOLVED} SELECT {KEY}, ri AS retrieval_intent,
+        CASE WHEN bare THEN 'unsupported_policy_assertion' WHEN ri = 'ambiguous_policy_lookup' THEN 'policy_ambiguity_resolution'
+          WHEN ri = 'exact_policy_lookup' THEN CASE ans WHEN 'disciplinary_action' THEN 'policy_disciplinary_action_lookup' WHEN 'section_listing' THEN 'policy_section_listing_lookup'
+            WHEN 'clause_detail' THEN 'policy_clause_detail_lookup' ELSE 'policy_definition_lookup' END
+          ELSE coalesce({case_sql('q', rules.INTENT_HINTS)}, 'rule_lookup') END AS intent,
+        CASE WHEN follow THEN 'leave' ELSE coalesce({case_sql('q', rules.CATEGORY_HINTS)}, 'general') END AS category, CASE WHEN follow THEN 'employee' ELSE who END AS audience,
+        concat_ws(',', CASE WHEN who = 'unknown' AND NOT follow THEN 'missing_audience' END,
+          CASE WHEN {any_sql('q', rules.RELATIVE_TIME)} AND NOT regexp_matches(q, '[0-9]') THEN 'relative_time_without_year' END, CASE WHEN bare THEN 'needs_specific_behavior' END) AS flags,
+        array_to_string(list_concat(list_filter({_list(rules.EXTRACTED_TERMS)}, lambda x: contains(q, x)), CASE WHEN follow THEN ['{rules.ANNUAL_LEAVE}'] ELSE [] END), ',') AS terms,
+        CASE WHEN follow THEN 'annual_leave_days' WHEN NOT bare THEN ans END AS answer_aspect, CASE WHEN follow THEN 'annual_leave_days' WHEN NOT bare THEN asked END AS asked_aspect FROM rv""",
+)
+def g18_resolved_intent(spark, sf_dir):
+    d = resolved_turns(spark, sf_dir)
+    r = lambda *names: [f"resolved.{n}" for n in names]
+    return d.select(
+        "conv_id", "turn", *r("retrieval_intent", "intent", "category", "audience", "answer_aspect", "asked_aspect"),
+        F.array_join("resolved.flags", ",").alias("flags"), F.array_join("resolved.terms", ",").alias("terms"),
+    )
+
+
+@query(
+    "g19_assertion_override",
+    f"""WITH {_RESOLVED} SELECT {KEY}, bare AS is_assertion, CASE WHEN bare THEN '' WHEN cleared THEN '{",".join(CLAUSE_TERMS)}' ELSE array_to_string({_TERMS_SQL}, ',') END AS target_terms,
+        CASE WHEN bare THEN 'unsupported_assertion' WHEN follow THEN 'benefit_rule' ELSE {case_sql('q', [(e[3], e[1]) for e in rules.GLOSSARY])} END AS target_object_type,
+        CASE WHEN bare THEN '{",".join(rules.ASSERTION_CONDITIONS)}' WHEN t = 12 THEN '对象为客户或来访者,并引起投诉' ELSE '' END AS missing_conditions,
+        CASE WHEN bare THEN '{rules.ASSERTION_NOTE}' WHEN follow THEN '{rules.INHERITED_NOTE}' END AS note,
+        CASE WHEN t IN (7, 8) AND n < 3 THEN '{",".join(rules.RULES[0]["actions"])}' WHEN t IN (7, 8) THEN '{",".join(rules.RULES[1]["actions"])}' WHEN t = 9 AND n >= 2 THEN '{",".join(rules.RULES[2]["actions"])}' ELSE '' END AS expected_evidence FROM rv""",
+)
+def g19_assertion_override(spark, sf_dir):
+    join = lambda c: F.array_join(f"resolved.{c}", ",").alias(c.split(".")[-1])
+    return resolved_turns(spark, sf_dir).select(
+        "conv_id", "turn", (F.col("resolved.retrieval_intent") == "unsupported_policy_assertion").alias("is_assertion"), join("target_terms"), "resolved.schema.target_object_type",
+        join("schema.missing_conditions"), "resolved.schema.note", join("expected_evidence"),
+    )
+
+
+@query(
+    "g20_inherited_schema",
+    f"""WITH {_RESOLVED}, s AS (SELECT *, CASE WHEN follow THEN '{rules.ANNUAL_LEAVE}' WHEN NOT bare THEN {OBJECT} END AS target_object FROM rv)
+        SELECT {KEY}, target_object, CASE WHEN follow THEN 'annual_leave_days' WHEN NOT bare THEN {INTENT_ASPECT} END AS asked_aspect,
+        CASE WHEN t = 2 OR follow THEN n END AS work_year, CASE WHEN follow THEN '{rules.INHERITED_REASON}' END AS inherited_because,
+        CASE WHEN follow THEN '{",".join(rules.INHERITED_EXPANSIONS)}' WHEN bare THEN '' ELSE array_to_string(list_filter({_EXPANDED}, lambda v, i: list_position({_EXPANDED}, v) = i), ',') END AS expansions,
+        CASE WHEN follow THEN 'table_evidence' END AS inherited_evidence, CASE WHEN follow OR bare THEN 0.9::DOUBLE END AS set_confidence,
+        CASE WHEN t IN (0, 2) OR follow THEN 'leave' WHEN t IN (3, 5, 6, 10, 12, 13, 14, 17, 19) OR cleared THEN 'section' END AS next_topic,
+        CASE WHEN t IN (0, 2) OR follow THEN NULL WHEN cleared THEN context_section ELSE {_SECTION} END AS next_section,
+        CASE WHEN t IN (0, 2) OR follow THEN NULL WHEN cleared THEN '5. 破坏学校管理秩序行为' ELSE {_CLAUSE} END AS next_clause,
+        CASE WHEN t IN (0, 2) OR follow THEN 'annual_leave_days' WHEN t IN (3, 5, 6, 10, 12, 13, 14, 17, 19) OR cleared THEN coalesce(ans, asked) END AS next_aspect,
+        CASE WHEN t IN (0, 2) OR follow OR t IN (3, 5, 6, 10, 12, 13, 14, 17, 19) OR cleared THEN ri END AS next_intent FROM s""",
+)
+def g20_inherited_schema(spark, sf_dir):
+    follow, s, x = F.col("resolved.inherited_because").isNotNull(), "resolved.schema", F.col("next_context")
+    judged = F.col("resolved.retrieval_intent") == "unsupported_policy_assertion"
+    return resolved_turns(spark, sf_dir).select(
+        "conv_id", "turn", f"{s}.target_object", f"{s}.asked_aspect", f"{s}.work_year", "resolved.inherited_because", F.array_join(f"{s}.expansions", ",").alias("expansions"),
+        F.when(follow, F.array_join(f"{s}.evidence_types", ",")).alias("inherited_evidence"), F.when(follow | judged, F.col(f"{s}.confidence")).alias("set_confidence"),
+        F.when(x["category"] == "leave", "leave").when(x["target_section"].isNotNull(), "section").alias("next_topic"), x["target_section"].alias("next_section"),
+        x["target_clause"].alias("next_clause"), x["answer_aspect"].alias("next_aspect"), x["retrieval_intent"].alias("next_intent"),
+    )
+
+
 @query(
     "g21_rewrite",
     f"""WITH {ASKED}, x AS (SELECT conv_id, turn, t, q, list_concat({_TERMS_SQL}, list_filter([{_SECTION}, {_CLAUSE}], lambda v: v IS NOT NULL)) AS terms FROM asked),

@@ -139,6 +139,17 @@ BARE_ASSERTIONS = ("我没有违规", "没有违规", "我未违规", "未违规
 FOLLOW_UP_BLOCKERS = ("旷工", "违规", "处罚", "处分", "处理", "报销", "采购", "账号", "数据", "安全")
 SIX_OR_MORE = ("第六年及以后", "六年及以后", "6年及以后")
 LEAVE_EXPANSIONS = ("带薪年休假", "休假管理办法")
+# A turn that inherits the leave topic, and a self-judgement.
+ANNUAL_LEAVE = "年休假"
+INHERITED_EXPANSIONS = ("年休假", "年假", "带薪年假", "带薪年休假", "休假管理办法")
+INHERITED_REASON = "上一轮问题已经落在年休假，本轮只补充工龄参数，因此继承年休假语境。"
+INHERITED_NOTE = "通过 conversation_context 将追问补全为年休假工龄规则查询。"
+ASSERTION_CONDITIONS = ("具体行为", "发生时间", "对象/影响范围")
+ASSERTION_NOTE = "需要用户描述事实，系统才能匹配制度条款。"
+#: Intent of an exact lookup by its answer aspect.
+ASPECT_INTENTS = (
+    ("disciplinary_action", "policy_disciplinary_action_lookup"), ("section_listing", "policy_section_listing_lookup"), ("clause_detail", "policy_clause_detail_lookup"),
+)
 
 # Evidence.
 ACTION_TERMS = ("处罚", "处分", "处理", "警告", "记过", "辞退", "扣除", "解除劳动合同", "调薪", "年终奖")

@@ -11,8 +11,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = (
     "a1_raw_detail", "a3_paged_listing", "a4_upsert_chunks", "b2_html_elements", "c1_fixed_window", "c3_split_without_overlap", "c8_clause_groups", "c15_element_provenance",
-    "c17_uncovered_ranges", "d4_node_identity", "d8_ordinal_issues", "e6_outcomes", "e8_import_summary", "f2_char_buckets", "g14_context_clause", "g22_lookup_spec", "h1_dense_top_k",
-    "h5_hybrid_top_k", "h8_rule_score", "i10_complementary", "i12_plan_answer", "j9_answer_branch", "k4_category_summary", "l1_feedback_stream", "l3_upsert_stream",
+    "c17_uncovered_ranges", "d4_node_identity", "d8_ordinal_issues", "e6_outcomes", "e8_import_summary", "f2_char_buckets", "g14_context_clause", "g20_inherited_schema", "g22_lookup_spec", "h1_dense_top_k",
+    "h5_hybrid_top_k", "h8_rule_score", "i10_complementary", "i12_plan_answer", "h10_response_scores", "j9_answer_text", "k4_category_summary", "l1_feedback_stream", "l3_upsert_stream",
 )
 
 
