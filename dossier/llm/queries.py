@@ -97,11 +97,49 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+# Tree: nodes of every level per language, then over the subroots; a leaf's way up as one list per row, folded.
+_FIELD = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode(CAST({x} AS VARCHAR))) || ':' || {x} END"
+_LEAF = lambda n: "sha256(" + " || ".join(_FIELD(x) for x in ("doc_id", "source", "lang", n, "text")) + ")"
+# CRC-32 bit by bit: -1 stands for one shift.
+_CRC = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: list_prepend(CAST(ascii(c) AS BIGINT), [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END))"""
+_SIDE = "CASE WHEN s.h IS NULL THEN 'N' WHEN v.pos % 2 = 1 THEN 'L' || s.h ELSE 'R' || s.h END"
+OP11_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_LEAF('n_chars')} AS leaf, CASE WHEN {_CRC} % 7 = 0 AND n_chars IS NOT NULL THEN {_LEAF('(n_chars + 1)')} END AS changed FROM documents),
+p AS (SELECT *, row_number() OVER g - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d WINDOW g AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf)),
+node AS (
+  SELECT lang, 0 AS lvl, pos, leaf AS h, n FROM p
+  UNION ALL SELECT lang, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM node WHERE n > 1 GROUP BY lang, lvl, pos // 2, n
+),
+subs AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, pos, subroot AS h, n FROM subs
+  UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, pos // 2, n
+),
+way AS (
+  SELECT p.lang, p.pos, list({_SIDE} ORDER BY v.lvl) AS steps FROM p JOIN node v ON v.lang IS NOT DISTINCT FROM p.lang AND v.n > 1 AND v.pos = p.pos >> v.lvl
+  LEFT JOIN node s ON s.lang IS NOT DISTINCT FROM v.lang AND s.lvl = v.lvl AND s.pos = xor(v.pos, 1) GROUP BY p.lang, p.pos
+),
+top_way AS (
+  SELECT p.pos, list({_SIDE} ORDER BY v.lvl) AS steps FROM subs p JOIN top v ON v.n > 1 AND v.pos = p.pos >> v.lvl LEFT JOIN top s ON s.lvl = v.lvl AND s.pos = xor(v.pos, 1) GROUP BY p.pos
+),
+full_way AS (
+  SELECT p.*, u.subroot, list_concat(coalesce(way.steps, []::VARCHAR[]), coalesce(top_way.steps, []::VARCHAR[])) AS steps FROM p JOIN subs u ON u.lang IS NOT DISTINCT FROM p.lang
+  LEFT JOIN way ON way.lang IS NOT DISTINCT FROM p.lang AND way.pos = p.pos LEFT JOIN top_way ON top_way.pos = u.pos
+),
+folded AS (
+  SELECT *, list_reduce(list_prepend(coalesce(changed, leaf), steps), lambda a, x: CASE x[1] WHEN 'L' THEN sha256(substr(x, 2) || a) WHEN 'R' THEN sha256(a || substr(x, 2)) ELSE sha256(a) END) AS folded_root FROM full_way
+)
+SELECT doc_id, leaf, subroot, h AS root, sha256(array_to_string([substr(x, 2) FOR x IN steps], '')) AS proof_sha256, folded_root, folded_root = h AS verified
+FROM folded, (SELECT h FROM top WHERE n = 1)
+"""
+
 OP12_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
   FROM documents
 ), w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
 totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
@@ -128,7 +166,8 @@ QUALIFY rank <= 2000
 """
 
 OP13_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ 	-]+', ' ', 'g') AS t FROM documents)
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ 	-
+]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM d WINDOW g AS (PARTITION BY t)
 """
@@ -141,4 +180,4 @@ QUERIES = {
         op13_exact_dedup,
     )
 }
-ORACLES: dict[str, str] = {"op4_warc_archive": OP4_SQL, "op12_phrase_collocations": OP12_SQL, "op13_exact_dedup": OP13_SQL}
+ORACLES: dict[str, str] = {"op4_warc_archive": OP4_SQL, "op11_merkle_manifest": OP11_SQL, "op12_phrase_collocations": OP12_SQL, "op13_exact_dedup": OP13_SQL}
