@@ -1,8 +1,12 @@
 """Secret scan through nested encodings.
 
 Each text is a work list of layers. A layer is scanned; every URL-escaped, Unicode-escaped or base64 token in it
-(compressed data unpacked) becomes a further layer, until none is left. Every decoded character remembers which
-characters of the layer above it came from, so a find is reported where it stands in the document.
+(compressed data and ZIP members unpacked) becomes a further layer, until none is left. Every decoded character knows
+which characters of the layer above it came from, so a find is reported where it stands in the document.
+
+A run of base64 characters may begin with others that are not part of the data (`abc-`, `data/`): it is read at all four
+phases, so that what stands in front only becomes a few odd bytes, and packed data is looked for behind each separator.
+Bytes that are no UTF-8 are read one by one and without zeros, which shows Latin-1 and UTF-16 alike.
 """
 
 from __future__ import annotations
@@ -12,10 +16,13 @@ import binascii
 import bz2
 import codecs
 import hashlib
+import io
 import itertools
 import lzma
 import re
+import zipfile
 import zlib
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,14 +40,19 @@ MAX_STREAMS = 64
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 and more is what the maximal runs of that length are
-URL = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
+#: Tokens begin where their run does, so a long run without escapes is passed once.
+URL = re.compile(r"(?<![^\s%])[^\s%]*+(?:%[0-9A-Fa-f]{2}[^\s%]*+)+")
 URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPED = re.compile(r"(?:[^\s\\&]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});))+[^\s\\&]*")
+ESCAPED = re.compile(r"(?<![^\s\\&])(?:[^\s\\&]*+(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});))+[^\s\\&]*")
 ESCAPE = re.compile(r"((?:\\u[0-9A-Fa-f]{4})+)|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over several lines, as MIME and PEM write it.
 LINES64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 LINE64 = re.compile(r"[A-Za-z0-9+/_-]+")
+#: How gzip, bz2, xz, ZIP and zlib data begin in base64, behind a separator.
+PACKED64 = re.compile(r"(?<=[-_/+])(?:H4sI|Qlpo|/Td6|UEsD|e[AFJN])")
+#: Base64 characters that are unpacked on trial.
+TRIAL = 4096
 #: Places that no find and no encoded token spans.
 CUT = re.compile(r"(?<![:=\s])[\x20\t](?![:=\s])|\n\n|(?<![A-Za-z0-9+/_=:\s-])\n(?![:=\s])")
 _BARE = str.maketrans("-_", "+/", "\r\n\x20\t")
@@ -71,17 +83,48 @@ class _Same:
         return self.item
 
 
-def _decoded(raw: bytes, at: list[tuple[int, int]]):
+class _Based:
+    """Source range of each byte of decoded base64; pos: places of the characters, n: end of the token."""
+
+    def __init__(self, pos, n: int):
+        self.pos, self.n = pos, n
+
+    def __getitem__(self, i):
+        last = ((i + 1) * 8 + 5) // 6 - 1
+        return self.pos[i * 8 // 6], self.n if last >= len(self.pos) else self.pos[last] + 1
+
+
+class _Chars:
+    """Source range of each character; starts: its first byte, with an end; at: source range per byte."""
+
+    def __init__(self, starts, at):
+        self.starts, self.at = starts, at
+
+    def __getitem__(self, i):
+        return self.at[self.starts[i]][0], self.at[self.starts[i + 1] - 1][1]
+
+
+class _Inside:
+    """Places in the document of the characters of a layer that was decoded from the one above it, from a on."""
+
+    def __init__(self, outer, a: int, at):
+        self.outer, self.a, self.at = outer, a, at
+
+    def __getitem__(self, i):
+        x, y = self.at[i]
+        return (self.outer[self.a + x][0], self.outer[self.a + y - 1][1]) if self.outer else (self.a + x, self.a + y)
+
+
+def _decoded(raw: bytes, at):
     """Characters of UTF-8 bytes with the source range of each; at: source range per byte. Other bytes stay alone."""
     text = raw.decode("utf-8", "surrogateescape")
     if len(text) == len(raw):
         return text, at
-    out, i = [], 0
+    starts = array("q", [0])
     for c in text:
-        n = 1 if 0xDC80 <= ord(c) <= 0xDCFF else len(c.encode("utf-8"))
-        out.append((at[i][0], at[i + n - 1][1]))
-        i += n
-    return text, out
+        k = ord(c)
+        starts.append(starts[-1] + (1 if k < 0x80 or 0xDC80 <= k <= 0xDCFF else 2 if k < 0x800 else 3 if k < 0x10000 else 4))
+    return text, _Chars(starts, at)
 
 
 def unquoted(token: str):
@@ -92,7 +135,7 @@ def unquoted(token: str):
         raw = bytes.fromhex(m[0].replace("%", ""))
         got = _decoded(raw, [(m.start() + 3 * i, m.start() + 3 * i + 3) for i in range(len(raw))])
         text.append(got[0])
-        at += got[1]
+        at += [got[1][i] for i in range(len(got[0]))]
         last = m.end()
     return "".join(text) + token[last:], at + [(i, i + 1) for i in range(last, len(token))]
 
@@ -179,8 +222,31 @@ def _started(chunks):
     return head, itertools.chain([head], chunks)
 
 
+def _zipped(raw: bytes):
+    """Bytes of the members of a ZIP one after the other, compressed ones unpacked. Raises OverflowError at the end if one could not be read."""
+    failed = False
+    try:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            for info in z.infolist():
+                try:
+                    with z.open(info) as f:
+                        yield from _members(iter(lambda: f.read(1 << 16), b""))
+                except (zipfile.BadZipFile, zlib.error, OSError, lzma.LZMAError, EOFError, RuntimeError, NotImplementedError):
+                    failed = True
+                yield b"\n\n"
+    except (zipfile.BadZipFile, OSError, ValueError):
+        failed = True
+    if failed:
+        raise OverflowError
+
+
 def _unpacked(raw: bytes):
-    """What compressed data holds, or an iterator over it if that is MAX_LAYER_BYTES and more; None if it isn't compressed."""
+    """What compressed data holds, or an iterator over it if that is MAX_LAYER_BYTES and more; None if it isn't compressed.
+
+    A ZIP always comes as an iterator, so what can be read of it is scanned also where a member is damaged or locked.
+    """
+    if raw[:4] == b"PK\x03\x04":
+        return _zipped(raw)
     if _opener(raw) is None:
         return None
     chunks, held, size = _members([raw]), [], 0
@@ -193,10 +259,19 @@ def _unpacked(raw: bytes):
 
 
 def _pieces(chunks):
-    """Text of a stream in pieces that are cut where nothing spans the cut. Raises OverflowError at its end if there was no such place."""
+    """Text of a stream in pieces that are cut where nothing spans the cut. Raises OverflowError at its end if there was no such place, or if the stream ends so."""
     decoder, held, cut_anywhere = codecs.getincrementaldecoder("utf-8")("surrogateescape"), "", False
     new, size = [], 0
-    for c in itertools.chain(chunks, [None]):
+
+    def whole():
+        nonlocal cut_anywhere
+        try:
+            yield from chunks
+        except OverflowError:
+            cut_anywhere = True
+        yield None
+
+    for c in whole():
         new.append(decoder.decode(c or b"", final=c is None))
         size += len(new[-1])
         if c is not None and size < PIECE:
@@ -221,17 +296,28 @@ def _pieces(chunks):
         raise OverflowError
 
 
+def _bare(token: str):
+    """(base64 characters of a token in one alphabet, their places)."""
+    if token.isascii() and not token.count("\n"):
+        return token.rstrip("=").translate(_BARE), range(len(token.rstrip("=")))
+    bare = token.rstrip("=")
+    return bare.translate(_BARE), array("q", [i for i, c in enumerate(bare) if c not in "\r\n\x20\t"])
+
+
+def _raw(bare: str) -> bytes:
+    return base64.b64decode(bare + "=" * (-len(bare) % 4), validate=True)
+
+
 def unbased(token: str):
     """Text behind a base64 token, over one line or several, or None; a compressed one is unpacked as often as it is compressed.
 
-    A layer too large to hold comes as an iterator over its texts.
+    Bytes that are not UTF-8 give None, see hidden. A layer too large to hold comes as an iterator over its texts.
     """
-    pos = range(len(token)) if token.isascii() and not token.count("\n") else [i for i, c in enumerate(token) if c not in "\r\n\x20\t"]
-    bare = token.rstrip("=").translate(_BARE)
+    bare, pos = _bare(token)
     if len(bare) % 4 == 1:
         return None
     try:
-        raw = base64.b64decode(bare + "=" * (-len(bare) % 4), validate=True)
+        raw = _raw(bare)
     except binascii.Error:
         return None
     seen, packed = set(), False
@@ -245,14 +331,55 @@ def unbased(token: str):
         raw = inner
     n = len(token)
     if packed:
-        return raw.decode("utf-8", "surrogateescape"), _Same((0, n))
+        text = raw.decode("utf-8", "surrogateescape")
+        return text.replace("\0", "") if "\0" in text else text, _Same((0, n))
     try:
         raw.decode()
     except UnicodeDecodeError:
         return None
-    # Characters of base64 that a byte comes from.
-    last = len(bare) - 1
-    return _decoded(raw, [(pos[i * 8 // 6], n if (e := ((i + 1) * 8 + 5) // 6 - 1) > last else pos[e] + 1) for i in range(len(raw))])
+    # UTF-16 of plain letters is UTF-8 with zeros in it.
+    return odd_bytes(token, 0) or _decoded(raw, _Based(pos, n)) if b"\0" in raw else _decoded(raw, _Based(pos, n))
+
+
+def odd_bytes(token: str, phase: int):
+    """Bytes of a base64 token from character `phase` on, one character each, zeros left out; None unless a secret or a token shows there."""
+    bare, pos = _bare(token)
+    bare = bare[phase:]
+    bare = bare[: len(bare) - (len(bare) % 4 == 1)]
+    try:
+        raw = _raw(bare)
+    except binascii.Error:
+        return None
+    text = raw.decode("latin-1")
+    starts = array("q", [i for i, b in enumerate(raw) if b]) if b"\0" in raw else None
+    text = text.replace("\0", "") if starts else text
+    if next(scan(text), None) is None and not BASE64.search(text) and not URL_BYTES.search(text) and not ESCAPE.search(text):
+        return None
+    at = _Based(pos[phase : phase + len(bare)], len(token))
+    if starts:
+        starts.append(starts[-1] + 1)
+        return text, _Chars(starts, at)
+    return text, at
+
+
+def packed_parts(run: str):
+    """Starts inside a run of base64 characters, behind a separator, where packed data begins."""
+    for m in PACKED64.finditer(run, 1):
+        part = run[m.start() : m.start() + TRIAL].rstrip("=").translate(_BARE)
+        try:
+            head = _raw(part[: len(part) - (len(part) % 4 == 1)])
+            d = _opener(head)
+            if head[:4] == b"PK\x03\x04" or d is not None and (d.decompress(head) or not d.eof):
+                yield m.start()
+        except (binascii.Error, zlib.error, OSError, lzma.LZMAError, EOFError):
+            continue
+
+
+def hidden(run: str):
+    """(start, layer) of what a run holds that is no base64 of text or packed data from its first character on."""
+    found = [(i, got) for i in packed_parts(run) if (got := unbased(run[i:]))]
+    # Packed data goes on to the end; its bytes say nothing by themselves.
+    yield from found or [(0, got) for phase in range(4) if (got := odd_bytes(run, phase))]
 
 
 def _opened(chunks):
@@ -322,14 +449,15 @@ def findings(text: str):
                 continue
             more |= {(kind, *outer.item) for kind, _, _ in scan(inner)}
             layer, chain = inner, chain | {digest}
+        opened = []
         for a, b, decode in tokens(layer):
             try:
                 got = decode(layer[a:b])
+                inside = [(0, got)] if got else hidden(layer[a:b]) if decode is unbased else ()
+                opened += [(a + i, b, got) for i, got in inside]
             except OverflowError:
                 closed += 1
-                continue
-            if not got:
-                continue
+        for a, b, got in opened:
             if not isinstance(got, tuple):
                 layers += 1
                 work.append((got, _Same((outer[a][0], outer[b - 1][1]) if outer else (a, b)), chain))
@@ -344,7 +472,7 @@ def findings(text: str):
                 x, y = at.item
                 place = _Same((outer[a + x][0], outer[a + y - 1][1]) if outer else (a + x, a + y))
             else:
-                place = [(outer[a + x][0], outer[a + y - 1][1]) for x, y in at] if outer else [(a + x, a + y) for x, y in at]
+                place = _Inside(outer, a, at)
             layers += 1
             more |= {(kind, place[s][0], place[e - 1][1]) for kind, s, e in scan(inner)}
             work.append((inner, place, chain | {digest}))
