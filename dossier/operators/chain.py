@@ -29,7 +29,7 @@ def ranked_candidates(asked: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     limit = max(k, min(24, 4 * k))
     joined = chunks.withColumn("heading_text", F.array_join("heading", " "))
     found = retrieval.hybrid_top_k(asked, joined, chunks, limit, "chunk_id", "text", "heading_text", "meta_text", "chunk_id", "embedding")
-    rows = found.join(chunks.drop("embedding"), "chunk_id").join(asked.select("query_id", "query", "expanded", "spec", "intent", "hints"), "query_id")
+    rows = found.join(chunks.drop("embedding"), "chunk_id").join(asked.select("query_id", "query", "expanded", "spec", "intent", "hints", *[n for n in ("top_k",) if n in asked.columns]), "query_id")
     rows = rows.withColumn("scope_applied", F.lit(False))
     scored = evidence.rule_score(rows, "expanded").withColumnRenamed("rank", "rank_before")
     out = retrieval.reorder(scored, "deterministic_score").withColumnRenamed("rank_after", "rank")
@@ -37,11 +37,22 @@ def ranked_candidates(asked: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 
 
 def final_evidence(candidates: DataFrame, k: int) -> DataFrame:
-    """Scoped, filtered, distinct and complementary evidence, k pieces per question at most."""
+    """Scoped, filtered, distinct and complementary evidence, k pieces per question at most, or its own `top_k` where the table has one."""
     d = evidence.filter_evidence(evidence.apply_scope(candidates))
     d = evidence.select_complementary(evidence.dedupe(d).filter(~F.col("is_duplicate")))
     rn = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
-    return materialize(d.withColumn("_rn", rn).filter(F.col("_rn") <= k).drop("_rn"), "evidence")
+    most = F.least(F.col("top_k"), F.lit(k)) if "top_k" in d.columns else F.lit(k)
+    return materialize(d.withColumn("_rn", rn).filter(F.col("_rn") <= most).drop("_rn"), "evidence")
+
+
+def _answered(asked: DataFrame, final: DataFrame) -> DataFrame:
+    real = asked.filter("not bare")
+    given = answers.answer_rows(real.select("query_id", "query", "spec", "intent", "hints"), final)
+    clarify = asked.filter("bare").select(
+        "query_id", "query", F.lit("clarify").alias("branch"), F.lit("请描述具体行为、发生时间、对象和影响范围，才能匹配对应制度。").alias("answer"),
+        F.array().cast(given.schema["source_chunk_ids"].dataType).alias("source_chunk_ids"),
+    )
+    return given.unionByName(clarify)
 
 
 def answer_questions(questions: DataFrame, chunks: DataFrame, k: int = 3, context_clause: str | None = None) -> DataFrame:
@@ -51,11 +62,26 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, k: int = 3, contex
     section_path, chunk_type, items, continuity, source, meta_text, embedding.
     """
     asked = prepared_questions(questions, context_clause)
+    return _answered(asked, final_evidence(ranked_candidates(asked.filter("not bare"), chunks, k), k))
+
+
+def answer_report(questions: DataFrame, chunks: DataFrame, k: int = 3, context_clause: str | None = None) -> DataFrame:
+    """What answer_questions gives, with the plan of the answer, its citations and the checks that warn.
+
+    One row per question. questions may have `top_k`, the pieces of evidence of a question, k at most. Self-judgements have no
+    plan and no checks. chunks may have `effective_date`; without it no evidence is dated.
+    """
+    asked = prepared_questions(questions, context_clause)
     real = asked.filter("not bare")
     final = final_evidence(ranked_candidates(real, chunks, k), k)
-    given = answers.answer_rows(real.select("query_id", "query", "spec", "intent", "hints"), final)
-    clarify = asked.filter("bare").select(
-        "query_id", "query", F.lit("clarify").alias("branch"), F.lit("请描述具体行为、发生时间、对象和影响范围，才能匹配对应制度。").alias("answer"),
-        F.array().cast(given.schema["source_chunk_ids"].dataType).alias("source_chunk_ids"),
-    )
-    return given.unionByName(clarify)
+    kind = evidence.assess(evidence.haystack(), F.col("intent.asked_aspect"), evidence.intent_terms())
+    assessed = final.withColumn("_a", kind).select("query_id", "rank", "chunk_id", F.col("_a.evidence_type").alias("evidence_type"), F.col("_a.usable_as_final").alias("usable"))
+    wanted = real.select("query_id", F.col("intent.asked_aspect").alias("aspect"), F.col("intent.missing_conditions").alias("missing"), F.col("spec.rule_id").isNotNull().alias("has_rule"))
+    plan = evidence.plan_answers(wanted, assessed)
+    dated = final if "effective_date" in final.columns else final.withColumn("effective_date", F.lit(None).cast("string"))
+    checks = evidence.quality_checks(real, dated, "deterministic_score").filter("status = 'warn'").groupBy("query_id").agg(F.array_sort(F.collect_list("name")).alias("warnings"))
+    guard = evidence.scope_guard(real, final).select("query_id", "leaked")
+    out = _answered(asked, final)
+    for part in (plan, checks, guard):
+        out = out.join(part, "query_id", "left")
+    return out.withColumn("warnings", F.when(F.col("branch") != "clarify", F.coalesce("warnings", F.array().cast("array<string>"))))

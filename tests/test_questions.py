@@ -38,18 +38,22 @@ def test_condition_note_follows_missing_terms(spark):
 
 
 @pytest.fixture(scope="module")
-def golden(spark):
+def golden_chunks(spark):
     rows = [
         (i, f"doc-{i}", f"b-{i}", t, list(h), sec, cl, [x for x in (sec, cl) if x], ct, list(it), co, h[0] + ".md", " ".join(x for x in (h[0] + ".md", sec, cl, ct) if x))
         for i, (t, h, sec, cl, ct, it, co) in enumerate(FRAGMENTS)
     ]
     schema = ("chunk_id long, doc_id string, block_id string, text string, heading array<string>, section_title string, clause_title string, section_path array<string>, "
               "chunk_type string, items array<string>, continuity string, source string, meta_text string")
-    chunks = features.embed(spark.createDataFrame(rows, schema), "text")
+    return features.embed(spark.createDataFrame(rows, schema), "text")
+
+
+@pytest.fixture(scope="module")
+def golden(spark, golden_chunks):
     asked = ["工作五年有几天年假", "二类违规是什么", "二类违规有哪些", "我旷工两天会受到什么处罚", "旷工三天会怎样", "早退两次怎么处理", "学生迟到怎么处理", "骂人有什么处罚", "打听工资属于什么违规",
              "虚假报销怎么处罚", "破坏学校管理秩序行为是什么", "我没有违规"]
     q = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
-    return {r.query: r for r in chain.answer_questions(q, chunks, 5).collect()}
+    return {r.query: r for r in chain.answer_questions(q, golden_chunks, 5).collect()}
 
 
 @pytest.mark.parametrize(
@@ -73,3 +77,15 @@ def test_golden_questions(golden, question, branch, words):
     r = golden[question]
     assert r.branch == branch, (r.branch, r.answer)
     assert [w for w in words if w not in r.answer] == [], r.answer
+
+
+def test_report_has_plan_citations_checks_and_own_limits(spark, golden_chunks):
+    asked = [(0, "二类违规有哪些", 5), (1, "我旷工两天会受到什么处罚", 5), (2, "学生迟到怎么处理", 5), (3, "我没有违规", 5), (4, "差旅报销流程怎么申请", 1), (5, "差旅报销流程怎么申请", 3)]
+    rows = {r.query_id: r for r in chain.answer_report(spark.createDataFrame(asked, "query_id long, query string, top_k int"), golden_chunks, 5).collect()}
+    assert len(rows) == 6
+    assert rows[1].answer_type == "disciplinary_action" and rows[1].required_citations and rows[1].lacking is None
+    assert "freshness_conflict" in rows[1].warnings and "context_assembly" not in rows[1].warnings
+    assert rows[2].branch == "nothing" and "context_assembly" in rows[2].warnings and rows[2].answer_type == "insufficient_evidence"
+    assert rows[3].branch == "clarify" and rows[3].answer_type is None and rows[3].warnings is None
+    # Two fragments are about reimbursement.
+    assert rows[4].source_chunk_ids == [11] and rows[5].source_chunk_ids == [11, 9]
