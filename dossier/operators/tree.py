@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions.session import by_shuffle
 from dossier.functions.text import cn_number, contains_any, squash, strip_heading
 
 # Line shapes, levels and the words that mark a handling section.
@@ -39,7 +40,7 @@ _SECTION = "struct<pos:int,label:string,no:int,title:string,acts:boolean>"
 LINE = f"array<struct<pos:int,text:string,element_id:string,node_type:string,major:{_SECTION},lvl:{_SECTION},grp:{_SECTION},agrp:{_SECTION}>>"
 NODE = (
     "array<struct<sort_order:int,node_no:int,node_type:string,parent_order:int,parent_no:int,level:int,ordinal_label:string,title:string,tail:array<string>,"
-    "violation_level:string,parent_node_type:string,parent_title:string,text:string,start:int,end:int,element_ids:array<string>>>"
+    "violation_level:string,parent_node_type:string,parent_label:string,parent_title:string,text:string,start:int,end:int,element_ids:array<string>>>"
 )
 
 
@@ -148,7 +149,8 @@ def _node(kind: str, m: re.Match, now: _Open) -> dict:
     parent_kind = {"violation_group": "violation_level", "leaf_clause": "violation_group"}.get(kind, "action_group" if kind == "action_mapping" and agrp else "major_section")
     return {
         "node_type": kind, "parent_order": parent["pos"] if parent else None, "level": level, "ordinal_label": label, "title": title, "tail": [t for t in tail if t is not None],
-        "violation_level": code, "parent_node_type": parent_kind if parent else None, "parent_title": parent["title"] if parent else None,
+        "violation_level": code, "parent_node_type": parent_kind if parent else None,
+        "parent_label": (parent["label"] or f"{parent['no']}.") if parent else None, "parent_title": parent["title"] if parent else None,
     }
 
 
@@ -169,7 +171,7 @@ def tree_nodes(parsed: DataFrame, key: str = "doc_id", base: Column | None = Non
     node_id = lambda c: F.concat(F.col(key).cast("string"), F.lit(":node-"), F.format_string("%04d", c))
     return n.select(
         key, "sort_order", "node_no", "node_type", "parent_order", "level", "ordinal_label", "title", F.concat("_base", "tail").alias("heading_path"), "violation_level",
-        "parent_node_type", "parent_title", "start", "end", "text", "element_ids", node_id(F.col("node_no")).alias("node_id"),
+        "parent_node_type", "parent_label", "parent_title", "start", "end", "text", "element_ids", node_id(F.col("node_no")).alias("node_id"),
         F.when(F.col("parent_no").isNotNull(), node_id(F.col("parent_no"))).alias("parent_id"), ordinal_value(F.col("ordinal_label")).alias("ordinal_value"),
     )
 
@@ -243,12 +245,10 @@ def ordinal_issues(df: DataFrame, parent: str, ordinal: str) -> DataFrame:
 
 
 def prefix_mismatches(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Leaves whose number does not start with their group's number."""
-    p = nodes.select(key, F.col("node_id").alias("parent_id"), F.col("ordinal_value").alias("parent_value"), F.col("ordinal_label").alias("parent_ordinal"))
-    leaf = nodes.filter("node_type = 'leaf_clause' and instr(ordinal_label, '.') > 0").select(key, "node_id", "parent_id", "ordinal_label")
-    return leaf.join(p, [key, "parent_id"]).filter(
-        F.col("parent_value").isNotNull() & (F.substring_index("ordinal_label", ".", 1) != F.col("parent_value").cast("string"))
-    )
+    """Leaves whose number does not start with their group's number. A node names its parent, so nothing is joined."""
+    leaf = nodes.filter("node_type = 'leaf_clause' and instr(ordinal_label, '.') > 0 and parent_id is not null")
+    own = leaf.select(key, "parent_id", "node_id", "ordinal_label", ordinal_value(F.col("parent_label")).alias("parent_value"), F.col("parent_label").alias("parent_ordinal"))
+    return own.filter(F.col("parent_value").isNotNull() & (F.substring_index("ordinal_label", ".", 1) != F.col("parent_value").cast("string")))
 
 
 def structure_status(documents: DataFrame, nodes: DataFrame, issues: DataFrame, key: str) -> DataFrame:
@@ -276,7 +276,7 @@ def _continuity_columns(kids: Column) -> list[Column]:
 def section_children(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """Listing chunk of every violation level: its title, then its ordered children."""
     heads = nodes.filter("node_type = 'violation_level'").select(key, "node_id", "title", "heading_path", "sort_order", "violation_level")
-    d = heads.join(children_of(nodes, "violation_group", key), [key, "node_id"])
+    d = heads.join(by_shuffle(children_of(nodes, "violation_group", key)), [key, "node_id"])
     lines = F.transform("kids", lambda c: F.trim(F.concat_ws(" ", c["ordinal_label"], c["title"])))
     return d.select(
         key, "node_id", F.col("title").alias("section_title"), "heading_path", "violation_level", "sort_order", lines.alias("items"),
