@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossier.functions.session import materialize
+from dossier.functions.session import by_shuffle, materialize
 from dossier.functions.text import first_present
 from dossier.operators import chunking, parsing, tree
 from dossier.operators.numbering import number_within
@@ -134,7 +134,7 @@ def detail_chunks(details: DataFrame, size: int = 1200, overlap: int = 150, cont
     parents = state.select(F.col("doc_id").alias("parent_doc_id"), "title", F.when(F.size(path) > 0, path).otherwise(F.array("title")).alias("base"), base.alias("base_metadata"))
     named = {"source": F.lit("company_policy_attachment"), "source_url": F.col("url"), "parent_doc_id": F.col("parent_doc_id"), "attachment_index": F.col("attachment_index"), "attachment_name": F.col("name"), "title": F.col("title"), "chunk_type": F.lit("attachment_fixed_window")}
     none = lambda t: F.lit(None).cast(t)
-    files = files.join(parents, "parent_doc_id").select(
+    files = files.join(by_shuffle(parents), "parent_doc_id").select(
         "doc_id", "parent_doc_id", F.lit(ATTACHMENT).alias("branch"), F.col("chunk_no").cast("int").alias("chunk_no"), "chunk_id", "block_id",
         F.lit("attachment_fixed_window").alias("chunk_type"), "text", F.concat("base", F.array("name")).alias("heading_path"), "start", "end",
         F.array().cast("array<string>").alias("element_ids"), none("int").alias("range_start"), none("int").alias("range_end"), merged_metadata(F.col("base_metadata"), _strings(named)).alias("metadata"),
@@ -155,7 +155,7 @@ def attachment_rows(details: DataFrame) -> DataFrame:
 
 def parsed_attachments(details: DataFrame, contents: DataFrame) -> DataFrame:
     """Files with their fetched text and parse report; `contents` is (url, text), a missing url is a failed fetch."""
-    files = attachment_rows(details).join(contents.withColumnRenamed("text", "_text"), "url", "left")
+    files = attachment_rows(details).join(by_shuffle(contents.withColumnRenamed("text", "_text")), "url", "left")
     files = files.withColumn("fetched", F.col("_text").isNotNull())
     parsed = parsing.parse_sources(files, "name", "content_type", "_text")
     warned = (F.size("elements") == 0).cast("int")
@@ -175,7 +175,7 @@ def attachment_states(details: DataFrame, parsed: DataFrame | None, parse: bool
         off = "not_fetched" if not parse else "fetcher_not_configured"
         return details.withColumn("_s", state(F.lit(0), F.when((n > 0) & F.lit(parse), n).otherwise(0), F.when(n > 0, off).otherwise("none")))
     done = parsed.groupBy("doc_id").agg(F.count_if(F.col("text") != "").alias("_done"), F.sum("warnings").alias("_warned"))
-    d = details.join(done, "doc_id", "left")
+    d = details.join(by_shuffle(done), "doc_id", "left")
     ok, warned = F.coalesce("_done", F.lit(0)), F.coalesce("_warned", F.lit(0))
     status = F.when(n == 0, "none").when(ok == n, "success").when(ok > 0, "partial").otherwise("failed")
     return d.withColumn("_s", state(ok, warned, status)).drop("_done", "_warned")
@@ -208,7 +208,7 @@ def outcomes(listing: DataFrame, counts: DataFrame, strict: bool = False) -> Dat
     `listing` has import_id, title, error (null when the record is readable);
     `counts` has import_id, chunk_count. Strict stops at the first error.
     """
-    d = listing.join(counts, "import_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
+    d = listing.join(by_shuffle(counts), "import_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
     if strict:
         d = d.filter(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.lit(True)))
     status = (

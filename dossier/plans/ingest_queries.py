@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dossier.functions.session import by_shuffle
 from dossier.operators import chunking, ingest
 from dossier.plans.chunking_queries import WINDOWS
 from dossier.plans.derived import LINES_CTE, policy_lines
@@ -50,7 +51,7 @@ def details(spark, sf_dir):
         F.concat(F.lit("company-policy-"), k).alias("doc_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("category_name"), body.alias("body"),
         F.create_map(F.lit("create_user_name"), F.col("c_name")).alias("metadata"), k.alias("_k"),
     )
-    return d.join(files_of(spark, sf_dir).withColumnRenamed("doc_id", "_k"), "_k").drop("_k")
+    return d.join(by_shuffle(files_of(spark, sf_dir).withColumnRenamed("doc_id", "_k")), "_k").drop("_k")
 
 
 # Every chunk of a detail record in order: part 0 front, 1 body, 2 English tail, 3 tree. `p` is the path below the base.
