@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import html as _html
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from dossier.functions.session import map_slices
 from dossier.functions.text import BLANKS, WS, let, squash
 
 # MIME types, suffixes and warnings of the source kinds.
@@ -140,7 +142,7 @@ def _plain(raw: Column) -> Column:
     return F.transform(texts, lambda t: _candidate(F.lit("plain"), F.lit(""), F.lit(""), t))
 
 
-def _finish(candidates: pd.Series) -> list:
+def _finish(candidates: list[list[str]]) -> list:
     """Decode entities, collapse blanks, drop empty elements, then number, place and title the rest.
 
     A heading at level L ends the open headings at level L or deeper.
@@ -188,16 +190,16 @@ def _with_elements(df: DataFrame, source: str, candidates: Column, out: str | No
     made = [T.StructType.fromDDL(f"`{n}` {t}")[0] for n, (t, _) in derive.items()]
     schema = T.StructType([df.schema[c] for c in keys] + own + made)
 
-    def batches(frames):
-        for frame in frames:
-            elements = _finish(frame.pop("_candidates"))
-            if out:
-                frame[out] = elements
-            for name, (_, make) in derive.items():
-                frame[name] = pd.Series([make(e) for e in elements], index=frame.index, dtype=object)
-            yield frame
+    types = [to_arrow_type(f.dataType) for f in own + made]
 
-    return df.select(*keys, candidates.alias("_candidates")).mapInPandas(batches, schema)
+    def finished(batch: pa.RecordBatch) -> pa.RecordBatch:
+        elements = _finish(batch["_candidates"].to_pylist())
+        values = [elements] if out else []
+        values += [[make(e) for e in elements] for _, make in derive.values()]
+        kept = [batch[c] for c in keys]
+        return pa.RecordBatch.from_arrays(kept + [pa.array(v, t) for v, t in zip(values, types)], names=schema.names)
+
+    return map_slices(df.select(*keys, candidates.alias("_candidates")), finished, schema)
 
 
 def _html_candidates(html: Column) -> Column:
