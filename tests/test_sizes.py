@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions.session import SLICE_ROWS, map_slices
-from dossier.operators import parsing, tree
+from dossier.operators import chunking, parsing, tree
 from dossier.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +39,16 @@ def test_parsed_rows_come_in_small_pieces(spark):
     parsed = parsing.html_elements(d)
     assert "MapInPandas" not in plan_of(parsed)
     assert parsed.filter("size(elements) = 2").count() == 5 * SLICE_ROWS + 1
+
+
+def test_coverage_comes_in_small_pieces(spark):
+    d = spark.range(3).selectExpr("id", "'ab cd' as text", "array(named_struct('start', 0, 'end', 2)) as spans")
+    found = chunking.char_coverage(d, ["id"], "text", "spans")
+    assert "ArrowEvalPython" not in plan_of(found)
+    assert {(r.source_char_count, r.covered_char_count, r.uncovered_ranges[0].text) for r in found.collect()} == {(4, 2, "cd")}
+
+
+def test_a_cut_off_entity_is_decoded(spark):
+    """As html.parser and html.unescape do: an entity of old HTML needs no semicolon."""
+    d = spark.createDataFrame([(1, "<h1>a &amp b&amp;&amp</h1>")], "id long, html string")
+    assert [e.text for r in parsing.html_elements(d).collect() for e in r.elements] == ["a & b&&"]
