@@ -52,3 +52,25 @@ def test_a_cut_off_entity_is_decoded(spark):
     """As html.parser and html.unescape do: an entity of old HTML needs no semicolon."""
     d = spark.createDataFrame([(1, "<h1>a &amp b&amp;&amp</h1>")], "id long, html string")
     assert [e.text for r in parsing.html_elements(d).collect() for e in r.elements] == ["a & b&&"]
+
+
+@pytest.mark.parametrize("name", ["c8_clause_groups", "c19_structure_report", "e1_chunk_metadata"])
+def test_no_null_lists_go_to_python(spark, monkeypatch, name):
+    """The Arrow writer goes over all of them after every row."""
+    frame, seen = type(spark.range(1)), []
+    send = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: (seen.append(self), send(self, *a, **k))[1])
+    QUERIES[name](spark, SF)
+    for rows in seen:
+        lists = [f.name for f in rows.schema if f.dataType.typeName() == "array"]
+        assert not lists or rows.filter(" or ".join(f"`{n}` is null" for n in lists)).count() == 0
+    assert any("starts" in rows.columns for rows in seen)
+
+
+def test_an_empty_path_stays_empty(spark):
+    """A unit may name an empty path, which is not the same as none."""
+    unit = "named_struct('chunk_type', 'a', 'start', 0, 'text', 'x', 'section', 's', 'title', null, 'clause_no', null, 'level', null, 'role', 'coverage', 'path', {}, 'semantic', null, 'language', 'zh', 'split', null, 'end', 1)"
+    units = f"cast(array({unit.format('array()')}, {unit.format('null')}, {unit.format(chr(97) + 'rray(' + repr('p') + ')')}) as {chunking.UNIT})"
+    part = f"named_struct('kind', 'front', 'off', 0, 'body', '-', 'units', {units}, 'starts', null, 'ends', null)"
+    d = spark.range(1).selectExpr("id", "'n' as name", f"cast(array({part}) as {chunking.PART}) as parts")
+    assert [r.heading_path for r in chunking.part_chunks(d, ["id"], "parts", "name").orderBy("chunk_no").collect()] == [["n"], ["n", "s"], ["n", "p"]]
