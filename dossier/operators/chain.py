@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,14 +58,32 @@ def _answered(asked: DataFrame, final: DataFrame) -> DataFrame:
     return given.unionByName(clarify)
 
 
+def _each_once(questions: DataFrame, answered) -> DataFrame:
+    """answered(questions) for every question, where questions that differ in their id only share one row of the work.
+
+    What a question finds hangs on its words and limits, so the search meets the corpus with distinct questions, and
+    its shuffle does not grow with the product of both tables.
+    """
+    same = [c for c in questions.columns if c != "query_id"]
+    once = questions.groupBy(*same).agg(F.min("query_id").alias("query_id"))
+    out = answered(once)
+    first = once.select(F.col("query_id").alias("_first"), *[F.col(c).alias(f"_{c}") for c in same])
+    every = questions.join(first, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same])).select("query_id", "_first")
+    return every.join(out.withColumnRenamed("query_id", "_first"), "_first").select(*out.columns)
+
+
 def answer_questions(questions: DataFrame, chunks: DataFrame, k: int = 3, context_clause: str | None = None) -> DataFrame:
     """query_id, branch, answer and source chunks; self-judgements are sent back without a search.
 
     `chunks` has chunk_id, doc_id, block_id, text, heading, section_title, clause_title,
     section_path, chunk_type, items, continuity, source, meta_text, embedding.
     """
-    asked = prepared_questions(questions, context_clause)
-    return _answered(asked, final_evidence(ranked_candidates(asked.filter("not bare"), chunks, k), k))
+
+    def answered(distinct: DataFrame) -> DataFrame:
+        asked = prepared_questions(distinct, context_clause)
+        return _answered(asked, final_evidence(ranked_candidates(asked.filter("not bare"), chunks, k), k))
+
+    return _each_once(questions, answered)
 
 
 def answer_report(questions: DataFrame, chunks: DataFrame, k: int = 3, context_clause: str | None = None) -> DataFrame:
@@ -71,6 +92,10 @@ def answer_report(questions: DataFrame, chunks: DataFrame, k: int = 3, context_c
     One row per question. questions may have `top_k`, the pieces of evidence of a question, k at most. Self-judgements have no
     plan and no checks. chunks may have `effective_date`; without it no evidence is dated.
     """
+    return _each_once(questions, lambda distinct: _report(distinct, chunks, k, context_clause))
+
+
+def _report(questions: DataFrame, chunks: DataFrame, k: int, context_clause: str | None) -> DataFrame:
     asked = prepared_questions(questions, context_clause)
     real = asked.filter("not bare")
     final = final_evidence(ranked_candidates(real, chunks, k), k)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dossier.functions.session import SLICE_ROWS
 from dossier.functions.text import ordered_distinct
 
 BLOCK_REQUESTS = 2_000
@@ -177,6 +178,12 @@ class _Matcher:
         return sorted(out)
 
 
+def _strings(column: pa.ChunkedArray):
+    """Values of a text column, a few of them as Python objects at a time."""
+    for at in range(0, len(column), SLICE_ROWS):
+        yield from column.slice(at, SLICE_ROWS).to_pylist()
+
+
 class _TermIndex:
     """Sparse index from terms to the requests that ask for them, by kind of term."""
 
@@ -199,11 +206,11 @@ class _TermIndex:
         within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         return np.unique(np.repeat(row, size) * self.n_requests + request[np.repeat(begin[term], size) + within])
 
-    def scores(self, fields: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, fields: list[pa.ChunkedArray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(request, row, score) of every row that has any term of a request. fields: texts, headings, metadata."""
         parts = []
         for f, values in enumerate(fields):
-            hits = [self.matcher.found(v) if v else [] for v in values] if self.terms else []
+            hits = [self.matcher.found(v) if v else [] for v in _strings(values)] if self.terms else []
             row = np.repeat(np.arange(len(hits)), [len(h) for h in hits]).astype(np.int64)
             term = np.array([i for h in hits for i in h], np.int64)
             for kind, weight in enumerate((PRIMARY[f], SECONDARY[f], QUERY_ON_TEXT if f == 0 else 0.0)):
@@ -232,7 +239,7 @@ def keyword_hits(
 
     def score(asked: pa.Table, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("chunk_id")
-        r, j, s = _TermIndex(asked, escape).scores([rows[c].to_pylist() for c in ("text", "heading", "metadata")])
+        r, j, s = _TermIndex(asked, escape).scores([rows[c] for c in ("text", "heading", "metadata")])
         if best is not None:
             at = _first(r, best, -s, j)
             r, j, s = r[at], j[at], s[at]
@@ -249,7 +256,7 @@ def _paired(rows: pa.Table) -> pa.Table:
     """Chunk rows and vector rows of one block, put together by id, in order of id; what has no partner goes."""
     n = pa.array(np.arange(rows.num_rows))
     side = rows.select(["chunk_id"]).append_column("at", n)
-    is_vector = pc.is_valid(rows["vec"])
+    is_vector = rows["is_vector"]
     both = side.filter(pc.invert(is_vector)).join(side.filter(is_vector).rename_columns(["chunk_id", "vector_at"]), "chunk_id", join_type="inner").sort_by("chunk_id")
     return rows.drop_columns(["vec"]).take(both["at"]).append_column("vec", rows["vec"].take(both["vector_at"]))
 
@@ -267,15 +274,15 @@ def hybrid_top_k(
     asked = requests.select("query_id", "query_vec", *TERMS)
     names = ((text, "text"), (heading, "heading"), (metadata, "metadata"))
     vec_type = vectors.schema[vec].dataType
-    texts = chunks.select(F.col(chunk_id).alias("chunk_id"), *[F.col(c).alias(n) for c, n in names], F.lit(None).cast(vec_type).alias("vec"))
-    found = vectors.filter(F.col(vec).isNotNull()).select(F.col(vec_id).alias("chunk_id"), *[F.lit(None).cast(chunks.schema[c].dataType).alias(n) for c, n in names], F.col(vec).alias("vec"))
+    texts = chunks.select(F.col(chunk_id).alias("chunk_id"), *[F.col(c).alias(n) for c, n in names], F.array().cast(vec_type).alias("vec"), F.lit(False).alias("is_vector"))
+    found = vectors.filter(F.col(vec).isNotNull()).select(F.col(vec_id).alias("chunk_id"), *[F.lit(None).cast(chunks.schema[c].dataType).alias(n) for c, n in names], F.col(vec).alias("vec"), F.lit(True).alias("is_vector"))
     rows = texts.unionByName(found)
     types = [df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (rows, "chunk_id"))]
 
     def search(asked: pa.Table, rows: pa.Table) -> pa.Table:
         asked, rows = _with_vectors(asked), _paired(rows)
         q, c = _matrix(asked["query_vec"]), _matrix(rows["vec"])
-        kr, kj, ks = _TermIndex(asked, escape).scores([rows[n].to_pylist() for n in ("text", "heading", "metadata")])
+        kr, kj, ks = _TermIndex(asked, escape).scores([rows[n] for n in ("text", "heading", "metadata")])
         by = np.argsort(kr, kind="stable")
         kr, kj, ks = kr[by], kj[by], ks[by]
         out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2 + (np.zeros(0, bool),)]

@@ -8,7 +8,7 @@ from dossier import rules
 from dossier.functions.session import materialize
 from dossier.operators import answers as an
 from dossier.operators import chain, features
-from dossier.plans.evidence_queries import _PICKED, CAND, DEDUPED, candidates, final_evidence, specs
+from dossier.plans.evidence_queries import _PICKED, CAND, DEDUPED, candidates, final_evidence, fragment_rows, specs
 from dossier.plans.registry import query, table
 from dossier.plans.understanding_queries import _list, any_sql, q
 
@@ -211,7 +211,7 @@ def j9_answer_text(spark, sf_dir):
 @query("j9_question_chain")
 def j9_question_chain(spark, sf_dir):
     """All questions against all policy-shaped documents, from the question text to the answer; no SQL, as vectors decide what is found."""
-    doc = candidates(spark, sf_dir).select("chunk_id", "doc_id", "block_id", "text", "heading", "section_title", "clause_title", "section_path", "chunk_type", "items", "continuity", "source", "meta_text")
+    doc = fragment_rows(spark, sf_dir).filter("query_id is not null").select("chunk_id", "doc_id", "block_id", "text", "heading", "section_title", "clause_title", "section_path", "chunk_type", "items", "continuity", "source", "meta_text")
     chunks = materialize(features.embed(doc, "text", "embedding"), "chunks")
     asked = specs(spark, sf_dir).select("query_id", "query", (F.col("query_id") % 4 + 1).cast("int").alias("top_k"))
     d = chain.answer_report(asked, chunks, 4)

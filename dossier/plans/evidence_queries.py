@@ -62,7 +62,8 @@ def specs(spark, sf_dir):
     return materialize(question_rows(ids), "specs")
 
 
-def candidates(spark, sf_dir):
+def fragment_rows(spark, sf_dir):
+    """One candidate per document, without the question it belongs to."""
     k = F.col("doc_id")
     docs = texts(spark, sf_dir, "documents").select("doc_id", "text", F.floor(k / 8).alias("query_id"), (k % 8 + 1).cast("int").alias("rank"))
     f = F.get(_fragment_literal(), ((F.col("query_id") + F.col("rank") * 5) % N).cast("int"))
@@ -73,8 +74,11 @@ def candidates(spark, sf_dir):
         F.array_compact(F.array("f.section_title", "f.clause_title")).alias("section_path"), F.when(F.col("f_no") != 1, F.concat("f.chunk_type", F.lit(".md"))).alias("source"),
         ((k % 100) / 100.0).alias("distance"), F.lit(False).alias("scope_applied"),
     )
-    d = d.withColumn("meta_text", F.concat_ws(" ", "source", "section_title", "clause_title", "chunk_type"))
-    return d.join(specs(spark, sf_dir), "query_id")
+    return d.withColumn("meta_text", F.concat_ws(" ", "source", "section_title", "clause_title", "chunk_type"))
+
+
+def candidates(spark, sf_dir):
+    return fragment_rows(spark, sf_dir).join(specs(spark, sf_dir), "query_id")
 
 
 def _nullable(xs):

@@ -89,3 +89,31 @@ def test_report_has_plan_citations_checks_and_own_limits(spark, golden_chunks):
     assert rows[3].branch == "clarify" and rows[3].answer_type is None and rows[3].warnings is None
     # Two fragments are about reimbursement.
     assert rows[4].source_chunk_ids == [11] and rows[5].source_chunk_ids == [11, 9]
+
+
+def test_equal_questions_are_searched_once(spark, golden_chunks, monkeypatch):
+    class Searched(Exception):
+        pass
+
+    def search(asked, *rest):
+        raise Searched(asked.count())
+
+    monkeypatch.setattr(chain.retrieval, "hybrid_top_k", search)
+    asked = spark.createDataFrame([(i, ("二类违规有哪些", "我旷工两天会受到什么处罚")[i % 2]) for i in range(40)], "query_id long, query string")
+    for answer in (chain.answer_questions, chain.answer_report):
+        with pytest.raises(Searched) as stopped:
+            answer(asked, golden_chunks, 3)
+        assert stopped.value.args == (2,)
+
+
+def test_every_question_gets_the_row_of_its_words(spark):
+    rows = [(1, "a", None), (2, "a", None), (3, "a", 2), (4, None, 1), (5, None, 1), (6, "b", 2)]
+    seen = []
+
+    def answered(distinct):
+        seen.append(sorted(r.query_id for r in distinct.collect()))
+        return distinct.select("query_id", F.concat_ws("-", "query", "top_k").alias("answer"))
+
+    got = chain._each_once(spark.createDataFrame(rows, "query_id long, query string, top_k int"), answered).collect()
+    assert sorted((r.query_id, r.answer) for r in got) == [(1, "a"), (2, "a"), (3, "a-2"), (4, "1"), (5, "1"), (6, "b-2")]
+    assert seen == [[1, 3, 4, 6]]
