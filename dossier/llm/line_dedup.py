@@ -7,6 +7,7 @@ similarity of the texts decides. Of each connected group one occurrence stays, t
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -26,8 +27,12 @@ MAX_BITS = 3
 CHUNK = 64
 #: Lines of a large bucket that meet in one task.
 LARGE_CHUNK = 2_000
+#: Columns after which the edit distance looks whether it can still be small enough.
+LOOK = 64
 #: Text that is hashed at a time in a worker, in bytes.
 PIECE = 1 << 20
+#: Powers are kept for lengths in steps of so many bytes.
+_STEP = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -36,9 +41,12 @@ _LETTERS = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
 
 
 def normal(line: str) -> bytes:
-    return b" ".join(line.lower().encode("utf-8", "surrogatepass").split())
+    raw = line.lower().encode("utf-8", "surrogatepass")
+    bare = raw.strip()
+    return b" ".join(bare.split()) if any(x in bare for x in (b"  ", b"\t", b"\r", b"\x0b", b"\x0c", b"\n")) else bare
 
 
+@functools.lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_ODD, pow(_ODD, -1, 1 << 64)):
@@ -62,27 +70,28 @@ def line_fingerprints(lines: list[bytes]) -> np.ndarray:
     nothing else has fingerprint 0.
     """
     raw = np.frombuffer(b" ".join(lines) + b" ", dtype=np.uint8)
-    up, down = _powers(len(raw) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)))
+    up, down = _powers((len(raw) // _STEP + 1) * _STEP)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw + np.uint64(1)) * up[: len(raw)], out=sums[1:])
     ends = np.flatnonzero(raw == 32)
     starts = np.concatenate(([0], ends[:-1] + 1))
-    hashes = _mixed((sums[ends] - sums[starts]) * down[starts])
-    letters = np.concatenate(([0], np.cumsum(_LETTERS[raw])))
-    counts = letters[ends] > letters[starts]
-    hashes, starts = hashes[counts], starts[counts]
-    edges = np.concatenate(([0], np.cumsum([len(x) + 1 for x in lines])))
-    first = np.searchsorted(starts, edges)
+    counts = np.bitwise_or.reduceat(_LETTERS[raw], starts)
+    hashes = _mixed((sums[ends] - sums[starts]) * down[starts])[counts]
+    edges = np.cumsum([0, *map(len, lines)]) + np.arange(len(lines) + 1)
+    first = np.searchsorted(starts[counts], edges)
     n = np.diff(first)
-    first = first[:-1]
-    ones = np.zeros((len(lines), 64), dtype=np.int64)
-    # Byte lanes hold up to 255 words; runs are cut there.
-    cuts = np.concatenate([np.arange(a, a + k, 255) for a, k in zip(first.tolist(), n.tolist())])
-    owner = np.repeat(np.arange(len(lines)), -(-n // 255))
-    if not len(cuts):
+    if not len(hashes):
         return np.zeros(len(lines), dtype="<i8")
-    for k in range(8):
-        lanes = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(0x0101010101010101), cuts)
-        np.add.at(ones, (owner[:, None], np.arange(k, 64, 8)[None, :]), lanes.view(np.uint8).reshape(-1, 8))
+    # Byte lanes hold up to 255 words; runs are cut there.
+    runs = -(-n // 255)
+    owner = np.repeat(np.arange(len(lines)), runs)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
+    cuts = first[owner] + 255 * nth
+    words = np.stack([np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(0x0101010101010101), cuts) for k in range(8)], axis=1)
+    lanes = words.view(np.uint8).reshape(-1, 8, 8).swapaxes(1, 2).reshape(-1, 64)
+    ones = np.zeros((len(lines), 64), dtype=np.int64)
+    heads = np.flatnonzero(nth == 0)
+    ones[owner[heads]] = np.add.reduceat(lanes, heads, axis=0, dtype=np.int64) if len(heads) < len(owner) else lanes
     bits = np.packbits((2 * ones > n[:, None]).astype(np.uint8), axis=1, bitorder="little")
     return bits.view("<i8").ravel()
 
@@ -117,11 +126,31 @@ def occurrences(docs: DataFrame, key: str, text: str, min_words: int = MIN_WORDS
     return docs.select(F.col(key).alias("doc"), F.col(text).cast("string")).mapInArrow(run, f"doc {kind}, line int, lid long, chk long, fp long")
 
 
-def edit_similarity(a: str, b: str) -> float:
-    """1 - Levenshtein distance / longer length, by Myers' bit-parallel columns over what is left between common ends."""
+def _least_in_column(plus: int, minus: int, size: int, at: int, left: int) -> int:
+    """Least distance that a way through a column can come to: its value there and what the lengths left differ by."""
+    steps = [np.unpackbits(np.frombuffer(x.to_bytes(size // 8 + 1, "little"), np.uint8), count=size, bitorder="little") for x in (plus, minus)]
+    values = np.concatenate(([at], at + np.cumsum(steps[0].astype(np.int32) - steps[1])))
+    return int((values + np.abs(np.arange(size, -1, -1) - left)).min())
+
+
+@functools.lru_cache(maxsize=1)
+def _places(a: str) -> dict[str, int]:
+    """The places of every character as bits; kept for the next text that meets the same one."""
+    at: dict[str, int] = {}
+    for k, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << k
+    return at
+
+
+def edit_similarity(a: str, b: str, least: float = 0.0) -> float:
+    """1 - Levenshtein distance / longer length, by Myers' bit-parallel columns over what is left between common ends.
+
+    0 as soon as it is sure to be below least.
+    """
     longest = max(len(a), len(b))
     if not longest:
         return 1.0
+    allowed = (1 - least) * longest + 1e-9
     i = 0
     while i < min(len(a), len(b)) and a[i] == b[i]:
         i += 1
@@ -133,12 +162,12 @@ def edit_similarity(a: str, b: str) -> float:
         a, b = a[:-i], b[:-i]
     if not a or not b:
         return 1 - max(len(a), len(b)) / longest
-    at: dict[str, int] = {}
-    for k, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << k
+    at = _places(a)
     n, top, full = len(a), 1 << (len(a) - 1), (1 << len(a)) - 1
     plus, minus, distance = full, 0, n
-    for c in b:
+    for j, c in enumerate(b):
+        if least and j and not j % LOOK and _least_in_column(plus, minus, n, j, len(b) - j) > allowed:
+            return 0.0
         eq = at.get(c, 0)
         d0 = ((((eq & plus) + plus) ^ plus) | eq | minus) & full
         hp = minus | (full & ~(d0 | plus))
@@ -164,7 +193,7 @@ def similar(a: str, b: str, least: float) -> bool:
     # Replacing each differing word costs at most its length.
     if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y) if v != w) <= allowed:
         return True
-    return edit_similarity(a, b) >= least - 1e-12
+    return edit_similarity(a, b, least) >= least - 1e-12
 
 
 def _blocks(max_bits: int) -> list[tuple[int, int]]:
@@ -240,16 +269,18 @@ def _chunk_pair(min_similarity: float, max_bits: int):
         group = np.arange(len(nodes))
         left, right = np.searchsorted(nodes, a.lid), np.searchsorted(nodes, b.lid)
         p, q = pairs[int(pdf.k.iloc[0]) >> 40]
-        fps, words, links = b.fp.to_numpy(np.int64), b.words.tolist(), []
-        for i, fp, w in zip(left, a.fp.to_numpy(np.int64), a.words.tolist()):
-            x = (fps ^ fp).view(np.uint64)
-            equal = np.stack([(x >> np.uint64(s)) & np.uint64((1 << (e - s)) - 1) == 0 for s, e in cuts])
+        fps, own, others, links = b.fp.to_numpy(np.int64), a.words.tolist(), b.words.tolist(), []
+        for at in range(0, len(a), 256):
+            x = (a.fp.to_numpy(np.int64)[at : at + 256, None] ^ fps[None, :]).view(np.uint64)
+            i, j = np.nonzero(np.bitwise_count(x) <= max_bits)
+            equal = np.stack([(x[i, j] >> np.uint64(s)) & np.uint64((1 << (e - s)) - 1) == 0 for s, e in cuts])
             nth = np.cumsum(equal, axis=0)
             first = equal[p] & equal[q] & (nth[p] == 1) & (nth[q] == 2)
-            for j in np.flatnonzero(first & (np.bitwise_count(x) <= max_bits) & (group[right] != group[i])):
-                if group[right[j]] != group[i] and similar(w, words[j], min_similarity):
-                    group[group == group[right[j]]] = group[i]
-                    links.append((nodes[i], nodes[right[j]]))
+            for i, j in zip((i[first] + at).tolist(), j[first].tolist()):
+                u, v = left[i], right[j]
+                if group[u] != group[v] and similar(own[i], others[j], min_similarity):
+                    group[group == group[v]] = group[u]
+                    links.append((nodes[u], nodes[v]))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run

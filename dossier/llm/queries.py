@@ -67,7 +67,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     gone = line_dedup.dropped_lines(docs).withColumnRenamed("doc_id", "_k")
-    lines = docs.select("doc_id", (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"))
+    lines = docs.select("doc_id", (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     d = lines.join(gone, F.col("doc_id").eqNullSafe(F.col("_k")), "left")
     dropped = F.array_join(F.transform("dropped", lambda x: x.cast("string")), ",")
     return d.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(dropped, F.lit("")).alias("dropped"))
