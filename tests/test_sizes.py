@@ -1,5 +1,7 @@
 """Nothing grows in the driver or in a Python worker with the rows of a table."""
 
+import re
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +76,24 @@ def test_an_empty_path_stays_empty(spark):
     part = f"named_struct('kind', 'front', 'off', 0, 'body', '-', 'units', {units}, 'starts', null, 'ends', null)"
     d = spark.range(1).selectExpr("id", "'n' as name", f"cast(array({part}) as {chunking.PART}) as parts")
     assert [r.heading_path for r in chunking.part_chunks(d, ["id"], "parts", "name").orderBy("chunk_no").collect()] == [["n"], ["n", "s"], ["n", "p"]]
+
+
+def test_blank_units_give_no_chunk_and_are_squashed_once(spark):
+    unit = "named_struct('chunk_type', 'a', 'start', 0, 'text', {}, 'section', 's', 'title', null, 'clause_no', null, 'level', null, 'role', 'coverage', 'path', null, 'semantic', null, 'language', 'zh', 'split', null, 'end', null)"
+    units = f"cast(array({', '.join(unit.format(x) for x in (chr(39) + ' a  b ' + chr(39), 'null', chr(39) * 2, chr(39) + '  ' + chr(39), chr(39) + 'c' + chr(39)))}) as {chunking.UNIT})"
+    part = f"named_struct('kind', 'front', 'off', 5, 'body', '-', 'units', {units}, 'starts', null, 'ends', null)"
+    d = spark.range(1).selectExpr("id", "'n' as name", f"cast(array({part}) as {chunking.PART}) as parts")
+    chunks = chunking.part_chunks(d, ["id"], "parts", "name")
+    assert [(r.chunk_no, r.text, r.start, r.end) for r in chunks.orderBy("chunk_no").collect()] == [(1, "a b", 0, 6), (2, "c", 0, 1)]
+    plan = QUERIES["c9_action_clauses"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "regexp_replace" in x]
+
+
+def test_markers_check_a_character_before_they_look_behind():
+    for p in (chunking.ZH_MAJOR, chunking.ZH_GROUP, chunking.SUBCLAUSE, chunking.EN_MAJOR, chunking.EN_GROUP):
+        assert p.removeprefix("(?i)").startswith("(?=")
+    for numeral in "ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ":
+        assert chunking.marker_start(f"x {numeral}. Purpose") == 2 and chunking.marker_start(f"x{numeral}. Purpose") is None
+    assert chunking.marker_start("axi. purpose of EMPLOYEE") is None and chunking.marker_start("- xi. purpose") == 2
+    for numeral in chunking.NUMERALS:
+        assert re.search(chunking.ZH_MAJOR, f"x {numeral}、总则").start() == 2 and not re.search(chunking.ZH_MAJOR, f"（{numeral}、总则")
