@@ -97,3 +97,23 @@ def test_markers_check_a_character_before_they_look_behind():
     assert chunking.marker_start("axi. purpose of EMPLOYEE") is None and chunking.marker_start("- xi. purpose") == 2
     for numeral in chunking.NUMERALS:
         assert re.search(chunking.ZH_MAJOR, f"x {numeral}、总则").start() == 2 and not re.search(chunking.ZH_MAJOR, f"（{numeral}、总则")
+
+
+@pytest.mark.parametrize("name", ["c7_category_overview", "c8_clause_groups", "c13_role_defaults"])
+def test_a_policy_text_stays_in_one_row_until_it_is_cut(spark, monkeypatch, name):
+    """Sections and units are not exploded on the way to the cutter: two rows a document, its Chinese and its English text."""
+    frame, seen = type(spark.range(1)), []
+    send = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: (seen.append(self), send(self, *a, **k))[1])
+    QUERIES[name](spark, SF)
+    assert [rows.count() for rows in seen] == [2 * spark.read.parquet(f"{SF}/customer.parquet").count()]
+
+
+def test_units_of_odd_policy_texts():
+    units = lambda kind, text: [(u[0], u[1], u[2], u[4], u[5], u[6]) for u in chunking.policy_units(kind, text, 10)]
+    assert units("zh", "  ") == [] and units("zh", "no Chinese") == [] and units("zh", "五、违规行为相应处理") == []
+    assert units("zh", "前言 四、违规行为 （一）一类违规行为 说明 1. 甲  乙： 1.1 情形。 2.丙丁 2.1 x") == [
+        (10, "前言", "document_intro", None, None, None), (13, "四、违规行为 （一）一类违规行为 说明 1. 甲 乙 2. 丙丁", "violation_category_overview", None, None, "category_1"),
+        (33, "1. 甲  乙： 1.1 情形。", "clause_group", "1. 甲 乙", "1", "category_1"), (50, "2.丙丁 2.1 x", "clause_group", "2. 丙丁", "2", "category_1"),
+    ]
+    assert units("en", "IV. Violations none") == [(10, "IV. Violations none", "english_section", None, None, None)]
