@@ -9,6 +9,7 @@ one space.
 from __future__ import annotations
 
 import html as _html
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -178,11 +179,11 @@ def _finish(candidates: list[list[str]]) -> list:
     return out
 
 
-def _with_elements(df: DataFrame, source: str, candidates: Column, out: str | None, derive: dict | None = None) -> DataFrame:
+def _with_elements(df: DataFrame, source: str, candidates: Column, out: str | None, derive: dict | None = None, cut=None) -> DataFrame:
     """Replaces the source column by the finished element array, in Arrow batches.
 
     derive: further columns that functions make from the elements of a row in the same pass, name -> (type as DDL, function).
-    Without `out` only these are kept.
+    Without `out` only these are kept. cut: what makes the candidates of a row in that pass, if the column sent is not yet an array of them.
     """
     keys = [c for c in df.columns if c != source]
     derive = derive or {}
@@ -193,7 +194,8 @@ def _with_elements(df: DataFrame, source: str, candidates: Column, out: str | No
     types = [to_arrow_type(f.dataType) for f in own + made]
 
     def finished(batch: pa.RecordBatch) -> pa.RecordBatch:
-        elements = _finish(batch["_candidates"].to_pylist())
+        sent = batch["_candidates"].to_pylist()
+        elements = _finish([cut(x) for x in sent] if cut else sent)
         values = [elements] if out else []
         values += [[make(e) for e in elements] for _, make in derive.values()]
         kept = [batch[c] for c in keys]
@@ -236,10 +238,14 @@ def text_elements(df: DataFrame, text: str = "text", out: str = "elements") -> D
     return df.withColumn(out, F.filter(one, lambda e: e["text"] != "")).drop(text)
 
 
+def _line_candidates(text: str) -> list[str]:
+    """The lines of a text. They are cut here, as a text takes less room in an Arrow batch than an array of its candidates."""
+    return [SEP.join(("plain", "", "", line)) for line in re.split(r"\r?\n", text)]
+
+
 def line_elements(df: DataFrame, text: str = "text", out: str | None = "elements", derive: dict | None = None) -> DataFrame:
     """Replaces text by one paragraph element per non-blank line."""
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")
-    return _with_elements(df, text, F.transform(lines, lambda t: _candidate(F.lit("plain"), F.lit(""), F.lit(""), t)), out, derive)
+    return _with_elements(df, text, F.coalesce(F.col(text), F.lit("")), out, derive, cut=_line_candidates)
 
 
 def explode_elements(df: DataFrame, keys: list[str], elements: str = "elements") -> DataFrame:

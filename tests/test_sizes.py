@@ -117,3 +117,36 @@ def test_units_of_odd_policy_texts():
         (33, "1. 甲  乙： 1.1 情形。", "clause_group", "1. 甲 乙", "1", "category_1"), (50, "2.丙丁 2.1 x", "clause_group", "2. 丙丁", "2", "category_1"),
     ]
     assert units("en", "IV. Violations none") == [(10, "IV. Violations none", "english_section", None, None, None)]
+
+
+@pytest.mark.parametrize("name", ["d1_line_types", "d2_open_sections", "d3_node_text", "d4_node_identity", "d5_action_sections", "d12_section_children", "d13_leaf_and_mapping"])
+def test_texts_go_to_the_tree_as_they_are(spark, monkeypatch, name):
+    """Not as an array with a mark in front of every line, which fills an Arrow batch and with it a Python worker."""
+    frame, seen = type(spark.range(1)), []
+    send = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: (seen.append(self), send(self, *a, **k))[1])
+    QUERIES[name](spark, SF)
+    assert seen and all(rows.schema["_candidates"].dataType.typeName() == "string" for rows in seen)
+
+
+def test_lines_of_odd_texts(spark):
+    d = spark.createDataFrame([(1, "a\r\n\n b &amp;\x02c\r\nd\re\n"), (2, None), (3, "\n")], "id long, text string")
+    assert {r.id: [(e.pos, e.text, e.start) for e in r.elements] for r in parsing.line_elements(d).collect()} == {1: [(1, "a", 0), (2, "b &\x02c", 2), (3, "d e", 8)], 2: [], 3: []}
+
+
+def test_a_batch_is_let_go_before_the_next_one_is_read():
+    import weakref
+
+    from dossier.functions.session import slices
+
+    held = []
+
+    def batches():
+        for i in range(3):
+            assert not [r for r in held if r()]
+            batch = pa.RecordBatch.from_arrays([pa.array([i] * 3)], names=["n"])
+            held.append(weakref.ref(batch))
+            yield batch
+            del batch
+
+    assert [b.num_rows for b in slices(batches(), 2)] == [2, 1] * 3
