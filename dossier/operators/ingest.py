@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from dossier.functions.session import by_shuffle, materialize
-from dossier.functions.text import first_present
+from dossier.functions import spans
+from dossier.functions.session import by_shuffle, filled_lists, map_slices, materialize, spread
+from dossier.functions.text import first_present, let
 from dossier.operators import chunking, parsing, tree
 from dossier.operators.numbering import number_within
 from dossier.sources.raw import FILE_NAME_KEYS, FILE_TYPE, FILE_TYPE_KEYS, FILE_URL_KEYS
@@ -26,8 +29,12 @@ def merged_path(base: Column, title: Column, path: Column) -> Column:
 
 def merged_metadata(left: Column, right: Column) -> Column:
     """Map union in which the right side wins; entries without a value are dropped."""
-    mine = F.map_filter(left, lambda k, v: ~F.array_contains(F.map_keys(right), k))
-    return F.map_filter(F.map_concat(mine, right), lambda k, v: v.isNotNull())
+
+    def merged(r: Column) -> Column:  # the right map is made once and not for every entry of the left one
+        mine = F.map_filter(left, lambda k, v: ~F.array_contains(F.map_keys(r), k))
+        return F.map_filter(F.map_concat(mine, r), lambda k, v: v.isNotNull())
+
+    return let(right, merged)
 
 
 def enrich_category(details: DataFrame, categories: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
@@ -39,28 +46,35 @@ def enrich_category(details: DataFrame, categories: DataFrame, key: str, fields:
     return d
 
 
-PARSED = f"struct<parts:{chunking.PART},element_count:int,table_count:int,strategy:string,node_count:int,issue_count:int,structure_warnings:int>"
+_FACTS = "element_count int, node_count int, issue_count int, structure_warnings int, strategy string"
 
 
-def parsed_detail(size: int):
-    """For the parsers of `parsing`: everything the ingest needs of a body, from its elements, in the parsing pass."""
+def _chunked(parsed: DataFrame, size: int, overlap: int) -> DataFrame:
+    """parsed (see `parsing.html_texts`) with _chunks and everything else that the ingest needs of a body instead of its text.
 
-    def make(elements: list[dict]) -> dict:
-        nodes = tree.section_nodes(elements)
-        issues = tree.node_issues(nodes)
-        units = [
-            {"chunk_type": c["chunk_type"], "start": c["start"], "end": c["end"], "text": c["text"], "section": c["section_title"], "level": c["violation_level"], "path": c["tail"], "split": c["split_index"]}
-            for c in tree.node_chunks(nodes, size)
-        ]
-        parts, text = chunking.document_parts(elements, units)
-        structured = any(p["kind"] in ("zh", "en") for p in parts)
-        return {
-            "parts": parts, "element_count": len(elements), "table_count": sum(e["kind"] == "table" for e in elements),
-            "strategy": "none" if not text else "policy_clause_group" if structured else "fixed_window_fallback",
-            "node_count": len(nodes), "issue_count": len(issues), "structure_warnings": sum(severity == "warning" for _, severity in issues),
-        }
-
-    return {"_d": (PARSED, make)}
+    A document is one row, and its chunks are one array, which is exploded when its metadata is complete.
+    """
+    spans.check_sizes(size, overlap)
+    keys = [c for c in parsed.columns if c not in ("text", "starts", "ends")]
+    facts = T.StructType.fromDDL(_FACTS)
+    chunks = T.StructField("_chunks", T.ArrayType(T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in chunking.CHUNK_FIELDS))))
+    schema = T.StructType([*(parsed.schema[c] for c in keys), *facts.fields, chunks])
+    types, kind = [to_arrow_type(f.dataType) for f in facts], to_arrow_type(chunks.dataType)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        told, made = [], []
+        for text, starts, ends in zip(*(batch[c].to_pylist() for c in ("text", "starts", "ends"))):
+            elements = [{"pos": n, "text": text[a:b], "start": a, "end": b} for n, (a, b) in enumerate(zip(starts, ends), 1)]
+            nodes = tree.section_nodes(elements)
+            issues = tree.node_issues(nodes)
+            own, marked = chunking.document_chunks(text, starts, ends, elements, tree.node_chunks(nodes, size), size, overlap)
+            made.append(own)
+            strategy = "none" if not text else "policy_clause_group" if marked else "fixed_window_fallback"
+            told.append((len(elements), len(nodes), len(issues), sum(severity == "warning" for _, severity in issues), strategy))
+        columns = [pa.array(v, t) for v, t in zip(zip(*told), types)]
+        return pa.RecordBatch.from_arrays([*(batch[c] for c in keys), *columns, chunking.chunk_array(made, kind)], names=schema.names)
+
+    return map_slices(filled_lists(parsed, "starts", "ends"), run, schema)
 
 
 def _strings(values: dict[str, Column]) -> Column:
@@ -70,8 +84,8 @@ def _strings(values: dict[str, Column]) -> Column:
 
 
 def _quality() -> Column:
-    """Parse, chunking and structure quality of a parsed body (column _d)."""
-    d = lambda c: F.col(f"_d.{c}")
+    """Parse, chunking and structure quality of a body (columns of `_chunked`)."""
+    d = F.col
     text = d("strategy") != "none"
     marked = d("strategy") == "policy_clause_group"
     found = d("element_count") > 0
@@ -88,6 +102,8 @@ def _quality() -> Column:
 
 
 TREE, BODY, ATTACHMENT = 0, 1, 2
+#: Metadata that a chunk of a body has of its own.
+CHUNK_ENTRIES = ("chunk_type", "chunk_role", "language", "section_title", "group_title", "clause_no", "clause_range", "violation_level", "retrieval_priority", "index_scope", "semantic_type", "split_index")
 
 
 def detail_chunks(details: DataFrame, size: int = 1200, overlap: int = 150, contents: DataFrame | None = None, parse_attachments: bool = False) -> DataFrame:
@@ -114,19 +130,23 @@ def detail_chunks(details: DataFrame, size: int = 1200, overlap: int = 150, cont
     named = {"title": F.col("title"), "policy_category_type_name": F.col("category_name"), "file_count": F.size("files")}
     base = merged_metadata(merged_metadata(F.col("metadata"), _strings(named)), _strings({"attachment_parse_status": F.col("_s.status"), "attachment_parsed_count": F.col("_s.parsed_count"), "attachment_parse_warning_count": F.col("_s.warning_count")}))
     d = state.select("doc_id", "title", F.when(F.size(path) > 0, path).otherwise(F.array("title")).alias("base"), base.alias("base_metadata"), "body")
-    parsed = parsing.html_elements(d, "body", out=None, derive=parsed_detail(size))
-    parsed = parsed.select("doc_id", "title", "base", merged_metadata(F.col("base_metadata"), _quality()).alias("base_metadata"), F.col("_d.parts").alias("_parts"))
-    c = chunking.part_chunks(parsed, ["doc_id", "title", "base", "base_metadata"], "_parts", "title", size, overlap)
-    chunk = {k: F.col(k) for k in ("chunk_type", "chunk_role", "language", "section_title", "group_title", "clause_no", "clause_range", "violation_level", "retrieval_priority", "index_scope", "semantic_type", "split_index")}
+    parsed = _chunked(parsing.html_texts(d, "body"), size, overlap)
+    own_path = F.array_compact(F.array("title")).alias("own_path")
+    parsed = parsed.select("doc_id", "title", "base", own_path, merged_metadata(F.col("base_metadata"), _quality()).alias("base_metadata"), "_chunks")
+    # What a chunk's own entries may replace is taken out of the document's map once, so that a chunk only puts two maps together.
+    kept = F.map_filter("base_metadata", lambda k, v: ~k.isin(*CHUNK_ENTRIES))
+    parsed = parsed.select("doc_id", "title", "base", "own_path", kept.alias("kept"), *[F.col("base_metadata")[k].alias(f"_m_{k}") for k in CHUNK_ENTRIES], F.posexplode("_chunks").alias("_i", "c"))
+    c = parsed.select(*[x for x in parsed.columns if x != "c"], "c.*").withColumn("chunk_no", F.col("_i") + 1)
+    retrieval = F.col("chunk_role") == "retrieval"
+    c = c.withColumns({"retrieval_priority": F.when(retrieval, "high").otherwise("low"), "index_scope": F.when(retrieval, "main").otherwise("coverage")})
+    metadata = F.map_concat("kept", _strings({k: F.coalesce(F.col(k).cast("string"), F.col(f"_m_{k}")) for k in CHUNK_ENTRIES}))
     number = F.format_string("-%04d", "chunk_no")
-    from_tree = F.col("kind") == "tree"
-    tree_path = F.concat("base", F.slice("heading_path", 2, F.greatest(F.size("heading_path") - 1, F.lit(1))))
     rows = c.select(
-        "doc_id", F.lit(None).cast("string").alias("parent_doc_id"), F.when(from_tree, TREE).otherwise(BODY).alias("branch"), "chunk_no",
+        "doc_id", F.lit(None).cast("string").alias("parent_doc_id"), F.when(F.col("tree"), TREE).otherwise(BODY).alias("branch"), "chunk_no",
         F.concat("doc_id", F.lit("-chunk"), number).alias("chunk_id"), F.concat("chunk_type", number).alias("block_id"), "chunk_type", "text",
-        F.when(from_tree, tree_path).otherwise(merged_path(F.col("base"), F.col("title"), F.col("heading_path"))).alias("heading_path"), "start", "end",
+        F.when(F.col("tree"), F.concat("base", "tail")).otherwise(merged_path(F.col("base"), F.col("title"), F.concat("own_path", "tail"))).alias("heading_path"), "start", "end",
         F.when(F.col("first_element").isNotNull(), chunking._element_ids(F.col("first_element"), F.col("last_element"))).otherwise(F.array().cast("array<string>")).alias("element_ids"),
-        F.col("first_element").alias("range_start"), F.col("last_element").alias("range_end"), merged_metadata(F.col("base_metadata"), _strings(chunk)).alias("metadata"),
+        F.col("first_element").alias("range_start"), F.col("last_element").alias("range_end"), metadata.alias("metadata"),
     )
     if fetched is None:
         return rows
@@ -174,8 +194,10 @@ def attachment_states(details: DataFrame, parsed: DataFrame | None, parse: bool
     if not parse or parsed is None:
         off = "not_fetched" if not parse else "fetcher_not_configured"
         return details.withColumn("_s", state(F.lit(0), F.when((n > 0) & F.lit(parse), n).otherwise(0), F.when(n > 0, off).otherwise("none")))
-    done = parsed.groupBy("doc_id").agg(F.count_if(F.col("text") != "").alias("_done"), F.sum("warnings").alias("_warned"))
-    d = details.join(by_shuffle(done), "doc_id", "left")
+    # Bodies cost far more than their bytes tell: left alone, so few tasks are made of them that some cores have none.
+    files = spread(parsed.select("doc_id", (F.col("text") != "").alias("_ok"), "warnings"), "doc_id")
+    done = files.groupBy("doc_id").agg(F.count_if("_ok").alias("_done"), F.sum("warnings").alias("_warned"))
+    d = spread(details, "doc_id").join(by_shuffle(done), "doc_id", "left")
     ok, warned = F.coalesce("_done", F.lit(0)), F.coalesce("_warned", F.lit(0))
     status = F.when(n == 0, "none").when(ok == n, "success").when(ok > 0, "partial").otherwise("failed")
     return d.withColumn("_s", state(ok, warned, status)).drop("_done", "_warned")

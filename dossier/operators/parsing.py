@@ -130,9 +130,9 @@ def _blocks(page: Column) -> Column:
             F.regexp_extract_all(m, F.lit(r"\x01([^\x01]*)\x01"), F.lit(1)), lambda s: F.concat(F.lit("table" + SEP + SEP), s)
         )
         level = F.regexp_extract(m, r"^<[hH]([1-6])", 1)
-        text = _visible(F.regexp_replace(m, r"\x01[^\x01]*\x01", ""))
-        block = _candidate(F.when(level == "", F.lit("paragraph")).otherwise(F.lit("title")), level, empty, text)
-        return F.when(m.startswith("<"), F.concat(marks, F.array(block))).otherwise(marks)
+        block = lambda raw: F.array(_candidate(F.when(level == "", F.lit("paragraph")).otherwise(F.lit("title")), level, empty, _visible(raw)))
+        with_marks = F.when(m.startswith("<"), F.concat(marks, block(F.regexp_replace(m, r"\x01[^\x01]*\x01", "")))).otherwise(marks)
+        return F.when(F.contains(m, F.lit(MARK)), with_marks).otherwise(block(m))
 
     return F.flatten(F.transform(F.regexp_extract_all(page, F.lit(SCAN), F.lit(0)), parts))
 
@@ -143,6 +143,19 @@ def _plain(raw: Column) -> Column:
     return F.transform(texts, lambda t: _candidate(F.lit("plain"), F.lit(""), F.lit(""), t))
 
 
+def _decoded(page: list[str]):
+    """Kind, level, rows and text of the candidates that hold text, with entities decoded and blanks collapsed."""
+    for item in page:
+        kind, level, rows, text = item.split(SEP, 3)
+        if "&" in text:
+            text = _html.unescape(text)
+            if kind in ("title", "paragraph"):  # block text is decoded by the page reader and once more
+                text = _html.unescape(text)
+        text = " ".join(text.split())
+        if text:
+            yield kind, level, rows, text
+
+
 def _finish(candidates: list[list[str]]) -> list:
     """Decode entities, collapse blanks, drop empty elements, then number, place and title the rest.
 
@@ -151,15 +164,7 @@ def _finish(candidates: list[list[str]]) -> list:
     out = []
     for page in candidates:
         done, at, open_heads = [], 0, {}
-        for item in page:
-            kind, level, rows, text = item.split(SEP, 3)
-            if "&" in text:
-                text = _html.unescape(text)
-                if kind in ("title", "paragraph"):  # block text is decoded by the page reader and once more
-                    text = _html.unescape(text)
-            text = " ".join(text.split())
-            if not text:
-                continue
+        for kind, level, rows, text in _decoded(page):
             if kind == "title":
                 open_heads = {k: v for k, v in open_heads.items() if k < level} | {level: text}
             done.append(
@@ -220,6 +225,34 @@ def html_elements(df: DataFrame, html: str = "html", out: str | None = "elements
     return _with_elements(df, html, _html_candidates(F.col(html)), out, derive)
 
 
+def html_texts(df: DataFrame, html: str = "html") -> DataFrame:
+    """Replaces an HTML column by its document text, the spans of its elements in it (starts, ends) and its number of tables."""
+    keys = [c for c in df.columns if c != html]
+    more = T.StructType.fromDDL("text string, starts array<int>, ends array<int>, table_count int")
+    schema = T.StructType([df.schema[c] for c in keys] + more.fields)
+
+    def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, starts, ends, tables, offsets = [], [], [], [], [0]
+        for page in batch["_candidates"].to_pylist():
+            kept, at, n = [], 0, 0
+            for kind, _, _, text in _decoded(page):
+                kept.append(text)
+                starts.append(at)
+                at += len(text)
+                ends.append(at)
+                at += 1
+                n += kind == "table"
+            texts.append(" ".join(kept))
+            tables.append(n)
+            offsets.append(len(starts))
+        at = pa.array(offsets, pa.int32())
+        places = [pa.ListArray.from_arrays(at, pa.array(v, pa.int32())) for v in (starts, ends)]
+        made = [pa.array(texts, pa.string()), *places, pa.array(tables, pa.int32())]
+        return pa.RecordBatch.from_arrays([batch[c] for c in keys] + made, names=schema.names)
+
+    return map_slices(df.select(*keys, _html_candidates(F.col(html)).alias("_candidates")), joined, schema)
+
+
 def plain_elements(df: DataFrame, text: str = "text", out: str = "elements") -> DataFrame:
     """Replaces text without markup by one paragraph per blank-line or sentence break."""
     return _with_elements(df, text, _plain(F.coalesce(F.col(text), F.lit(""))), out)

@@ -36,6 +36,7 @@ def ordinal_value(label: Column) -> Column:
 
 
 _PATTERNS = {name: re.compile(p, re.ASCII) for name, p in (("major", MAJOR), ("level", LEVEL), ("group", GROUP), ("leaf", LEAF), ("mapping", MAPPING))}
+_OPENERS = frozenset(NUMERALS + "（0123456789")
 _SECTION = "struct<pos:int,label:string,no:int,title:string,acts:boolean>"
 LINE = f"array<struct<pos:int,text:string,element_id:string,node_type:string,major:{_SECTION},lvl:{_SECTION},grp:{_SECTION},agrp:{_SECTION}>>"
 NODE = (
@@ -58,6 +59,9 @@ class _Open:
     def take(self, pos: int, text: str) -> tuple[str | None, re.Match | None]:
         """Type of the line (None for running text) with its match, after opening what it opens."""
         section = lambda m, label, no, title: {"pos": pos, "label": label, "no": no, "title": _bare(m[title]), "acts": None}
+        first = text[:1]
+        if first not in _OPENERS:  # every pattern begins with one of them
+            return None, None
         if m := _PATTERNS["major"].match(text):
             self.major = section(m, m[1], None, 2)
             self.major["acts"] = any(w in self.major["title"] for w in ACTION_WORDS)
@@ -100,50 +104,55 @@ def line_sections(elements: list[dict]) -> list[dict]:
 
 
 def section_nodes(elements: list[dict]) -> list[dict]:
-    """The nodes of a document in order, with the text and elements that belong to them.
+    """The nodes of a document in order, with the text and elements that belong to them. Elements come in the order of the text.
 
     Running text belongs to the nearest open node; leaves and mappings also extend their parent.
     """
-    now, nodes = _Open(), {}
+    now, nodes, lines = _Open(), {}, {}
     for e in elements:
-        kind, m = now.take(e["pos"], e["text"])
+        pos = e["pos"]
+        kind, m = now.take(pos, e["text"])
         if kind is None:
             owner = (None if now.acts else now.grp or now.lvl) or now.agrp or now.major
-            owners = [owner["pos"]] if owner else []
-        else:
-            node = _node(kind, m, now)
-            node |= {"sort_order": e["pos"], "node_no": len(nodes) + 1, "parent_no": nodes[node["parent_order"]]["node_no"] if node["parent_order"] else None, "lines": []}
-            nodes[e["pos"]] = node
-            owners = [e["pos"]] + ([node["parent_order"]] if kind in ("leaf_clause", "action_mapping") else [])
-        for pos in owners:
-            nodes[pos]["lines"].append(e)
-    for node in nodes.values():
-        lines = node.pop("lines")
-        node["text"] = " ".join(" ".join(x["text"] for x in lines).split())
-        node["start"], node["end"] = min(x["start"] for x in lines), max(x["end"] for x in lines)
-        node["element_ids"] = [_element_id(x) for x in lines]
+            if owner:
+                lines[owner["pos"]].append(e)
+            continue
+        node = _node(kind, m, now)
+        parent = node["parent_order"]
+        node["sort_order"], node["node_no"], node["parent_no"] = pos, len(nodes) + 1, nodes[parent]["node_no"] if parent else None
+        nodes[pos], lines[pos] = node, [e]
+        if kind in ("leaf_clause", "action_mapping") and parent:
+            lines[parent].append(e)
+    for pos, node in nodes.items():
+        own = lines[pos]
+        node["text"] = " ".join((own[0]["text"] if len(own) == 1 else " ".join([x["text"] for x in own])).split())
+        node["start"], node["end"] = own[0]["start"], own[-1]["end"]
+        node["element_ids"] = [_element_id(x) for x in own]
     return list(nodes.values())
 
 
+def _named(s: dict | None) -> str | None:
+    return f"{s['no']}. {s['title']}" if s else None
+
+
 def _node(kind: str, m: re.Match, now: _Open) -> dict:
     """Label, title, level, parent and path of a node that was just met."""
     major, lvl, grp, agrp = now.major, now.lvl, now.grp, now.agrp
-    named = lambda s: f"{s['no']}. {s['title']}" if s else None
     major_name = major["label"] + major["title"] if major else None
     if kind == "major_section":
         parent, level, label, title, tail, code = None, 1, major["label"], major["title"], [major_name], None
     elif kind == "violation_level":
         parent, level, label, title, tail = major, 2, lvl["label"], lvl["title"], [lvl["title"]]
     elif kind == "violation_group":
-        parent, level, label, title, tail = lvl, 3, f"{grp['no']}.", grp["title"], [lvl["title"], named(grp)]
+        parent, level, label, title, tail = lvl, 3, f"{grp['no']}.", grp["title"], [lvl["title"], _named(grp)]
     elif kind == "action_group":
-        parent, level, label, title, tail, code = major, 2, f"{agrp['no']}.", agrp["title"], [major_name, named(agrp)], None
+        parent, level, label, title, tail, code = major, 2, f"{agrp['no']}.", agrp["title"], [major_name, _named(agrp)], None
     elif kind == "leaf_clause":
         parent, level, label, title = grp, 4, m[1], _bare(m[2])
-        tail = [lvl["title"], named(grp), f"{label} {title}"]
+        tail = [lvl["title"], _named(grp), f"{label} {title}"]
     else:
         parent, level, label, title = agrp or major, 3 if agrp else 2, m[1], _bare(m[2])
-        tail, code = [major_name, named(agrp), f"{label} {title}"], LEVEL_CODES.get(title)
+        tail, code = [major_name, _named(agrp), f"{label} {title}"], LEVEL_CODES.get(title)
     if kind in ("violation_level", "violation_group", "leaf_clause"):
         code = LEVEL_CODES.get(lvl["title"])
     parent_kind = {"violation_group": "violation_level", "leaf_clause": "violation_group"}.get(kind, "action_group" if kind == "action_mapping" and agrp else "major_section")
@@ -304,13 +313,17 @@ def node_chunks(nodes: list[dict], size: int = 1200) -> list[dict]:
         if kind is None:
             continue
         texts = [(kind, n["text"])]
-        kids = groups.get(n["sort_order"]) if n["node_type"] == "violation_level" else None
+        kids = groups.get(n["sort_order"]) if kind == "section_definition" else None
         if kids:
             texts.append(("section_children", " ".join(" ".join([n["title"], *[f"{k['ordinal_label']} {k['title']}".strip() for k in kids]]).split())))
         for kind, text in texts:
-            slices = [p for p in (text[i : i + size].strip(" ") for i in range(0, len(text), size)) if p]
-            own = {"tail": n["tail"], "section_title": n["title"], **{c: n[c] for c in ("node_no", "violation_level", "parent_node_type", "parent_title", "start", "end")}}
-            out += [own | {"chunk_type": kind, "text": p, "split_index": i if len(text) > size else None} for i, p in enumerate(slices, 1)]
+            over = len(text) > size
+            slices = [p for p in (text[i : i + size].strip(" ") for i in range(0, len(text), size)) if p] if over else [p] if (p := text.strip(" ")) else []
+            for i, p in enumerate(slices, 1):
+                out.append({
+                    "node_no": n["node_no"], "chunk_type": kind, "text": p, "tail": n["tail"], "section_title": n["title"], "violation_level": n["violation_level"],
+                    "parent_node_type": n["parent_node_type"], "parent_title": n["parent_title"], "split_index": i if over else None, "start": n["start"], "end": n["end"],
+                })
     return out
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions.session import SLICE_ROWS, map_slices
-from dossier.operators import chunking, parsing, tree
+from dossier.operators import chunking, ingest, parsing, tree
 from dossier.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -150,3 +150,38 @@ def test_a_batch_is_let_go_before_the_next_one_is_read():
             del batch
 
     assert [b.num_rows for b in slices(batches(), 2)] == [2, 1] * 3
+
+
+@pytest.mark.parametrize("name", ["e1_detail_chunks", "e1_chunk_metadata", "e6_branch_outcomes"])
+def test_a_body_stays_in_one_row_until_its_chunks_are_numbered(spark, monkeypatch, name):
+    """One row a document goes to the pass that cuts it, not one a unit with the metadata of the document."""
+    frame, seen = type(spark.range(1)), []
+    send = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: (seen.append(self), send(self, *a, **k))[1])
+    QUERIES[name](spark, SF)
+    assert [rows.count() for rows in seen if "starts" in rows.columns] == [spark.read.parquet(f"{SF}/customer.parquet").count()]
+
+
+def test_the_right_metadata_is_made_once(spark):
+    m = ingest.merged_metadata(F.create_map(F.lit("a"), F.col("id").cast("string"), F.lit("b"), F.lit(None).cast("string")), F.create_map(F.lit("c"), F.concat(F.lit("right"), "id")))
+    d = spark.range(2).select("id", m.alias("m"))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("right") == 1
+    assert {r.id: r.m for r in d.collect()} == {0: {"a": "0", "c": "right0"}, 1: {"a": "1", "c": "right1"}}
+
+
+def test_chunks_of_odd_bodies():
+    """A mark without chunks gives windows; a long clause is cut and keeps its range; the tree follows."""
+    def made(lines, size=1200):
+        page = [parsing.SEP.join(("paragraph", "", "", x)) for x in lines]
+        elements = parsing._finish([page])[0]
+        text, units = " ".join(e["text"] for e in elements), tree.node_chunks(tree.section_nodes(elements), size)
+        return chunking.document_chunks(text, [e["start"] for e in elements], [e["end"] for e in elements], elements, units, size, 5)
+
+    names = [n for n, _ in chunking.CHUNK_FIELDS]
+    assert made([]) == ([], False) and made([" "]) == ([], False)
+    assert [c[1:5] for c in made(["四、违规行为"])[0]] == [(0, 6, "四、违规行为", None)]
+    assert [c[1:5] for c in made(["x" * 12], 10)[0]] == [(0, 10, "x" * 10, None), (5, 12, "x" * 7, None)]
+    long = [dict(zip(names, c)) for c in made(["四、违规行为", "（一）一类违规行为", "1. 甲", "1.1 情形一。", "1.2 情形二。"], 12)[0]]
+    groups = [c for c in long if c["chunk_type"] == "clause_group"]
+    assert [c["split_index"] for c in groups] == [1, 2, 3] and {c["clause_range"] for c in groups} == {"1.1-1.2"} and groups[0]["first_element"] == 3
+    assert [c["chunk_type"] for c in long if c["tree"]] == ["section_definition", "section_children", "leaf_clause", "leaf_clause"]
